@@ -212,8 +212,8 @@ def membership(docs: DataFrame, model: Posterior, **columns: str) -> DataFrame:
     """The named columns with the text, which comes last, replaced by its tokens and posteriors."""
     rows = only(docs, **columns)
     packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_posteriors(packed), f"{kept}, tokens long, {', '.join(f'{d} double' for d in DOMAINS)}")
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+    return rows.mapInArrow(_posteriors(packed), ", ".join([*kept, "tokens long", *[f"{d} double" for d in DOMAINS]]))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS) -> DataFrame:
