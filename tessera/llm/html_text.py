@@ -71,9 +71,10 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             text.clear()
         linked = 0
 
-    def gap() -> None:
+    def gap(top: bool = False) -> None:
+        """A break between parts of the page; within an article, and with ``top`` within any other part, there is none."""
         close()
-        if not inside:
+        if not inside and not (top and any(n not in ("html", "body") for n, _ in stack)):
             lines.extend([("", 0)] * WIDTH)
 
     def pop(k: int) -> None:
@@ -86,7 +87,7 @@ def lines_of(page: str) -> list[tuple[str, int]]:
                 inside -= name == "article"
                 gap()
             elif bad and not noise:
-                gap()
+                gap(True)
 
     while at < size:
         m = _TOKEN.search(page, at)
@@ -130,7 +131,7 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         elif name not in ("body", "html", "main") and marks and _NOISE.search(marks):
             bad = True
         if bad and not noise or name in ("article", "main") and not bad:
-            gap()
+            gap(bad)
         stack.append((name, bad))
         noise += bad
         links += name == "a"

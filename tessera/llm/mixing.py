@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import labelled_sample, materialise, only, table
-from tessera.llm.rule_ensemble import statistics
+from tessera.llm.rule_ensemble import STATISTICS, statistics
 
 DOMAINS = ("clean", "poor", "toxic")
 #: Shares of the tokens that the domains should have.
@@ -91,9 +91,7 @@ def learn(texts: list[str | None], domain: np.ndarray, *, words: int = WORDS, st
         common = [w for w, c in seen[d].items() if c >= 5]
         chosen += sorted(common, key=lambda w: (-gain(w), w))[:words]
     index = {w: i for i, w in enumerate(dict.fromkeys(chosen))}
-    stats = np.array([statistics(t) for t in texts], dtype=float).reshape(n, -1)
-    if not n:
-        stats = np.zeros((0, len(statistics(""))))
+    stats = np.array([statistics(t) for t in texts], dtype=float).reshape(n, len(STATISTICS))
     mean = stats.mean(axis=0) if n else np.zeros(stats.shape[1])
     scale = stats.std(axis=0) + 1e-6 if n else np.ones(stats.shape[1])
     model = Posterior(index, mean, scale, np.zeros((1 + len(mean) + len(index), k)))
