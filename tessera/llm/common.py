@@ -55,8 +55,20 @@ def remainder5(col: str) -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % 5
 
 
+#: Rows of whole texts that go to a Python worker at once, where the session has not set another number.
+BATCH = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: Spark's usual 10,000 rows at once would make a worker hold hundreds of megabytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH))
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """Just the named columns under internal names, so that other columns of the table cannot clash."""
+    small_batches(df.sparkSession)
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import labelled_sample, only, remainder5, table
+from tessera.llm.common import labelled_sample, only, remainder5, small_batches, table
 from tessera.llm.trees import boost, sigmoid
 
 #: At most so many labelled texts are learnt from, those whose ids have the smallest hashes.
@@ -181,6 +181,7 @@ def score(docs: DataFrame, model: Ensemble, *, id_col: str = "doc_id", text_col:
 
 def kept(docs: DataFrame, model: Ensemble, names: Sequence[str]) -> DataFrame:
     """The rows of ``docs`` that the model does not reject, with the columns ``names``."""
+    small_batches(docs.sparkSession)
     rows = with_statistics(docs.select(*names, F.col("text").alias("_text")))
     return rows.where(model.column() >= THRESHOLD).select(*names)
 
