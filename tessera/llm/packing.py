@@ -13,10 +13,13 @@ Scale: one pass, no exchange; a task holds one batch of texts and under a hundre
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,30 +35,68 @@ COLUMNS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
-    The tokenizer treats white space as a break and nothing else of it survives, so a text's ids are those of its
-    words, each encoded by the library once and remembered.
+    The tokenizer drops white space and encodes each run of letters, single digit, and run of other signs on its own. Texts
+    of plain Latin letters and ASCII signs are split here in the same way and each run is encoded by the library once; in
+    other texts, so are the plain words, and all other words go to the library whole.
     """
 
+    _LATIN = "a-zß-öø-ÿ"
+    _PLAIN = re.compile(rf"[\t-\r -~{_LATIN}À-ÖØ-Þ]*")
+    _RUNS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LATIN}]+|[0-9]|[^{_LATIN}0-9\t-\r ]+")
+    _WORDS = re.compile(r"[^\t-\r ]+")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
-    def texts(self, texts: list[str]) -> Iterator[bytes]:
-        split = [t.encode().split() for t in texts]
-        if len(self.known) > 600_000:
-            for old in list(islice(self.known, 300_000)):
-                del self.known[old]
+    def _plain(self, text: str) -> bool:
+        return "<|" not in text and self._PLAIN.fullmatch(text) is not None
+
+    def _runs(self, text: str) -> list[str]:
+        if self._plain(text):
+            return self._RUNS.findall(text.lower())
+        return [r for w in self._WORDS.findall(text) for r in (self._RUNS.findall(w.lower()) if self._plain(w) else (w,))]
+
+    def _learn(self, new: list[str]) -> None:
         known = self.known
-        new = list({w for words in split for w in words if w not in known})
+        if len(known) > 600_000:
+            for old in list(islice(known, 300_000)):
+                del known[old]
         for i in range(0, len(new), 5000):
             part = new[i : i + 5000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = b"".join([x.to_bytes(4, "little") for x in e.ids])
-        for words in split:
-            yield b"".join([known[w] for w in words])
+            whole = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            cuts = np.flatnonzero(np.diff(np.array(whole.word_ids, dtype=np.float64))) + 1
+            if len(cuts) == len(part) - 1:
+                raw = np.array(whole.ids, dtype="<u4").tobytes()
+                ends = [0, *(4 * cuts).tolist(), len(raw)]
+                known.update((r, raw[a:b]) for r, a, b in zip(part, ends, ends[1:], strict=False))
+            else:  # some are not one run for the library
+                found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+                known.update((r, np.array(e.ids, dtype="<u4").tobytes()) for r, e in zip(part, found, strict=True))
+
+    def texts(self, texts: list[str]) -> Iterator[bytes]:
+        runs = [self._runs(t) for t in texts]
+        found = [list(map(self.known.get, r)) for r in runs]
+        new = {k for r, f in zip(runs, found, strict=True) if None in f for k, x in zip(r, f, strict=True) if x is None}
+        if new:
+            odd = {k for k in new if not self._plain(k)}
+            self._learn(sorted(new - odd))
+            fresh = {k: np.array(e.ids, dtype="<u4").tobytes() for k, e in zip(odd, self.tokenizer.encode_batch_fast(list(odd), add_special_tokens=False), strict=True)}
+            fresh |= {k: self.known[k] for k in new - odd}
+            for r, f in zip(runs, found, strict=True):
+                if None in f:
+                    f[:] = [fresh[k] if x is None else x for k, x in zip(r, f, strict=True)]
+            self.known.update(fresh)
+        yield from map(b"".join, found)
+
+
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """The encoder of this worker process; it outlives a task."""
+    return Encoder(path)
 
 
 def cuts(length: int) -> list[int]:
@@ -124,9 +165,9 @@ def _pack(path: str | None):
         if path is None:
             import public_tokenizers
 
-            encoder = Encoder(public_tokenizers.path(TOKENIZER))
+            own = encoder(public_tokenizers.path(TOKENIZER))
         else:
-            encoder = Encoder(path)
+            own = encoder(path)
         packer = Packer(TaskContext.get().partitionId() << 33)
         kind = None
 
@@ -140,7 +181,7 @@ def _pack(path: str | None):
             kind = batch.schema.field(0).type
             for i in range(0, batch.num_rows, 500):
                 keys, texts = (batch.column(k).slice(i, 500).to_pylist() for k in (0, 1))
-                for key, ids in zip(keys, encoder.texts([t or "" for t in texts]), strict=True):
+                for key, ids in zip(keys, own.texts([t or "" for t in texts]), strict=True):
                     packer.add(key, ids + end)
                 if len(packer.rows) > 5000:
                     yield out()
