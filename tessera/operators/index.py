@@ -57,9 +57,11 @@ def report(actions: DataFrame) -> DataFrame:
 
 
 def stats(documents: DataFrame, chunks: DataFrame) -> DataFrame:
-    """One row: documents, bytes, chunks. Each side is one number, so the join is of one row with one row."""
-    left = documents.agg(F.count("*").alias("documents"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("bigint").alias("bytes"))
-    return left.join(chunks.agg(F.count("*").alias("chunks")), F.lit(True))
+    """One row: documents, bytes, chunks."""
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    each = documents.select(one.alias("d"), F.col("bytes").cast("bigint").alias("b"), zero.alias("c")).unionAll(chunks.select(zero.alias("d"), zero.alias("b"), one.alias("c")))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return each.agg(total("d").alias("documents"), total("b").alias("bytes"), total("c").alias("chunks"))
 
 
 def by_extension(documents: DataFrame) -> DataFrame:

@@ -90,8 +90,8 @@ def postings(chunks: DataFrame, *, tokens=T.index_tokens) -> DataFrame:
 
 def corpus_stats(chunks: DataFrame, posted: DataFrame) -> DataFrame:
     """One row: number of chunks, mean tokens for each."""
-    n = chunks.agg(F.count("*").alias("n_chunks"))
-    return n.join(posted.agg(F.count("*").alias("n_tokens")), F.lit(True)).select("n_chunks", (F.col("n_tokens") / F.greatest("n_chunks", F.lit(1))).alias("avg_tokens"))
+    each = chunks.select(F.lit(1).alias("n"), F.lit(0).alias("t")).unionAll(posted.select(F.lit(0).alias("n"), F.lit(1).alias("t")))
+    return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_chunks"), (F.sum("t") / F.greatest(F.sum("n"), F.lit(1))).alias("avg_tokens"))
 
 
 def phrase_hits(posted: DataFrame, queries: DataFrame, *, tokens=T.index_tokens) -> DataFrame:

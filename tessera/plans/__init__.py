@@ -1,0 +1 @@
+"""Importing the package's catalogue registers every query."""

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from tessera.plans import catalogue
+from tessera.plans import catalogue, state_catalogue  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
