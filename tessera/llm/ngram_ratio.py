@@ -43,12 +43,17 @@ def named(value: Column, then: Callable[[Column], Column]) -> Column:
 def repeated_words(hashes: Column) -> Column:
     """How many words lie in windows of 8 that occur twice or more, from the hashes of the words.
 
-    Windows are compared by a 64-bit hash of their words' hashes. Most texts have no window twice, which one pass over
+    Windows are compared by a 64-bit hash, made of hashes of runs of 1, 2 and 4 words. Most texts have no window twice, which one pass over
     distinct values shows; else windows are sorted by (hash, place), those with an equal neighbour are kept in order
     of place, and each covers what the one before it doesn't.
     """
     n = F.size(hashes)
-    windows = F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(hashes, i, WINDOW)))
+
+    def doubled(a: Column, k: int) -> Column:
+        """Hashes of runs twice as long, from those of runs of k."""
+        return F.transform(F.sequence(F.lit(0), F.size(a) - k - 1), lambda i: F.xxhash64(F.get(a, i), F.get(a, i + k)))
+
+    windows = named(doubled(hashes, 1), lambda two: named(doubled(two, 2), lambda four: doubled(four, 4)))
 
     def covered(found: Column) -> Column:
         pairs = F.array_sort(F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -96,13 +101,18 @@ def rules(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def _bucket(h: Column) -> Column:
+    return F.pmod(h, F.lit(BUCKETS)).cast("int")
+
+
+def _pair(words: Column, h: Column, i: Column) -> Column:
+    """Hash of a word and the next one; the last word stands alone."""
+    return F.xxhash64(h, F.get(words, i + 1))
+
+
 def grams(words: Column) -> Column:
-    """Buckets of the words and pairs of neighbours."""
-    bucket = lambda c: F.pmod(c, F.lit(BUCKETS)).cast("int")
-    n = F.size(words)
-    return F.when(n == 0, F.array().cast("array<int>")).otherwise(
-        F.flatten(F.transform(words, lambda w, i: F.array(bucket(F.xxhash64(w)), bucket(F.xxhash64(w, F.try_element_at(words, i + 2))))))
-    )
+    """Buckets of the words and of the pairs of neighbours, from the hashes of the words."""
+    return F.concat(F.transform(words, _bucket), F.transform(words, lambda h, i: _bucket(_pair(words, h, i))))
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
@@ -138,7 +148,8 @@ def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_
     trusted = labelled_sample(labels.where("quality = 1"), "quality", bound, held_out=None)
     hashed = rows.select("id", F.transform(words_of(F.coalesce("text", F.lit(""))), lambda w: F.xxhash64(w)).alias("_hashes"))
     ratios = F.from_json(F.lit(json.dumps(log_ratios(hashed, trusted))), "array<double>")  # folded to one literal
-    mean = F.aggregate(grams(F.col("_hashes")), F.lit(0.0), lambda s, b: s + F.element_at(ratios, b + 1)) / F.greatest(2 * F.size("_hashes"), F.lit(1))
+    ratio = lambda s, b: s + F.get(ratios, b)
+    mean = F.aggregate(grams(F.col("_hashes")), F.lit(0.0), ratio) / F.greatest(2 * F.size("_hashes"), F.lit(1))
     out = rules(rows).withColumn("log_ratio", mean)
     return out.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
