@@ -7,7 +7,7 @@ replicated to all anchors within 3 + 1 bits of its block value (about 5.3 for ea
 meet at the anchor nearest to either of them, and they are compared there. No pair within the threshold is lost.
 
 Scale: only distinct fingerprints travel (16 rows of 12 bytes each). A bucket of an anchor emits a spanning forest of
-its links, not the pairs; buckets above ``BUCKET`` fingerprints are dealt out as pairs of chunks to several tasks.
+its links, not the pairs; buckets above ``BUCKET`` fingerprints are divided further, by an exact rule (:func:`links`).
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from tessera.llm.common import discard, materialise, only, table
 
 SHINGLE = 4
 THRESHOLD = 4
-#: Fingerprints of one anchor that one task compares; a larger bucket is dealt out in chunks of this size.
+#: Fingerprints of one anchor that one task compares; a larger bucket is divided.
 BUCKET = 8192
 #: Generator polynomial of the binary Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY = 0b110001110101
@@ -216,19 +216,25 @@ def _edges(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(prints: DataFrame) -> DataFrame:
-    """(a, b): a spanning forest for each anchor over the distinct fingerprints ``fp``; all links within 4 bits are kept."""
+    """(a, b): a spanning forest for each anchor over the distinct fingerprints ``fp``; all links within 4 bits are kept.
+
+    A bucket above ``BUCKET`` is divided by pieces: of five pieces of 12 or 13 bits, two fingerprints within 4 bits share
+    one at least. A division that is still larger, which takes thousands of fingerprints close to each other, is dealt out
+    as pairs of chunks.
+    """
     spread = prints.select("fp").mapInArrow(_replicas, "anchor long, fp long")
-    sizes = spread.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET)
-    chunks = F.ceil(F.coalesce("n", F.lit(1)) / BUCKET).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")
+    large = spread.groupBy("anchor").agg(F.count("*").alias("_n")).where(F.col("_n") > BUCKET)
+    pieces = F.array(*[F.lit(p << 13) + F.shiftrightunsigned("fp", 13 * p).bitwiseAND(F.lit(8191)).cast("int") for p in range(5)])
+    divided = spread.join(large, "anchor", "left").select("anchor", F.explode(F.when(F.col("_n").isNull(), F.array(F.lit(-1))).otherwise(pieces)).alias("piece"), "fp")
+    sizes = divided.where("piece >= 0").groupBy("anchor", "piece").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET)
     dealt = (
-        spread.join(sizes, "anchor", "left")
-        .withColumn("g", F.when(F.col("n").isNull(), 1).otherwise(chunks))
-        .withColumn("own", F.when(F.col("g") == 1, 0).otherwise(own))
+        divided.join(sizes, ["anchor", "piece"], "left")
+        .withColumn("g", F.when(F.col("n").isNull(), 1).otherwise(F.ceil(F.col("n") / BUCKET).cast("int")))
+        .withColumn("own", F.when(F.col("g") == 1, 0).otherwise(F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")))
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
         .select(
             "anchor",
-            (F.least("own", "with") * 65536 + F.greatest("own", "with")).alias("cell"),
+            (F.col("piece").cast("long") * (1 << 40) + F.least("own", "with").cast("long") * (1 << 20) + F.greatest("own", "with")).alias("cell"),
             F.when(F.col("own") == F.col("with"), 0).when(F.col("own") < F.col("with"), 1).otherwise(2).alias("side"),
             "fp",
         )
