@@ -88,10 +88,15 @@ def postings(chunks: DataFrame, *, tokens=T.index_tokens) -> DataFrame:
     return chunks.select("chunk_id", F.inline(fields)).select("chunk_id", "field", F.posexplode("tokens").alias("pos", "token"))
 
 
-def corpus_stats(chunks: DataFrame, posted: DataFrame) -> DataFrame:
+def lengths(chunks: DataFrame, *, tokens=T.index_tokens) -> DataFrame:
+    """(chunk_id, d): tokens of both columns; no exchange."""
+    size = lambda c: F.coalesce(F.size(tokens(F.col(c))), F.lit(0))
+    return chunks.select("chunk_id", (size("text") + size("heading")).alias("d"))
+
+
+def corpus_stats(chunks: DataFrame, *, tokens=T.index_tokens) -> DataFrame:
     """One row: number of chunks, mean tokens for each."""
-    each = chunks.select(F.lit(1).alias("n"), F.lit(0).alias("t")).unionAll(posted.select(F.lit(0).alias("n"), F.lit(1).alias("t")))
-    return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_chunks"), (F.sum("t") / F.greatest(F.sum("n"), F.lit(1))).alias("avg_tokens"))
+    return lengths(chunks, tokens=tokens).agg(F.count("*").cast("double").alias("n_chunks"), F.avg("d").alias("avg_tokens"))
 
 
 def phrase_hits(posted: DataFrame, queries: DataFrame, *, tokens=T.index_tokens) -> DataFrame:
@@ -110,12 +115,12 @@ def bm25_search(chunks: DataFrame, queries: DataFrame, k: int = BM25_K, *, token
     posted = postings(chunks, tokens=tokens) if posted is None else posted
     hits = phrase_hits(posted, queries, tokens=tokens)
     weighted = hits.groupBy("query_id", "term", "chunk_id").agg(F.sum(F.col("tf") * F.when(F.col("field") == "heading", 2).otherwise(1)).alias("f"))
-    n_chunks, avg = corpus_stats(chunks, posted).first()
-    lengths = posted.groupBy("chunk_id").agg(F.count("*").alias("d"))
+    stats = corpus_stats(chunks, tokens=tokens)
+    n_chunks, avg = stats.select("n_chunks").scalar(), stats.select("avg_tokens").scalar()
     df = weighted.groupBy("query_id", "term").agg(F.count("*").alias("df"))
-    idf = F.log((F.lit(float(n_chunks)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.when(idf > 0, idf).otherwise(F.lit(1e-6)) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("d") / F.lit(float(avg or 1))))
-    scored = weighted.join(df, ["query_id", "term"]).join(lengths, "chunk_id").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+    idf = F.log((n_chunks - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = F.when(idf > 0, idf).otherwise(F.lit(1e-6)) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("d") / avg))
+    scored = weighted.join(df, ["query_id", "term"]).join(lengths(chunks, tokens=tokens), "chunk_id").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
     return top(scored.withColumn("score", F.round("score", 9)), k, ["query_id"], F.desc("score"), F.asc("chunk_id"))
 
 
