@@ -443,3 +443,17 @@ def test_ratio_keeps_the_trusted_kind(spark):
 def test_main_path_of_rules_is_native(docs, labels):
     plan = ngram_ratio.quality(docs, labels)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+# -- what they share -------------------------------------------------------------------------------------------------
+
+
+def test_samples_are_bounded_and_the_same_every_time(spark):
+    from tessera.llm.common import labelled_sample
+
+    rows = [(i, i % 2, 0, "", "") for i in range(4000)]
+    marks = spark.createDataFrame(rows, LABELS)
+    picks = [{(r.id, r.label) for r in labelled_sample(marks.repartition(n), "quality", 50).collect()} for n in (1, 7)]
+    assert picks[0] == picks[1] and len(picks[0]) == 50
+    assert all(zlib.crc32(str(i).encode()) % 5 != 0 and label == i % 2 for i, label in picks[0])
+    assert labelled_sample(marks, "quality", 10_000, held_out=None).count() == 4000
