@@ -89,5 +89,16 @@ def labelled_sample(labels: DataFrame, value: str, bound: int, *, held_out: int
     rows = only(labels, id="doc_id", label=value).where("id IS NOT NULL AND label IS NOT NULL")
     if held_out is not None:
         rows = rows.where(remainder5("id") != held_out)
-    rows = rows.groupBy("id").agg(F.min("label").alias("label"))
-    return rows.orderBy(F.xxhash64("id"), "id").limit(bound)
+    return smallest(rows.groupBy("id").agg(F.min("label").alias("label")), "id", bound)
+
+
+def smallest(rows: DataFrame, key: str, bound: int) -> DataFrame:
+    """At most ``bound`` rows, those whose key has the smallest hashes; keys are distinct.
+
+    Rows above a hash that leaves half as many again as needed are dropped first, so that tasks send little to be merged.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    n = rows.count()
+    if n > 2 * bound:
+        rows = rows.where(place < int((1 << 30) * 1.5 * bound / n) + 1024)
+    return rows.orderBy(place, key).limit(bound)
