@@ -38,7 +38,7 @@ _INLINE = {
 _NOISE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsbygoogle|banner\w*|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side|footer\w*|masthead|cookie\w*|consent|gdpr|notice\w*|"
     r"notification\w*|popup|modal|overlay|newsletter|subscribe\w*|signup|login|share|sharing|social\w*|related|recommend\w*|comment\w*|disqus\w*|reply|replies|respond|search\w*|toolbar|"
-    r"pagination|pager|skip|widget\w*|complementary|contentinfo|navigation|header|toc|tags|alert\w*)(?=$|[\s_-])",
+    r"pagination|pager|skip|widget\w*|complementary|contentinfo|navigation|(?<!article.)(?<!entry.)(?<!post.)header|toc|tags|alert\w*)(?=$|[\s_-])",
     re.I,
 )
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)

@@ -283,6 +283,7 @@ def test_html(spark):
     assert html_text.main_text(plain) == html_text.main_text(PAGE)
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<nav>x</nav>") == ""
     assert html_text.main_text("just text") == "just text"
+    assert html_text.main_text('<div class="site-header">Site</div><div class="post"><div class="post-header"><h1>Title</h1></div><p>Body of it.</p></div>') == "Title\nBody of it."
     assert html_text.main_text(PAGE.replace("</body></html>", "")) == html_text.main_text(PAGE)
     long = "<article>" + "".join(f"<p>Paragraph {i} of many.</p>" for i in range(5000)) + "</article>"
     assert html_text.main_text(long).count("\n") == 4999
