@@ -1,13 +1,14 @@
 """Secret scans: fixed patterns, and probabilistic automata that are inferred from labelled credentials.
 
-Credentials that the fixed patterns find in a bounded sample of texts are the labelled strings. Each kind's strings, as
+Of the credentials that the fixed patterns find, a bounded sample is the labelled strings. Each kind's strings, as
 sequences of character classes, are put into a prefix tree with counts; states whose outgoing frequencies (and their
 successors', recursively) are compatible under the Hoeffding bound are merged into a deterministic probabilistic
 automaton (ALERGIA). Every other candidate of every text, a run of credential characters with letters and digits, is scored
 by its log likelihood per character under the best automaton, with the letters of a class spread as they were in the labelled
 strings, against how ordinary runs of the corpus spell; runs above the threshold are spans of kind ``format``.
 
-Scale: one pass over the texts, no exchange; at most ``LABELLED`` strings of each kind reach the driver.
+Scale: one pass over the texts to scan and one to train; at most ``LABELLED`` strings of each kind reach the driver, and
+the letter pairs of all texts' ordinary runs as sums, some 2,800 rows from a task.
 """
 
 from __future__ import annotations
@@ -16,9 +17,8 @@ import hashlib
 import math
 import pickle
 import re
-import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,10 +33,14 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "format")
 #: Candidates for the automata.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: What the background counts.
+ORDINARY = re.compile(r"[A-Za-z]{6,}")
 #: At most so many labelled strings of each kind, those with the smallest hashes.
 LABELLED = 3_000
 #: Confidence of the Hoeffding test; natural log odds per character above which a candidate is a secret.
 ALPHA, THRESHOLD = 0.05, 0.4
+#: The background's letter pairs count as so many at most, so that the same run scores alike in a corpus of any size.
+PAIRS = 24_000
 MASK = "[secret]"
 
 Span = tuple[int, int, str]
@@ -158,19 +162,27 @@ class Automaton:
         return total + math.log(((self.end[at] if at is not None else 0) + 0.05) / (n + 1))
 
 
+def letter_pairs(runs: Iterable[str] | Counter[str]) -> Counter[str]:
+    """How often each letter follows each other one, or the start (^), in the runs."""
+    pairs: Counter[str] = Counter()
+    for s, n in Counter(runs).items():
+        for x, y in zip("^" + s, s, strict=False):
+            pairs[x + y] += n
+    return pairs
+
+
 class Detector:
-    """Automata by kind, and a background of letter pairs from ordinary runs."""
+    """Automata by kind, and a background of letter pairs from ordinary runs, given as runs or as counts of pairs."""
 
-    def __init__(self, labelled: dict[str, list[str]], ordinary: Sequence[str], threshold: float = THRESHOLD):
+    def __init__(self, labelled: dict[str, list[str]], ordinary: Sequence[str] | dict[str, int], threshold: float = THRESHOLD):
         self.automata = {k: Automaton(v) for k, v in labelled.items() if v}
         self.threshold = threshold
-        pairs: Counter[str] = Counter()
+        pairs = ordinary if isinstance(ordinary, dict) else letter_pairs(ordinary)
+        scale = min(1.0, PAIRS / max(sum(pairs.values()), 1))
         firsts: Counter[str] = Counter()
-        for s in ordinary:
-            for x, y in zip("^" + s, s, strict=False):
-                pairs[x + y] += 1
-                firsts[x] += 1
-        self.pairs, self.firsts = dict(pairs), dict(firsts)
+        for pair, n in sorted(pairs.items()):
+            firsts[pair[0]] += n * scale
+        self.pairs, self.firsts = {pair: n * scale for pair, n in pairs.items()}, dict(firsts)
         self.known: dict[str, bool] = {}
 
     def background(self, s: str) -> float:
@@ -221,30 +233,38 @@ def redact(text: str, spans: Sequence[Span]) -> str:
 
 
 def _labelled(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, value) of credentials, and of ordinary runs of six or more letters from one text in 64, by hash."""
+    """(kind, value, n) of credentials, and of the letter pairs of ordinary runs of six or more letters, once for each text."""
+
+    def batch(rows: list[tuple[str, str, int]]) -> pa.RecordBatch:
+        kinds, values, counts = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.record_batch([pa.array(kinds, pa.string()), pa.array(values, pa.string()), pa.array(counts, pa.int64())], names=["kind", "value", "n"])
+
+    pairs: Counter[str] = Counter()
     for whole in chunks:
         for first in range(0, whole.num_rows, 500):
             found: set[tuple[str, str]] = set()
+            runs: Counter[str] = Counter()
             for t in whole.column(0).slice(first, 500):
                 text = t.as_py() or ""
                 for a, b, kind in base_spans(text):
                     m = ASSIGN.match(text, a) if kind == "assign" else None
                     found.add((kind, m[2] if m else text[a:b]))
-                if zlib.crc32(text.encode()) % 64 == 0:
-                    found.update(("ordinary", r) for r in re.findall(r"[A-Za-z]{6,}", text))
-            rows = sorted(found)
-            yield pa.record_batch([pa.array([k for k, _ in rows], pa.string()), pa.array([v for _, v in rows], pa.string())], names=["kind", "value"])
+                runs.update(set(ORDINARY.findall(text)))
+            pairs.update(letter_pairs(runs))
+            yield batch([(k, v, 1) for k, v in sorted(found)])
+    yield batch([("ordinary", p, n) for p, n in sorted(pairs.items())])
 
 
 def train(docs: DataFrame, *, text_col: str = "text", bound: int = LABELLED) -> Detector:
-    """Infer the automata from at most ``bound`` distinct labelled strings of each kind, the ones with the smallest hashes."""
-    found = materialise(only(docs, text=text_col).mapInArrow(_labelled, "kind string, value string").distinct(), "labelled")
+    """Infer the automata from at most ``bound`` distinct labelled strings of each kind, the ones with the smallest hashes;
+    the background counts the ordinary runs of every text."""
+    found = only(docs, text=text_col).mapInArrow(_labelled, "kind string, value string, n long")
+    found = materialise(found.groupBy("kind", "value").agg(F.sum("n").alias("n")), "labelled")
     by: dict[str, list[str]] = {}
-    for kind in ("assign", "access", "hex", "ordinary"):
+    for kind in ("assign", "access", "hex"):
         rows = found.where(F.col("kind") == kind)
         by[kind] = sorted(r[0] for r in smallest(rows.select("value"), "value", bound).collect())
-    ordinary = by.pop("ordinary")
-    return Detector(by, ordinary)
+    return Detector(by, {r.value: r.n for r in found.where("kind = 'ordinary'").collect()})
 
 
 def _scan(model):
