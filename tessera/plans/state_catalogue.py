@@ -236,7 +236,7 @@ def turn_stream(spark, sf):
     c = table(spark, sf, "conversations")
     log = c.select(
         F.col("conv_id").cast("string").alias("campaign"), (F.col("turn") + 1).alias("n"), F.length("text").alias("minutes"), F.col("role").alias("location"), F.col("text").alias("summary"),
-        F.slice(F.split("text", r"\. "), 1, 3).alias("facts"), F.array().cast("array<string>").alias("events"), F.lit("Day 1").alias("when"),
+        T.facts(F.split("text", r"\. ")).alias("facts"), F.array().cast("array<string>").alias("events"), F.lit("Day 1").alias("when"),
     )
     log.write.parquet(f"{root}/log")
     archive = Archive(spark, f"{root}/archive")
