@@ -1,11 +1,16 @@
 """URL filters: a list of rules, then gradient-boosted trees over lexical features.
 
-The rule list is policy and is compiled into one column expression. All other URLs are judged by trees that are trained from
-labelled URLs on what their text looks like: lengths, depth, digit share, entropy, parameters, hyphens, host-name
-parts that only bad URLs have, and how often URLs of the same suffix (last label, last two labels) are bad among the
-labelled ones.
+The rule list is policy and is compiled into one column expression. All other URLs are judged by trees that are trained
+from labelled URLs on what their text looks like: lengths, depth, digit ratio, entropy, parameter counts, and how much
+oftener hosts of the same suffix (last label, last two labels) are bad among the labelled ones. There are no word lists.
 
-Scale: no exchange; a bounded set of labelled URLs reaches the driver, the model is a few kilobytes.
+Labels are a table of URLs marked 1 (bad) or 0. Where there is none, the table's own URLs are labelled by a published
+rule, the URL heuristics of CANTINA (Zhang, Hong and Cranor, WWW 2007): an at sign or a dash in the domain name, an IP
+address for a host, or five dots or more. None of the features counts dashes or at signs, so the trees have to find
+what else such URLs have in common.
+
+Scale: no exchange but one aggregation of distinct URLs by hash; a bounded set of labelled URLs reaches the driver, the
+model is a few kilobytes.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import only, table
+from tessera.llm.common import only, smallest, table
 from tessera.llm.trees import Boosted, boost
 
 #: (host, path, verdict)
@@ -33,28 +38,14 @@ LABELLED = 20_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Labelled URLs for a start, by a rule: hosts of bad ones join a lure and a topic, often by hyphens, and carry tracking
-#: parameters more often; hosts of good ones are plain words. Both kinds come under the same suffixes and paths.
-_LURES = ("cheap", "free", "best", "win", "hot", "sexy", "adult", "casino", "spam", "xxx", "fast", "replica", "bet", "click", "buy")
-_TOPICS = ("pills", "farm", "loans", "poker", "slots", "girls", "x", "meds", "prizes", "deals", "watches", "cams", "bonus", "money")
-_PLAIN = ("thering", "ontario", "library", "garden", "kitchen", "museum", "weather", "history", "physics", "harbour", "cycling", "recipes", "teacher", "railway")
-_SUB = ("", "www.", "blog.", "m.")
-_SUFFIX = ("example.com", "example.org", "example.net", "com", "org", "info")
-_PATHS = ("/en/{}", "/fr/{}.html", "/de/{}/", "/es/{}?page=2&ref=x", "/en/{}?utm_source=feed", "/fr/{}#top")
-
-
-def seed_urls() -> list[tuple[str, int]]:
-    """Labelled URLs (1: bad) by the rule above, the same ones every time."""
-    out = []
-    for i in range(1800):
-        sub, suffix, path = _SUB[i % 4], _SUFFIX[i % 6], _PATHS[(i // 4) % 6].format(i * 37 % 1000)
-        lure, topic = _LURES[i * 7 % 15], _TOPICS[i * 5 % 14]
-        joint = ("-", "-", "", "24-")[i // 3 % 4]
-        out.append((f"http{'s' * (i % 3 > 0)}://{sub}{lure}{joint}{topic}{('', '77', '')[i % 3] if joint == '' else ''}.{suffix}{path}", 1))
-        a, b = _PLAIN[i * 11 % 14], _PLAIN[i * 3 % 14]
-        host = a if i % 3 else a[: 4 + i % 4] + b[-4:]
-        out.append((f"http{'s' * (i % 3 > 0)}://{sub}{host}.{suffix}{path}", 0))
-    return out
+_IP = r"^[0-9]{1,3}(\.[0-9]{1,3}){3}(:[0-9]*)?$"
+
+
+def suspicious(url: Column) -> Column:
+    """1 where the published URL heuristics fire: at sign or dash in the domain name, IP address, five or more dots; else 0."""
+    host = host_of(url)
+    dots = F.length(url) - F.length(F.replace(url, F.lit("."), F.lit("")))
+    return (host.contains("@") | host.contains("-") | host.rlike(_IP) | (dots >= 5)).cast("int")
 
 
 def host_of(url: Column) -> Column:
@@ -95,58 +86,61 @@ def _suffixes(host: str) -> tuple[str, str]:
     return labels[-1], ".".join(labels[-2:])
 
 
+#: A suffix with fewer labelled hosts has no statistics; as many hosts of the overall share are added to each.
+HOSTS = 10
+FEATURES = (
+    "length", "host_length", "path_length", "name_length", "path_depth", "host_depth", "digit_ratio", "host_digits", "entropy", "name_entropy",
+    "parameters", "query_length", "suffix_rate", "domain_rate",
+)
+
+
 class UrlModel:
-    """The trees with the suffix statistics and host-name parts they were trained with."""
+    """The trees with the suffix statistics they were trained with."""
 
     def __init__(self, labelled: Sequence[tuple[str | None, int]]):
-        seen: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+        hosts: dict[str, int] = {}
         for url, bad in labelled:
-            for s in _suffixes(_pieces(url)[0]):
+            host = _pieces(url)[0]
+            hosts[host] = max(hosts.get(host, 0), bad)
+        seen: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+        for host, bad in hosts.items():
+            for s in dict.fromkeys(_suffixes(host)):
                 seen[s][0] += bad
                 seen[s][1] += 1
-        overall = sum(b for _, b in labelled) / max(len(labelled), 1)
-        self.rates = {s: (b + 10 * overall) / (n + 10) for s, (b, n) in seen.items()}
-        self.overall = overall
-        # parts of host names that only bad URLs have
-        parts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-        for url, bad in labelled:
-            for part in set(self._parts(_pieces(url)[0])):
-                parts[part][bad] += 1
-        self.lures = {p for p, (good, bad) in parts.items() if bad >= 5 and bad > 20 * good and len(p) > 2}
+        # hosts, not URLs, and only suffixes of several: the share must not give away a host's own label
+        among = sum(hosts.values()) / max(len(hosts), 1)
+        self.rates = {s: (b + HOSTS * among) / (n + HOSTS) - among for s, (b, n) in seen.items() if n >= HOSTS}
         y = np.array([b for _, b in labelled], dtype=float)
-        self.trees: Boosted = boost(self.features([u for u, _ in labelled]), y, trees=60, depth=3)
-
-    @staticmethod
-    def _parts(host: str) -> list[str]:
-        return [p for p in re.split(r"[^a-z]+", host) if p]
+        self.trees: Boosted = boost(self.features([u for u, _ in labelled]), y, trees=120, depth=4)
 
     def features(self, urls: Sequence[str | None]) -> np.ndarray:
+        """FEATURES of each URL; zeros for a null URL or one without ``://``."""
         rows = []
         for url in urls:
             host, path, query = _pieces(url)
-            own = ".".join(host.split(".")[:-2]) or host
+            name = host.rpartition(".")[0] or host
             last, two = _suffixes(host)
-            lures = sum(p in self.lures for p in self._parts(host)) or sum(p in host for p in self.lures if len(p) > 3)
             text = host + path + query
             n = max(len(text), 1)
             rows.append((
-                len(text), len(host), len(path), path.count("/"), host.count("."), host.count("-"), sum(c.isdigit() for c in text) / n,
-                sum(c.isdigit() for c in host), _entropy(own), query.count("=") + query.count("&"), "utm_" in query,
-                self.rates.get(last, self.overall), self.rates.get(two, self.overall), lures,
+                len(text), len(host), len(path), max(map(len, name.split("."))), path.count("/"), host.count("."), sum(c.isdigit() for c in text) / n,
+                sum(c.isdigit() for c in host), _entropy(text), _entropy(name), query.count("=") + query.count("&"), len(query),
+                self.rates.get(last, 0.0), self.rates.get(two, 0.0),
             ))
-        return np.array(rows, dtype=float).reshape(-1, 14)
+        return np.array(rows, dtype=float).reshape(-1, len(FEATURES))
 
     def score(self, urls: Sequence[str | None]) -> np.ndarray:
         return self.trees.score(self.features(urls)) if len(urls) else np.zeros(0)
 
 
-def train(labelled: DataFrame | None = None, *, bound: int = LABELLED) -> UrlModel:
-    """A model from the built-in labelled URLs and, if given, at most ``bound`` rows (url, label; 1 is bad) of a table."""
-    rows = seed_urls()
-    if labelled is not None:
-        more = only(labelled, url="url", label="label").where("url IS NOT NULL AND label IS NOT NULL")
-        rows += [(u, int(b)) for u, b in more.groupBy("url").agg(F.max("label").alias("label")).orderBy(F.xxhash64("url"), "url").limit(bound).collect()]
-    return UrlModel(rows)
+def train(labelled: DataFrame, *, bound: int = LABELLED) -> UrlModel:
+    """A model from at most ``bound`` rows (url, label; 1 is bad), those whose URLs have the smallest hashes.
+
+    Null URLs and labels are left out; a URL with several labels counts as bad if one says so. Without rows, or with one
+    class only, the score is a constant.
+    """
+    rows = only(labelled, url="url", label="label").where("url IS NOT NULL AND label IS NOT NULL").groupBy("url").agg(F.max("label").alias("label"))
+    return UrlModel(sorted((u, int(b > 0)) for u, b in smallest(rows, "url", bound).collect()))
 
 
 def judge(pages: DataFrame, model: UrlModel, *, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", threshold: float = THRESHOLD) -> DataFrame:
@@ -169,5 +163,11 @@ def judge(pages: DataFrame, model: UrlModel, *, rules: Sequence[tuple[str, str,
     return rows.select(F.col("id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(verdict, learnt).alias("verdict"), "bad")
 
 
+def self_labelled(pages: DataFrame, *, url_col: str = "url") -> DataFrame:
+    """(url, label) of the table's distinct URLs by the published rule."""
+    return only(pages, url=url_col).where("url IS NOT NULL").distinct().select("url", suspicious(F.col("url")).alias("label"))
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "pages"), train())
+    pages = table(spark, sf_dir, "pages")
+    return judge(pages, train(self_labelled(pages)))

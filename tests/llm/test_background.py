@@ -12,6 +12,7 @@ def test_every_text_counts_in_the_background(spark):
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
     detector = format_automata.train(docs)
     runs = [r for t in texts for r in set(format_automata.ORDINARY.findall(t))]
+    assert sum(format_automata.letter_pairs(runs).values()) < format_automata.PAIRS
     assert detector.pairs == dict(format_automata.letter_pairs(runs)) and detector.pairs["jk"] == 4
     assert format_automata.train(docs.repartition(5)).pairs == detector.pairs
 
