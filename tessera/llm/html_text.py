@@ -1,18 +1,23 @@
 """Main text of web pages by the line-block distribution.
 
-Markup is stripped into lines, one for each block element. Lines of parts that are never article text (menus, forms,
-scripts, what is marked as advert, notice, comment and so on) keep their place but count no characters, and so do characters
-within links in the distribution. Over every ``WIDTH`` neighbouring lines the lengths are summed; text surges where the sum
-leaves zero and dives where it comes back to zero. The stretch between a surge and the next dive that holds the most text is
-the article, with any other stretch that has at least a quarter as much.
+Markup is stripped into lines, one for each block element. Parts that are never article text (menus, forms, scripts, what
+is marked as advert, notice, comment and so on) leave no line; where such a part, or the edge of an article, lies between
+blocks that are not siblings, it leaves ``WIDTH`` empty ones. A line counts its characters outside links and white space. Over every
+``WIDTH`` neighbouring lines the counts are summed: text surges where the sum leaves zero and dives where it comes back, and
+the lines of all windows between two such points are a stretch, lines that are all link at its edges included.
 
-Scale: one pass over the pages, no exchange; a task holds one batch of pages.
+A page that marks its articles keeps them whole. In any other page a stretch is kept if the sum surges to ``SURGE``
+somewhere within it, and the one that counts most is kept in any case. Nothing within a kept stretch is dropped.
+
+Scale: one pass over the pages, no exchange; a task holds one batch of pages. The time is linear in the length of a page,
+however broken its markup.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,10 +27,10 @@ from tessera.llm.common import only, table
 
 #: Lines in a block of the distribution.
 WIDTH = 3
-#: A further stretch is kept if it has this share of the largest one's text.
-SHARE = 0.25
+#: Counted characters within a block at which text surges.
+SURGE = 86
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
 #: Elements whose content is no markup; it ends at their own end tag.
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "canvas", "object", "head"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -34,127 +39,269 @@ _INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark",
     "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
 }
-#: Words of class, id or role attributes that mark a part as no article text.
-_NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsbygoogle|banner\w*|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side|footer\w*|masthead|cookie\w*|consent|gdpr|notice\w*|"
-    r"notification\w*|popup|modal|overlay|newsletter|subscribe\w*|signup|login|share|sharing|social\w*|related|recommend\w*|comment\w*|disqus\w*|reply|replies|respond|search\w*|toolbar|"
-    r"pagination|pager|skip|widget\w*|complementary|contentinfo|navigation|(?<!article.)(?<!entry.)(?<!post.)header|toc|tags|alert\w*)(?=$|[\s_-])",
-    re.I,
-)
-_ATTRIBUTE = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_TEXT = {"p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "pre", "td", "th", "figcaption", "blockquote"}
+_LISTS = {"ul", "ol", "dl", "table", "thead", "tbody", "tfoot", "tr", "figure"}
+#: An end tag of an inline element, p or li does not reach beyond these.
+_WALLS = {"article", "main", "body", "table", "td", "aside", "nav", "footer", "form"}
+_ENDS_PARAGRAPH = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "li", "table", "pre", "blockquote", "section", "article", "main", "header", "figure", "hr"}
+
+_ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-_PARAGRAPH_ENDS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "li", "table", "pre", "blockquote", "section", "article", "main", "header", "figure", "hr"}
+#: A class, id or role marks a part if all words of it that say anything are among these; within an article, the first row only.
+_NOISE_WITHIN = set(
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adsbygoogle sponsor sponsored promo promos promoted promotion cookie cookies consent gdpr notice notices "
+    "popup modal newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond".split()
+)
+_NOISE = _NOISE_WITHIN | set(
+    "nav navbar navigation menu menus submenu menubar breadcrumb breadcrumbs sidebar sidebars side footer footers masthead header headers banner banners notification notifications "
+    "overlay login search toolbar pagination pager skip widget widgets complementary contentinfo toc tags alert alerts alertdialog dialog".split()
+)
+#: Words that say nothing by themselves.
+_NEUTRAL = set(
+    "box boxes wrap wrapper container block blocks section sections list area bar panel inner outer top bottom left right slot unit item items holder zone row col column columns content "
+    "body text main site page global primary secondary post posts article articles entry story user users reader readers form link links button buttons the js".split()
+)
+_OWN = {"post", "article", "entry", "story", "content"}
+_PARTS = re.compile(r"[a-z]+")
 
 
-def lines_of(page: str) -> list[tuple[str, int]]:
-    """(text, counted characters) of each line in page order; an empty line is a break between parts of the page."""
-    lines: list[tuple[str, int]] = []
-    text: list[str] = []
-    linked = 0
-    stack: list[tuple[str, bool]] = []  # open elements, whether they are noise
-    noise = links = inside = 0
-    at, size = 0, len(page)
+def _marks(attributes: str, name: str, within: bool) -> bool:
+    """Whether the attributes mark an element as no article text."""
+    words = _NOISE_WITHIN if within else _NOISE
+    for key, value in _ATTRIBUTE.findall(attributes):
+        tokens = value.strip("\"'").lower().split()
+        if key.lower() == "aria-label" and len(tokens) != 1:
+            continue
+        for token in tokens:
+            parts = _PARTS.findall(token)
+            said = [p for p in parts if p not in _NEUTRAL]
+            if said and all(p in words for p in said):
+                if said[0] in ("header", "headers") and not _OWN.isdisjoint(parts):
+                    continue  # the header of the article
+                if name in _TEXT and len(parts) > 1:
+                    continue  # a compound on a paragraph names what it says
+                return True
+    return False
+
+
+class _Tags:
+    """The tags of a page in order; finding the end of each takes time linear in the page altogether."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.plain = False  # a tag had no end outside quotation marks: from there on, the next ">" ends any
+
+    def end(self, at: int) -> int:
+        """Position of the ">" that ends the tag whose name ends at ``at``; -1 if there is none."""
+        page = self.page
+        first = close = page.find(">", at)
+        if close < 0 or self.plain:
+            return close
+        i = at
+        while True:
+            quotes = [q for q in (page.find('"', i, close), page.find("'", i, close)) if q >= 0]
+            if not quotes:
+                return close
+            i = page.find(page[min(quotes)], min(quotes) + 1) + 1
+            close = max(close, page.find(">", i)) if i else -1
+            if not i or close < i:
+                self.plain = True
+                return first
+
+
+class _Lines:
+    """What the stripping of one page has found so far."""
+
+    def __init__(self) -> None:
+        self.lines: list[tuple[str, int, bool]] = []  # text, counted characters, within an article
+        self.text: list[str] = []
+        self.linked = 0
+        self.stack: list[tuple[str, str]] = []  # open elements, and what they are: "", "noise", "form", "article"
+        self.places: dict[str, list[int]] = defaultdict(list)  # of the open elements, by name
+        self.blocks: list[int] = []  # places of open elements other than paragraphs and inline ones
+        self.containers: list[int] = []  # and of those that are neither text nor lists
+        self.walls: list[int] = []
+        self.noise = self.links = self.articles = 0
+        self.forms: list[int] = []  # places of open forms outside articles
+        self.uid, self.uids = 0, [0]  # identities of the open elements
+        self.parent = -1  # that of the element around the last line's block
+        self.pending = False
 
-    def put(raw: str) -> None:
-        nonlocal linked
-        if raw and not noise:
-            text.append(raw)
-            if links:
-                linked += len("".join(html.unescape(raw).split()))
-
-    def close() -> None:
-        nonlocal linked
-        if text:
-            whole = " ".join(html.unescape("".join(text)).split())
+    @property
+    def silent(self) -> bool:
+        return bool(self.noise or self.forms)
+
+    def put(self, raw: str) -> None:
+        if raw and not self.silent:
+            said = html.unescape(raw)
+            self.text.append(said)
+            if self.links:
+                self.linked += len("".join(said.split()))
+
+    def close(self) -> None:
+        """End the line."""
+        if self.text:
+            whole = " ".join("".join(self.text).split())
             if whole:
-                lines.append((whole, max(0, len(whole) - linked)))
-            text.clear()
-        linked = 0
-
-    def gap(top: bool = False) -> None:
-        """A break between parts of the page; within an article, and with ``top`` within any other part, there is none."""
-        close()
-        if not inside and not (top and any(n not in ("html", "body") for n, _ in stack)):
-            lines.extend([("", 0)] * WIDTH)
-
-    def pop(k: int) -> None:
-        nonlocal noise, links, inside
-        while len(stack) > k:
-            name, bad = stack.pop()
-            noise -= bad
-            links -= name == "a"
-            if name in ("article", "main") and not bad:
-                inside -= name == "article"
-                gap()
-            elif bad and not noise:
-                gap(True)
+                inmost = max(self.blocks[-1] if self.blocks else -1, self.places["p"][-1] if self.places["p"] else -1)
+                own = len(self.containers) > 1 and self.containers[-1] == inmost and self.stack[inmost][0] not in ("body", "html")
+                around = self.uids[self.containers[-2 if own else -1] + 1] if self.containers else 0
+                if self.pending and around != self.parent:
+                    self.lines += [("", 0, False)] * WIDTH
+                self.pending, self.parent = False, around
+                self.lines.append((whole, max(0, len(whole) - whole.count(" ") - self.linked), bool(self.articles)))
+            self.text.clear()
+        self.linked = 0
+
+    def edge(self) -> None:
+        """The edge of an article or main part."""
+        self.close()
+        self.lines += [("", 0, False)] * WIDTH
+
+    def push(self, name: str, kind: str) -> None:
+        k = len(self.stack)
+        self.stack.append((name, kind))
+        self.places[name].append(k)
+        self.uid += 1
+        self.uids.append(self.uid)
+        if name != "p" and name not in _INLINE:
+            self.blocks.append(k)
+            if name not in _TEXT and name not in _LISTS:
+                self.containers.append(k)
+        if name in _WALLS:
+            self.walls.append(k)
+        if kind == "noise":
+            self.noise += 1
+        elif kind == "form":
+            self.forms.append(k)
+        elif kind == "article":
+            self.articles += 1
+        self.links += name == "a"
 
+    def pop(self, k: int) -> None:
+        """Close all elements from place k on."""
+        while len(self.stack) > k:
+            name, kind = self.stack.pop()
+            place = len(self.stack)
+            self.places[name].pop()
+            self.uids.pop()
+            for places in (self.blocks, self.containers, self.walls, self.forms):
+                if places and places[-1] == place:
+                    places.pop()
+            self.links -= name == "a"
+            if kind == "noise":
+                self.noise -= 1
+            elif kind == "article":
+                self.edge()
+                self.articles -= 1
+            elif name == "main" and not self.silent:
+                self.edge()
+
+    def start(self, name: str, attributes: str) -> None:
+        if name not in _INLINE:
+            self.close()
+        if name in _VOID or attributes.endswith("/"):
+            return
+        if name in _ENDS_PARAGRAPH and self.places["p"] and self.places["p"][-1] > (self.blocks[-1] if self.blocks else -1):
+            self.pop(self.places["p"][-1])  # a block ends the paragraph before it, and what is open in it
+        within = bool(self.articles)
+        kind = ""
+        if name == "form" and not within:
+            kind = "form"
+        elif name in _SKIP or _HIDDEN.search(attributes) or name == "header" and not within:
+            kind = "noise"
+        elif name not in ("body", "html", "main") and attributes and _marks(attributes, name, within):
+            kind = "noise"
+        if name in ("article", "main") and not kind and not self.noise:
+            if self.forms:  # a form around the whole page
+                self.forms.clear()
+            kind = "article" if name == "article" else ""
+            self.edge()
+        elif kind and not self.silent:
+            self.close()
+            self.pending = True
+        self.push(name, kind)
+
+    def end(self, name: str) -> None:
+        if name not in _INLINE:
+            self.close()
+        places = self.places.get(name)
+        if not places:
+            return
+        if (name in _INLINE or name in ("p", "li")) and self.walls and places[-1] < self.walls[-1]:
+            return  # an end tag without its start
+        self.pop(places[-1])
+
+
+def lines_of(page: str) -> list[tuple[str, int, bool]]:
+    """(text, counted characters, within an article) of each line in page order; runs of empty lines part what is not together."""
+    found, tags = _Lines(), _Tags(page)
+    raw_ends: dict[str, re.Pattern[str]] = {}
+    absent: set[str] = set()  # end tags that the rest of the page has not
+    at, size = 0, len(page)
     while at < size:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            put(page[at:])
+        start = page.find("<", at)
+        if start < 0:
+            found.put(page[at:])
             break
-        put(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
+        found.put(page[at:start])
+        if page.startswith("<!--", start):
+            stop = page.find("-->", start + 4)
+            at = stop + 3 if stop >= 0 else size
             continue
-        if m[1]:
-            if name not in _INLINE:
-                close()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    pop(k)
-                    break
-                if stack[k][0] in ("article", "main", "body", "table", "td", "aside", "nav", "footer", "form") and name in _INLINE | {"p", "li"}:
-                    break  # an end tag without its start
+        m = _NAME.match(page, start + 1)
+        close = tags.end(m.end()) if m else page.find(">", start) if page.startswith(("<!", "<?"), start) else -1
+        if close < 0:
+            if m or page.startswith(("<!", "<?"), start):  # no tag ends any more
+                found.put(page[start:])
+                break
+            found.put("<")
+            at = start + 1
             continue
-        if name == "br":
-            put(" ")
+        at = close + 1
+        if not m:
             continue
-        if name in _RAW:
-            if name not in ("head",) and not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = end.end() if end else size
+        name = m[0].lower()
+        if name.startswith("/"):
+            found.end(name[1:])
             continue
-        if name not in _INLINE:
-            close()
-        if name in _VOID or m[3].endswith("/"):
-            continue
-        if name in _PARAGRAPH_ENDS:
-            while stack and stack[-1][0] == "p" or stack and stack[-1][0] in _INLINE and any(n == "p" for n, _ in stack):
-                pop(len(stack) - 1)  # a block ends the paragraph before it, and what is open in it
-        marks = " ".join(x.strip("\"'") for x in _ATTRIBUTE.findall(m[3]))
-        bad = name in _SKIP or bool(_HIDDEN.search(m[3]))
-        if name == "header":
-            bad |= not inside
-        elif name not in ("body", "html", "main") and marks and _NOISE.search(marks):
-            bad = True
-        if bad and not noise or name in ("article", "main") and not bad:
-            gap(bad)
-        stack.append((name, bad))
-        noise += bad
-        links += name == "a"
-        inside += name == "article" and not bad
-    close()
-    return lines
+        attributes = page[m.end() : close].rstrip()
+        if name == "br":
+            found.put(" ")
+        elif name in _RAW:
+            if name != "head" and not attributes.endswith("/"):
+                if name not in raw_ends:
+                    raw_ends[name] = re.compile(rf"</{name}\s*>", re.I)
+                stop = None if name in absent else raw_ends[name].search(page, at)
+                if stop is None:
+                    absent.add(name)
+                at = stop.end() if stop else size
+        else:
+            found.start(name, attributes)
+    found.close()
+    return found.lines
 
 
 def main_text(page: str | None) -> str:
-    """The text between surge and dive points, one block to a line."""
+    """The text of the articles, or else between surge and dive points, one block to a line."""
     lines = lines_of(page or "")
-    counted = [n for _, n in lines]
-    sums = [sum(counted[i : i + WIDTH]) for i in range(len(counted))]
-    stretches: list[tuple[int, int, int]] = []
-    start = None
-    for i, n in enumerate([*sums, 0]):
-        if n and start is None:
-            start = i
-        elif not n and start is not None:
-            stretches.append((start, i, sum(counted[start:i])))
-            start = None
-    most = max((n for _, _, n in stretches), default=0)
-    return "\n".join(t for a, b, n in stretches if n >= SHARE * most for t, _ in lines[a:b] if t)
+    marked = sum(n for _, n, within in lines if within)
+    if marked >= SURGE or marked and marked == sum(n for _, n, _ in lines):
+        return "\n".join(t for t, _, within in lines if within and t)
+    counted = [n for _, n, _ in lines]
+    ends = range(-WIDTH + 1, len(lines))
+    sums = [sum(counted[max(i, 0) : i + WIDTH]) for i in ends]  # of the windows that hold any line
+    stretches: list[tuple[int, int, int, int]] = []  # first and last line, largest sum, counted characters
+    first = None
+    for i, n in zip([*ends, len(lines)], [*sums, 0], strict=True):
+        if n and first is None:
+            first = i
+        elif not n and first is not None:
+            low, high = max(first, 0), min(i + WIDTH - 1, len(lines))
+            stretches.append((low, high, max(sums[first + WIDTH - 1 : i + WIDTH - 1]), sum(counted[low:high])))
+            first = None
+    most = max((s[3] for s in stretches), default=0)
+    return "\n".join(t for a, b, peak, n in stretches if peak >= SURGE or n == most for t, _, _ in lines[a:b] if t)
 
 
 def _extract(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,8 +315,9 @@ def _extract(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every page, from its whole html.
 
-    Null and empty pages, and pages without text between a surge and a dive, give an empty text. Repeated rows and null ids
-    each give a row; an empty table gives an empty result; other columns are ignored.
+    Null and empty pages, and pages without text outside links, give an empty text. Markup that never ends is read to the
+    end of the page: an open comment or script has no text, an open tag is text. Repeated rows and null ids each give a
+    row; an empty table gives an empty result; other columns are ignored.
     """
     rows = only(pages, id=id_col, url=url_col, html=html_col)
     kind = rows.schema["id"].dataType.simpleString()

@@ -315,6 +315,61 @@ def test_html(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+LOSSES = {
+    "<body><article><p>Some text of it.</p><p><a href='#r'>References</a></p></article></body>": "Some text of it.\nReferences",
+    '<article><p>Before.</p><p class="share-price">The share price fell.</p><div class="search-results">Search results differ.</div><h2 class="toc-title">Contents</h2><p>After.</p></article>':
+        "Before.\nThe share price fell.\nSearch results differ.\nContents\nAfter.",
+    "<body><p>" + "A long paragraph of the text. " * 20 + '</p><div class="ad">x</div><p>short end</p></body>': ("A long paragraph of the text. " * 20).strip() + "\nshort end",
+    "<article><p>" + "The first article. " * 20 + "</p></article><nav><a>x</a></nav><article><p>The second.</p></article>": ("The first article. " * 20).strip() + "\nThe second.",
+    "<form><div><article><p>Within the form of the page.</p></article></div><input name=q><p>Send</p></form>": "Within the form of the page.",
+    "<div class='post'><header class='post-header'><h1>Head</h1></header></div><article><p>a &lt;b&gt; c&#33; &am<b>p;</b></p></article>": "a <b> c! &amp;",
+}
+
+
+def test_html_loses_nothing_of_the_article():
+    for page, text in LOSSES.items():
+        assert html_text.main_text(page) == text, page
+    menu = "".join(f"<li><a href='/{i}'>Menu entry {i}</a></li>" for i in range(12))
+    body = "".join(f"<p>Sentence {i} of the text, which says a little more.</p>" for i in range(9))
+    page = f"<body><div><ul>{menu}</ul></div><div>{body}<p><a>Last link</a></p></div><div class='user-comments'><p>I like it, and say so at some length here.</p></div><div class='page-footer'>All rights</div></body>"
+    kept = html_text.main_text(page).split("\n")
+    assert kept[-1] == "Last link" and sum(k.startswith("Sentence") for k in kept) == 9 and sum(k.startswith("Menu") for k in kept) <= 2
+    assert not any("I like it" in k or "All rights" in k for k in kept)
+
+
+def test_stretches_against_plain_windows():
+    rnd = random.Random(12)
+    for _ in range(300):
+        lengths = [rnd.choice([0, 0, 0, rnd.randrange(1, 120)]) for _ in range(rnd.randrange(0, 40))]
+        page = "".join(f"<p>{'x' * n}</p>" if n else "<p><a>link</a></p>" for n in lengths)
+        windows = [range(i, i + 3) for i in range(-2, len(lengths))]
+        sums = [sum(lengths[k] for k in w if 0 <= k < len(lengths)) for w in windows]
+        groups: list[list[int]] = []
+        for i, n in enumerate(sums):
+            if n and i and sums[i - 1]:
+                groups[-1].append(i)
+            elif n:
+                groups.append([i])
+        parts = [(sorted({k for i in g for k in windows[i] if 0 <= k < len(lengths)}), max(sums[i] for i in g)) for g in groups]
+        most = max((sum(lengths[k] for k in ks) for ks, _ in parts), default=0)
+        want = ["x" * lengths[k] or "link" for ks, peak in parts if peak >= html_text.SURGE or sum(lengths[k] for k in ks) == most for k in ks]
+        assert html_text.main_text(page) == "\n".join(want)
+
+
+def test_broken_megabyte_pages_take_linear_time():
+    import time
+
+    pages = {
+        "ends": "<div>" * 90_000 + "</b>" * 90_000 + "said", "quotes": '<a href="x>' * 90_000 + '">said', "closed": '<a ">" ' * 140_000 + "said", "comment": "said<!--" * 120_000,
+        "scripts": "<script>" * 120_000, "signs": "<" * 1_000_000 + "said", "bold": "<b>" * 150_000 + "</div>" * 90_000 + "said", "paragraphs": "<p><b>" * 160_000 + "said", "open": "<p" * 500_000,
+    }
+    for name, page in pages.items():
+        start = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - start < 5, name
+    assert html_text.main_text(pages["ends"]) == html_text.main_text(pages["bold"]) == "said"
+
+
 # -- 7 ---------------------------------------------------------------------------------------------------------------
 
 
