@@ -1,13 +1,17 @@
 """Packing token sequences by harmonic classes.
 
-Capacity is 2048 tokens. A class is a piece length of the form floor(2048 / k), or of at most ``SMALL`` tokens; a bin of a
-class holds exactly floor(2048 / length) pieces, so a bin of class k wastes fewer than k tokens, or fewer than one small
-piece. A document gives as many whole sequences as it fills; its rest is cut into the largest class length that fits, again
-and again, and what is left below ``SMALL`` is the last piece. Each worker fills the bins of each class on its own. What
-remains open when a worker's rows end (under one bin for each class) is laid end to end, cut every 2048 tokens, and the
-very last part is cut into powers of two, which need no padding: a task wastes nothing but what its full bins waste.
-
-Scale: one pass, no exchange; a task holds one batch of texts and under a hundred open bins.
+Capacity is 2048 tokens. Class k holds the pieces longer than 2048 / (k + 1) and up to 2048 / k, and a bin of it is exactly
+k pieces. A length is snug if its bins waste at most ``LOOSE`` tokens, were all k pieces as long as it. A document gives
+as many whole sequences as it fills; its rest is one piece if it is snug, and is else cut into two to four snug pieces, as
+few as can be and the shortest as long as can be. Where a piece would be short, the rest and one whole sequence are cut together, so that few
+pieces are.
+
+Each worker fills the bins of each class on its own. Pieces of bins that are open when its rows end, fewer than k of each
+class, are brought together by class and fill bins of k in the same way. What is still open then is fewer than k pieces
+of each class in the whole corpus, some thousands, and is laid into sequences by first fit, the longest first.
+
+Scale: the texts are read once and not exchanged; the pieces, some twenty bytes each, are written to the scratch folder.
+Only pieces of open bins travel, again without their ids.
 """
 
 from __future__ import annotations
@@ -15,18 +19,22 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm.common import only, table
+from tessera.llm.common import materialise, only, table
 
 CAPACITY = 2048
-SMALL = 64
+#: Tokens that a bin may waste; a rest with a piece below ``SHORT`` is cut together with a whole sequence if that helps.
+LOOSE, SHORT = 16, 128
+#: Open pieces of one class that one task brings together.
+TOGETHER = 1_000_000
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 COLUMNS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -99,15 +107,42 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def snug(length: int) -> bool:
+    """Whether a bin of pieces of this length is full but for ``LOOSE`` tokens."""
+    return 0 < length <= CAPACITY and CAPACITY - CAPACITY // length * length <= LOOSE
+
+
+@lru_cache(1)
+def _splits() -> list[tuple[int, ...]]:
+    """The pieces of each length below two sequences: as few as can be, all snug, the shortest as long as can be; longest first."""
+    good = [n for n in range(1, CAPACITY + 1) if snug(n)]
+    out: list[tuple[int, ...]] = [()] * (2 * CAPACITY)
+    for n in good:
+        out[n] = (n,)
+    for pieces in (2, 3, 4):
+        found: dict[int, tuple[int, ...]] = {}
+        for n in range(len(out)):
+            if len(out[n]) == pieces - 1:
+                for a in good:
+                    if a <= out[n][-1] and n + a < len(out) and not out[n + a]:
+                        found[n + a] = max(found.get(n + a, ()), (*out[n], a), key=lambda p: (p[-1] if p else 0, p))
+        for n, p in found.items():
+            out[n] = p
+    return out
+
+
 def cuts(length: int) -> list[int]:
     """Lengths of the pieces of a document of so many ids."""
-    out = [CAPACITY] * (length // CAPACITY)
-    rest = length % CAPACITY
-    while rest > SMALL:
-        piece = CAPACITY // -(-CAPACITY // rest)
-        out.append(piece)
-        rest -= piece
-    return out + [rest] * (rest > 0)
+    whole, rest = divmod(length, CAPACITY)
+    parts = _splits()[rest]
+    if whole and rest and parts[-1] < SHORT:
+        longer = _splits()[rest + CAPACITY]
+        if longer and longer[-1] > parts[-1]:
+            whole, parts = whole - 1, longer
+    return [CAPACITY] * whole + list(parts)
+
+
+Piece = tuple  # (id, start, length, crc32 of the ids, tokens of the document)
 
 
 class Packer:
@@ -115,47 +150,60 @@ class Packer:
 
     def __init__(self, base: int = 0):
         self.next = base
-        self.open: dict[int, list[tuple]] = {}
+        self.open: dict[int, list[Piece]] = {}
         self.rows: list[tuple] = []
 
-    def _close(self, pieces: list[tuple]) -> None:
-        """One sequence of the pieces (id, start, ids, tokens of the document)."""
+    def close(self, pieces: Sequence[Piece]) -> None:
+        """One sequence of the pieces."""
         offset = 0
-        for key, start, ids, tokens in pieces:
-            n = len(ids) // 4
-            self.rows.append((key, start, n, zlib.crc32(ids), tokens, self.next, offset))
-            offset += n
+        for piece in pieces:
+            self.rows.append((*piece, self.next, offset))
+            offset += piece[2]
         self.next += 1
 
+    def put(self, piece: Piece) -> None:
+        """Put a piece into its class's open bin."""
+        k = CAPACITY // piece[2]
+        bin_ = self.open.setdefault(k, [])
+        bin_.append(piece)
+        if len(bin_) == k:
+            self.close(bin_)
+            bin_.clear()
+
     def add(self, key, ids: bytes) -> None:
+        """Cut and put a document."""
         start, tokens = 0, len(ids) // 4
         for n in cuts(tokens):
-            piece = (key, start, ids[4 * start : 4 * (start + n)], tokens)
+            self.put((key, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), tokens))
             start += n
-            bin_ = self.open.setdefault(n, [])
-            bin_.append(piece)
-            if len(bin_) == CAPACITY // n:
-                self._close(bin_)
-                bin_.clear()
+
+    def leave(self) -> None:
+        """Rows without a sequence for the pieces of open bins."""
+        self.rows += [(*piece, None, None) for bin_ in self.open.values() for piece in bin_]
+        self.open.clear()
 
     def finish(self) -> None:
-        """Lay the open bins end to end."""
-        left = [p for n in sorted(self.open, reverse=True) for p in self.open[n]]
+        """Lay the open pieces into sequences, the longest first, each into the first that has room."""
+        bins: list[list[Piece]] = []
+        room: list[int] = []
+        for piece in sorted((p for bin_ in self.open.values() for p in bin_), key=lambda p: (-p[2], *p[3:], p[1], str(p[0]))):
+            for at, left in enumerate(room):
+                if left >= piece[2]:
+                    break
+            else:
+                at = len(bins)
+                bins.append([])
+                room.append(CAPACITY)
+            bins[at].append(piece)
+            room[at] -= piece[2]
         self.open.clear()
-        total = sum(len(p[2]) // 4 for p in left)
-        sizes = [CAPACITY] * (total // CAPACITY) + [1 << b for b in range(11, -1, -1) if total % CAPACITY >> b & 1]
-        pieces, room, now = iter(left), 0, None
-        for size in sizes:
-            row, room = [], size
-            while room:
-                if now is None:
-                    now = next(pieces)
-                key, start, ids, tokens = now
-                n = min(room, len(ids) // 4)
-                row.append((key, start, ids[: 4 * n], tokens))
-                now = (key, start + n, ids[4 * n :], tokens) if len(ids) > 4 * n else None
-                room -= n
-            self._close(row)
+        for bin_ in bins:
+            self.close(bin_)
+
+    def batch(self, kind: pa.DataType) -> pa.RecordBatch:
+        columns = list(zip(*self.rows, strict=True)) or [()] * (1 + len(COLUMNS))
+        self.rows.clear()
+        return pa.record_batch([pa.array(columns[0], kind), *[pa.array(c, pa.int64()) for c in columns[1:]]], names=["id", *COLUMNS])
 
 
 def _pack(path: str | None):
@@ -170,12 +218,6 @@ def _pack(path: str | None):
             own = encoder(path)
         packer = Packer(TaskContext.get().partitionId() << 33)
         kind = None
-
-        def out() -> pa.RecordBatch:
-            columns = list(zip(*packer.rows, strict=True))
-            packer.rows.clear()
-            return pa.record_batch([pa.array(columns[0], kind), *[pa.array(c, pa.int64()) for c in columns[1:]]], names=["id", *COLUMNS])
-
         end = END_ID.to_bytes(4, "little")
         for batch in chunks:
             kind = batch.schema.field(0).type
@@ -184,10 +226,34 @@ def _pack(path: str | None):
                 for key, ids in zip(keys, own.texts([t or "" for t in texts]), strict=True):
                     packer.add(key, ids + end)
                 if len(packer.rows) > 5000:
-                    yield out()
-        packer.finish()
+                    yield packer.batch(kind)
+        packer.leave()
+        if packer.rows:
+            yield packer.batch(kind)
+
+    return run
+
+
+def _gather(round_: int, last: bool):
+    """Fill bins from the open pieces of other tasks; ``last``: and lay what is still open into sequences."""
+
+    def run(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        packer = Packer((round_ << 58) + (TaskContext.get().partitionId() << 33))
+        kind = None
+        for batch in chunks:
+            kind = batch.schema.field(0).type
+            for piece in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                packer.put(piece)
+            if len(packer.rows) > 5000:
+                yield packer.batch(kind)
+        if last:
+            packer.finish()
+        else:
+            packer.leave()
         if packer.rows:
-            yield out()
+            yield packer.batch(kind)
 
     return run
 
@@ -201,9 +267,20 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
     gives an empty result; other columns are ignored.
     """
     rows = only(docs, id=id_col, text=text_col)
-    kind = rows.schema["id"].dataType.simpleString()
-    fields = ", ".join(f"{c} long" for c in COLUMNS)
-    return rows.mapInArrow(_pack(tokenizer), f"id {kind}, {fields}").withColumnRenamed("id", id_col)
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in COLUMNS)
+    pieces = materialise(rows.mapInArrow(_pack(tokenizer), schema), "pieces")
+    out, left = pieces.where("sequence_id IS NOT NULL"), pieces.where("sequence_id IS NULL")
+    n = left.count()
+    class_ = F.floor(F.lit(CAPACITY) / F.col("length"))
+    for round_, parts in ((1, -(-n // TOGETHER)), (2, 1)):
+        if round_ == 2 or parts > 1:
+            spread = F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(max(parts, 1)))
+            dealt = left.repartition(class_, spread).sortWithinPartitions(class_, spread, "id", "start", "ids_crc32")
+            pieces = materialise(dealt.mapInArrow(_gather(round_, False), schema), "pieces")
+            out, left = out.union(pieces.where("sequence_id IS NOT NULL")), pieces.where("sequence_id IS NULL")
+    # fewer than k pieces of each class k remain
+    out = out.union(left.repartition(1).mapInArrow(_gather(3, True), schema))
+    return out.withColumnRenamed("id", id_col)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

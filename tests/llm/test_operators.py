@@ -493,25 +493,43 @@ def test_packing(spark, docs, empty):
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     rows = texts() + [(400, "it's 'tis <|endoftext|> we'll 'LL x'S"), (401, "\u0130STANBUL \u03a3\u03a3 e\u0301 \u4e2d\u6587 \u00c5ngstr\u00f6m's")]
-    rows = [r for r in rows if r[0] is not None and r[0] not in (5, 68)]
-    out = packing.pack(frame(spark, rows).repartition(4)).toPandas()
-    for i, t in rows:
-        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
-        at = 0
-        for p in out[out.doc_id == i].sort_values("start").itertuples():
-            assert p.start == at and p.doc_tokens == len(ids) and p.length > 0
-            assert p.ids_crc32 == zlib.crc32(np.array(ids[at : at + p.length], dtype="<u4").tobytes())
-            at += p.length
+    want = Counter()
+    for i, t in rows:  # null and repeated ids too
+        ids, at = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], 0
+        for n in packing.cuts(len(ids)):
+            want[i, at, n, zlib.crc32(np.array(ids[at : at + n], dtype="<u4").tobytes()), len(ids)] += 1
+            at += n
         assert at == len(ids)
-    for _, s in out.sort_values("offset").groupby("sequence_id"):
-        assert (s.offset == s.length.cumsum() - s.length).all() and s.length.sum() <= 2048
-    assert packing.pack(docs).select("doc_id").distinct().count() == len({i for i, _ in texts()}) and packing.pack(empty).count() == 0
+    for parts in (1, 4):
+        out = packing.pack(frame(spark, rows).repartition(parts)).collect()
+        assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in out) == want
+        sequences: dict = {}
+        for r in out:
+            sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        for s in sequences.values():
+            s.sort()
+            assert [o for o, _ in s] == [sum(n for _, n in s[:k]) for k in range(len(s))] and sum(n for _, n in s) <= 2048
+    assert packing.pack(empty).count() == 0
+
+
+def test_open_bins_of_all_tasks_are_brought_together(spark, monkeypatch):
+    """Harmonic bins hold most of the corpus however small the tasks are."""
+    rnd = random.Random(13)
+    docs = spark.createDataFrame([(i, " ".join(["1"] * rnd.choice([100, 300, 900, 2500]) * 1)) for i in range(1200)], "doc_id long, text string")
+    for together in (packing.TOGETHER, 200):
+        monkeypatch.setattr(packing, "TOGETHER", together)
+        out = packing.pack(docs.repartition(60)).toPandas()
+        assert len(out) == sum(len(packing.cuts(len(t.split()) + 1)) for t in docs.toPandas()["text"])
+        bins = out.groupby("sequence_id").length.agg(["sum", "size", "min"])
+        harmonic = (bins["size"] == 2048 // bins["min"]) & (bins["sum"] >= 2048 - packing.LOOSE)
+        assert harmonic.mean() > 0.9 and (2048 - bins["sum"]).sum() / bins["sum"].sum() < 0.02
 
 
 def test_cuts_and_padding():
-    for n in range(1, 5000, 7):
+    for n in range(1, 9000, 7):
         parts = packing.cuts(n)
-        assert sum(parts) == n and all(p <= 64 or p in {2048 // k for k in range(1, 32)} for p in parts)
+        assert sum(parts) == n and all(map(packing.snug, parts)) and (len(parts) <= n // 2048 + 4)
+        assert n < 2048 or min(parts) >= 16
     packer = packing.Packer()
     rnd = random.Random(10)
     for i in range(800):
@@ -521,7 +539,7 @@ def test_cuts_and_padding():
     for _, _, n, _, _, sequence, _ in packer.rows:
         sizes[sequence] += n
     padding = sum(2048 - s for s in sizes.values() if s & (s - 1))
-    assert padding / sum(sizes.values()) < 0.005
+    assert padding / sum(sizes.values()) < 0.01 and max(sizes.values()) <= 2048
 
 
 # -- 10 --------------------------------------------------------------------------------------------------------------
