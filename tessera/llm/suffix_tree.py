@@ -1,30 +1,35 @@
-"""Language-model scores from variable-length states: lines, words, and a probabilistic suffix tree that spells words.
-
-A text is a sequence of lines, then one end; a line is a sequence of words, then one break. Each level draws from what the
-corpus holds and else falls back to the next finer one, with the Good-Turing estimate of unseen mass (the share that
-occurs once) as the weight of the finer level:
-
-- a line by its share of all lines (which catches repeated passages and copies), else word by word;
-- a word by its share of all words, else byte by byte, up to a mark that ends it, by the suffix tree.
-
-A state of the tree is a context of up to ``DEPTH`` symbols within the word (its start counts as one), learnt from the
-distinct words, as unseen words resemble rare ones. A context is kept if it is common and its next-symbol distribution
-diverges from that of the context without its first symbol by more than the extra parameters are worth (likelihood
-ratio against a BIC penalty), or if a longer context that ends in it is kept. Distributions are smoothed by
-interpolation with the shorter context (Witten-Bell), down to the uniform one; each symbol is scored in the longest
-state that is a suffix of what came before. Every text has a probability.
-
-Scale: all counts come from one table of the corpus's words and lines, aggregated in partial sums first. Only contexts
-and pairs above a fixed share reach the driver, so the tree has at most (DEPTH + 1) / PAIR_SHARE entries whatever the
-corpus; it is broadcast. So are the counts of words above a fixed share; those of all others and of lines are joined.
+"""Language-model scores by a probabilistic suffix tree over words, whose unseen words are spelled by one over bytes.
+
+A text is its words and one end. A state of the tree is a context of up to ``DEPTH`` symbols before the next one (the
+start of a text counts as one), and every word of the corpus is a state. The test for keeping a context is its divergence
+from the context without its first symbol: two of its next symbols, drawn at random, have to agree oftener than two of the
+shorter context's do, by more than ``DEVIATIONS`` standard deviations of such a count (a test of the Renyi divergence of
+order two). It needs no more of a context than how often it occurs and how many pairs of its next symbols agree, so that
+contexts that occur twice are tested like those that occur a million times; no threshold grows with the corpus.
+
+The next symbol is drawn in the longest kept state that is a suffix of what came before. Its distribution is its counts
+and ``weight`` pseudo-counts of the next shorter kept state's. The empty state draws known words by their shares and leaves
+the Good-Turing estimate of unseen mass, the share that occurs once, to other words, as a tree over bytes spells them. All
+distributions sum to one.
+
+The tree over bytes has contexts of up to ``SPELLING`` bytes within the word (its start counts as one), learnt from the
+distinct words, as unseen words resemble rare ones. A context is kept if its distribution diverges from that of the
+context without its first byte by more than the extra parameters are worth (likelihood ratio against a BIC penalty), or if
+a longer kept one ends in it; distributions are interpolated with the shorter context's (Witten-Bell).
+
+Scale: texts are cut into chunks of tokens, kept as numbers in the scratch folder. A chunk sends the distinct hashes of
+its runs of up to DEPTH + 1 symbols, with counts, as sorted arrays by ranges of the hash, gets the corpus's counts back,
+and does the same once more for the contexts' agreeing pairs. So a run or context that a third of the corpus holds is one
+number from a chunk; nothing is dealt by word or context, there is no hot key, and texts are never exchanged. Every word,
+run and context counts, however large the corpus. Only the byte tree is broadcast; pairs below a share of all bytes
+are not in it, so it has at most (SPELLING + 1) / PAIR_SHARE entries.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,51 +37,33 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, only, remainder5, table
-
-DEPTH = 5
-#: Contexts below this share of all symbols are not states; pairs below their share count as unseen.
-CONTEXT_SHARE, PAIR_SHARE = 1e-5, 1e-6
-#: Words with at least this share of all have their counts broadcast (at most 1 / HOT_SHARE words); those of all others are joined.
-HOT_SHARE = 5e-7
-#: Marks that no word holds: a line feed is a word's start, a space its end.
-_FLUSH = 400_000
-
-
-def lines_of(text: str | None) -> list[list[bytes]]:
-    """The words of each line, A-Z lower-cased; an empty text has one empty line."""
-    return [line.split() for line in (text or "").encode().lower().split(b"\n")]
+from tessera.llm.common import discard, materialise, only, remainder5, table
 
+#: Symbols of the longest context; standard deviations by which a kept context differs.
+DEPTH, DEVIATIONS = 2, 2.0
+#: Bytes of the longest context of the spelling; pairs and contexts below these shares of all bytes are not in its tree.
+SPELLING, PAIR_SHARE, CONTEXT_SHARE = 5, 5e-6, 5e-5
+#: Tokens of a chunk, unless one text has more; hashes that one task counts.
+CHUNK, RANGE = 1 << 19, 2_000_000
+#: Hashes of the start and the end of a text, which no word has but by chance.
+START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
-def line_key(words: list[bytes]) -> bytes:
-    """What stands for a line in the table of counts: no word begins with a line feed."""
-    return b"\n" + xxhash.xxh3_128_hexdigest(b" ".join(words)).encode()
 
+def words_of(text: str | None) -> list[bytes]:
+    """The words, A-Z lower-cased."""
+    return (text or "").encode().lower().split()
 
-def _counts(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of words and lines; the empty word stands for the end of a text."""
-    counts: Counter[bytes] = Counter()
 
-    def out() -> pa.RecordBatch:
-        batch = pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-        counts.clear()
-        return batch
-
-    for batch in chunks:
-        for text in batch.column(0):
-            for line in lines_of(text.as_py()):
-                counts.update(line)
-                counts[line_key(line)] += 1
-            counts[b""] += 1
-            if len(counts) > _FLUSH:
-                yield out()
-    if counts:
-        yield out()
+def weight(n):
+    """Pseudo-counts of the shorter context in one that occurs n times."""
+    return 4.0 * n**0.75
 
 
-def vocabulary(texts: DataFrame) -> DataFrame:
-    """(word, n) of the column ``text``: words, keys of lines, and the empty word with the number of texts."""
-    return texts.select("text").mapInArrow(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def kept(n, agreeing, share):
+    """Whether contexts that occur n times, with so many agreeing pairs, diverge from those whose pairs agree by ``share``."""
+    n = np.asarray(n, dtype=np.float64)
+    expected = n * (n - 1) / 2 * share
+    return (n >= 2) & (agreeing > expected + DEVIATIONS * np.sqrt(expected))
 
 
 def _pairs_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +73,7 @@ def _pairs_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum(lengths)
     place = np.arange(len(buffer)) - np.repeat(ends - lengths, lengths)
     found = []
-    for depth in range(DEPTH + 1):
+    for depth in range(SPELLING + 1):
         code = buffer.copy()
         for back in range(1, depth + 1):
             code[back:] |= buffer[:-back] << np.uint64(8 * back)
@@ -95,25 +82,6 @@ def _pairs_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate(found), return_counts=True)
 
 
-def _pair_counts(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[bytes] = []
-
-    def out() -> pa.RecordBatch:
-        codes, n = _pairs_of(held)
-        held.clear()
-        return pa.record_batch([pa.array(codes.view(np.int64)), pa.array(n.astype(np.int64))], names=["code", "n"])
-
-    for batch in chunks:
-        held += batch.column(0).cast(pa.binary()).to_pylist()
-        while len(held) > 100_000:
-            rest = held[100_000:]
-            del held[100_000:]
-            yield out()
-            held += rest
-    if held:
-        yield out()
-
-
 class SuffixTree:
     """States by context; each has the log10 probabilities of its own symbols and the log10 weight left to the rest."""
 
@@ -154,7 +122,6 @@ class SuffixTree:
         }
         self.flat = float(np.log10(flat))
         self.seen: dict[bytes, float] = {}
-        self.spelt: dict[bytes, float] = {}
 
     def symbol(self, context: bytes, symbol: int) -> float:
         """log10 probability of a symbol in the longest state that is a suffix of the context."""
@@ -176,7 +143,7 @@ class SuffixTree:
         keys = [marked[k] for k in _windows(len(marked))]
         found = list(map(seen.get, keys))
         if None in found:
-            if len(seen) > 500_000:
+            if len(seen) > 200_000:
                 seen.clear()
             for i, (k, p) in enumerate(zip(keys, found, strict=True)):
                 if p is None:
@@ -187,158 +154,337 @@ class SuffixTree:
 @lru_cache(4096)
 def _windows(size: int) -> tuple[slice, ...]:
     """Each symbol of a marked word after the first, with the context before it."""
-    return tuple(slice(max(0, i - DEPTH), i + 1) for i in range(1, size))
+    return tuple(slice(max(0, i - SPELLING), i + 1) for i in range(1, size))
 
 
-def grow(words: DataFrame, total: float) -> SuffixTree:
-    """The tree of distinct words; ``total`` is the number of symbols in them."""
-    pairs = (
-        words.select("word").mapInArrow(_pair_counts, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= F.lit(PAIR_SHARE * total))
-    ).toPandas()  # at most (DEPTH + 1) / PAIR_SHARE rows
+def grow(pairs: DataFrame, total: float) -> SuffixTree:
+    """The tree of the byte pairs (code, n) of distinct words; ``total`` is the number of bytes in them."""
+    common = pairs.select("code", "n").where(F.col("n") >= F.lit(PAIR_SHARE * total)).toPandas()  # at most (SPELLING + 1) / PAIR_SHARE rows
     by: dict[bytes, dict[int, float]] = {}
-    for code, n in zip(pairs["code"].astype("int64").to_numpy().view(np.uint64).tolist(), pairs["n"].tolist(), strict=True):
+    for code, n in zip(common["code"].astype("int64").to_numpy().view(np.uint64).tolist(), common["n"].tolist(), strict=True):
         raw = code.to_bytes(8, "big")
         by.setdefault(raw[7 - raw[0] : 7], {})[raw[7]] = float(n)
     return SuffixTree(by, total)
 
 
-def _scorer(model, hot):
-    """Rows (key, id, held_out, n_tokens, known, base, lines, rare) from rows (id, held_out, text).
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of runs, from the hashes of all symbols but the last and of the last."""
+    x = (a ^ (a >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25) + b
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
-    ``lines`` has each line's key and the log10 probability of its common words; ``rare`` each other word with its
-    line's number and log10 of its spelling.
-    """
 
+def pack(values: np.ndarray) -> bytes:
+    """An array as planes of its bytes, which compress where high bytes are zero."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes() if len(values) else b""
+
+
+def unpack(raw: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(width, -1).T).view(kind).reshape(-1) if raw else np.zeros(0, dtype=kind)
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    return pack(np.diff(values, prepend=values.dtype.type(0)))
+
+
+def unpack_sorted(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpack(raw, "u8"), dtype=np.uint64)
+
+
+#: A chunk, or what it asks, or what it is told. part 0: a chunk; 1: words; 2: runs; 3: contexts; 4: part of the vocabulary.
+_FIELDS = (("chunk", pa.int64()), ("part", pa.int32()), ("range", pa.int32()), ("keys", pa.binary()), ("values", pa.binary()), ("words", pa.binary()), ("n", pa.int64()))
+_SCHEMA = "chunk long, part int, range int, keys binary, values binary, words binary, n long"
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _FIELDS, strict=True)], names=[f for f, _ in _FIELDS])
+
+
+def _chunks(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, held_out, text) as chunks: values has the tokens as numbers of the chunk's words (0: end), keys the texts' lengths,
+    signed: those of held-out texts are negative; ids come along."""
+    from pyspark import TaskContext
+
+    place = TaskContext.get().partitionId() << 33
+    index: dict[bytes, int] = defaultdict()
+    index.default_factory = lambda: len(index) + 1
+    tokens: list[np.ndarray] = []
+    sizes: list[int] = []
+    ids: list = []
+    count = 0
+
+    def out(kind: pa.DataType) -> pa.RecordBatch:
+        nonlocal place, count
+        row = (place, 0, 0, pack(np.array(sizes, dtype=np.int64)), pack(np.concatenate(tokens)), b"\n".join(index), count)
+        batch = _batch([row]).append_column("ids", pa.array([list(ids)], pa.list_(kind)))
+        for held in (index, tokens, sizes, ids):
+            held.clear()
+        place, count = place + 1, 0
+        return batch
+
+    kind = None
+    for batch in chunks:
+        kind = batch.schema.field(0).type
+        for id_, held_out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            words = words_of(text.as_py())
+            tokens.append(np.fromiter(map(index.__getitem__, words), dtype=np.uint32, count=len(words)))
+            tokens.append(np.zeros(1, dtype=np.uint32))
+            ids.append(id_)
+            sizes.append(-len(words) - 1 if held_out else len(words) + 1)
+            count += len(words) + 1
+            if count >= CHUNK:
+                yield out(kind)
+    if sizes:
+        yield out(kind)
+
+
+class _Chunk:
+    """The runs of one chunk: of each position the symbol, and the runs of two and three symbols that end with it."""
+
+    def __init__(self, sizes: bytes, tokens: bytes, words: bytes):
+        signed = unpack(sizes, "i8")
+        self.held, self.sizes = signed < 0, np.abs(signed)
+        self.tokens = unpack(tokens, "u4")
+        self.words = words.split(b"\n") if words else []
+        self.learnt = np.repeat(~self.held, self.sizes)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        hashes = np.concatenate([[END], np.fromiter(map(xxhash.xxh64_intdigest, self.words), dtype=np.uint64, count=len(self.words))])
+        self.symbol_keys = hashes  # by the chunk's numbers
+        self.symbols = hashes[self.tokens]
+        before = np.concatenate([[START], self.symbols[:-1]])
+        before[self.starts] = START
+        self.context1 = before
+        self.run2 = _mix(before, self.symbols)
+        self.context2 = np.concatenate([[START], self.run2[:-1]])  # of a text's first symbol: none
+        self.run3 = _mix(self.context2, self.symbols)
+        self.later = np.ones(len(self.tokens), dtype=bool)
+        self.later[self.starts] = False
+        # distinct runs, their counts in the learnt texts, and where each position's are among them
+        both = np.concatenate([self.run2, self.run3[self.later]])
+        self.runs, inverse = np.unique(both, return_inverse=True)
+        counted = np.concatenate([self.learnt, self.learnt[self.later]])
+        self.run_counts = np.bincount(inverse[counted], minlength=len(self.runs)).astype(np.uint32)
+        self.at2 = inverse[: len(self.tokens)]
+        self.at3 = np.zeros(len(self.tokens), dtype=np.int64)
+        self.at3[self.later] = inverse[len(self.tokens) :]
+
+    def ask(self, chunk: int, ranges: int) -> Iterator[tuple]:
+        order = np.argsort(self.symbol_keys, kind="stable")
+        keys = self.symbol_keys[order]
+        counts = np.bincount(self.tokens[self.learnt], minlength=len(keys)).astype(np.uint32)[order]
+        words = [b"", *self.words]
+        for k, a, b in _ranges(keys, ranges):
+            yield chunk, 1, k, pack_sorted(keys[a:b]), pack(counts[a:b]), b"\n".join([words[i] for i in order[a:b]]), b - a
+        for k, a, b in _ranges(self.runs, ranges):
+            yield chunk, 2, k, pack_sorted(self.runs[a:b]), pack(self.run_counts[a:b]), None, b - a
+
+    def told(self, rows: list[dict]) -> None:
+        """Counts in the corpus: of the chunk's symbols, of each position's run, and of the contexts before it."""
+        parts = {p: np.concatenate([np.zeros(0, np.int64)] + [unpack(r["values"], "i8") for r in sorted(rows, key=lambda r: r["range"]) if r["part"] == p]) for p in (1, 2, 3)}
+        order = np.argsort(self.symbol_keys, kind="stable")
+        self.symbol_counts = np.zeros(len(order), dtype=np.int64)
+        self.symbol_counts[order] = parts[1]
+        self.count1, self.count2, self.count3 = self.symbol_counts[self.tokens], parts[2][self.at2], np.where(self.later, parts[2][self.at3], 0)
+        self.total1 = np.concatenate([[0], self.count1[:-1]])  # how often the symbol before occurs
+        self.total1[self.starts] = -1  # the start: as often as there are texts
+        self.total2 = np.where(self.later, np.concatenate([[0], self.count2[:-1]]), 0)
+        self.agreeing = parts[3]
+
+    def contexts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct contexts that occur twice or more; for each position its one-symbol and two-symbol context's place (or the last)."""
+        one, two = self.total1 != 0, self.total2 > 1
+        keys, inverse = np.unique(np.concatenate([self.context1[one], self.context2[two]]), return_inverse=True)
+        at1, at2 = (np.full(len(self.tokens), len(keys)) for _ in range(2))
+        at1[one], at2[two] = inverse[: one.sum()], inverse[one.sum() :]
+        return keys, at1, at2
+
+    def ask_contexts(self, chunk: int, ranges: int) -> Iterator[tuple]:
+        keys, at1, at2 = self.contexts()
+        pairs = np.zeros(len(keys) + 1)
+        for at, count in ((at1, self.count2), (at2, self.count3)):
+            use = self.learnt & (count > 1)
+            pairs += np.bincount(at[use], weights=count[use] - 1, minlength=len(pairs))
+        agreeing = pairs[:-1].astype(np.int64)  # over all occurrences of a run n - 1 for each: n (n - 1), both ways round
+        for k, a, b in _ranges(keys, ranges):
+            yield chunk, 3, k, pack_sorted(keys[a:b]), pack(agreeing[a:b]), None, b - a
+
+
+def _ranges(keys: np.ndarray, ranges: int) -> Iterator[tuple[int, int, int]]:
+    """(range, first, end) of sorted keys for each of so many equal ranges of the hash that holds any; a power of two."""
+    bits = ranges.bit_length() - 1
+    edges = [0, *np.searchsorted(keys, np.arange(1, ranges, dtype=np.uint64) << np.uint64(64 - bits)).tolist(), len(keys)] if bits else [0, len(keys)]
+    for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+        if a < b:
+            yield k, a, b
+
+
+def _grouped(chunks: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[dict]]:
+    """The rows of each value of the named columns; rows are sorted by them."""
+    last, rows = None, []
+    for batch in chunks:
+        for row in batch.to_pylist():
+            key = tuple(row[n] for n in names)
+            if key != last and rows:
+                yield rows
+                rows = []
+            last = key
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def _ask(ranges: int):
+    def run(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (row,) in _grouped(chunks, "chunk"):
+            yield _batch(list(_Chunk(row["keys"], row["values"], row["words"]).ask(row["chunk"], ranges)))
+
+    return run
+
+
+def _sum(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The corpus's sums, told to each chunk that asks; of words also the vocabulary, its counts in keys."""
+    for rows in _grouped(chunks, "part", "range"):
+        asked = [unpack_sorted(r["keys"]) for r in rows]
+        kind = "i8" if rows[0]["part"] == 3 else "u4"
+        keys, first, inverse = np.unique(np.concatenate(asked), return_index=True, return_inverse=True)
+        sums = np.bincount(inverse, weights=np.concatenate([unpack(r["values"], kind) for r in rows]), minlength=len(keys)).astype(np.int64)
+        out, at = [], 0
+        for r in rows:
+            n = r["n"]
+            out.append((r["chunk"], r["part"], r["range"], None, pack(sums[inverse[at : at + n]]), None, n))
+            at += n
+        if rows[0]["part"] == 1:
+            words = [w for r in rows for w in r["words"].split(b"\n")]
+            known = np.nonzero((sums > 0) & (keys != END))[0]
+            out.append((-1, 4, rows[0]["range"], None, pack(sums[known]), b"\n".join([words[i] for i in first[known].tolist()]), len(known)))
+            ends = int(sums[keys == END].sum())
+            out.append((-2, 4, rows[0]["range"], None, None, None, ends))
+        for k in range(0, len(out), 64):
+            yield _batch(out[k : k + 64])
+
+
+def _vocabulary(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(words, types, once, pairs, symbols) of parts of the vocabulary, and the byte pairs (code, n) of their words."""
+    for batch in chunks:
+        for row in batch.to_pylist():
+            counts, words = unpack(row["values"], "i8"), row["words"].split(b"\n") if row["n"] else []
+            figures = [int(counts.sum()), len(counts), int((counts == 1).sum()), float((counts.astype(float) * (counts - 1)).sum()), sum(map(len, words)) + len(words)]
+            codes, n = _pairs_of(words) if words else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield pa.record_batch(
+                [pa.array([None] * 5 + codes.view(np.int64).tolist(), pa.int64()), pa.array(list(range(5)) + [None] * len(codes), pa.int32()), pa.array(figures + n.tolist(), pa.float64())],
+                names=["code", "figure", "n"],
+            )
+
+
+def _spelled(model):
+    def run(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks:
+            mass = [sum(10 ** model.value.word(w) for w in row["words"].split(b"\n")) if row["n"] else 0.0 for row in batch.to_pylist()]
+            yield pa.record_batch([pa.array(mass, pa.float64())], names=["mass"])
+
+    return run
+
+
+def _ask_contexts(ranges: int):
     def run(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        for rows in _grouped(chunks, "chunk"):
+            chunk = _Chunk(rows[0]["keys"], rows[0]["values"], rows[0]["words"])
+            chunk.told(rows[1:])
+            if out := list(chunk.ask_contexts(rows[0]["chunk"], ranges)):
+                yield _batch(out)
 
-        # broadcast objects stay in a worker process, and with them what earlier tasks spelt
+    return run
+
+
+def _score(model, figures: dict[str, float], kind: pa.DataType):
+    def run(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree: SuffixTree = model.value
-        common: dict[bytes, complex] = hot.value
-        spelling = tree.spelt
-        key = TaskContext.get().partitionId() << 33
-
-        def lists(offsets: list[int], **columns: tuple[list, pa.DataType]) -> pa.Array:
-            flat = pa.StructArray.from_arrays([pa.array(v, t) for v, t in columns.values()], names=list(columns))
-            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
-
-        for whole in chunks:
-            for first in range(0, whole.num_rows, 500):
-                batch = whole.slice(first, 500)
-                tokens, knowns, bases, keys, scores, line_ends = [], [], [], [], [], [0]
-                rare, logs, places, rare_ends = [], [], [], [0]
-                for text in batch.column(2):
-                    base, known, count = 0.0, 0, 1
-                    for place, words in enumerate(lines_of(text.as_py())):
-                        count += len(words)
-                        got = list(map(common.get, words))
-                        if None in got:
-                            for w in [w for w, p in zip(words, got, strict=True) if p is None]:
-                                s = spelling.get(w)
-                                if s is None:
-                                    if len(spelling) > 600_000:
-                                        for old in list(islice(spelling, 300_000)):
-                                            del spelling[old]
-                                    s = spelling[w] = tree.word(w)
-                                rare.append(w)
-                                logs.append(s)
-                                places.append(place)
-                            got = [p for p in got if p is not None]
-                        both = sum(got, 0j)
-                        known += len(got)
-                        base += both.real
-                        score = both.imag
-                        keys.append(line_key(words))
-                        scores.append(score)
-                    tokens.append(count)
-                    knowns.append(known)
-                    bases.append(base)
-                    line_ends.append(len(keys))
-                    rare_ends.append(len(rare))
-                n = batch.num_rows
-                yield pa.record_batch(
-                    [pa.array(range(key, key + n), pa.int64()), batch.column(0), batch.column(1), pa.array(tokens, pa.int64()), pa.array(knowns, pa.int64()), pa.array(bases, pa.float64())]
-                    + [lists(line_ends, word=(keys, pa.string()), score=(scores, pa.float64())), lists(rare_ends, line=(places, pa.int32()), word=(rare, pa.string()), spelling=(logs, pa.float32()))],
-                    names=["key", "id", "held_out", "n_tokens", "known", "base", "lines", "rare"],
-                )
-                key += n
+        ends, words, types, once, all_pairs, mass = (figures[k] for k in ("ends", "words", "types", "once", "pairs", "mass"))
+        n, v = ends + words, types + (ends > 0)
+        unseen = (once + 0.5) / (words + 1)
+        share0 = all_pairs / max(n * (n - 1), 1)
+        for rows in _grouped(chunks, "chunk"):
+            chunk = _Chunk(rows[0]["keys"], rows[0]["values"], rows[0]["words"])
+            chunk.told(rows[1:])
+            counts = chunk.symbol_counts
+            base = np.log10((counts + 0.5) / (n + 0.5 * (v + 1)))
+            # the empty state, by the chunk's numbers
+            empty = (1 - unseen) * counts / max(words, 1)
+            for i in np.nonzero(counts[1:] == 0)[0].tolist():
+                empty[i + 1] = unseen * 10.0 ** max(tree.word(chunk.words[i]), -300.0) / max(1 - mass, 1e-3)
+            empty *= (words + 0.5) / (n + 1)
+            empty[0] = (ends + 0.5) / (n + 1)
+            p = empty[chunk.tokens]
+            _, at1, at2 = chunk.contexts()
+            agreeing = np.append(chunk.agreeing, 0) / 2
+            total1 = np.where(chunk.total1 < 0, ends, chunk.total1).astype(float)
+            total2, share = chunk.total2.astype(float), np.full(len(p), share0)
+            for at, total, count in ((at1, total1, chunk.count2), (at2, total2, chunk.count3)):
+                pairs = agreeing[at]
+                keep = kept(total, pairs, share)
+                m = weight(np.maximum(total, 1))
+                p = np.where(keep, (count + m * p) / (total + m), p)
+                share = np.where(total >= 2, np.maximum(share0, 2 * pairs / np.maximum(total * (total - 1), 1)), share0)
+            sums = lambda x: np.add.reduceat(x, chunk.starts)
+            yield pa.record_batch(
+                [
+                    pa.array(rows[0]["ids"], kind), pa.array(chunk.held), pa.array(chunk.sizes), pa.array(sums((chunk.count1 > 0).astype(np.int64))),
+                    pa.array(np.full(len(chunk.sizes), int(n))), pa.array(sums(base[chunk.tokens])), pa.array(sums(np.log10(p))),
+                ],
+                names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
 
     return run
 
 
+def _together(*tables: DataFrame) -> DataFrame:
+    """The chunks' rows and what they were told, by chunk."""
+    rows = tables[0]
+    for t in tables[1:]:
+        rows = rows.unionByName(t.where("chunk >= 0"), allowMissingColumns=True)
+    return rows.repartition("chunk").sortWithinPartitions("chunk", "part", "range")
+
+
 def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of all whole texts by a model that is learnt from those whose crc32(id) mod 5 is not 1.
 
     Returns (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row for each row of ``docs``,
     repeated ones too. A null text counts as empty (its one token is the end), a null id as the empty text in crc32. With
-    nothing to learn from, N = V = 0: the base is then log10(1) = 0 for each token and the model spells with uniform
-    bytes. An empty table gives an empty result; other columns are ignored. A line of a learnt text does
-    not count itself among the corpus's lines, so that its score can be compared with those of held-out texts.
+    nothing to learn from, N = V = 0: the base is then log10(1) = 0 for each token, and the model spells with uniform
+    bytes. An empty table gives an empty result; other columns are ignored. The model's probability of an unseen word is
+    that of its spelling; the base gives each the same, and so does not sum to one.
     """
     spark = docs.sparkSession
     rows = only(docs, id=id_col, text=text_col).select("id", (remainder5("id") == 1).alias("held_out"), "text")
-    kind = rows.schema["id"].dataType.simpleString()
-    table_ = materialise(vocabulary(rows.where("NOT held_out")), "vocabulary")
-    is_line, is_word = F.col("word").startswith("\n"), (F.col("word") != "") & ~F.col("word").startswith("\n")
-    sum_ = lambda kind_: F.coalesce(F.sum(F.when(kind_, F.col("n"))), F.lit(0)).cast("long")
-    ends, words, types, once, symbols, n_lines, once_lines = table_.agg(
-        sum_(F.col("word") == ""), sum_(is_word), F.count_if(is_word), F.count_if(is_word & (F.col("n") == 1)),
-        F.coalesce(F.sum(F.when(is_word, F.octet_length("word") + 1)), F.lit(0)).cast("long"), sum_(is_line), F.count_if(is_line & (F.col("n") == 1)),
-    ).first()
-    n, v = words + ends, types + int(ends > 0)  # the contract's tokens: words and ends
-    drawn = max(words + n_lines, 1)  # the model's: words and line breaks
-    spelled, worded = (once + 0.5) / (words + 1), (once_lines + 0.5) / (n_lines + 1)
-    tree = grow(table_.where(is_word), float(symbols))
-    hot = table_.where(is_word & (F.col("n") >= HOT_SHARE * words)).select("word", "n").toPandas()  # at most 1 / HOT_SHARE rows
-    sizes, names = hot["n"].to_numpy(dtype=np.float64), [w.encode() for w in hot["word"]]
-    spelt = np.array([tree.word(w) for w in names], dtype=np.float64)
-    # both logarithms of a word in one number (base, model), so that a line's are summed at once
-    both = np.log10(sizes + 0.5) + 1j * np.log10((1 - spelled) * sizes / drawn + spelled * 10**spelt)
-    tree.seen.clear()
-    model, known = spark.sparkContext.broadcast(tree), spark.sparkContext.broadcast(dict(zip(names, both.tolist(), strict=True)))
-    scored = materialise(
-        rows.mapInArrow(
-            _scorer(model, known),
-            f"key long, id {kind}, held_out boolean, n_tokens long, known long, base double, lines array<struct<word string, score double>>, "
-            "rare array<struct<line int, word string, spelling float>>",
-        ),
-        "scored",
-    )
-    counts, count = table_.select("word", "n"), F.coalesce("n", F.lit(0))
-    rare = (
-        scored.select("key", F.inline("rare"))
-        .join(counts.where(is_word), "word", "left")
-        .groupBy("key", "line")
-        .agg(
-            F.count("n").alias("rare_known"),
-            F.sum(F.log10(count + 0.5)).alias("rare_base"),
-            F.sum(F.log10((1 - spelled) / drawn * count + spelled * F.pow(F.lit(10.0), F.col("spelling").cast("double")))).alias("rare_score"),
-        )
-    )
-    log = lambda x: float(np.log10(x))
-    line_break = log((1 - spelled) * n_lines / drawn) if n_lines else log(0.5)
-    apart = F.col("score") + F.coalesce("rare_score", F.lit(0.0)) + line_break
-    seen = F.when(F.col("held_out"), F.col("n")).otherwise(F.col("n") - 1)
-    whole = F.when(seen > 0, F.log10((1 - worded) / max(n_lines, 1) * seen + worded * F.pow(F.lit(10.0), apart))).otherwise(log(worded) + apart)
-    by_text = (
-        scored.select("key", "held_out", F.posexplode("lines").alias("line", "part")).select("key", "held_out", "line", "part.word", "part.score")
-        .join(rare, ["key", "line"], "left")
-        .join(counts.where(is_line), "word", "left")
-        .groupBy("key")
-        .agg(F.sum("rare_known").alias("rare_known"), F.sum("rare_base").alias("rare_base"), F.sum(whole).alias("score"), F.count("*").alias("n_lines"))
-    )
-    stop = (ends + 0.5) / (n_lines + 1)  # of a line: that the text ends with it
-    norm = log(n + 0.5 * (v + 1))
-    return scored.select("key", "id", "held_out", "n_tokens", "known", "base").join(by_text, "key").select(
-        F.col("id").alias(id_col),
-        "held_out",
-        "n_tokens",
-        (F.col("known") + F.coalesce("rare_known", F.lit(0)) + int(ends > 0)).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0)) + log(ends + 0.5) - F.col("n_tokens") * norm).alias("base_score"),
-        (F.col("score") + (F.col("n_lines") - 1) * log(max(1 - stop, 1e-9)) + log(min(stop, 1.0))).alias("score"),
-    )
+    simple = rows.schema["id"].dataType.simpleString()
+    chunks = materialise(rows.mapInArrow(_chunks, f"{_SCHEMA}, ids array<{simple}>"), "chunks")
+    plain = chunks.drop("ids")
+    n = chunks.agg(F.sum("n")).first()[0] or 0
+
+    def ranges(keys: float) -> int:
+        return 1 << max(0, int(np.ceil(np.log2(max(keys, 1) / RANGE))))
+
+    def summed(asked: DataFrame, parts: int) -> DataFrame:
+        by_range = asked.repartition(max(2 * parts, 2), "part", "range").sortWithinPartitions("part", "range", "chunk")
+        return materialise(by_range.mapInArrow(_sum, _SCHEMA), "sums")
+
+    counts = summed(plain.mapInArrow(_ask(ranges(2.0 * n)), _SCHEMA), ranges(2.0 * n))
+    vocabulary = counts.where("chunk = -1")
+    found = materialise(vocabulary.select("values", "words", "n").mapInArrow(_vocabulary, "code long, figure int, n double").groupBy("code", "figure").agg(F.sum("n").alias("n")), "bytes")
+    figures = {name: 0.0 for name in ("words", "types", "once", "pairs", "symbols")}
+    for row in found.where("code IS NULL").collect():
+        figures[list(figures)[row.figure]] = row.n
+    figures["ends"] = float(counts.where("chunk = -2").agg(F.sum("n")).first()[0] or 0)
+    figures["pairs"] += figures["ends"] * (figures["ends"] - 1)  # the end is a symbol like others
+    tree = grow(found.where("code IS NOT NULL"), figures["symbols"])
+    model = spark.sparkContext.broadcast(tree)
+    figures["mass"] = vocabulary.select("words", "n").mapInArrow(_spelled(model), "mass double").agg(F.sum("mass")).first()[0] or 0.0
+    agreeing = summed(_together(plain, counts).mapInArrow(_ask_contexts(ranges(1.0 * n)), _SCHEMA), ranges(1.0 * n))
+    discard(found)
+    kind = pa.list_(pa.int64()).value_type if simple == "bigint" else pa.int32() if simple == "int" else pa.string()
+    fields = f"id {simple}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return _together(chunks, counts, agreeing).mapInArrow(_score(model, figures, kind), fields).withColumnRenamed("id", id_col)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,40 +114,116 @@ def test_url_model_on_names_it_has_not_seen():
 # -- 2 ---------------------------------------------------------------------------------------------------------------
 
 
-def test_lm_scores(docs, empty):
-    rows = texts()
+def plain_model(rows, spell):
+    """P(next | symbols before) of the suffix tree of words, from counts of whole runs; ``spell`` gives a word's probability."""
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
-    words = lambda t: WORD.findall(lower(t or ""))
-    counts = Counter()
+    symbols = lambda t: [*WORD.findall(lower(t or "")), None]  # noqa: E731  None: the end
+    runs = Counter()
+    nexts: dict = {}
     for i, t in rows:
         if not held(i):
-            counts.update(words(t))
-            counts[""] += 1
-    n, v = sum(counts.values()), len(counts)
+            seq = ["^", *symbols(t)]
+            for k in range(1, len(seq)):
+                runs[(seq[k],)] += 1
+                for depth in (1, 2):
+                    if k - depth >= 0:
+                        nexts.setdefault(tuple(seq[k - depth : k]), Counter())[seq[k]] += 1
+    n = sum(runs.values())
+    ends = runs[(None,)]
+    words = {r[0]: c for r, c in runs.items() if r[0] is not None}
+    total = sum(words.values())
+    unseen = (sum(c == 1 for c in words.values()) + 0.5) / (total + 1)
+    left = max(1 - sum(map(spell, words)), 1e-3)
+    agree = lambda counts: sum(c * (c - 1) for c in counts.values())
+    share0 = agree(runs) / max(n * (n - 1), 1)
+
+    def state(context):
+        size = sum(nexts.get(context, {}).values())
+        return size, agree(nexts.get(context, {}))
+
+    def share(context):
+        size, pairs = state(context)
+        return max(share0, pairs / (size * (size - 1))) if context and size >= 2 else share0
+
+    def probability(before, symbol):
+        if symbol is None:
+            p = (ends + 0.5) / (n + 1)
+        else:
+            p = (total + 0.5) / (n + 1) * ((1 - unseen) * words[symbol] / total if symbol in words else unseen * spell(symbol) / left)
+        for depth in (1, 2):
+            if len(before) >= depth:
+                context = tuple(before[-depth:])
+                size, pairs = state(context)
+                expected = size * (size - 1) / 2 * share(context[1:])
+                if size >= 2 and pairs / 2 > expected + 2 * math.sqrt(expected):
+                    p = (nexts[context][symbol] + 4 * size**0.75 * p) / (size + 4 * size**0.75)
+        return p
+
+    return held, symbols, words, ends, n, probability
+
+
+def spelling(words):
+    """The byte tree of distinct words, as the operator grows it."""
+    codes, n = suffix_tree._pairs_of(sorted(w.encode() for w in words))
+    pairs: dict = {}
+    total = float(sum(len(w.encode()) + 1 for w in words))
+    for code, k in zip(codes.tolist(), n.tolist(), strict=True):
+        raw = int(code).to_bytes(8, "big")
+        if k >= suffix_tree.PAIR_SHARE * total:
+            pairs.setdefault(raw[7 - raw[0] : 7], {})[raw[7]] = float(k)
+    return suffix_tree.SuffixTree(pairs, total)
+
+
+def lm_rows():
+    """Texts that repeat passages, in the training part and across, besides the common ones."""
+    rnd = random.Random(14)
+    words = ["".join(rnd.choices(["th", "er", "on", "é", "ing"], k=rnd.randrange(1, 4))) for _ in range(80)]
+    passage = [" ".join(rnd.choices(words, k=25)) for _ in range(6)]
+    return texts() + [(2000 + i, " ".join(rnd.choices(words, k=rnd.randrange(0, 60))) + f" {passage[i % 6]} New{i % 11}x") for i in range(120)]
+
+
+@pytest.mark.parametrize("range_", [suffix_tree.RANGE, 700])
+def test_lm_scores(spark, empty, monkeypatch, range_):
+    monkeypatch.setattr(suffix_tree, "RANGE", range_)
+    rows = lm_rows()
+    plain = plain_model(rows, lambda w: 0.0)
+    tree = spelling(plain[2])
+    held, symbols, words, ends, n, probability = plain_model(rows, lambda w: 10.0 ** max(tree.word(w.encode()), -300.0))
+    v = len(words) + 1
     want = Counter()
     for i, t in rows:
-        ws = [*words(t), ""]
-        base = sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)
-        want[i, held(i), len(ws), sum(counts[w] > 0 for w in ws), n, round(base, 6)] += 1
-    found = suffix_tree.score_texts(docs).collect()
-    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in found) == want
-    assert all(r.score < 0 for r in found)
+        seq = symbols(t)
+        counts = [ends if w is None else words.get(w, 0) for w in seq]
+        base = sum(math.log10((c + 0.5) / (n + 0.5 * (v + 1))) for c in counts)
+        score = sum(math.log10(probability(["^", *seq[:k]], w)) for k, w in enumerate(seq))
+        want[i, held(i), len(seq), sum(c > 0 for c in counts), n, round(base, 6), round(score, 5)] += 1
+    found = suffix_tree.score_texts(frame(spark, rows).repartition(5)).collect()
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 5)) for r in found) == want
     assert suffix_tree.score_texts(empty).count() == 0
 
 
-def test_spelling_is_a_distribution():
-    words = ["there", "then", "these", "the", "ten"] * 30
-    found = Counter()
-    for code, n in zip(*(x.tolist() for x in suffix_tree._pairs_of([w.encode() for w in words])), strict=True):
-        found[code] += n
-    pairs = {}
-    for code, n in found.items():
-        raw = int(code).to_bytes(8, "big")
-        pairs.setdefault(raw[7 - raw[0] : 7], {})[raw[7]] = float(n)
-    tree = suffix_tree.SuffixTree(pairs, float(sum(len(w) + 1 for w in words)))
+def test_every_state_is_a_distribution():
+    rows = [(i, t) for i, t in lm_rows() if i is not None]
+    plain = plain_model(rows, lambda w: 0.0)
+    tree = spelling(plain[2])
+    spell = lambda w: 10.0 ** tree.word(w.encode())
+    _, _, words, _, _, probability = plain_model(rows, spell)
+    unseen = 1 - sum(map(spell, words))  # the spelling's mass of all words that are not known
+    known = next(iter(words))
+    for before in (["^"], ["^", known], ["^", known, known], ["^", "nowhere"], ["^", "the", "of"]):
+        some = probability(before, "neverseen") / spell("neverseen")
+        assert math.isclose(sum(probability(before, w) for w in [*words, None]) + some * unseen, 1, abs_tol=1e-9)
     for context in (b"", b"\n", b"\nth", b"xyzth", b"ere"):
         assert math.isclose(sum(10 ** tree.symbol(context, a) for a in range(256)), 1, abs_tol=1e-9)
-    assert tree.word(b"these") > tree.word(b"zzzzz")
+
+
+def test_nothing_to_learn_from_and_hot_texts(spark):
+    only_held = [(i, "some words here") for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 1]
+    out = suffix_tree.score_texts(frame(spark, only_held)).collect()
+    assert len(out) == len(only_held) and all(r.train_tokens == 0 and r.base_score == 0 and r.n_known == 0 and r.score < 0 for r in out)
+    hot = [(i, "the same passage in a third of all texts") for i in range(300)] + [(i, f"word{i} other{i * 7}") for i in range(300, 900)]
+    scores = {r.doc_id: r.score / r.n_tokens for r in suffix_tree.score_texts(frame(spark, hot).repartition(6)).collect()}
+    assert min(scores[i] for i in range(300)) > max(scores[i] for i in range(300, 900))
 
 
 # -- 3 ---------------------------------------------------------------------------------------------------------------
