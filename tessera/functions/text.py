@@ -20,6 +20,14 @@ STOP_WORDS = (
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 
+# Where a sentence starts, what a heading is (its marks, its text), what parts the clauses of a question, what
+# a search term is, and how hard wraps and hyphens of extracted pages are undone (pattern, replacement).
+SENTENCE_START = r"(?<=[.!?])\s+(?=[A-Z\"'(\[])"
+HEADING = r"^(#{1,6})\s+(.*\S)\s*$"
+CLAUSE_END = r"(?i)\s*(?:[,;?]|\band\b|\bor\b|\balso\b|\bplus\b)\s*"
+TERM = r"[a-z0-9_]+(?:[.\-/][a-z0-9_]+)*"
+PDF_REPAIRS = ((r"-\n(\w)", "{1}"), (r"(?<![.!?:;\n])\n(?![\n\s•\-*\d])", " "), (r"[ \t]{2,}", " "))
+
 MAX_TERMS = 32
 
 
@@ -52,9 +60,9 @@ def markup_to_text(c: Column) -> Column:
 
 def repair_pdf(c: Column) -> Column:
     """Undo hyphenation and hard wraps of extracted pages."""
-    c = F.regexp_replace(c, r"-\n(\w)", "$1")
-    c = F.regexp_replace(c, r"(?<![.!?:;\n])\n(?![\n\s•\-*\d])", " ")
-    return F.regexp_replace(c, r"[ \t]{2,}", " ")
+    for pattern, by in PDF_REPAIRS:
+        c = F.regexp_replace(c, pattern, by.replace("{1}", "$1"))
+    return c
 
 
 def paragraphs(c: Column) -> Column:
@@ -65,21 +73,21 @@ def paragraphs(c: Column) -> Column:
 
 def heading_level(paragraph: Column) -> Column:
     """1 to 6 if the paragraph is a heading, else 0."""
-    return F.length(F.regexp_extract(paragraph, r"\A(#{1,6})\s+(.*\S)\s*\z", 1))
+    return F.length(F.regexp_extract(paragraph, HEADING, 1))
 
 
 def heading_text(paragraph: Column) -> Column:
-    return F.regexp_extract(paragraph, r"\A(#{1,6})\s+(.*\S)\s*\z", 2)
+    return F.regexp_extract(paragraph, HEADING, 2)
 
 
 def sentences(c: Column) -> Column:
-    return F.split(c, r"(?<=[.!?])\s+(?=[A-Z\"'(\[])")
+    return F.split(c, SENTENCE_START)
 
 
 def tail(c: Column, n: int) -> Column:
     """The last n characters from the first sentence start in them, else all of them; nothing of a text that is not longer."""
     last = F.right(c, F.lit(n))
-    at = F.regexp_instr(last, F.lit(r"(?<=[.!?])\s+(?=[A-Z\"'(\[])"))
+    at = F.regexp_instr(last, F.lit(SENTENCE_START))
     cut = F.when(at > 0, trim(F.substring(last, at, n))).otherwise(trim(last))
     return F.when(F.length(c) <= n, F.lit("")).otherwise(cut)
 
@@ -140,7 +148,7 @@ def query_terms(c: Column) -> Column:
     """Search terms of a question: ASCII tokens, joined ones kept, without stop words and single letters, the first 32 distinct.
 
     A question of stop words only keeps them."""
-    tokens = F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9_]+(?:[.\-/][a-z0-9_]+)*"), F.lit(0)), lambda t: F.length(t) > 1)
+    tokens = F.filter(F.regexp_extract_all(F.lower(c), F.lit(TERM), F.lit(0)), lambda t: F.length(t) > 1)
     kept = F.filter(tokens, lambda t: ~t.isin(*STOP_WORDS))
     return F.slice(F.array_distinct(F.when(F.size(kept) > 0, kept).otherwise(tokens)), 1, MAX_TERMS)
 
@@ -152,7 +160,7 @@ def index_tokens(c: Column) -> Column:
 
 def clauses(c: Column, *, least: int = 3, least_query: int = 7) -> Column:
     """Clauses of a compound question, or none."""
-    parts = F.transform(F.split(c, r"(?i)\s*(?:[,;?]|\band\b|\bor\b|\balso\b|\bplus\b)\s*"), trim)
+    parts = F.transform(F.split(c, CLAUSE_END), trim)
     long = F.filter(parts, lambda p: count_words(p) >= least)
     none = F.slice(parts, 1, 0)
     return F.when((count_words(c) >= least_query) & (F.size(long) >= 2), long).otherwise(none)

@@ -1,6 +1,6 @@
 import json
 
-from tessera.backends import Scripted, has_model, parse_stream, setting, strip_thinking
+from tessera.backends import ModelError, Scripted, has_model, parse_stream, setting, strip_thinking
 from tessera.operators import turns
 from tessera.streaming.turn_log import TURNS, Archive
 
@@ -11,6 +11,13 @@ def test_parse_entry():
     out = turns.parse_entry(ENTRY, least=10, most=30)
     assert (out["title"], len(out["choices"]), out["words"], out["problems"]) == ("The Gate", 5, 20, [])
     assert turns.parse_entry("bare", least=1, most=5)["problems"] == ["0 options instead of 5"]
+    assert turns.parse_entry("", least=1, most=5)["problems"] == ["0 options instead of 5", "0 words, at least 1 needed", "no narration"]
+    messy = "Sure!\n📅 Tuesday, May 6th — 🌙 11:30 p.m. — **Night  Falls**\n\nIt was dark.\n1. leaked\n\n### What will you do?\n**1.** *Run   off*\n2) Hide\n3️⃣ 🗡 Fight\n3. again\n_4]_ Wait\n5: Sleep\n6. no"
+    out = turns.parse_entry(messy, least=1, most=5)
+    assert (out["title"], out["narration"], out["problems"]) == ("Night  Falls", "It was dark.", [])
+    assert out["choices"] == ["Run off", "Hide", "🗡 Fight", "Wait", "Sleep"]
+    bare = turns.parse_entry("He went on.\nAt 3. he stopped.\n1. Go\n2. Stay", least=1, most=9)  # no question: up to the first option
+    assert (bare["title"], bare["narration"], bare["choices"]) == ("Continued", "He went on.\nAt 3. he stopped.", ["Go", "Stay"])
 
 
 def test_extract_object():
@@ -25,9 +32,15 @@ def test_extract_object():
 def test_repair():
     block = "What will you do?\n" + "\n".join(f"{i}) go {i}" for i in range(1, 6))
     entry, notes = turns.repair(Scripted(block), [], "word " * 20, least=10, most=30)
-    assert len(entry["choices"]) == 5 and notes == []
+    assert len(entry["choices"]) == 5 and entry["problems"] == [] and notes == ["0 options, 20 words became 5, 20"]
     entry, notes = turns.repair(Scripted("no help"), [], "word " * 20, least=10, most=30, repairs=0)
-    assert notes == ["0 options instead of 5"]
+    assert notes == ["kept as written: 0 options instead of 5"]
+    entry, notes = turns.repair(Scripted(ModelError("gone")), [], "<think>x</think>" + "word " * 20, least=10, most=30)  # a model that fails loses nothing
+    assert entry["narration"] == ("word " * 20).strip() and notes == ["the repair failed: gone", "kept as written: 0 options instead of 5"]
+    entry, notes = turns.repair(Scripted("too short"), [], ENTRY, least=30, most=60)
+    assert (entry["title"], len(entry["choices"]), notes[0]) == ("The Gate", 5, "a revision lost the options and was not taken")
+    entry, notes = turns.repair(Scripted(ENTRY.replace("word " * 20, "word " * 40)), [], ENTRY, least=30, most=60)
+    assert entry["words"] == 40 and entry["problems"] == []
 
 
 def test_model_stream():
