@@ -17,18 +17,21 @@ distinct words, as unseen words resemble rare ones. A context is kept if its dis
 context without its first byte by more than the extra parameters are worth (likelihood ratio against a BIC penalty), or if
 a longer kept one ends in it; distributions are interpolated with the shorter context's (Witten-Bell).
 
-Scale: texts are cut into chunks of tokens, kept as numbers in the scratch folder. A chunk sends the distinct hashes of
-its runs of up to DEPTH + 1 symbols, with counts, as sorted arrays by ranges of the hash, gets the corpus's counts back,
-and does the same once more for the contexts' agreeing pairs. So a run or context that a third of the corpus holds is one
-number from a chunk; nothing is dealt by word or context, there is no hot key, and texts are never exchanged. Every word,
-run and context counts, however large the corpus. Only the byte tree is broadcast; pairs below a share of all bytes
-are not in it, so it has at most (SPELLING + 1) / PAIR_SHARE entries.
+Scale: texts are cut into chunks of tokens, kept as numbers in the scratch folder. A chunk sends its distinct words and
+pairs of symbols with their counts, as sorted arrays by ranges of their hash, and gets the corpus's counts back; then the
+same with the agreeing pairs of one-symbol contexts and with the runs that follow two-symbol contexts, of those that occur
+twice. A word, run or context that a third of the corpus holds is so one number from a chunk, and the runs of a context
+that occurs more than ``HOT`` times are dealt to several tasks. Texts are never exchanged; every word, run and context
+counts, however large the corpus. Only the byte tree is broadcast; pairs below a share of all bytes are not in it,
+so it has at most (SPELLING + 1) / PAIR_SHARE entries.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -43,8 +46,10 @@ from tessera.llm.common import discard, materialise, only, remainder5, table
 DEPTH, DEVIATIONS = 2, 2.0
 #: Bytes of the longest context of the spelling; pairs and contexts below these shares of all bytes are not in its tree.
 SPELLING, PAIR_SHARE, CONTEXT_SHARE = 5, 5e-6, 5e-5
-#: Tokens of a chunk, unless one text has more; hashes that one task counts.
-CHUNK, RANGE = 1 << 19, 2_000_000
+#: Tokens of a chunk, unless one text has more; hashes that one task counts; occurrences of a context that one task counts.
+CHUNK, RANGE, HOT = 1 << 20, 2_000_000, 1 << 20
+#: Bits of the hash of the symbol after a two-symbol context.
+NEXT = 18
 #: Hashes of the start and the end of a text, which no word has but by chance.
 START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -174,25 +179,93 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def pack(values: np.ndarray) -> bytes:
-    """An array as planes of its bytes, which compress where high bytes are zero."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes() if len(values) else b""
+_ZSTD, _DENSE = pa.Codec("zstd", compression_level=1), pa.Codec("zstd", compression_level=6)
+
 
+def squeeze(raw: bytes, codec: pa.Codec = _ZSTD) -> bytes:
+    return len(raw).to_bytes(4, "little") + codec.compress(raw, asbytes=True)
 
-def unpack(raw: bytes, kind: str) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(width, -1).T).view(kind).reshape(-1) if raw else np.zeros(0, dtype=kind)
 
+def expand(raw: bytes | None) -> bytes:
+    return _ZSTD.decompress(raw[4:], int.from_bytes(raw[:4], "little"), asbytes=True) if raw else b""
 
-def pack_sorted(values: np.ndarray) -> bytes:
-    return pack(np.diff(values, prepend=values.dtype.type(0)))
 
+def _planes(values: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
 
-def unpack_sorted(raw: bytes) -> np.ndarray:
-    return np.cumsum(unpack(raw, "u8"), dtype=np.uint64)
 
+def _from_planes(raw: bytes, kind: str) -> np.ndarray:
+    if not raw:
+        return np.zeros(0, dtype=kind)
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
 
-#: A chunk, or what it asks, or what it is told. part 0: a chunk; 1: words; 2: runs; 3: contexts; 4: part of the vocabulary.
+
+def pack(values: np.ndarray) -> bytes:
+    """An array as compressed planes of its bytes."""
+    return squeeze(_planes(values).tobytes()) if len(values) else b""
+
+
+def unpack(raw: bytes | None, kind: str) -> np.ndarray:
+    return _from_planes(expand(raw), kind)
+
+
+def pack_ranks(ranks: np.ndarray) -> bytes:
+    """Numbers by frequency in one to three bytes, each byte a stream of its own."""
+    if len(ranks) and ranks.max() >= 16_544 + (1 << 21):
+        return b"\x00" + pack(ranks)
+    small, mid = ranks < 160, (ranks >= 160) & (ranks < 16_544)
+    large = ~(small | mid)
+    q, r = ranks - np.uint32(160), ranks - np.uint32(16_544)
+    first = np.where(small, ranks, np.where(mid, 160 + (q >> 8), 224 + (r >> 16))).astype(np.uint8)
+    second = np.where(mid, q, r >> 8)[~small].astype(np.uint8)
+    streams = [squeeze(x.tobytes()) for x in (first, second, r[large].astype(np.uint8))]
+    return b"\x01" + b"".join(len(x).to_bytes(4, "little") + x for x in streams)
+
+
+def unpack_ranks(raw: bytes) -> np.ndarray:
+    if raw[0] == 0:
+        return unpack(raw[1:], "u4")
+    streams, at = [], 1
+    for _ in range(3):
+        end = at + 4 + int.from_bytes(raw[at : at + 4], "little")
+        streams.append(np.frombuffer(expand(raw[at + 4 : end]), dtype=np.uint8).astype(np.uint32))
+        at = end
+    first, second, third = streams
+    out = first.copy()
+    out[first >= 160] = ((first[first >= 160] - 160) << 8) + second + 160
+    large = first >= 224
+    out[large] = ((first[large] - 224) << 16) + (second[first[first >= 160] >= 224] << 8) + third + 16_544
+    return out
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Sorted hashes as differences: the two low planes, which are noise, as they are, the others compressed."""
+    planes = _planes(np.diff(keys, prepend=np.uint64(0)))
+    return planes[:2].tobytes() + squeeze(planes[2:].tobytes())
+
+
+def unpack_sorted(raw: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_from_planes(raw[: 2 * n] + expand(raw[2 * n :]), "u8"), dtype=np.uint64)
+
+
+def distinct(keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct keys of so many bits, the place of each key among them)."""
+    n = len(keys)
+    bits = max(n - 1, 1).bit_length()
+    if width + bits > 64:
+        return np.unique(keys, return_inverse=True)
+    both = np.sort((keys << np.uint64(bits)) | np.arange(n, dtype=np.uint64))  # sorting is much faster than finding an order
+    place = (both & np.uint64((1 << bits) - 1)).astype(np.int64)
+    both >>= np.uint64(bits)
+    new = np.ones(n, dtype=bool)
+    new[1:] = both[1:] != both[:-1]
+    inverse = np.empty(n, dtype=np.int64)
+    inverse[place] = np.cumsum(new) - 1
+    return both[new], inverse
+
+
+#: A chunk, or what it asks, or what it is told. part 0: a chunk; 1: words; 2: pairs; 3: one-symbol contexts; 4: part of the
+#: vocabulary; 5: ends; 6: runs of three.
 _FIELDS = (("chunk", pa.int64()), ("part", pa.int32()), ("range", pa.int32()), ("keys", pa.binary()), ("values", pa.binary()), ("words", pa.binary()), ("n", pa.int64()))
 _SCHEMA = "chunk long, part int, range int, keys binary, values binary, words binary, n long"
 
@@ -201,14 +274,22 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _FIELDS, strict=True)], names=[f for f, _ in _FIELDS])
 
 
+def _by_rank(often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words' numbers, the commonest first, and the place of each number in that order."""
+    order = np.argsort(-often.astype(np.int64), kind="stable")
+    rank = np.empty(len(order), dtype=np.uint32)
+    rank[order] = np.arange(len(order), dtype=np.uint32)
+    return order, rank
+
+
 def _chunks(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, held_out, text) as chunks: values has the tokens as numbers of the chunk's words (0: end), keys the texts' lengths,
-    signed: those of held-out texts are negative; ids come along."""
+    """Rows (id, held_out, text) as chunks: words has the chunk's distinct words in order (the first, empty, is the end), values
+    the tokens as numbers of these, keys the texts' lengths, negative ones of held-out texts; ids come along."""
     from pyspark import TaskContext
 
     place = TaskContext.get().partitionId() << 33
     index: dict[bytes, int] = defaultdict()
-    index.default_factory = lambda: len(index) + 1
+    index.default_factory = index.__len__
     tokens: list[np.ndarray] = []
     sizes: list[int] = []
     ids: list = []
@@ -216,7 +297,13 @@ def _chunks(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out(kind: pa.DataType) -> pa.RecordBatch:
         nonlocal place, count
-        row = (place, 0, 0, pack(np.array(sizes, dtype=np.int64)), pack(np.concatenate(tokens)), b"\n".join(index), count)
+        words = sorted(index)
+        rank = np.empty(len(words), dtype=np.uint32)
+        rank[np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words))] = np.arange(len(words), dtype=np.uint32)
+        numbers = rank[np.concatenate(tokens)]
+        often = np.bincount(numbers).astype(np.uint32)
+        lengths = pack(np.concatenate([np.array([len(sizes), *sizes], dtype=np.int64), often]))  # how often each word occurs says its rank
+        row = (place, 0, 0, lengths, pack_ranks(_by_rank(often)[1][numbers]), squeeze(b"\n".join(words), _DENSE), count)
         batch = _batch([row]).append_column("ids", pa.array([list(ids)], pa.list_(kind)))
         for held in (index, tokens, sizes, ids):
             held.clear()
@@ -228,92 +315,157 @@ def _chunks(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = batch.schema.field(0).type
         for id_, held_out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             words = words_of(text.as_py())
+            words.append(b"")
             tokens.append(np.fromiter(map(index.__getitem__, words), dtype=np.uint32, count=len(words)))
-            tokens.append(np.zeros(1, dtype=np.uint32))
             ids.append(id_)
-            sizes.append(-len(words) - 1 if held_out else len(words) + 1)
-            count += len(words) + 1
+            sizes.append(-len(words) if held_out else len(words))
+            count += len(words)
             if count >= CHUNK:
                 yield out(kind)
     if sizes:
         yield out(kind)
 
 
+@dataclass(frozen=True)
+class _Deal:
+    """Bits of the hash of a pair and of a two-symbol context; ranges of words, pairs, one-symbol contexts and runs; HOT."""
+
+    width: int
+    context: int
+    words: int
+    pairs: int
+    contexts: int
+    runs: int
+    hot: int
+
+    @classmethod
+    def of(cls, tokens: int) -> _Deal:
+        """So wide that a pair meets another one's hash with a probability of 1 / 1024, or less in small corpora."""
+        power = lambda x: 1 << max(0, math.ceil(math.log2(max(x, 1) / RANGE)))
+        bits = math.ceil(math.log2(tokens + 1)) + 10
+        return cls(min(64, max(40, bits)), min(64 - NEXT, max(38, bits)), power(tokens / 4), power(tokens), power(tokens / 4), power(tokens), HOT)
+
+
 class _Chunk:
-    """The runs of one chunk: of each position the symbol, and the runs of two and three symbols that end with it."""
+    """The symbols of one chunk, the contexts before each position, and the pairs that end with it."""
 
-    def __init__(self, sizes: bytes, tokens: bytes, words: bytes):
-        signed = unpack(sizes, "i8")
+    def __init__(self, row: dict, deal: _Deal):
+        self.number, self.deal = row["chunk"], deal
+        figures = unpack(row["keys"], "i8")
+        signed, often = figures[1 : figures[0] + 1], figures[figures[0] + 1 :]
         self.held, self.sizes = signed < 0, np.abs(signed)
-        self.tokens = unpack(tokens, "u4")
-        self.words = words.split(b"\n") if words else []
+        self.tokens = _by_rank(often)[0][unpack_ranks(row["values"])]
+        self.words = expand(row["words"]).split(b"\n")
         self.learnt = np.repeat(~self.held, self.sizes)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        hashes = np.concatenate([[END], np.fromiter(map(xxhash.xxh64_intdigest, self.words), dtype=np.uint64, count=len(self.words))])
-        self.symbol_keys = hashes  # by the chunk's numbers
-        self.symbols = hashes[self.tokens]
-        before = np.concatenate([[START], self.symbols[:-1]])
+        self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.words), dtype=np.uint64, count=len(self.words))
+        self.hashes[0] = END
+        symbols = self.hashes[self.tokens]
+        before = np.concatenate([[START], symbols[:-1]])
         before[self.starts] = START
-        self.context1 = before
-        self.run2 = _mix(before, self.symbols)
-        self.context2 = np.concatenate([[START], self.run2[:-1]])  # of a text's first symbol: none
-        self.run3 = _mix(self.context2, self.symbols)
-        self.later = np.ones(len(self.tokens), dtype=bool)
-        self.later[self.starts] = False
-        # distinct runs, their counts in the learnt texts, and where each position's are among them
-        both = np.concatenate([self.run2, self.run3[self.later]])
-        self.runs, inverse = np.unique(both, return_inverse=True)
-        counted = np.concatenate([self.learnt, self.learnt[self.later]])
-        self.run_counts = np.bincount(inverse[counted], minlength=len(self.runs)).astype(np.uint32)
-        self.at2 = inverse[: len(self.tokens)]
-        self.at3 = np.zeros(len(self.tokens), dtype=np.int64)
-        self.at3[self.later] = inverse[len(self.tokens) :]
-
-    def ask(self, chunk: int, ranges: int) -> Iterator[tuple]:
-        order = np.argsort(self.symbol_keys, kind="stable")
-        keys = self.symbol_keys[order]
-        counts = np.bincount(self.tokens[self.learnt], minlength=len(keys)).astype(np.uint32)[order]
-        words = [b"", *self.words]
-        for k, a, b in _ranges(keys, ranges):
-            yield chunk, 1, k, pack_sorted(keys[a:b]), pack(counts[a:b]), b"\n".join([words[i] for i in order[a:b]]), b - a
-        for k, a, b in _ranges(self.runs, ranges):
-            yield chunk, 2, k, pack_sorted(self.runs[a:b]), pack(self.run_counts[a:b]), None, b - a
+        pair = _mix(before, symbols)
+        self.context1 = before >> np.uint64(64 - deal.width)
+        self.context2 = np.concatenate([[START], pair[:-1]])  # of a text's first symbol: none
+        self.next = (symbols * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(64 - NEXT)
+        self.pairs, self.at = distinct(pair >> np.uint64(64 - deal.width), deal.width)
+
+    def _word_ranges(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(range, numbers of the words) by the hash of the words."""
+        bits = self.deal.words.bit_length() - 1
+        at = (self.hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(self.hashes), dtype=np.int64)
+        yield from _runs_of(at)
+
+    def ask(self) -> Iterator[tuple]:
+        learnt = np.bincount(self.tokens[self.learnt], minlength=len(self.words)).astype(np.uint32)
+        for k, part in self._word_ranges():
+            yield self.number, 1, k, None, pack(learnt[part]), squeeze(b"\n".join([self.words[i] for i in part.tolist()]), _DENSE), len(part)
+        counts = np.bincount(self.at[self.learnt], minlength=len(self.pairs)).astype(np.uint32)
+        for k, a, b in _ranges(self.pairs, self.deal.width, self.deal.pairs):
+            yield self.number, 2, k, pack_sorted(self.pairs[a:b]), pack(counts[a:b]), None, b - a
 
     def told(self, rows: list[dict]) -> None:
-        """Counts in the corpus: of the chunk's symbols, of each position's run, and of the contexts before it."""
-        parts = {p: np.concatenate([np.zeros(0, np.int64)] + [unpack(r["values"], "i8") for r in sorted(rows, key=lambda r: r["range"]) if r["part"] == p]) for p in (1, 2, 3)}
-        order = np.argsort(self.symbol_keys, kind="stable")
-        self.symbol_counts = np.zeros(len(order), dtype=np.int64)
-        self.symbol_counts[order] = parts[1]
-        self.count1, self.count2, self.count3 = self.symbol_counts[self.tokens], parts[2][self.at2], np.where(self.later, parts[2][self.at3], 0)
+        """Counts in the corpus: of the chunk's words, of each position's pair, and of the contexts before it."""
+        rows = sorted(rows, key=lambda r: r["range"])
+        self.word_counts = np.zeros(len(self.words), dtype=np.int64)
+        self.word_counts[np.concatenate([p for _, p in self._word_ranges()])] = _joined(rows, 1)
+        self.count1, self.count2 = self.word_counts[self.tokens], _joined(rows, 2)[self.at]
         self.total1 = np.concatenate([[0], self.count1[:-1]])  # how often the symbol before occurs
         self.total1[self.starts] = -1  # the start: as often as there are texts
-        self.total2 = np.where(self.later, np.concatenate([[0], self.count2[:-1]]), 0)
-        self.agreeing = parts[3]
-
-    def contexts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct contexts that occur twice or more; for each position its one-symbol and two-symbol context's place (or the last)."""
-        one, two = self.total1 != 0, self.total2 > 1
-        keys, inverse = np.unique(np.concatenate([self.context1[one], self.context2[two]]), return_inverse=True)
-        at1, at2 = (np.full(len(self.tokens), len(keys)) for _ in range(2))
-        at1[one], at2[two] = inverse[: one.sum()], inverse[one.sum() :]
-        return keys, at1, at2
-
-    def ask_contexts(self, chunk: int, ranges: int) -> Iterator[tuple]:
-        keys, at1, at2 = self.contexts()
-        pairs = np.zeros(len(keys) + 1)
-        for at, count in ((at1, self.count2), (at2, self.count3)):
-            use = self.learnt & (count > 1)
-            pairs += np.bincount(at[use], weights=count[use] - 1, minlength=len(pairs))
-        agreeing = pairs[:-1].astype(np.int64)  # over all occurrences of a run n - 1 for each: n (n - 1), both ways round
-        for k, a, b in _ranges(keys, ranges):
-            yield chunk, 3, k, pack_sorted(keys[a:b]), pack(agreeing[a:b]), None, b - a
-
-
-def _ranges(keys: np.ndarray, ranges: int) -> Iterator[tuple[int, int, int]]:
+        self.total2 = np.concatenate([[0], self.count2[:-1]])
+        self.total2[self.starts] = 0
+        use = (self.total1 > 1) | (self.total1 < 0)
+        self.keys1, inverse = distinct(self.context1[use], self.deal.width)
+        self.at1 = np.full(len(self.tokens), len(self.keys1))
+        self.at1[use] = inverse
+        # runs of three, where they are not known: in a learnt text, what follows a context that occurs twice is no run that
+        # occurs twice if even its last two symbols occur once
+        self.open = (self.total2 > 1) & ~(self.learnt & (self.total2 == 2) & (self.count2 == 1))
+        self._runs()
+
+    def _runs(self) -> None:
+        """The distinct runs of three that are asked for, with what is added of hot contexts, by range and key."""
+        deal, short = self.deal, np.uint64(NEXT)
+        keys = ((self.context2[self.open] >> np.uint64(64 - deal.context)) << short) | self.next[self.open]
+        found, first, self.at3 = np.unique(keys, return_index=True, return_inverse=True)
+        often = self.total2[self.open][first]
+        hot = np.nonzero(often > deal.hot)[0]
+        if len(hot):  # a run for each part of a hot context, which tells the part's agreeing pairs
+            parts = -(-often[hot] // deal.hot)
+            which, at = np.unique(found[hot] >> short, return_index=True)
+            marks = np.concatenate([(c << short) | np.arange(n, dtype=np.uint64) for c, n in zip(which, parts[at].tolist(), strict=True)])
+            often = np.concatenate([often, np.repeat(often[hot][at], parts[at])])
+            found, place, again = np.unique(np.concatenate([found, marks]), return_index=True, return_inverse=True)
+            self.at3, often = again[self.at3], often[place]
+        context, parts = found >> short, np.maximum(-(-often // deal.hot), 1).astype(np.uint64)
+        dealt = np.where(parts > 1, _mix(context, (found & ((np.uint64(1) << short) - np.uint64(1))) % parts) >> np.uint64(64 - deal.context), context)
+        bits = deal.runs.bit_length() - 1
+        self.runs, self.run_ranges = found, list(_runs_of((dealt >> np.uint64(deal.context - bits)).astype(np.int64)))
+
+    def ask_more(self) -> Iterator[tuple]:
+        pairs = np.zeros(len(self.keys1) + 1)
+        use = self.learnt & (self.count2 > 1)
+        pairs += np.bincount(self.at1[use], weights=self.count2[use] - 1, minlength=len(pairs))
+        agreeing = pairs[:-1].astype(np.int64)  # over all occurrences of a pair n - 1 for each: n (n - 1), both ways round
+        for k, a, b in _ranges(self.keys1, self.deal.width, self.deal.contexts):
+            yield self.number, 3, k, pack_sorted(self.keys1[a:b]), pack(agreeing[a:b]), None, b - a
+        counts = np.bincount(self.at3[self.learnt[self.open]], minlength=len(self.runs)).astype(np.uint32)
+        for k, part in self.run_ranges:
+            yield self.number, 6, k, pack_sorted(self.runs[part]), pack(counts[part]), None, len(part)
+
+    def told_more(self, rows: list[dict]) -> None:
+        """Of each position: count of the run of three, agreeing pairs of the one-symbol and of the two-symbol context."""
+        rows = sorted(rows, key=lambda r: r["range"])
+        self.agreeing1 = np.append(_joined(rows, 3), 0)[self.at1]
+        self.count3, self.agreeing2 = self.learnt.astype(np.int64), np.zeros(len(self.tokens), dtype=np.int64)
+        if len(self.runs):
+            order = np.concatenate([p for _, p in self.run_ranges])
+            counts = np.empty(len(self.runs), dtype=np.int64)
+            counts[order] = _joined(rows, 6)
+            contexts, inverse = np.unique(self.runs >> np.uint64(NEXT), return_inverse=True)
+            agreeing = np.zeros(len(contexts), dtype=np.int64)
+            for (_, part), row in zip(self.run_ranges, [r for r in rows if r["part"] == 6], strict=True):
+                at = inverse[part]
+                np.add.at(agreeing, at[np.append(True, at[1:] != at[:-1])], unpack(row["keys"], "i8"))
+            self.count3[self.open] = counts[self.at3]
+            self.agreeing2[self.open] = agreeing[inverse[self.at3]]
+
+
+def _joined(rows: list[dict], part: int) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64)] + [unpack(r["values"], "i8") for r in rows if r["part"] == part])
+
+
+def _runs_of(at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(value, places) of each value, in order of value and place."""
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        for part in np.split(order, np.nonzero(np.diff(at[order]))[0] + 1):
+            yield int(at[part[0]]), part
+
+
+def _ranges(keys: np.ndarray, width: int, ranges: int) -> Iterator[tuple[int, int, int]]:
     """(range, first, end) of sorted keys for each of so many equal ranges of the hash that holds any; a power of two."""
     bits = ranges.bit_length() - 1
-    edges = [0, *np.searchsorted(keys, np.arange(1, ranges, dtype=np.uint64) << np.uint64(64 - bits)).tolist(), len(keys)] if bits else [0, len(keys)]
+    edges = [0, *np.searchsorted(keys, np.arange(1, ranges, dtype=np.uint64) << np.uint64(width - bits)).tolist(), len(keys)]
     for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
         if a < b:
             yield k, a, b
@@ -334,42 +486,59 @@ def _grouped(chunks: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[dic
         yield rows
 
 
-def _ask(ranges: int):
+def _ask(deal: _Deal):
     def run(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (row,) in _grouped(chunks, "chunk"):
-            yield _batch(list(_Chunk(row["keys"], row["values"], row["words"]).ask(row["chunk"], ranges)))
+            yield _batch(list(_Chunk(row, deal).ask()))
 
     return run
 
 
-def _sum(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The corpus's sums, told to each chunk that asks; of words also the vocabulary, its counts in keys."""
-    for rows in _grouped(chunks, "part", "range"):
-        asked = [unpack_sorted(r["keys"]) for r in rows]
-        kind = "i8" if rows[0]["part"] == 3 else "u4"
-        keys, first, inverse = np.unique(np.concatenate(asked), return_index=True, return_inverse=True)
-        sums = np.bincount(inverse, weights=np.concatenate([unpack(r["values"], kind) for r in rows]), minlength=len(keys)).astype(np.int64)
-        out, at = [], 0
-        for r in rows:
-            n = r["n"]
-            out.append((r["chunk"], r["part"], r["range"], None, pack(sums[inverse[at : at + n]]), None, n))
-            at += n
-        if rows[0]["part"] == 1:
-            words = [w for r in rows for w in r["words"].split(b"\n")]
-            known = np.nonzero((sums > 0) & (keys != END))[0]
-            out.append((-1, 4, rows[0]["range"], None, pack(sums[known]), b"\n".join([words[i] for i in first[known].tolist()]), len(known)))
-            ends = int(sums[keys == END].sum())
-            out.append((-2, 4, rows[0]["range"], None, None, None, ends))
-        for k in range(0, len(out), 64):
-            yield _batch(out[k : k + 64])
+def _sum(deal: _Deal):
+    """The corpus's sums, told to each chunk that asks; of words also the vocabulary, of runs also their contexts' agreeing pairs."""
+
+    def run(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(chunks, "part", "range"):
+            place, part = rows[0]["range"], rows[0]["part"]
+            if part == 1:
+                index: dict[bytes, int] = defaultdict()
+                index.default_factory = index.__len__
+                at = [np.fromiter(map(index.__getitem__, expand(r["words"]).split(b"\n")), dtype=np.int64, count=r["n"]) for r in rows]
+                inverse, n = np.concatenate(at), len(index)
+            else:
+                keys, inverse = distinct(np.concatenate([unpack_sorted(r["keys"], r["n"]) for r in rows]), 64 if part == 6 else deal.width)
+                n = len(keys)
+            kind = "i8" if part == 3 else "u4"
+            sums = np.bincount(inverse, weights=np.concatenate([unpack(r["values"], kind) for r in rows]), minlength=n).astype(np.int64)
+            if part == 6:
+                contexts, of = np.unique(keys >> np.uint64(NEXT), return_inverse=True)
+                agreeing = np.bincount(of, weights=sums.astype(float) * (sums - 1), minlength=len(contexts)).astype(np.int64)
+            out, end = [], 0
+            for r in rows:
+                at, end = inverse[end : end + r["n"]], end + r["n"]
+                more = None
+                if part == 6:
+                    said = of[at]
+                    more = pack(agreeing[said[np.append(True, said[1:] != said[:-1])]])
+                out.append((r["chunk"], part, place, more, pack(sums[at]), None, r["n"]))
+            if part == 1:
+                words = list(index)
+                known = [i for i in np.nonzero(sums)[0].tolist() if words[i]]
+                out.append((-1, 4, place, None, pack(sums[known]), squeeze(b"\n".join([words[i] for i in known])), len(known)))
+                if b"" in index:
+                    out.append((-1, 5, place, None, None, None, int(sums[index[b""]])))
+            for k in range(0, len(out), 64):
+                yield _batch(out[k : k + 64])
+
+    return run
 
 
 def _vocabulary(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(words, types, once, pairs, symbols) of parts of the vocabulary, and the byte pairs (code, n) of their words."""
     for batch in chunks:
         for row in batch.to_pylist():
-            counts, words = unpack(row["values"], "i8"), row["words"].split(b"\n") if row["n"] else []
-            figures = [int(counts.sum()), len(counts), int((counts == 1).sum()), float((counts.astype(float) * (counts - 1)).sum()), sum(map(len, words)) + len(words)]
+            counts, words = unpack(row["values"], "i8"), expand(row["words"]).split(b"\n") if row["n"] else []
+            figures = [float(counts.sum()), len(counts), int((counts == 1).sum()), float((counts.astype(float) * (counts - 1)).sum()), sum(map(len, words)) + len(words)]
             codes, n = _pairs_of(words) if words else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.record_batch(
                 [pa.array([None] * 5 + codes.view(np.int64).tolist(), pa.int64()), pa.array(list(range(5)) + [None] * len(codes), pa.int32()), pa.array(figures + n.tolist(), pa.float64())],
@@ -380,24 +549,24 @@ def _vocabulary(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _spelled(model):
     def run(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks:
-            mass = [sum(10 ** model.value.word(w) for w in row["words"].split(b"\n")) if row["n"] else 0.0 for row in batch.to_pylist()]
+            mass = [sum(10 ** model.value.word(w) for w in expand(row["words"]).split(b"\n")) if row["n"] else 0.0 for row in batch.to_pylist()]
             yield pa.record_batch([pa.array(mass, pa.float64())], names=["mass"])
 
     return run
 
 
-def _ask_contexts(ranges: int):
+def _ask_more(deal: _Deal):
     def run(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(chunks, "chunk"):
-            chunk = _Chunk(rows[0]["keys"], rows[0]["values"], rows[0]["words"])
+            chunk = _Chunk(rows[0], deal)
             chunk.told(rows[1:])
-            if out := list(chunk.ask_contexts(rows[0]["chunk"], ranges)):
+            if out := list(chunk.ask_more()):
                 yield _batch(out)
 
     return run
 
 
-def _score(model, figures: dict[str, float], kind: pa.DataType):
+def _score(model, figures: dict[str, float], deal: _Deal, kind: pa.DataType):
     def run(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree: SuffixTree = model.value
         ends, words, types, once, all_pairs, mass = (figures[k] for k in ("ends", "words", "types", "once", "pairs", "mass"))
@@ -405,26 +574,23 @@ def _score(model, figures: dict[str, float], kind: pa.DataType):
         unseen = (once + 0.5) / (words + 1)
         share0 = all_pairs / max(n * (n - 1), 1)
         for rows in _grouped(chunks, "chunk"):
-            chunk = _Chunk(rows[0]["keys"], rows[0]["values"], rows[0]["words"])
-            chunk.told(rows[1:])
-            counts = chunk.symbol_counts
+            chunk = _Chunk(rows[0], deal)
+            chunk.told([r for r in rows[1:] if r["part"] < 3])
+            chunk.told_more([r for r in rows[1:] if r["part"] >= 3])
+            counts = chunk.word_counts
             base = np.log10((counts + 0.5) / (n + 0.5 * (v + 1)))
             # the empty state, by the chunk's numbers
             empty = (1 - unseen) * counts / max(words, 1)
             for i in np.nonzero(counts[1:] == 0)[0].tolist():
-                empty[i + 1] = unseen * 10.0 ** max(tree.word(chunk.words[i]), -300.0) / max(1 - mass, 1e-3)
+                empty[i + 1] = unseen * 10.0 ** max(tree.word(chunk.words[i + 1]), -300.0) / max(1 - mass, 1e-3)
             empty *= (words + 0.5) / (n + 1)
             empty[0] = (ends + 0.5) / (n + 1)
             p = empty[chunk.tokens]
-            _, at1, at2 = chunk.contexts()
-            agreeing = np.append(chunk.agreeing, 0) / 2
             total1 = np.where(chunk.total1 < 0, ends, chunk.total1).astype(float)
-            total2, share = chunk.total2.astype(float), np.full(len(p), share0)
-            for at, total, count in ((at1, total1, chunk.count2), (at2, total2, chunk.count3)):
-                pairs = agreeing[at]
-                keep = kept(total, pairs, share)
+            share = np.full(len(p), share0)
+            for total, count, pairs in ((total1, chunk.count2, chunk.agreeing1 / 2), (chunk.total2.astype(float), chunk.count3, chunk.agreeing2 / 2)):
                 m = weight(np.maximum(total, 1))
-                p = np.where(keep, (count + m * p) / (total + m), p)
+                p = np.where(kept(total, pairs, share), (count + m * p) / (total + m), p)
                 share = np.where(total >= 2, np.maximum(share0, 2 * pairs / np.maximum(total * (total - 1), 1)), share0)
             sums = lambda x: np.add.reduceat(x, chunk.starts)
             yield pa.record_batch(
@@ -460,31 +626,28 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     simple = rows.schema["id"].dataType.simpleString()
     chunks = materialise(rows.mapInArrow(_chunks, f"{_SCHEMA}, ids array<{simple}>"), "chunks")
     plain = chunks.drop("ids")
-    n = chunks.agg(F.sum("n")).first()[0] or 0
-
-    def ranges(keys: float) -> int:
-        return 1 << max(0, int(np.ceil(np.log2(max(keys, 1) / RANGE))))
+    deal = _Deal.of(chunks.agg(F.sum("n")).first()[0] or 0)
 
     def summed(asked: DataFrame, parts: int) -> DataFrame:
-        by_range = asked.repartition(max(2 * parts, 2), "part", "range").sortWithinPartitions("part", "range", "chunk")
-        return materialise(by_range.mapInArrow(_sum, _SCHEMA), "sums")
+        by_range = asked.repartition(parts, "part", "range").sortWithinPartitions("part", "range", "chunk")
+        return materialise(by_range.mapInArrow(_sum(deal), _SCHEMA), "sums")
 
-    counts = summed(plain.mapInArrow(_ask(ranges(2.0 * n)), _SCHEMA), ranges(2.0 * n))
-    vocabulary = counts.where("chunk = -1")
+    counts = summed(plain.mapInArrow(_ask(deal), _SCHEMA), deal.pairs + deal.words)
+    vocabulary = counts.where("part = 4")
     found = materialise(vocabulary.select("values", "words", "n").mapInArrow(_vocabulary, "code long, figure int, n double").groupBy("code", "figure").agg(F.sum("n").alias("n")), "bytes")
     figures = {name: 0.0 for name in ("words", "types", "once", "pairs", "symbols")}
     for row in found.where("code IS NULL").collect():
         figures[list(figures)[row.figure]] = row.n
-    figures["ends"] = float(counts.where("chunk = -2").agg(F.sum("n")).first()[0] or 0)
+    figures["ends"] = float(counts.where("part = 5").agg(F.sum("n")).first()[0] or 0)
     figures["pairs"] += figures["ends"] * (figures["ends"] - 1)  # the end is a symbol like others
     tree = grow(found.where("code IS NOT NULL"), figures["symbols"])
     model = spark.sparkContext.broadcast(tree)
     figures["mass"] = vocabulary.select("words", "n").mapInArrow(_spelled(model), "mass double").agg(F.sum("mass")).first()[0] or 0.0
-    agreeing = summed(_together(plain, counts).mapInArrow(_ask_contexts(ranges(1.0 * n)), _SCHEMA), ranges(1.0 * n))
+    agreeing = summed(_together(plain, counts).mapInArrow(_ask_more(deal), _SCHEMA), deal.contexts + deal.runs)
     discard(found)
     kind = pa.list_(pa.int64()).value_type if simple == "bigint" else pa.int32() if simple == "int" else pa.string()
     fields = f"id {simple}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return _together(chunks, counts, agreeing).mapInArrow(_score(model, figures, kind), fields).withColumnRenamed("id", id_col)
+    return _together(chunks, counts, agreeing).mapInArrow(_score(model, figures, deal, kind), fields).withColumnRenamed("id", id_col)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

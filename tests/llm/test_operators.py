@@ -182,9 +182,10 @@ def lm_rows():
     return texts() + [(2000 + i, " ".join(rnd.choices(words, k=rnd.randrange(0, 60))) + f" {passage[i % 6]} New{i % 11}x") for i in range(120)]
 
 
-@pytest.mark.parametrize("range_", [suffix_tree.RANGE, 700])
-def test_lm_scores(spark, empty, monkeypatch, range_):
+@pytest.mark.parametrize("range_, hot", [(suffix_tree.RANGE, suffix_tree.HOT), (700, 5)])
+def test_lm_scores(spark, empty, monkeypatch, range_, hot):
     monkeypatch.setattr(suffix_tree, "RANGE", range_)
+    monkeypatch.setattr(suffix_tree, "HOT", hot)
     rows = lm_rows()
     plain = plain_model(rows, lambda w: 0.0)
     tree = spelling(plain[2])
@@ -217,6 +218,19 @@ def test_every_state_is_a_distribution():
         assert math.isclose(sum(10 ** tree.symbol(context, a) for a in range(256)), 1, abs_tol=1e-9)
 
 
+def test_ranks_and_keys_survive_packing():
+    rnd = np.random.default_rng(1)
+    for most in (3, 200, 20_000, 3_000_000):
+        ranks = rnd.integers(0, most, 5000).astype(np.uint32)
+        assert (suffix_tree.unpack_ranks(suffix_tree.pack_ranks(ranks)) == ranks).all()
+        keys = np.unique(rnd.integers(0, 2**63, most % 7000 + 1, dtype=np.uint64))
+        assert (suffix_tree.unpack_sorted(suffix_tree.pack_sorted(keys), len(keys)) == keys).all()
+        some = rnd.integers(0, 50, 400, dtype=np.uint64)
+        for width in (40, 64):
+            found, inverse = suffix_tree.distinct(some, width)
+            assert (found == np.unique(some)).all() and (found[inverse] == some).all()
+
+
 def test_nothing_to_learn_from_and_hot_texts(spark):
     only_held = [(i, "some words here") for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 1]
     out = suffix_tree.score_texts(frame(spark, only_held)).collect()
