@@ -47,7 +47,7 @@ DEPTH, DEVIATIONS = 2, 2.0
 #: Bytes of the longest context of the spelling; pairs and contexts below these shares of all bytes are not in its tree.
 SPELLING, PAIR_SHARE, CONTEXT_SHARE = 5, 5e-6, 5e-5
 #: Tokens of a chunk, unless one text has more; hashes that one task counts; occurrences of a context that one task counts.
-CHUNK, RANGE, HOT = 1 << 20, 2_000_000, 1 << 20
+CHUNK, RANGE, HOT = 3 << 18, 2_000_000, 1 << 20
 #: Bits of the hash of the symbol after a two-symbol context.
 NEXT = 18
 #: Hashes of the start and the end of a text, which no word has but by chance.
@@ -354,7 +354,7 @@ class _Chunk:
         figures = unpack(row["keys"], "i8")
         signed, often = figures[1 : figures[0] + 1], figures[figures[0] + 1 :]
         self.held, self.sizes = signed < 0, np.abs(signed)
-        self.tokens = _by_rank(often)[0][unpack_ranks(row["values"])]
+        self.tokens = _by_rank(often)[0].astype(np.uint32)[unpack_ranks(row["values"])]
         self.words = expand(row["words"]).split(b"\n")
         self.learnt = np.repeat(~self.held, self.sizes)
         self.starts = np.cumsum(self.sizes) - self.sizes
@@ -367,7 +367,9 @@ class _Chunk:
         self.context1 = before >> np.uint64(64 - deal.width)
         self.context2 = np.concatenate([[START], pair[:-1]])  # of a text's first symbol: none
         self.next = (symbols * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(64 - NEXT)
-        self.pairs, self.at = distinct(pair >> np.uint64(64 - deal.width), deal.width)
+        del symbols, before
+        self.pairs, at = distinct(pair >> np.uint64(64 - deal.width), deal.width)
+        self.at = at.astype(np.uint32)
 
     def _word_ranges(self) -> Iterator[tuple[int, np.ndarray]]:
         """(range, numbers of the words) by the hash of the words."""
@@ -388,15 +390,16 @@ class _Chunk:
         rows = sorted(rows, key=lambda r: r["range"])
         self.word_counts = np.zeros(len(self.words), dtype=np.int64)
         self.word_counts[np.concatenate([p for _, p in self._word_ranges()])] = _joined(rows, 1)
-        self.count1, self.count2 = self.word_counts[self.tokens], _joined(rows, 2)[self.at]
-        self.total1 = np.concatenate([[0], self.count1[:-1]])  # how often the symbol before occurs
+        self.count2 = _joined(rows, 2)[self.at]
+        self.total1 = np.concatenate([[0], self.word_counts[self.tokens[:-1]]])  # how often the symbol before occurs
         self.total1[self.starts] = -1  # the start: as often as there are texts
         self.total2 = np.concatenate([[0], self.count2[:-1]])
         self.total2[self.starts] = 0
         use = (self.total1 > 1) | (self.total1 < 0)
         self.keys1, inverse = distinct(self.context1[use], self.deal.width)
-        self.at1 = np.full(len(self.tokens), len(self.keys1))
+        self.at1 = np.full(len(self.tokens), len(self.keys1), dtype=np.uint32)
         self.at1[use] = inverse
+        del self.at, self.context1, use, inverse
         # runs of three, where they are not known: in a learnt text, what follows a context that occurs twice is no run that
         # occurs twice if even its last two symbols occur once
         self.open = (self.total2 > 1) & ~(self.learnt & (self.total2 == 2) & (self.count2 == 1))
@@ -406,6 +409,7 @@ class _Chunk:
         """The distinct runs of three that are asked for, with what is added of hot contexts, by range and key."""
         deal, short = self.deal, np.uint64(NEXT)
         keys = ((self.context2[self.open] >> np.uint64(64 - deal.context)) << short) | self.next[self.open]
+        del self.context2, self.next
         found, first, self.at3 = np.unique(keys, return_index=True, return_inverse=True)
         often = self.total2[self.open][first]
         hot = np.nonzero(often > deal.hot)[0]
@@ -586,16 +590,18 @@ def _score(model, figures: dict[str, float], deal: _Deal, kind: pa.DataType):
             empty *= (words + 0.5) / (n + 1)
             empty[0] = (ends + 0.5) / (n + 1)
             p = empty[chunk.tokens]
-            total1 = np.where(chunk.total1 < 0, ends, chunk.total1).astype(float)
-            share = np.full(len(p), share0)
-            for total, count, pairs in ((total1, chunk.count2, chunk.agreeing1 / 2), (chunk.total2.astype(float), chunk.count3, chunk.agreeing2 / 2)):
-                m = weight(np.maximum(total, 1))
-                p = np.where(kept(total, pairs, share), (count + m * p) / (total + m), p)
-                share = np.where(total >= 2, np.maximum(share0, 2 * pairs / np.maximum(total * (total - 1), 1)), share0)
+            chunk.total1[chunk.total1 < 0] = int(ends)
+            share = share0
+            for total, count, pairs in ((chunk.total1, chunk.count2, chunk.agreeing1), (chunk.total2, chunk.count3, chunk.agreeing2)):
+                use = kept(total, pairs / 2, share)
+                m = weight(total[use].astype(float))
+                p[use] = (count[use] + m * p[use]) / (total[use] + m)
+                of = total.astype(float)
+                share = np.where(total >= 2, np.maximum(share0, pairs / np.maximum(of * (of - 1), 1)), share0)
             sums = lambda x: np.add.reduceat(x, chunk.starts)
             yield pa.record_batch(
                 [
-                    pa.array(rows[0]["ids"], kind), pa.array(chunk.held), pa.array(chunk.sizes), pa.array(sums((chunk.count1 > 0).astype(np.int64))),
+                    pa.array(rows[0]["ids"], kind), pa.array(chunk.held), pa.array(chunk.sizes), pa.array(sums((counts > 0).astype(np.int64)[chunk.tokens])),
                     pa.array(np.full(len(chunk.sizes), int(n))), pa.array(sums(base[chunk.tokens])), pa.array(sums(np.log10(p))),
                 ],
                 names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
