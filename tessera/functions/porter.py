@@ -92,18 +92,32 @@ def stem(w: str) -> str:
     return w
 
 
+_TOKEN = re.compile(r"[^\W_]+")
+
+
+def unaccented(text: str | None) -> str:
+    """Lower case, without marks on letters."""
+    low = (text or "").lower()
+    return low if low.isascii() else "".join(c for c in unicodedata.normalize("NFD", low) if not unicodedata.combining(c))
+
+
 def tokens_of(text: str | None) -> list[str]:
     """Runs of letters and digits, lower case, without accents, stemmed."""
-    plain = "".join(c for c in unicodedata.normalize("NFD", (text or "").lower()) if not unicodedata.combining(c))
-    return [stem(t) for t in re.findall(r"[^\W_]+", plain)]
+    return [stem(t) for t in _TOKEN.findall(unaccented(text))]
 
 
 def stemmed_tokens(c: Column) -> Column:
-    """Tokens of a text column, by Arrow batches."""
+    """Tokens of a text column, by Arrow batches; a worker stems each distinct token of a batch once."""
 
     @F.pandas_udf("array<string>")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, str] = {}
         for part in texts:
-            yield part.map(tokens_of)
+            found = [_TOKEN.findall(unaccented(t)) for t in part]
+            if len(known) > 500_000:
+                known.clear()
+            for token in {t for tokens in found for t in tokens} - known.keys():
+                known[token] = stem(token)
+            yield pd.Series([[known[t] for t in tokens] for tokens in found], index=part.index)
 
     return run(c)

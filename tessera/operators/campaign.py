@@ -13,11 +13,14 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.backends import ModelError, complete, embed
+from tessera.backends import ModelError, complete, embed, strip_thinking
 from tessera.functions import dates as D
 from tessera.functions import text as T
 from tessera.functions.porter import stemmed_tokens
 from tessera.operators import context, retrieval, turns
+from tessera.operators.chunking import chunk_documents
+from tessera.operators.pointer import Pointer
+from tessera.sources.loaders import contents, list_files, load_files
 
 SCHEMAS = {
     "campaign": "key string, value string, turn bigint",
@@ -32,36 +35,25 @@ DEFAULTS = {"date": "2025-04-14", "time": "08:30", "location": "", "title": ""}
 
 
 class Tables:
-    """Named tables in a folder; the pointer file says which generation of each is current."""
+    """Named tables in a folder; a pointer says which generation of each is current."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _fs(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
-    def _pointer(self) -> dict[str, str]:
-        fs, path = self._fs("pointer.json")
-        return json.loads(self.spark.read.text(f"{self.root}/pointer.json").first()[0]) if fs.exists(path) else {}
+    def _pointer(self) -> Pointer:
+        return Pointer(self.spark, self.root, "tables")
 
     def read(self, name: str) -> DataFrame:
-        folder = self._pointer().get(name)
+        folder = (self._pointer().read() or {}).get(name)
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{folder}") if folder else self.spark.createDataFrame([], SCHEMAS[name])
 
     def commit(self, **changed: DataFrame) -> None:
         """All of the tables or none: the pointer moves once, when every table is written."""
-        pointer = self._pointer()
+        folders = self._pointer().read() or {}
         for name, df in changed.items():
-            pointer[name] = f"{name}/{uuid.uuid4().hex}"
-            df.select(*[c.split()[0] for c in SCHEMAS[name].split(", ")]).coalesce(1).write.parquet(f"{self.root}/{pointer[name]}")
-        fs, path = self._fs("pointer.json")
-        _, fresh = self._fs(f".pointer-{uuid.uuid4().hex}")
-        out = fs.create(fresh, True)
-        out.write(bytearray(json.dumps(pointer).encode()))
-        out.close()
-        fs.delete(path, False)
-        fs.rename(fresh, path)
+            folders[name] = f"{name}/{uuid.uuid4().hex}"
+            df.select(*[c.split()[0] for c in SCHEMAS[name].split(", ")]).coalesce(1).write.parquet(f"{self.root}/{folders[name]}")
+        self._pointer().write(folders)
 
 
 def campaigns(spark: SparkSession, root: str) -> list[str]:
@@ -70,8 +62,8 @@ def campaigns(spark: SparkSession, root: str) -> list[str]:
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return []
-    found = [s.getPath() for s in fs.listStatus(path) if s.isDirectory()]
-    return sorted(p.getName() for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "pointer.json")))
+    found = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()]
+    return sorted(name for name in found if Pointer(spark, f"{root.rstrip('/')}/{name}", "tables").read() is not None)
 
 
 class Campaign:
@@ -84,9 +76,14 @@ class Campaign:
 
     # -- key-value state ---------------------------------------------------------------------------------------------
 
+    def all_settings(self) -> dict:
+        """Date, time, location and title, with their defaults, and whether the campaign has started."""
+        log = self.tables.read("campaign").withColumn("c", F.lit(0))
+        row = turns.settings(log, ["c"], {k: json.dumps(v) for k, v in DEFAULTS.items()}).first()
+        return {k: json.loads(row[k]) for k in DEFAULTS} | {"started": row["started"]} if row else DEFAULTS | {"started": False}
+
     def setting(self, key: str) -> str:
-        row = self.tables.read("campaign").where(F.col("key") == key).select("value").first()
-        return json.loads(row[0]) if row else DEFAULTS.get(key, "")
+        return self.all_settings()[key]
 
     def _settings(self, turn: int, **values) -> DataFrame:
         """The key-value table with these keys written, last write wins."""
@@ -94,12 +91,12 @@ class Campaign:
         return self.tables.read("campaign").join(new.select("key"), "key", "left_anti").unionByName(new)
 
     def clock(self):
-        row = self.spark.range(1).select(D.parse(F.lit(self.setting("date")), F.lit(self.setting("time")))).first()
-        return row[0]
+        now = self.all_settings()
+        return self.spark.range(1).select(D.parse(F.lit(now["date"]), F.lit(now["time"]))).first()[0]
 
     @property
     def started(self) -> bool:
-        return bool(self.setting("title"))
+        return self.all_settings()["started"]
 
     # -- sources -----------------------------------------------------------------------------------------------------
 
@@ -124,7 +121,9 @@ class Campaign:
         return self.spark.createDataFrame(rows, "kind string, turn bigint, `when` string, texts array<string>")
 
     def _written(self, rows: list[tuple]) -> DataFrame:
-        new = self._rows("flags", rows)
+        return self._set_flags(self._rows("flags", rows))
+
+    def _set_flags(self, new: DataFrame) -> DataFrame:
         return self.tables.read("flags").join(new.select("key"), "key", "left_anti").unionByName(new)
 
     def lore(self, texts: list[str], turn: int = 0) -> int:
@@ -134,16 +133,52 @@ class Campaign:
             self.tables.commit(memories=self.tables.read("memories").unionByName(new))
         return n
 
+    def ingest_lore(self, paths: list[str], *, turn: int = 0) -> dict:
+        """Files and folders as lore: each chunk a memory that is found beside those of the story. Counters of what was done.
+
+        A memory is known by its file and place, so reading a file again adds only what it did not have."""
+        memories = self.tables.read("memories")
+        out = {"added": 0, "failed": 0, "skipped": 0, "missing": []}
+        for path in paths:
+            try:
+                files = list_files(self.spark, path).persist()
+            except FileNotFoundError:
+                out["missing"].append(path)
+                continue
+            good = contents(self.spark, [path]).join(files.where("status = 'ok'").select("path"), "path", "left_semi")
+            loaded = load_files(good).persist()
+            cut = chunk_documents(loaded.where("error IS NULL").select(F.col("path").alias("doc_id"), "blocks"))
+            name = F.regexp_extract("doc_id", r"([^/]*)\z", 1)
+            rows = cut.select(
+                F.concat(F.lit("file://"), "doc_id", F.lit("#"), F.col("ord").cast("string")).alias("path"), name.alias("title"),
+                F.concat_ws(" > ", F.nullif("heading", F.lit("")), F.lit("lore")).alias("heading"), F.lit("lore").alias("kind"), F.lit(turn).cast("bigint").alias("turn"), "text",
+            )
+            new = rows.join(memories.select("path"), "path", "left_anti").persist()
+            out["added"] += new.count()
+            out["failed"] += loaded.where("error IS NOT NULL").count()
+            out["skipped"] += files.where("status IN ('unsupported', 'oversize')").count()
+            memories = memories.unionByName(new)
+        if out["added"]:
+            self.tables.commit(memories=memories)
+        self.spark.catalog.clearCache()
+        return out
+
     # -- the log -----------------------------------------------------------------------------------------------------
 
+    def _log(self) -> DataFrame:
+        return self.tables.read("turns").withColumn("c", F.lit(0))
+
     def turn_count(self) -> int:
-        return int(self.tables.read("turns").agg(F.coalesce(F.max("n"), F.lit(0))).first()[0])
+        one = self.spark.range(1).select(F.lit(0).alias("c"))
+        return int(turns.turn_count(one, self._log(), ["c"]).first()["last"])
 
     def _append(self, entry: dict, action: str) -> int:
-        n = self.turn_count() + 1
-        row = (n, self.clock(), entry["title"], self.setting("location"), action, entry["narration"], entry["choices"], entry["words"], "", False)
-        self.tables.commit(turns=self.tables.read("turns").unionByName(self._rows("turns", [row])))
-        return n
+        now = self.all_settings()
+        kinds = SCHEMAS["turns"].split(", ", 1)[1]
+        row = (self.clock(), entry["title"], now["location"], action, entry["narration"], entry["choices"], entry["words"], "", False)
+        log = turns.append(self._log(), self.spark.createDataFrame([row], kinds).withColumn("c", F.lit(0)), ["c"])
+        self.tables.commit(turns=log)
+        return self.turn_count()
 
     def open_with(self, prose: str, title: str = "Opening", choices: list[str] | None = None) -> int:
         """Prose as the first turn, archived like any other."""
@@ -156,12 +191,13 @@ class Campaign:
         return [*choices, *D.FILLER][:5]
 
     def pending(self) -> list[str]:
-        row = self.tables.read("turns").select(F.max_by("choices", "n")).first()
-        return list(row[0] or [])
+        row = turns.last_turn(self._log(), ["c"], "choices").first()
+        return list(row["choices"] or []) if row else []
 
     def history(self, last: int = 12) -> list:
-        shown = turns.recent(self.tables.read("turns").withColumn("c", F.lit(0)), last, ["c"])
-        return shown.select("n", D.entry(F.col("at"), F.col("title"), F.col("narration"), F.col("choices")).alias("entry")).orderBy("n").collect()
+        text = D.entry(F.col("at"), F.col("title"), F.col("narration"), F.col("choices"))
+        shown = turns.recent(self._log(), last, ["c"]).select("n", "title", F.col("at").cast("string").alias("when"), "action", "summary", "words", text.alias("entry"))
+        return shown.orderBy("n").collect()
 
     # -- memory ------------------------------------------------------------------------------------------------------
 
@@ -177,8 +213,9 @@ class Campaign:
     def _archive(self, n: int, latest: bool = True) -> dict:
         """Distil a turn into memories; the state follows only the latest turn."""
         turn = self.tables.read("turns").where(F.col("n") == n).first()
-        roster = self.tables.read("characters").orderBy("slug").collect()
-        cast = "\n".join(f"- {c.slug}: {c.name} ({c.role})" for c in roster) or "(nobody yet)"
+        characters = self.tables.read("characters")
+        listed = turns.roster(characters.withColumn("c", F.lit(0)), "c").first()
+        cast = listed["roster"] if listed else "(nobody yet)"
         ask = f"Cast:\n{cast}\n\nAction: {turn.action}\n\n{turn.narration}\n\nAnswer with one JSON object: summary, facts, events, present, relationships, flags, minutes_elapsed, location, title."
         try:
             found = turns.distillate(complete(self.model, [{"role": "system", "content": "You keep the archive."}, {"role": "user", "content": ask}], temperature=0.0, max_tokens=900))
@@ -188,26 +225,29 @@ class Campaign:
         when = self.spark.range(1).select(D.pretty_date(F.lit(turn.at))).first()[0]
         known = self.tables.read("memories")
         new = turns.new_memories(self._entries([("summary", n, when, [summary]), ("fact", n, when, found["facts"]), ("event", n, when, found["events"])]), known)
-        log = self.tables.read("turns").withColumn("summary", F.when(F.col("n") == n, F.lit(summary)).otherwise(F.col("summary"))).withColumn("archived", F.col("archived") | (F.col("n") == n))
+        said = self.spark.createDataFrame([(0, n, summary)], "c int, n bigint, summary string")
+        log = turns.with_summaries(self._log(), said, ["c"])
+        if latest and found["title"]:  # a turn that was left without a title takes the archivist's
+            log = log.withColumn("title", F.when((F.col("n") == n) & (F.coalesce("title", F.lit("")) == ""), F.lit(found["title"])).otherwise(F.col("title")))
         changed: dict[str, DataFrame] = {"memories": known.unionByName(new), "turns": log}
         if latest:
-            slugs = {c.slug for c in roster}
             later = self.spark.range(1).select(D.advance(F.lit(turn.at), F.lit(found["minutes"])).alias("t")).select(F.date_format("t", "yyyy-MM-dd"), F.date_format("t", "HH:mm")).first()
             values = {"date": later[0], "time": later[1]} | ({"location": found["location"]} if found["location"] else {})
             changed["campaign"] = self._settings(n, **values)
             if found["present"]:
-                changed["characters"] = turns.set_present(self.tables.read("characters"), self.spark.createDataFrame([(s,) for s in found["present"]], "slug string"))
-            ties = [(r["other"], r["label"], r["closeness"], r["note"]) for r in found["relationships"] if r["other"] in slugs]
+                changed["characters"] = turns.set_present(characters, self.spark.createDataFrame([(s,) for s in found["present"]], "slug string"))
+            ties = [(r["other"], r["label"], r["closeness"], r["note"]) for r in found["relationships"]]
             if ties:
-                changed["relationships"] = turns.upsert_relationships(self.tables.read("relationships"), self._rows("relationships", ties))
+                changed["relationships"] = turns.upsert_relationships(self.tables.read("relationships"), turns.known(self._rows("relationships", ties), characters, "other"))
             if found["flags"]:
-                changed["flags"] = self._written([(k, json.dumps(v), n) for k, v in found["flags"].items()])
+                said = self.spark.createDataFrame([({k: json.dumps(v) for k, v in found["flags"].items()}, n)], "flags map<string,string>, turn bigint")
+                changed["flags"] = self._set_flags(turns.flags(said, "turn"))
         self.tables.commit(**changed)
         return found
 
     def catch_up(self) -> list[int]:
         """Archive what was left over, in order; only the latest turn moves the state."""
-        left = [r.n for r in self.tables.read("turns").where("NOT archived").select("n").orderBy("n").collect()]
+        left = [r.n for r in turns.unarchived(self.tables.read("turns")).select("n").orderBy("n").collect()]
         last = self.turn_count()
         for n in left:
             self._archive(n, latest=n == last)
@@ -234,10 +274,10 @@ class Campaign:
 
     def prompt(self, action: str, recalled: list) -> str:
         people = self.tables.read("characters").withColumn("block", T.character_block(F.col("name"), F.col("role"), F.col("sheet")))
-        cast = people.where("present").orderBy(F.desc("protagonist"), "name").collect()
+        cast = turns.present(people).orderBy("place").collect()
         hero = people.where("protagonist").orderBy("slug").first()
         ties = turns.standing(self.tables.read("relationships"), self.tables.read("characters")).collect()
-        log = turns.recent(self.tables.read("turns").withColumn("c", F.lit(0)), turns.VERBATIM + turns.SUMMARIES, ["c"]).orderBy("n").collect()
+        log = turns.recent(self._log(), turns.VERBATIM + turns.SUMMARIES, ["c"]).orderBy("n").collect()
         arcs = self.tables.read("arcs").orderBy(F.desc("from_turn")).limit(turns.ARC_CONTEXT).collect()[::-1]
         memory, spent = [], 0
         for i, h in enumerate(recalled, 1):
@@ -277,11 +317,11 @@ class Campaign:
             for token in self.model.chat(messages):
                 raw_entry += token
                 yield {"type": "token", "text": token}
-            first = turns.parse_entry(raw_entry, least=self.least, most=self.most)
-            entry, notes = turns.repair(self.model, messages, raw_entry, least=self.least, most=self.most, repairs=self.repairs)
         except ModelError as e:
             yield {"type": "error", "error": str(e)}
             return
+        first = turns.parse_entry(strip_thinking(raw_entry), least=self.least, most=self.most)
+        entry, notes = turns.repair(self.model, messages, raw_entry, least=self.least, most=self.most, repairs=self.repairs)
         if entry["narration"] != first["narration"] or entry["choices"] != first["choices"]:
             yield {"type": "revised", "problems": first["problems"]}
         entry["choices"] = self._five(entry["choices"])
@@ -292,11 +332,12 @@ class Campaign:
         arc = self._fold()
         if arc:
             yield {"type": "arc", "text": arc}
-        yield {"type": "turn", "n": n, "error": found["error"]}
+        yield {"type": "turn", "n": n, "error": found["error"], "notes": notes + ([f"archivist: {found['error']}"] if found["error"] else [])}
 
     def status(self) -> dict:
         counts = {r.kind: r.n for r in turns.memory_counts(self.tables.read("memories")).collect()}
         return {
             "title": self.setting("title"), "clock": str(self.clock()), "location": self.setting("location"), "turns": self.turn_count(), "memories": counts,
-            "present": [r[0] for r in self.tables.read("characters").where("present").orderBy(F.desc("protagonist"), "name").select("slug").collect()],
+            "present": [r["slug"] for r in turns.present(self.tables.read("characters")).orderBy("place").collect()], "arcs": self.tables.read("arcs").count(),
+            "characters": self.tables.read("characters").count(), "flags": {r.key: json.loads(r.value) for r in self.tables.read("flags").orderBy("key").collect()},
         }

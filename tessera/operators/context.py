@@ -53,15 +53,30 @@ def history(entries: Column, last: int = 4) -> Column:
     return F.filter(recent, lambda m: m["role"].isin("user", "assistant") & (m["content"] != ""))
 
 
+def session_memory(log: DataFrame, by: list[str], last: int = 4) -> DataFrame:
+    """(by, n, memory) of chat logs (by, n, role, content): what is remembered before each entry, as messages; see :func:`history`.
+
+    Entries before which nothing is remembered are left out."""
+    before = Window.partitionBy(*by).orderBy("n").rowsBetween(-last, -1)
+    said = F.collect_list(F.struct("role", "content")).over(before)
+    found = log.select(*by, "n", said.alias("_said")).withColumn("memory", history(F.col("_said"), last))
+    return found.where(F.size("memory") > 0).select(*by, "n", "memory")
+
+
 def recall_query(action: Column, summaries: Column) -> Column:
     n = F.size(summaries)
     recent = F.filter(F.slice(summaries, F.greatest(n - 1, F.lit(1)), 2), lambda s: s != "")
     return F.substring(F.array_join(F.concat(F.array(T.trim(action)), recent), " "), 1, 1200)
 
 
+def remembered(past: list[dict], last: int = 4) -> list[dict]:
+    """As :func:`history`, of the one chat that a driver holds."""
+    return [m for m in past[-last:] if m.get("role") in ("user", "assistant") and m.get("content")]
+
+
 def messages(question: str, context: str, past: list[dict]) -> list[dict]:
     """A chat: instructions, what was said before, the fenced sources with the question."""
-    kept = [m for m in past[-4:] if m.get("role") in ("user", "assistant") and m.get("content")]
+    kept = remembered(past)
     asked = f"<sources>\n{context}\n</sources>\n\nQuestion: {question}"
     return [{"role": "system", "content": INSTRUCTIONS}, *kept, {"role": "user", "content": asked}]
 

@@ -1,24 +1,28 @@
 """The index: documents and chunks as immutable snapshots, one folder for each generation.
 
 A change writes a new generation and then moves the pointer; a failure before that leaves the last good one in place. Incremental
-ingest classifies files by joins, and parses only what changed.
+ingest classifies files by joins, reads only what size and time do not settle, and parses only what changed.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.backends import HASH_MODEL, embed
 from tessera.functions import text as T
+from tessera.functions.porter import stemmed_tokens
+from tessera.operators import retrieval
 from tessera.operators.chunking import chunk_documents
-from tessera.sources.loaders import extension, list_files, load_files, title_of
+from tessera.operators.pointer import Pointer
+from tessera.sources.loaders import contents, extension, list_files, load_files, title_of
 
 DOCUMENTS = "doc_id bigint, path string, title string, ext string, bytes bigint, mtime double, sha256 string, n_chunks int"
+POSTINGS = "chunk_id bigint, d int, field string, pos int, token string, bucket int"
+#: Files up to which contents are read by name.
+BY_NAME = 5_000
 CHUNKS = "chunk_id bigint, doc_id bigint, ord int, heading string, page int, text string, vec array<float>"
 
 
@@ -30,6 +34,51 @@ def change_status(listed_bytes: Column, listed_mtime: Column, sha: Column, store
     return F.when(F.coalesce(same, F.lit(False)), "unchanged").when(F.coalesce(whole & (s("sha256") == sha), F.lit(False)), "touched").otherwise("parse")
 
 
+def content_hash(content: Column) -> Column:
+    """SHA-256 of a file's content, in hexadecimal digits."""
+    return F.sha2(content, 256)
+
+
+def remembered(old: Column, new: Column) -> Column:
+    """Roots that are remembered after these are given: each once, sorted."""
+    return F.array_sort(F.array_union(old, new))
+
+
+def refresh_counts(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The documents with n_chunks as the chunks (doc_id, ...) say."""
+    n = chunks.groupBy("doc_id").agg(F.count("*").cast("int").alias("_n"))
+    return documents.drop("n_chunks").join(n, "doc_id", "left").withColumn("n_chunks", F.coalesce("_n", F.lit(0))).drop("_n")
+
+
+def upsert(old: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
+    """(doc_id, path, columns) of all documents: new ones by path in place of old ones, whose ids they keep.
+
+    Documents that were not known are numbered in order of path after the highest id. Numbers are dealt by a range exchange and
+    the sizes of its parts, so that no task holds all of them."""
+    fresh = new.select("path", *columns).join(old.select("path", "doc_id"), "path", "left")
+    stay = old.join(new.select("path"), "path", "left_anti").select("doc_id", "path", *columns)
+    known = fresh.where("doc_id IS NOT NULL").select("doc_id", "path", *columns)
+    top = int(old.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0])
+    added = numbered(fresh.where("doc_id IS NULL").drop("doc_id"), "path", "doc_id", top).select("doc_id", "path", *columns)
+    return stay.unionByName(known).unionByName(added)
+
+
+def numbered(rows: DataFrame, key: str, name: str, after: int = 0) -> DataFrame:
+    """Numbers from ``after`` + 1 in order of a key that is distinct."""
+    cuts = rows.select(key).repartitionByRange(key).select(key, F.spark_partition_id().alias("_part")).persist()
+    sizes = cuts.groupBy("_part").agg(F.min(key).alias("_from"), F.count("*").alias("_size"))
+    parts = sizes.withColumn("_before", F.sum("_size").over(Window.orderBy("_from").rowsBetween(Window.unboundedPreceding, -1)))  # one row for each part
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(key))
+    placed = cuts.withColumn("_n", within).join(F.broadcast(parts.select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))), "_part")
+    return rows.join(placed.select(key, (F.lit(after) + F.col("_before") + F.col("_n")).cast("bigint").alias(name)), key)
+
+
+def delete(documents: DataFrame, chunks: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents and chunks without those of the documents ``gone`` (doc_id)."""
+    ids = gone.select("doc_id").distinct()
+    return documents.join(ids, "doc_id", "left_anti"), chunks.join(ids, "doc_id", "left_anti")
+
+
 def under(path: Column, root: str) -> Column:
     return (path == root) | path.startswith(root.rstrip("/") + "/")
 
@@ -70,112 +119,130 @@ def by_extension(documents: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
-    """An index in a folder: ``generation-N`` folders and a pointer file."""
+    """An index in a folder: ``generation-N`` folders with documents, chunks and postings, and a pointer to the current one."""
 
     spark: SparkSession
     root: str
 
-    def _file(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+    def _pointer(self) -> Pointer:
+        return Pointer(self.spark, self.root, "meta")
 
     def meta(self) -> dict:
-        fs, path = self._file("meta.json")
-        if not fs.exists(path):
-            return {"generation": 0, "roots": [], "embed_model": None, "schema_version": 1}
-        return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.root}/meta.json").collect()))
-
-    def _save(self, meta: dict) -> None:
-        """Write beside, then rename over: readers see the old or the new pointer."""
-        fs, path = self._file("meta.json")
-        _, fresh = self._file(f".meta-{uuid.uuid4().hex}")
-        out = fs.create(fresh, True)
-        out.write(bytearray(json.dumps(meta).encode()))
-        out.close()
-        fs.delete(path, False)
-        if not fs.rename(fresh, path):
-            raise OSError(f"the pointer of {self.root} could not be moved")
-
-    def _folder(self, meta: dict) -> str:
-        return f"{self.root}/generation-{meta['generation']}"
+        return {"generation": 0, "roots": [], "embed_model": None, "schema_version": 1, "n_chunks": 0, "n_tokens": 0} | (self._pointer().read() or {})
 
-    def documents(self) -> DataFrame:
+    def _read(self, name: str, schema: str) -> DataFrame:
         meta = self.meta()
         if not meta["generation"]:
-            return self.spark.createDataFrame([], DOCUMENTS)
-        return self.spark.read.schema(DOCUMENTS).parquet(f"{self._folder(meta)}/documents")
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/generation-{meta['generation']}/{name}")
+
+    def documents(self) -> DataFrame:
+        return self._read("documents", DOCUMENTS)
 
     def chunks(self) -> DataFrame:
+        return self._read("chunks", CHUNKS)
+
+    def postings(self) -> DataFrame:
+        """Stemmed tokens of the chunks with their places, in parts by token; :func:`retrieval.stored` picks the parts of a query."""
+        return self._read("postings", POSTINGS)
+
+    def corpus_stats(self) -> DataFrame:
+        """What BM25 needs to know of the corpus, kept with the generation."""
         meta = self.meta()
-        if not meta["generation"]:
-            return self.spark.createDataFrame([], CHUNKS)
-        return self.spark.read.schema(CHUNKS).parquet(f"{self._folder(meta)}/chunks")
+        return self.spark.range(1).select(F.lit(float(meta["n_chunks"])).alias("n_chunks"), F.lit(meta["n_tokens"] / max(meta["n_chunks"], 1)).alias("avg_tokens"))
 
     def _commit(self, documents: DataFrame, chunks: DataFrame, meta: dict) -> None:
         meta = meta | {"generation": meta["generation"] + 1}
-        folder = self._folder(meta)
-        documents.write.mode("overwrite").parquet(f"{folder}/documents")
-        chunks.write.mode("overwrite").parquet(f"{folder}/chunks")
-        self._save(meta)
+        folder = f"{self.root}/generation-{meta['generation']}"
+        names = lambda schema: [c.split()[0] for c in schema.split(", ")]
+        documents.select(*names(DOCUMENTS)).write.mode("overwrite").parquet(f"{folder}/documents")
+        chunks.select(*names(CHUNKS)).write.mode("overwrite").parquet(f"{folder}/chunks")
+        written = self.spark.read.schema(CHUNKS).parquet(f"{folder}/chunks")
+        posted = retrieval.postings(written, tokens=stemmed_tokens).withColumn("bucket", retrieval.bucket(F.col("token")))
+        posted.select(*names(POSTINGS)).repartition("bucket").sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+        kept = self.spark.read.schema(POSTINGS).parquet(f"{folder}/postings")
+        self._pointer().write(meta | {"n_chunks": written.count(), "n_tokens": kept.count()})
 
     def check_model(self, name: str) -> None:
         stored = self.meta()["embed_model"]
         if stored and stored != name:
             raise RuntimeError(f"the index was built with {stored}, not {name}: reindex")
 
+    def _listing(self, roots: list[str]) -> tuple[DataFrame, list[str]]:
+        """(path, bytes, mtime, status) of the files under the roots, and the roots that do not exist."""
+        listing = self.spark.createDataFrame([], "path string, bytes bigint, mtime double, status string")
+        missing = []
+        for root in sorted(roots):
+            try:
+                listing = listing.unionByName(list_files(self.spark, root))
+            except FileNotFoundError:
+                missing.append(root)
+        return listing, missing
+
+    def _contents(self, files: DataFrame, roots: list[str]) -> DataFrame:
+        """The files with their content. Few are read by name; of many, the roots are read and joined."""
+        names = [r[0] for r in files.select("path").limit(BY_NAME + 1).collect()]
+        if not names:
+            return files.withColumn("content", F.lit(None).cast("binary"))
+        return files.join(contents(self.spark, names if len(names) <= BY_NAME else roots).dropDuplicates(["path"]), "path")
+
     def ingest(self, roots: list[str], *, force: bool = False, prune_missing: bool = True, model: str = HASH_MODEL, embedder=embed) -> dict:
-        """Bring the index up to date with the files under the roots; counters of what was done."""
+        """Bring the index up to date with the files under the roots; counters of what was done.
+
+        Size and time of a file settle most; only what differs in them is read, and only what differs in its content is parsed. A run
+        that changes nothing writes nothing but the roots."""
+        if not roots:
+            raise RuntimeError("no folders are remembered: name some to ingest")
         meta = self.meta()
         self.check_model(model)
-        meta = meta | {"roots": sorted({*meta["roots"], *roots}), "embed_model": model}
-        self._save(meta)  # roots are remembered before any work
-        listing = None
-        for root in sorted(roots):
-            files = list_files(self.spark, root)
-            listing = files if listing is None else listing.unionByName(files)
+        given = lambda names: F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
+        meta = meta | {"roots": list(self.spark.range(1).select(remembered(given(meta["roots"]), given(roots))).first()[0]), "embed_model": model}
+        self._pointer().write(meta)  # roots are remembered before any work
+        listing, missing = self._listing(roots)
+        there = [r for r in roots if r not in missing]
+        listing = listing.persist()
         old = self.documents()
-        ok = listing.where("status = 'ok'").dropDuplicates(["path"])
-        joined = ok.alias("file").join(old.alias("stored"), F.col("file.path") == F.col("stored.path"), "left")
-        sha = F.sha2(F.col("file.content"), 256)
-        status = F.lit("parse") if force else change_status(F.col("file.bytes"), F.col("file.mtime"), sha)
-        files = joined.select("file.*", F.col("stored.doc_id").alias("doc_id"), F.col("stored.n_chunks").alias("had"), sha.alias("sha256"), status.alias("change")).persist()
         try:
-            loaded = load_files(files.where("change = 'parse'")).persist()
-            parsed = files.where("change = 'parse'").drop("content").join(loaded, "path")
-            top = int(old.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0])
-            # ids of new documents follow the old ones in order of path; one number for each new file is collected nowhere
-            fresh = parsed.where("doc_id IS NULL AND error IS NULL").select("path").repartitionByRange("path").sortWithinPartitions("path")
-            numbered = self.spark.createDataFrame(fresh.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1] + top + 1)), "path string, new_id bigint")
-            ready = parsed.where("error IS NULL").join(numbered, "path", "left").withColumn("id", F.coalesce("doc_id", "new_id"))
-            cut = chunk_documents(ready.select(F.col("id").alias("doc_id"), "blocks")).persist()
-            counts = cut.groupBy("doc_id").agg(F.count("*").cast("int").alias("n_chunks"))
+            ok = listing.where("status = 'ok'").dropDuplicates(["path"]).drop("status")
+            joined = ok.alias("file").join(old.alias("stored"), F.col("file.path") == F.col("stored.path"), "left")
+            first_look = F.lit("parse") if force else change_status(F.col("file.bytes"), F.col("file.mtime"), F.lit(None).cast("string"))
+            settled = joined.select("file.*", F.col("stored.sha256").alias("had"), F.col("stored.n_chunks").alias("n_chunks"), first_look.alias("change")).persist()
+            doubtful = self._contents(settled.where("change = 'parse'").drop("change"), there).withColumn("sha256", content_hash(F.col("content")))
+            same = F.lit(False) if force else F.coalesce((F.col("n_chunks") > 0) & (F.col("had") == F.col("sha256")), F.lit(False))
+            doubtful = doubtful.withColumn("change", F.when(same, "touched").otherwise("parse")).drop("had", "n_chunks").persist()
+            loaded = load_files(doubtful.where("change = 'parse'")).persist()
+            ready = doubtful.where("change = 'parse'").drop("content", "change").join(loaded.where("error IS NULL"), "path")
+            cut = chunk_documents(ready.select(F.col("path").alias("doc_id"), "blocks")).withColumnRenamed("doc_id", "path").persist()
             first = F.coalesce(F.try_element_at(F.col("blocks"), F.lit(1))["text"], F.lit(""))
-            changed = ready.join(counts.withColumnRenamed("doc_id", "id"), "id").select(
-                F.col("id").alias("doc_id"), "path", title_of(first, F.col("path")).alias("title"), extension(F.col("path")).alias("ext"), "bytes", "mtime", "sha256", "n_chunks"
-            )
-            touched = files.where("change = 'touched'").select("path", F.col("bytes").alias("b"), F.col("mtime").alias("m"))
-            kept = old.join(changed.select("doc_id"), "doc_id", "left_anti").join(touched, "path", "left")
-            kept = kept.withColumn("bytes", F.coalesce("b", "bytes")).withColumn("mtime", F.coalesce("m", "mtime")).drop("b", "m")
-            gone = prune(old, files, listing, roots) if prune_missing else old.limit(0)
-            documents = kept.join(gone.select("doc_id"), "doc_id", "left_anti").unionByName(changed).select(*[c.split()[0] for c in DOCUMENTS.split(", ")])
-            titled = cut.join(changed.select("doc_id", "title"), "doc_id")
-            new_chunks = titled.select(
-                (F.col("doc_id") * 1_000_000 + F.col("ord")).alias("chunk_id"), "doc_id", "ord", "heading", "page", "text",
-                embedder(T.embed_text(F.col("title"), F.col("heading"), F.col("text"))).alias("vec"),
-            )
-            old_chunks = self.chunks().join(changed.select("doc_id"), "doc_id", "left_anti").join(gone.select("doc_id"), "doc_id", "left_anti")
+            counts = cut.groupBy("path").agg(F.count("*").cast("int").alias("n_chunks"))
+            columns = [c.split()[0] for c in DOCUMENTS.split(", ")][2:]
+            parsed = ready.select("path", title_of(first, F.col("path")).alias("title"), extension(F.col("path")).alias("ext"), "bytes", "mtime", "sha256").join(counts, "path").persist()
+            touched = doubtful.where("change = 'touched'").select("path", F.col("bytes").alias("_b"), F.col("mtime").alias("_m"))
+            seen = old.join(touched, "path", "left").withColumn("bytes", F.coalesce("_b", "bytes")).withColumn("mtime", F.coalesce("_m", "mtime")).drop("_b", "_m")
+            whole = upsert(seen, parsed, columns).persist()
+            gone = (prune(old, ok, listing, there) if prune_missing else old.limit(0)).persist()
+            ids = whole.join(parsed.select("path"), "path", "left_semi").select("path", "doc_id", "title")
             n = lambda df: df.count()
             out = {
-                "added": n(changed.join(old.select("doc_id"), "doc_id", "left_anti")),
-                "updated": n(changed.join(old.select("doc_id"), "doc_id", "left_semi")),
-                "unchanged": n(files.where("change <> 'parse'")),
+                "added": n(parsed.join(old.select("path"), "path", "left_anti")),
+                "updated": n(parsed.join(old.select("path"), "path", "left_semi")),
+                "unchanged": n(settled.where("change = 'unchanged'")) + n(touched),
                 "failed": n(loaded.where("error IS NOT NULL")),
                 "removed": n(gone),
                 "chunks": n(cut),
+                "missing": missing,
             }
             out["skipped"] = n(listing.where("status IN ('unsupported', 'oversize')")) + n(ready) - out["added"] - out["updated"]
             out["failures"] = [(r[0], r[1]) for r in loaded.where("error IS NOT NULL").select("path", "error").orderBy("path").limit(100).collect()]
-            self._commit(documents, old_chunks.unionByName(new_chunks).select(*[c.split()[0] for c in CHUNKS.split(", ")]), meta)
+            if out["added"] or out["updated"] or out["removed"] or not touched.isEmpty():
+                titled = cut.join(ids, "path")
+                new_chunks = titled.select(
+                    (F.col("doc_id") * 1_000_000 + F.col("ord")).alias("chunk_id"), "doc_id", "ord", "heading", "page", "text",
+                    embedder(T.embed_text(F.col("title"), F.col("heading"), F.col("text"))).alias("vec"),
+                )
+                _, old_chunks = delete(old, self.chunks(), ids.select("doc_id").unionByName(gone.select("doc_id")))
+                documents, _ = delete(whole, old_chunks, gone)
+                self._commit(documents, old_chunks.unionByName(new_chunks), meta)
             return out
         finally:
             self.spark.catalog.clearCache()
@@ -192,8 +259,9 @@ class Index:
     def forget(self, target: str, **options) -> int:
         meta, old = self.meta(), self.documents()
         kept = forget(old, target, **options)
-        removed = old.count() - kept.count()
+        gone = old.join(kept.select("doc_id"), "doc_id", "left_anti")
+        removed = gone.count()
         if removed:
             roots = [r for r in meta["roots"] if not r.lower().startswith(target.lower())]
-            self._commit(kept, self.chunks().join(kept.select("doc_id"), "doc_id", "left_semi"), meta | {"roots": roots})
+            self._commit(*delete(old, self.chunks(), gone), meta | {"roots": roots})
         return removed

@@ -1,7 +1,8 @@
 """Hybrid retrieval over batches of queries: exact dense top-k, BM25, rank fusion, floor, cap.
 
-Every operator takes and returns DataFrames, so a whole search is one lazy plan. Query sets are the small side: they are broadcast
-only up to ``QUERIES`` rows at a time, larger sets are searched block by block.
+Every operator takes and returns DataFrames. Query sets are the small side. BM25 is one lazy plan: what a term weighs in a chunk
+is found once for each distinct term, whatever number of queries ask for it. Dense search collects the query vectors when it is
+called, ``QUERIES`` at a time, and broadcasts them; a larger set takes a pass over the index for each block.
 """
 
 from __future__ import annotations
@@ -18,8 +19,12 @@ from tessera.functions import text as T
 RRF_K, DENSE_K, BM25_K, CANDIDATES, TOP_K, PER_DOCUMENT = 60, 40, 40, 40, 6, 3
 CLAUSE_WEIGHT, MARGIN, MINIMUM = 0.5, 12.0, 0.0
 K1, B = 1.2, 0.75
-#: Queries that travel to the tasks at once in dense search.
-QUERIES = 4_096
+#: Queries that travel to the tasks at once in dense search, and how many are compared with a batch of vectors at once.
+QUERIES, TILE = 32_768, 1_024
+#: Distinct query terms up to which they are broadcast; beyond, Spark chooses the join.
+TERMS = 200_000
+#: Parts that stored postings are kept in, by the hash of the token.
+BUCKETS = 256
 
 
 def top(df: DataFrame, k: int, by: Sequence[str], *order: Column, name: str = "rank") -> DataFrame:
@@ -35,25 +40,36 @@ def normalise(vector: Column) -> Column:
     return F.element_at(F.transform(F.array(F.struct(v.alias("v"), size.alias("n"))), lambda p: F.transform(p["v"], lambda x: x / p["n"])), 1)
 
 
-def _dense(queries: list[tuple[int, list[float]]], k: int):
-    ids = np.array([q for q, _ in queries], dtype=np.int64)
-    matrix = np.array([v for _, v in queries], dtype=np.float64)
+def _dense(queries, k: int):
+    """The best k of a task for each query: score descending, then id. ``queries`` is a broadcast (ids, matrix)."""
 
     def run(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the best k of this task for each query: score descending, then id
+        ids, matrix = queries.value
         best_ids = np.zeros((len(ids), 0), dtype=np.int64)
         best = np.zeros((len(ids), 0))
         for batch in chunks:
             if not batch.num_rows:
                 continue
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            vectors = np.array(batch.column(1).to_pylist(), dtype=np.float64)
-            if vectors.ndim != 2 or vectors.shape[1] != matrix.shape[1]:
-                raise ValueError(f"the index has vectors of {vectors.shape[-1]} dimensions, the queries of {matrix.shape[1]}: reindex")
-            best = np.concatenate([best, matrix @ vectors.T], axis=1)
-            best_ids = np.concatenate([best_ids, np.broadcast_to(keys, (len(ids), len(keys)))], axis=1)
-            order = np.lexsort((best_ids, -best), axis=1)[:, :k]
-            best, best_ids = np.take_along_axis(best, order, axis=1), np.take_along_axis(best_ids, order, axis=1)
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            if len(flat) != len(keys) * matrix.shape[1]:
+                raise ValueError(f"the index has vectors of {len(flat) / len(keys):g} dimensions, the queries of {matrix.shape[1]}: reindex")
+            vectors = flat.reshape(len(keys), -1).T
+            n = min(k, best.shape[1] + len(keys))
+            kept, kept_ids = np.empty((len(ids), n)), np.empty((len(ids), n), dtype=np.int64)
+            for at in range(0, len(ids), TILE):
+                here = slice(at, at + TILE)
+                scores = np.concatenate([best[here], matrix[here] @ vectors], axis=1)
+                names = np.concatenate([best_ids[here], np.broadcast_to(keys, (len(scores), len(keys)))], axis=1)
+                if scores.shape[1] > n:
+                    # all that reach the n-th score, ties included, then exactly n of them by id
+                    least = -np.partition(-scores, n - 1, axis=1)[:, n - 1 : n]
+                    width = int((scores >= least).sum(axis=1).max())
+                    some = np.argpartition(-scores, min(width, scores.shape[1]) - 1, axis=1)[:, :width]
+                    scores, names = np.take_along_axis(scores, some, axis=1), np.take_along_axis(names, some, axis=1)
+                order = np.lexsort((names, -scores), axis=1)[:, :n]
+                kept[here], kept_ids[here] = np.take_along_axis(scores, order, axis=1), np.take_along_axis(names, order, axis=1)
+            best, best_ids = kept, kept_ids
         n = best.shape[1]
         if n:
             yield pa.record_batch([pa.array(np.repeat(ids, n)), pa.array(best_ids.ravel()), pa.array(best.ravel())], names=["query_id", "chunk_id", "score"])
@@ -67,6 +83,7 @@ def dense_search(chunks: DataFrame, queries: DataFrame, k: int = DENSE_K) -> Dat
     ``chunks`` has chunk_id and vec, ``queries`` query_id and vec. Each task keeps its best k for each query, so k rows for each
     query and task are exchanged, whatever the size of the index.
     """
+    spark = chunks.sparkSession
     rows = queries.select(F.col("query_id").cast("long"), "vec").where("vec IS NOT NULL").orderBy("query_id")
     index = chunks.select(F.col("chunk_id").cast("long"), "vec").where("vec IS NOT NULL")
     found, block = None, []
@@ -74,7 +91,8 @@ def dense_search(chunks: DataFrame, queries: DataFrame, k: int = DENSE_K) -> Dat
         if row is not None:
             block.append((row[0], row[1]))
         if block and (row is None or len(block) == QUERIES):
-            part = index.mapInArrow(_dense(block, k), "query_id long, chunk_id long, score double")
+            sent = spark.sparkContext.broadcast((np.array([q for q, _ in block], dtype=np.int64), np.array([v for _, v in block], dtype=np.float64)))
+            part = index.mapInArrow(_dense(sent, k), "query_id long, chunk_id long, score double")
             found = part if found is None else found.unionByName(part)
             block = []
     if found is None:
@@ -82,10 +100,30 @@ def dense_search(chunks: DataFrame, queries: DataFrame, k: int = DENSE_K) -> Dat
     return top(found, k, ["query_id"], F.desc("score"), F.asc("chunk_id"))
 
 
+def misfits(chunks: DataFrame, dimensions: int) -> DataFrame:
+    """(chunk_id, dims) of vectors that are of another size than the index's: what a dense search would refuse."""
+    return chunks.where("vec IS NOT NULL").select("chunk_id", F.size("vec").alias("dims")).where(F.col("dims") != dimensions)
+
+
 def postings(chunks: DataFrame, *, tokens=T.index_tokens) -> DataFrame:
-    """(chunk_id, field, pos, token) of the columns text and heading."""
-    fields = F.array(F.struct(F.lit("text").alias("field"), tokens(F.col("text")).alias("tokens")), F.struct(F.lit("heading").alias("field"), tokens(F.col("heading")).alias("tokens")))
-    return chunks.select("chunk_id", F.inline(fields)).select("chunk_id", "field", F.posexplode("tokens").alias("pos", "token"))
+    """(chunk_id, d, field, pos, token) of the columns text and heading; d is the number of the chunk's tokens."""
+    both = chunks.select("chunk_id", tokens(F.col("text")).alias("_t"), tokens(F.col("heading")).alias("_h"))
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    fields = F.array(F.struct(F.lit("text").alias("field"), F.col("_t").alias("tokens")), F.struct(F.lit("heading").alias("field"), F.col("_h").alias("tokens")))
+    rows = both.select("chunk_id", (size("_t") + size("_h")).alias("d"), F.inline(fields))
+    return rows.select("chunk_id", "d", "field", F.posexplode("tokens").alias("pos", "token"))
+
+
+def bucket(token: Column) -> Column:
+    """The part of stored postings that holds a token."""
+    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+
+
+def stored(posted: DataFrame, queries: DataFrame, *, tokens=T.index_tokens) -> DataFrame:
+    """Stored postings (with a column ``bucket`` that they are partitioned by) cut to the parts that the queries' terms lie in."""
+    terms = queries.select(F.explode(T.query_terms(F.col("query"))).alias("term"))
+    needed = terms.select(F.explode(tokens(F.col("term"))).alias("token")).select(bucket(F.col("token")).alias("b")).distinct()
+    return posted.where(F.col("bucket").isin([r[0] for r in needed.collect()]))  # at most BUCKETS numbers
 
 
 def lengths(chunks: DataFrame, *, tokens=T.index_tokens) -> DataFrame:
@@ -99,36 +137,66 @@ def corpus_stats(chunks: DataFrame, *, tokens=T.index_tokens) -> DataFrame:
     return lengths(chunks, tokens=tokens).agg(F.count("*").cast("double").alias("n_chunks"), F.avg("d").alias("avg_tokens"))
 
 
+def _terms(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(T.query_terms(F.col("query"))).alias("term"))
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """Broadcast rows that are few; the rows are terms of queries, so counting them costs a pass over the queries."""
+    return F.broadcast(rows) if rows.limit(TERMS + 1).count() <= TERMS else rows
+
+
+def term_hits(posted: DataFrame, queries: DataFrame, *, tokens=T.index_tokens) -> DataFrame:
+    """(term, chunk_id, d, field, tf) of each distinct term of the queries, dealt by chunk.
+
+    A term that the index splits is a phrase of neighbouring tokens of one field. Only tokens of the queries pass the first
+    join; their rows are dealt by chunk once, and nothing that is later grouped by chunk is dealt again.
+    """
+    terms = _terms(queries).select("term").distinct().select("term", tokens(F.col("term")).alias("parts")).where(F.size("parts") > 0)
+    parts = _small(terms.select("term", F.size("parts").alias("m"), F.posexplode("parts").alias("k", "token")))
+    found = posted.select("chunk_id", "d", "field", "pos", "token").join(parts, "token").repartition("chunk_id")
+    starts = found.groupBy("chunk_id", "term", "m", "d", "field", (F.col("pos") - F.col("k")).alias("start")).agg(F.count("*").alias("n"))
+    return starts.where("n = m").groupBy("chunk_id", "term", "d", "field").agg(F.count("*").alias("tf"))
+
+
 def phrase_hits(posted: DataFrame, queries: DataFrame, *, tokens=T.index_tokens) -> DataFrame:
-    """(query_id, term, chunk_id, field, tf): terms that the index splits are phrases of neighbouring tokens of one field."""
-    terms = queries.select("query_id", F.explode(T.query_terms(F.col("query"))).alias("term"))
-    parts = terms.select("query_id", "term", tokens(F.col("term")).alias("parts")).where(F.size("parts") > 0)
-    parts = parts.select("query_id", "term", F.size("parts").alias("m"), F.posexplode("parts").alias("k", "token"))
-    starts = posted.join(parts, "token").groupBy("query_id", "term", "m", "chunk_id", "field", (F.col("pos") - F.col("k")).alias("start")).agg(F.count("*").alias("n"))
-    return starts.where("n = m").groupBy("query_id", "term", "chunk_id", "field").agg(F.count("*").alias("tf"))
+    """(query_id, term, chunk_id, field, tf) of the queries' terms."""
+    hits = term_hits(posted, queries, tokens=tokens)
+    return hits.join(_small(_terms(queries)), "term").select("query_id", "term", "chunk_id", "field", "tf")
 
 
-def bm25_search(chunks: DataFrame, queries: DataFrame, k: int = BM25_K, *, tokens=T.index_tokens, posted: DataFrame | None = None) -> DataFrame:
+def bm25_search(chunks: DataFrame, queries: DataFrame, k: int = BM25_K, *, tokens=T.index_tokens, posted: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank) by BM25 with weights 1 for text and 2 for headings, best first, ties by id.
 
-    A term in half the chunks or more counts a millionth. ``queries`` has query_id and query."""
+    A term in half the chunks or more counts a millionth. ``queries`` has query_id and query; ``posted`` and ``stats`` are stored
+    postings and figures of the corpus, made from the chunks where they are not given."""
     posted = postings(chunks, tokens=tokens) if posted is None else posted
-    hits = phrase_hits(posted, queries, tokens=tokens)
-    weighted = hits.groupBy("query_id", "term", "chunk_id").agg(F.sum(F.col("tf") * F.when(F.col("field") == "heading", 2).otherwise(1)).alias("f"))
-    stats = corpus_stats(chunks, tokens=tokens)
-    n_chunks, avg = stats.select("n_chunks").scalar(), stats.select("avg_tokens").scalar()
-    df = weighted.groupBy("query_id", "term").agg(F.count("*").alias("df"))
+    hits = term_hits(posted, queries, tokens=tokens)
+    weighted = hits.groupBy("chunk_id", "term", "d").agg(F.sum(F.col("tf") * F.when(F.col("field") == "heading", 2).otherwise(1)).alias("f"))
+    figures = (corpus_stats(chunks, tokens=tokens) if stats is None else stats).select(F.struct("n_chunks", "avg_tokens").alias("s")).scalar()
+    n_chunks, avg = figures["n_chunks"], figures["avg_tokens"]
     idf = F.log((n_chunks - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.when(idf > 0, idf).otherwise(F.lit(1e-6)) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("d") / avg))
-    scored = weighted.join(df, ["query_id", "term"]).join(lengths(chunks, tokens=tokens), "chunk_id").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
-    return top(scored.withColumn("score", F.round("score", 9)), k, ["query_id"], F.desc("score"), F.asc("chunk_id"))
+    df = weighted.groupBy("term").agg(F.count("*").alias("df")).select("term", F.when(idf > 0, idf).otherwise(F.lit(1e-6)).alias("idf"))
+    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("d") / avg))
+    weights = _terms(queries).join(df, "term")  # of each query's terms: as few rows as the queries have terms
+    weights = F.broadcast(weights) if _terms(queries).limit(TERMS + 1).count() <= TERMS else weights
+    scored = weighted.join(weights, "term").groupBy("chunk_id", "query_id").agg(F.sum(part).alias("score"))
+    return top(scored.withColumn("score", F.round("score", 9)), k, ["query_id"], F.desc("score"), F.asc("chunk_id")).select("query_id", "chunk_id", "score", "rank")
+
+
+def _votes(found: DataFrame, number: Column, weight: float) -> DataFrame:
+    """A ranked list as votes: weight / (RRF_K + rank)."""
+    # the id is computed, not passed on: a union of inputs that are dealt by the same column would zip their tasks, and
+    # adaptive execution may have given them different numbers of these
+    query = F.element_at(F.array("query_id"), 1).alias("query_id")
+    return found.select(query, "chunk_id", number.cast("int").alias("list"), "rank", (F.lit(weight) / (F.lit(RRF_K) + F.col("rank"))).alias("part"))
 
 
-def fuse(lists: Sequence[tuple[DataFrame, float]], k: int = RRF_K) -> DataFrame:
-    """(query_id, chunk_id, score, rank): the sum of weight / (k + rank) over the lists; on ties the earlier list, then rank, wins."""
+def fuse(lists: Sequence[tuple[DataFrame, float]]) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the sum of weight / (60 + rank) over the lists; on ties the earlier list, then rank, wins."""
     rows = None
     for i, (found, weight) in enumerate(lists):
-        part = found.select("query_id", "chunk_id", F.lit(i).alias("list"), "rank", (F.lit(weight) / (F.lit(k) + F.col("rank"))).alias("part"))
+        part = _votes(found, F.lit(i), weight)
         rows = part if rows is None else rows.unionByName(part)
     return _fused(rows)
 
@@ -217,11 +285,11 @@ def search(
             more.insert(0, (dense_search(chunks, embed(asked), max(1, dense_k // 2)), 0))
         rows = None
         for i, (found, _) in enumerate(lists):
-            part = found.select("query_id", "chunk_id", F.lit(i).alias("list"), "rank", (1.0 / (RRF_K + F.col("rank"))).alias("part"))
+            part = _votes(found, F.lit(i), 1.0)
             rows = part if rows is None else rows.unionByName(part)
         for found, kind in more:
             part = found.withColumnRenamed("query_id", "part_id").join(parts.select("part_id", "query_id", "n"), "part_id")
-            rows = rows.unionByName(part.select("query_id", "chunk_id", (2 + 2 * F.col("n") + kind).alias("list"), "rank", (CLAUSE_WEIGHT / (RRF_K + F.col("rank"))).alias("part")))
+            rows = rows.unionByName(_votes(part, 2 + 2 * F.col("n") + kind, CLAUSE_WEIGHT))
         fused = _fused(rows)
     ranks = fused.where(F.col("rank") <= candidates)
     for name, (found, _) in zip(("dense_rank", "bm25_rank"), lists, strict=True):
