@@ -47,7 +47,7 @@ DEPTH, DEVIATIONS = 2, 2.0
 #: Bytes of the longest context of the spelling; pairs and contexts below these shares of all bytes are not in its tree.
 SPELLING, PAIR_SHARE, CONTEXT_SHARE = 5, 5e-6, 5e-5
 #: Tokens of a chunk, unless one text has more; hashes that one task counts; occurrences of a context that one task counts.
-CHUNK, RANGE, HOT = 1 << 19, 1_000_000, 1 << 20
+CHUNK, RANGE, HOT = 5 << 17, 1_000_000, 1 << 20
 #: Bits of the hash of the symbol after a two-symbol context.
 NEXT = 18
 #: Hashes of the start and the end of a text, which no word has but by chance.
@@ -343,7 +343,7 @@ class _Deal:
         """So wide that a pair meets another one's hash with a probability of 1 / 1024, or less in small corpora."""
         power = lambda x: 1 << max(0, math.ceil(math.log2(max(x, 1) / RANGE)))
         bits = math.ceil(math.log2(tokens + 1)) + 10
-        return cls(min(64, max(40, bits)), min(64 - NEXT, max(38, bits)), power(tokens), power(tokens), power(tokens / 4), power(tokens), HOT)
+        return cls(min(64, max(40, bits)), min(64 - NEXT, max(38, bits)), power(tokens / 4), power(tokens), power(tokens / 4), power(tokens), HOT)
 
 
 class _Chunk:
