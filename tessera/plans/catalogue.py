@@ -65,7 +65,7 @@ def listing_filter(spark, sf):
 
 @query("content_hash", "SELECT doc_id, sha256(text) AS sha FROM documents")
 def content_hash(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
+    return table(spark, sf, "documents").select("doc_id", index.content_hash(F.col("text")).alias("sha"))
 
 
 @query("csv_blocks", """
@@ -105,17 +105,53 @@ def document_title(spark, sf):
     return d.select("doc_id", T.title(F.col("text"), F.concat(F.lit("doc_"), "source", F.lit("-"), F.col("doc_id").cast("string"))).alias("title"))
 
 
-@query("json_flatten")
+_FLAT = "array_to_string(list_transform(json_keys(props), lambda k: k || ': ' || json_extract_string(props, k)), chr(10))"
+
+
+def _parsed(files: DataFrame, key: str) -> DataFrame:
+    """(key, text) of files (key, path, content) as their loader reads them; texts of several blocks are joined."""
+    paths = files.select(key, "path").alias("f")
+    return loaders.load_files(files.select("path", "content")).join(paths, "path").select(key, F.array_join(F.col("blocks.text"), "\n~\n").alias("text"))
+
+
+def _file(folder: str, id_: str, suffix: str):
+    return F.concat(F.lit(f"/{folder}/"), F.col(id_).cast("string"), F.lit(suffix)).alias("path")
+
+
+@query("json_flatten", f"SELECT event_id, {_FLAT} AS text FROM events")
 def json_flatten(spark, sf):
-    """Lines ``key: value`` of the events' props."""
-    props = F.from_json("props", "map<string,string>")
-    lines = F.array_join(F.transform(F.map_entries(props), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
-    return table(spark, sf, "events").select("event_id", lines.alias("text"))
+    """The events' props as JSON files: a line for each value."""
+    return _parsed(table(spark, sf, "events").select("event_id", _file("e", "event_id", ".json"), F.encode("props", "UTF-8").alias("content")), "event_id")
 
 
-ORACLES["json_flatten"] = (
-    "SELECT event_id, array_to_string(list_transform(json_keys(props), lambda k: k || ': ' || json_extract_string(props, k)), chr(10)) AS text FROM events"
-)
+@query("json_lines", f"""
+SELECT user_id, array_to_string(list(l ORDER BY event_id), chr(10) || chr(10)) AS text FROM (SELECT user_id, event_id, CASE WHEN event_id % 7 = 0 THEN props || ' broken' ELSE {_FLAT} END AS l FROM events) GROUP BY user_id""")
+def json_lines(spark, sf):
+    """Each user's events as a file of JSON lines, some of them broken: these stay as they are."""
+    line = F.when(F.col("event_id") % 7 == 0, F.concat("props", F.lit(" broken"))).otherwise(F.col("props"))
+    lines = F.array_sort(F.collect_list(F.struct("event_id", line.alias("l"))))
+    files = table(spark, sf, "events").groupBy("user_id").agg(F.encode(F.array_join(lines["l"], "\n"), "UTF-8").alias("content"))
+    return _parsed(files.select("user_id", _file("u", "user_id", ".jsonl"), "content"), "user_id")
+
+
+@query("text_files", "SELECT doc_id, text FROM documents WHERE lang <> 'en'")
+def text_files(spark, sf):
+    """Texts in Western European letters as files in one of two encodings, decoded again."""
+    d = table(spark, sf, "documents").where("lang <> 'en'")
+    bytes_ = F.when(F.col("lang") == "de", F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
+    return _parsed(d.select("doc_id", _file("t", "doc_id", ".txt"), bytes_.alias("content")), "doc_id")
+
+
+@query("csv_files", """
+WITH l AS (SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n, c_custkey || ' | ' || c_name || ', ' || c_mktsegment AS line FROM customer),
+b AS (SELECT c_nationkey, (n - 1) // 40 AS block, 'key | name' || chr(10) || string_agg(line, chr(10) ORDER BY n) AS t FROM l GROUP BY ALL)
+SELECT c_nationkey, string_agg(t, chr(10) || '~' || chr(10) ORDER BY block) AS text FROM b GROUP BY c_nationkey""")
+def csv_files(spark, sf):
+    """Customers of each nation as a CSV file with quoted commas, in blocks of 40 rows under the header."""
+    line = F.concat(F.col("c_custkey").cast("string"), F.lit(',"'), "c_name", F.lit(", "), "c_mktsegment", F.lit('"'))
+    lines = F.array_sort(F.collect_list(F.struct("c_custkey", line.alias("l"))))
+    files = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.encode(F.concat(F.lit("key,name\n"), F.array_join(lines["l"], "\n")), "UTF-8").alias("content"))
+    return _parsed(files.select("c_nationkey", _file("n", "c_nationkey", ".csv"), "content"), "c_nationkey")
 
 
 # -- projections -----------------------------------------------------------------------------------------------------
@@ -147,22 +183,20 @@ def headings(spark, sf):
 WITH h AS (SELECT conv_id, turn, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END AS level, role || ' ' || turn AS t FROM conversations),
 p AS (SELECT conv_id, turn, level, t, max(CASE WHEN level = 1 THEN turn END) OVER w AS p1, max(CASE WHEN level = 2 THEN turn END) OVER w AS p2, max(CASE WHEN level = 3 THEN turn END) OVER w AS p3
   FROM h WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-SELECT p.conv_id, p.turn, concat_ws(' > ', a.t, b.t, c.t) AS trail FROM p
+SELECT p.conv_id, 'Body of ' || p.turn || '.' AS text, concat_ws(' > ', a.t, b.t, c.t) AS trail FROM p
 LEFT JOIN h a ON a.conv_id = p.conv_id AND a.turn = p.p1
 LEFT JOIN h b ON b.conv_id = p.conv_id AND b.turn = p.p2 AND p.p2 > coalesce(p.p1, -1)
 LEFT JOIN h c ON c.conv_id = p.conv_id AND c.turn = p.p3 AND p.p3 > greatest(coalesce(p.p1, -1), coalesce(p.p2, -1))""")
 def breadcrumbs(spark, sf):
-    """Headings of three levels: the last of each level, unless a shallower one came after it."""
+    """Conversations as documents with headings of three levels, a sentence under each: the chunker's trails."""
     c = table(spark, sf, "conversations")
-    level = F.when(F.col("role") == "system", 1).when(F.col("role") == "user", 2).otherwise(3)
-    h = c.select("conv_id", "turn", level.alias("level"), F.concat("role", F.lit(" "), F.col("turn").cast("string")).alias("t"))
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    for n in (1, 2, 3):
-        at = F.col("level") == n
-        h = h.withColumn(f"p{n}", F.max(F.when(at, F.col("turn"))).over(w)).withColumn(f"t{n}", F.last(F.when(at, F.col("t")), True).over(w))
-    one, two = F.coalesce("p1", F.lit(-1)), F.coalesce("p2", F.lit(-1))
-    trail = F.concat_ws(" > ", "t1", F.when(F.col("p2") > one, F.col("t2")), F.when(F.col("p3") > F.greatest(one, two), F.col("t3")))
-    return h.select("conv_id", "turn", trail.alias("trail"))
+    marks = F.when(F.col("role") == "system", "# ").when(F.col("role") == "user", "## ").otherwise("### ")
+    turn = F.col("turn").cast("string")
+    part = F.concat(marks, "role", F.lit(" "), turn, F.lit("\nBody of "), turn, F.lit("."))
+    docs = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", part.alias("p")))).alias("l"))
+    blocks = F.array(F.struct(F.array_join("l.p", "\n").alias("text"), F.lit(None).cast("int").alias("page")))
+    cut = chunking.chunk_documents(docs.select(F.col("conv_id").alias("doc_id"), blocks.alias("blocks")), least=0)
+    return cut.select(F.col("doc_id").alias("conv_id"), "text", F.col("heading").alias("trail"))
 
 
 _SENTENCES = "string_split(regexp_replace(text, '([.!?])\\s+([A-Z\"''(\\[])', '\\1' || chr(1) || '\\2', 'g'), chr(1))"
@@ -304,11 +338,11 @@ def memory_counts(spark, sf):
 
 
 @query("new_memories", f"""
-SELECT DISTINCT ON (conv_id, path) conv_id, path, text FROM ({_MEMORIES}) WHERE (conv_id, path) NOT IN (SELECT conv_id, path FROM ({_MEMORIES}) WHERE kind = 'fact')""")
+SELECT DISTINCT ON (path) path, text FROM ({_MEMORIES}) WHERE conv_id = 1 AND path NOT IN (SELECT path FROM ({_MEMORIES}) WHERE kind = 'fact' AND conv_id = 1)""")
 def new_memories(spark, sf):
-    rows = turns.memories(_entries(spark, sf), "conv_id")
-    known = rows.where("kind = 'fact'").select("conv_id", "path")
-    return rows.join(known, ["conv_id", "path"], "left_anti").dropDuplicates(["conv_id", "path"]).select("conv_id", "path", "text")
+    """One conversation's memories that its archive does not have yet."""
+    one = _entries(spark, sf).where("conv_id = 1")
+    return turns.new_memories(one, turns.memories(one).where("kind = 'fact'")).select("path", "text")
 
 
 @query("fact_list", f"""
@@ -318,9 +352,9 @@ def fact_list(spark, sf):
 
 
 @query("slug_list", f"""
-SELECT doc_id, list_filter(list_transform(string_split(text[1:400], ' '), lambda s: replace(lower(array_to_string({words('s')}, ' ')), ' ', '_')), lambda s: regexp_full_match(s, '[a-z0-9_\\-]{{2,40}}'))[1:20] AS slugs FROM documents""")
+SELECT doc_id, list_filter(list_transform(string_split(text, ' '), lambda s: replace(lower(array_to_string({words('s')}, ' ')), ' ', '_')), lambda s: regexp_full_match(s, '[a-z0-9_\\-]{{2,40}}'))[1:20] AS slugs FROM documents""")
 def slug_list(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.slugs(F.split(F.substring("text", 1, 400), " ")).alias("slugs"))
+    return table(spark, sf, "documents").select("doc_id", T.slugs(F.split("text", " ")).alias("slugs"))
 
 
 @query("chat_history", """
@@ -332,17 +366,17 @@ def chat_history(spark, sf):
     return c.select("conv_id", F.array_join(F.transform(kept, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n").alias("history"))
 
 
-@query("unarchived", "SELECT conv_id, turn, text FROM conversations WHERE role <> 'assistant'")
+@query("unarchived", "SELECT conv_id, turn AS n, text FROM conversations WHERE role <> 'assistant'")
 def unarchived(spark, sf):
-    return table(spark, sf, "conversations").withColumn("archived", F.col("role") == "assistant").where(~F.col("archived")).select("conv_id", "turn", "text")
+    log = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("n"), "text", F.when(F.col("role") != "system", F.col("role") == "assistant").alias("archived"))
+    return turns.unarchived(log).select("conv_id", "n", "text")
 
 
 @query("present_cast", """
-SELECT c_nationkey, c_custkey, c_name, row_number() OVER (PARTITION BY c_nationkey ORDER BY (c_mktsegment = 'BUILDING') DESC, c_name)::INT AS place FROM customer WHERE c_acctbal > 0""")
+SELECT c_nationkey, c_custkey AS slug, c_name AS name, row_number() OVER (PARTITION BY c_nationkey ORDER BY (c_mktsegment = 'BUILDING') DESC, c_name)::INT AS place FROM customer WHERE c_acctbal > 0""")
 def present_cast(spark, sf):
-    c = table(spark, sf, "customer").where("c_acctbal > 0")
-    order = Window.partitionBy("c_nationkey").orderBy(F.desc(F.col("c_mktsegment") == "BUILDING"), "c_name")
-    return c.select("c_nationkey", "c_custkey", "c_name", F.row_number().over(order).alias("place"))
+    c = table(spark, sf, "customer").select("c_nationkey", F.col("c_custkey").alias("slug"), F.col("c_name").alias("name"), (F.col("c_acctbal") > 0).alias("present"), (F.col("c_mktsegment") == "BUILDING").alias("protagonist"))
+    return turns.present(c, "c_nationkey").select("c_nationkey", "slug", "name", "place")
 
 
 @query("forget", "SELECT page_id, url AS path FROM pages WHERE NOT starts_with(lower(url), 'http://www.')")
@@ -360,9 +394,9 @@ def prune(spark, sf):
     return index.prune(docs, seen, listing, ["https:"])
 
 
-@query("last_turn", "SELECT conv_id, max(turn) AS last, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id")
+@query("last_turn", "SELECT conv_id, max(turn) AS n, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id")
 def last_turn(spark, sf):
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last"), F.max_by("text", "turn").alias("text"))
+    return turns.last_turn(table(spark, sf, "conversations").withColumn("n", F.col("turn")), ["conv_id"], "text")
 
 
 # -- joins -----------------------------------------------------------------------------------------------------------
@@ -394,9 +428,11 @@ def standing(spark, sf):
     return turns.standing(ties, known).select(F.col("o_orderkey").alias("other"), "closeness", "name")
 
 
-@query("known_slugs", "SELECT DISTINCT o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+@query("known_slugs", "SELECT o_orderkey, o_custkey AS slug FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def known_slugs(spark, sf):
-    return table(spark, sf, "orders").select("o_custkey").distinct().join(table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi")
+    """Rows that name a character of the cast; others are dropped."""
+    said = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("slug"))
+    return turns.known(said, table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("slug"))).select("o_orderkey", "slug")
 
 
 # -- retrieval -------------------------------------------------------------------------------------------------------
@@ -438,18 +474,29 @@ _TOKENS = "regexp_extract_all(translate(lower({x}), '" + T.ACCENTED + "', '" + T
 _POSTED = f"""
 t AS (SELECT doc_id AS chunk_id, 'text' AS field, {_TOKENS.format(x='text')} AS l FROM documents UNION ALL SELECT doc_id, 'heading', {_TOKENS.format(x='source')} FROM documents),
 posted AS (SELECT chunk_id, field, unnest(l) AS token, generate_subscripts(l, 1) - 1 AS pos FROM t)"""
-_HITS = f"""{_POSTED},
-q AS (SELECT item_id AS query_id, unnest({terms_sql('text')}) AS term FROM benchmark),
-parts AS (SELECT query_id, term, len({_TOKENS.format(x='term')}) AS m, unnest({_TOKENS.format(x='term')}) AS token, generate_subscripts({_TOKENS.format(x='term')}, 1) - 1 AS k FROM q),
-starts AS (SELECT query_id, term, m, chunk_id, field, pos - k AS start, count(*) AS n FROM posted JOIN parts USING (token) GROUP BY ALL),
-hits AS (SELECT query_id, term, chunk_id, field, count(*) AS tf FROM starts WHERE n = m GROUP BY ALL)"""
-_BM25 = f"""{_HITS},
-w AS (SELECT query_id, term, chunk_id, sum(tf * CASE field WHEN 'heading' THEN 2 ELSE 1 END)::DOUBLE AS f FROM hits GROUP BY ALL),
-df AS (SELECT query_id, term, count(*) AS df FROM w GROUP BY ALL), len AS (SELECT chunk_id, count(*) AS d FROM posted GROUP BY ALL),
-c AS (SELECT (SELECT count(*) FROM documents)::DOUBLE AS n, (SELECT count(*) FROM posted)::DOUBLE / (SELECT count(*) FROM documents) AS a),
-s AS (SELECT query_id, chunk_id, round(sum(CASE WHEN ln((n - df + .5) / (df + .5)) > 0 THEN ln((n - df + .5) / (df + .5)) ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (.25 + .75 * d / a))), 9) AS score
-  FROM w JOIN df USING (query_id, term) JOIN len USING (chunk_id), c GROUP BY ALL),
-bm25 AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM s)"""
+def hits_sql(questions: str, x: str = "") -> str:
+    """hits{x}: (query_id, term, chunk_id, field, tf) of the terms of ``questions`` (query_id, query)."""
+    return f"""
+q{x} AS (SELECT query_id, unnest({terms_sql('query')}) AS term FROM ({questions})),
+parts{x} AS (SELECT query_id, term, len({_TOKENS.format(x='term')}) AS m, unnest({_TOKENS.format(x='term')}) AS token, generate_subscripts({_TOKENS.format(x='term')}, 1) - 1 AS k FROM q{x}),
+starts{x} AS (SELECT query_id, term, m, chunk_id, field, pos - k AS start, count(*) AS n FROM posted JOIN parts{x} USING (token) GROUP BY ALL),
+hits{x} AS (SELECT query_id, term, chunk_id, field, count(*) AS tf FROM starts{x} WHERE n = m GROUP BY ALL)"""
+
+
+def bm25_sql(x: str = "") -> str:
+    """bm25{x}: (query_id, chunk_id, score, rank) from hits{x}."""
+    return f"""
+w{x} AS (SELECT query_id, term, chunk_id, sum(tf * CASE field WHEN 'heading' THEN 2 ELSE 1 END)::DOUBLE AS f FROM hits{x} GROUP BY ALL),
+df{x} AS (SELECT term, count(DISTINCT chunk_id) AS df FROM w{x} GROUP BY ALL), len{x} AS (SELECT chunk_id, count(*) AS d FROM posted GROUP BY ALL),
+c{x} AS (SELECT (SELECT count(*) FROM documents)::DOUBLE AS n, (SELECT count(*) FROM posted)::DOUBLE / (SELECT count(*) FROM documents) AS a),
+s{x} AS (SELECT query_id, chunk_id, round(sum(CASE WHEN ln((n - df + .5) / (df + .5)) > 0 THEN ln((n - df + .5) / (df + .5)) ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (.25 + .75 * d / a))), 9) AS score
+  FROM w{x} JOIN df{x} USING (term) JOIN len{x} USING (chunk_id), c{x} GROUP BY ALL),
+bm25{x} AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM s{x})"""
+
+
+_ASKED = "SELECT item_id AS query_id, text AS query FROM benchmark"
+_HITS = f"{_POSTED},{hits_sql(_ASKED)}"
+_BM25 = f"{_HITS},{bm25_sql()}"
 
 
 @query("document_frequency", f"WITH {_POSTED} SELECT token, count(DISTINCT chunk_id) AS df, count(*) AS n FROM posted GROUP BY token")
@@ -471,10 +518,40 @@ def bm25(spark, sf):
 _OVERLAP = f"""
 o AS (SELECT query_id, chunk_id, count(DISTINCT term)::INT AS score FROM hits GROUP BY ALL),
 ov AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM o)"""
-_FUSED = """
-lists AS (SELECT query_id, chunk_id, 0 AS l, rank FROM ov WHERE rank <= 40 UNION ALL SELECT query_id, chunk_id, 1, rank FROM bm25 WHERE rank <= 40),
-g AS (SELECT query_id, chunk_id, coalesce(sum(1.0::DOUBLE / (60 + rank)) FILTER (l = 0), 0) + coalesce(sum(1.0::DOUBLE / (60 + rank)) FILTER (l = 1), 0) AS score, min({'l': l, 'r': rank}) AS first FROM lists GROUP BY ALL),
-fused AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first.l, first.r)::INT AS rank FROM g)"""
+
+
+def fused_sql(*lists: str) -> str:
+    """fused: (query_id, chunk_id, score, rank) from selects of (query_id, chunk_id, l, rank, weight)."""
+    return f"""
+lists AS ({" UNION ALL ".join(lists)}),
+g AS (SELECT query_id, chunk_id, list_sum(list_transform(list_sort(list({{'l': l, 'p': weight::DOUBLE / (60 + rank)}})), lambda v: v.p)) AS score, min({{'l': l, 'r': rank}}) AS first FROM lists GROUP BY ALL),
+fused AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first.l, first.r)::INT AS rank FROM g)"""
+
+
+def list_sql(name: str, number: int, most: int = 40) -> str:
+    return f"SELECT query_id, chunk_id, {number} AS l, rank, 1.0 AS weight FROM {name} WHERE rank <= {most}"
+
+
+_FUSED = fused_sql(list_sql("ov", 0), list_sql("bm25", 1))
+#: Questions and documents that have a vector: those whose number a row of the table of vectors has.
+_NEAR = """
+near AS (SELECT query_id, chunk_id, rank FROM (SELECT b.item_id AS query_id, c.vec_id AS chunk_id,
+  row_number() OVER (PARTITION BY b.item_id ORDER BY list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) DESC, c.vec_id)::INT AS rank
+  FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id, embeddings c WHERE c.vec_id IN (SELECT doc_id FROM documents)) WHERE rank <= 40)"""
+_HYBRID = fused_sql(list_sql("near", 0), list_sql("bm25", 1))
+
+
+def _with_vectors(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Documents as chunks, and questions, with the vectors of their numbers."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    source = F.regexp_extract("heading", "([0-9]+)", 1).cast("bigint")
+    chunks = _chunks(spark, sf).join(e.withColumnRenamed("vec_id", "chunk_id"), "chunk_id", "left").withColumn("doc_id", source)
+    return chunks, _questions(spark, sf).join(e.withColumnRenamed("vec_id", "query_id"), "query_id", "left")
+
+
+def _sources(spark, sf) -> DataFrame:
+    d = table(spark, sf, "documents").select(F.col("source").alias("title")).distinct()
+    return d.select(F.regexp_extract("title", "([0-9]+)", 1).cast("bigint").alias("doc_id"), "title")
 
 
 def _overlap(spark, sf, posted: DataFrame) -> DataFrame:
@@ -510,10 +587,13 @@ def document_cap(spark, sf):
     return _capped(spark, sf).select("query_id", "chunk_id", "doc_id", "rank")
 
 
-@query("hybrid_search", f"WITH {_BM25}, {_OVERLAP}, {_FUSED}, {_CAPPED} SELECT query_id, chunk_id, doc_id, round(score, 9) AS score, rank, md5(text) AS digest FROM capped JOIN documents d ON d.doc_id = chunk_id WHERE rank <= 6".replace("SELECT query_id, chunk_id, doc_id, round(score, 9) AS score, rank, md5(text)", "SELECT query_id, chunk_id, capped.doc_id, round(score, 9) AS score, rank, md5(text)"))
+@query("hybrid_search", f"""WITH {_BM25}, {_NEAR}, {_HYBRID}, {_CAPPED}
+SELECT query_id, chunk_id, capped.doc_id AS title, round(score, 9) AS score, rank, md5(text) AS digest FROM capped JOIN documents d ON d.doc_id = chunk_id WHERE rank <= 6""")
 def hybrid_search(spark, sf):
-    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return _capped(spark, sf).where("rank <= 6").join(texts, "chunk_id").select("query_id", "chunk_id", "doc_id", F.round("score", 9).alias("score"), "rank", F.md5("text").alias("digest"))
+    """Dense and BM25 lists, fused, capped by source: the flagship."""
+    chunks, questions = _with_vectors(spark, sf)
+    found = retrieval.search(chunks, _sources(spark, sf), questions)
+    return found.select("query_id", "chunk_id", "title", F.round("score", 9).alias("score"), "rank", F.md5("text").alias("digest"))
 
 
 @query("dense_fusion_cap", f"""
@@ -550,7 +630,30 @@ def recall_query(spark, sf):
     return h.select("conv_id", context.recall_query(F.col("action"), F.col("l.text")).alias("q"))
 
 
-@query("rerank")
+def _clauses_sql(x: str) -> str:
+    parts = f"list_transform(regexp_split_to_array({x}, '(?i)\\s*(?:[,;?]|\\band\\b|\\bor\\b|\\balso\\b|\\bplus\\b)\\s*'), lambda p: {trim('p')})"
+    long = f"list_filter({parts}, lambda p: len({words('p')}) >= 3)"
+    return f"CASE WHEN len({words(x)}) >= 7 AND len({long}) >= 2 THEN {long} ELSE [] END"
+
+
+def reranked_sql(texts: str) -> str:
+    """reranked: the fused candidates by the lexical stand-in for a cross-encoder, over the question and its clauses, and the floor.
+
+    ``texts`` gives (chunk_id, t)."""
+    tokens = lambda c: _TOKENS.format(x=c)
+    return f"""
+texts AS (SELECT chunk_id, list_distinct({tokens('t')}) AS have FROM ({texts})),
+asked AS (SELECT query_id, unnest(list_concat([query], {_clauses_sql('query')})) AS a FROM ({_ASKED})),
+want AS (SELECT query_id, a, list_distinct(flatten(list_transform({terms_sql('a')}, lambda t: {tokens('t')}))) AS want FROM asked),
+pairs AS (SELECT query_id, chunk_id, rank AS old, max(round(20.0::DOUBLE * len(list_intersect(want, have)) / greatest(len(want), 1) - 10.0, 6)) AS score FROM fused JOIN texts USING (chunk_id) JOIN want USING (query_id) WHERE rank <= 40 GROUP BY ALL),
+best AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old)::INT AS rank FROM pairs),
+reranked AS (SELECT query_id, chunk_id, score, rank FROM best WHERE rank = 1 OR score >= top - 12)"""
+
+
+_HEADED_TEXT = "SELECT doc_id AS chunk_id, source || chr(10) || substr(text, 1, 2000) AS t FROM documents"
+
+
+@query("rerank", f"WITH {_BM25}, {_OVERLAP}, {_FUSED}, {reranked_sql(_HEADED_TEXT)} SELECT query_id, chunk_id, score, rank FROM reranked")
 def rerank(spark, sf):
     """The deterministic stand-in for a cross-encoder over the fused candidates, then the floor."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("title"), F.lit("").alias("heading"), "text")
@@ -563,14 +666,35 @@ def hash_embedding(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", embed(F.col("text")).alias("vec"))
 
 
-@query("full_search")
+_LAST = """
+nth AS (SELECT r.*, source, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS nth FROM {found} r JOIN documents d ON d.doc_id = r.chunk_id WHERE rank <= 40),
+final AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY (nth > 3)::INT, rank)::INT AS rank FROM nth)
+SELECT f.query_id, f.chunk_id, f.rank, round(f.score, 9) AS score, coalesce(near.rank, 0) AS dense_rank, coalesce(bm25.rank, 0) AS bm25_rank FROM final f
+LEFT JOIN near ON near.query_id = f.query_id AND near.chunk_id = f.chunk_id LEFT JOIN bm25 ON bm25.query_id = f.query_id AND bm25.chunk_id = f.chunk_id AND bm25.rank <= 40 WHERE f.rank <= 6"""
+
+
+def _searched(found: DataFrame) -> DataFrame:
+    """0 stands for a list that does not have the chunk."""
+    rank = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return found.select("query_id", "chunk_id", "rank", F.round("score", 9).alias("score"), rank("dense_rank"), rank("bm25_rank"))
+
+
+@query("full_search", f"WITH {_BM25}, {_NEAR}, {_HYBRID}, {reranked_sql(_HEADED_TEXT)}, {_LAST.format(found='reranked')}")
 def full_search(spark, sf):
-    """Hash embeddings and stemless BM25 over whole documents, fused, reranked, floored and capped."""
-    d = table(spark, sf, "documents")
-    chunks = d.select(F.col("doc_id").alias("chunk_id"), "doc_id", F.lit("").alias("heading"), F.lit(0).alias("ord"), "text", embed(F.col("text")).alias("vec"))
-    documents = d.select("doc_id", F.col("source").alias("title"))
-    questions = _questions(spark, sf).withColumn("vec", embed(F.col("query")))
-    return retrieval.search(chunks, documents, questions, reranker=retrieval.lexical_score).select("query_id", "chunk_id", "rank", "score", "dense_rank", "bm25_rank")
+    """Dense and BM25 lists, fused, reranked, floored and capped."""
+    chunks, questions = _with_vectors(spark, sf)
+    return _searched(retrieval.search(chunks, _sources(spark, sf), questions, reranker=retrieval.lexical_score))
+
+
+_CLAUSES = f"SELECT query_id * 64 + n AS query_id, query, query_id AS own, n FROM (SELECT query_id, unnest(c) AS query, generate_subscripts(c, 1) - 1 AS n FROM (SELECT query_id, {_clauses_sql('query')} AS c FROM ({_ASKED})))"
+
+
+@query("expanded_search", f"""WITH {_BM25}, {_NEAR}, clauses AS ({_CLAUSES}), {hits_sql('SELECT query_id, query FROM clauses', '2')}, {bm25_sql('2')},
+{fused_sql(list_sql("near", 0), list_sql("bm25", 1), "SELECT own AS query_id, chunk_id, (3 + 2 * n)::INT AS l, rank, 0.5 AS weight FROM bm252 JOIN clauses USING (query_id) WHERE rank <= 20")}, {_LAST.format(found='fused')}""")
+def expanded_search(spark, sf):
+    """Hybrid search of compound questions with their clauses as further lists."""
+    chunks, questions = _with_vectors(spark, sf)
+    return _searched(retrieval.search(chunks, _sources(spark, sf), questions, expand=True))
 
 
 # -- aggregations ----------------------------------------------------------------------------------------------------
@@ -586,11 +710,12 @@ def by_extension(spark, sf):
     return index.by_extension(table(spark, sf, "documents").select(F.col("source").alias("ext")))
 
 
-@query("chunk_counts", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+@query("chunk_counts", "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda l: length(l) > 30))::INT AS n_chunks FROM documents")
 def chunk_counts(spark, sf):
-    n = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
-    c = table(spark, sf, "customer").select("c_custkey")
-    return c.join(n, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"))
+    """Documents with their stale counts set to the number of their chunks, here their longer lines."""
+    d = table(spark, sf, "documents")
+    lines = d.select("doc_id", F.explode(F.split("text", "\n")).alias("text")).where(F.length("text") > 30)
+    return index.refresh_counts(d.select("doc_id", F.lit(-1).alias("n_chunks")), lines).select("doc_id", "n_chunks")
 
 
 @query("ingest_report", """
@@ -600,10 +725,11 @@ def ingest_report(spark, sf):
     return index.report(table(spark, sf, "documents").select(action.alias("action"), F.col("n_chars").alias("n_chunks")))
 
 
-@query("turn_count", "SELECT c_custkey, coalesce(max(o_orderkey), 0) AS last FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+@query("turn_count", "SELECT p.page_id AS conv_id, coalesce(max(c.turn), 0) AS last FROM pages p LEFT JOIN conversations c ON c.conv_id = p.page_id GROUP BY p.page_id")
 def turn_count(spark, sf):
-    last = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderkey").alias("last"))
-    return table(spark, sf, "customer").select("c_custkey").join(last, "c_custkey", "left").select("c_custkey", F.coalesce("last", F.lit(0)).alias("last"))
+    """The last turn of campaigns of which some have none."""
+    log = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("n"))
+    return turns.turn_count(table(spark, sf, "pages").select(F.col("page_id").alias("conv_id")), log, ["conv_id"])
 
 
 _PLAIN = "lower(trim(regexp_replace({x}, '\\s+', ' ', 'g')))"
@@ -641,19 +767,23 @@ def retrieval_scores(spark, sf):
 
 
 @query("retrieval_modes", f"""
-WITH {_BM25}, {_OVERLAP}, {_FUSED},
-modes AS (SELECT 'overlap' AS mode, query_id, chunk_id, rank FROM ov UNION ALL SELECT 'bm25', query_id, chunk_id, rank FROM bm25 UNION ALL SELECT 'hybrid', query_id, chunk_id, rank FROM fused),
+WITH {_BM25}, {_NEAR}, {_HYBRID}, {reranked_sql(_HEADED_TEXT)},
+modes AS (SELECT 'dense' AS mode, query_id, chunk_id, rank FROM near UNION ALL SELECT 'bm25', query_id, chunk_id, rank FROM bm25 UNION ALL SELECT 'hybrid', query_id, chunk_id, rank FROM fused
+  UNION ALL SELECT 'hybrid+rerank', query_id, chunk_id, rank FROM reranked),
 results AS (SELECT mode, query_id, rank, text FROM modes JOIN documents d ON d.doc_id = chunk_id WHERE rank <= 5),
-best AS (SELECT m.mode, item_id AS query_id, min(rank) FILTER (contains({_PLAIN.format(x='r.text')}, {_PLAIN.format(x='b.text')})) AS rank, count(r.rank) AS n_returned
+found AS (SELECT m.mode, item_id AS query_id, min(rank) FILTER (contains({_PLAIN.format(x='r.text')}, {_PLAIN.format(x='b.text')})) AS rank, count(r.rank) AS n_returned
   FROM benchmark b CROSS JOIN (SELECT DISTINCT mode FROM modes) m LEFT JOIN results r ON r.query_id = item_id AND r.mode = m.mode GROUP BY ALL)
-SELECT mode, {_SCORES} FROM best GROUP BY mode""")
+SELECT mode, {_SCORES} FROM found GROUP BY mode""")
 def retrieval_modes(spark, sf):
-    chunks = _chunks(spark, sf)
+    """The scores of four ways to search, side by side."""
+    chunks, questions = _with_vectors(spark, sf)
     posted = retrieval.postings(chunks)
-    overlap, lexical = _overlap(spark, sf, posted), retrieval.bm25_search(chunks, _questions(spark, sf), posted=posted)
-    modes, out = {"overlap": overlap, "bm25": lexical, "hybrid": retrieval.fuse([(overlap, 1.0), (lexical, 1.0)])}, None
-    for mode, ranked in modes.items():
-        results = _results(spark, sf, ranked)
+    dense, lexical = retrieval.dense_search(chunks, questions), retrieval.bm25_search(chunks, questions, posted=posted)
+    hybrid = retrieval.fuse([(dense, 1.0), (lexical, 1.0)])
+    ranked = retrieval.hydrate(hybrid.where("rank <= 40"), chunks.drop("vec"), _sources(spark, sf))
+    modes, out = {"dense": dense, "bm25": lexical, "hybrid": hybrid, "hybrid+rerank": retrieval.floor(retrieval.rerank(ranked, questions))}, None
+    for mode, found in modes.items():
+        results = _results(spark, sf, found.select("query_id", "chunk_id", "rank"))
         row = evaluate.scores(evaluate.ranks(results, _expected(spark, sf)), results).withColumn("mode", F.lit(mode))
         out = row if out is None else out.unionByName(row)
     return _rounded(out)
@@ -683,7 +813,17 @@ def recall_budget(spark, sf):
     return context.recalled(_hit_rows(spark, sf), 600).select("query_id", "rank", "line")
 
 
-@query("source_budget")
+_SOURCES = """
+WITH h AS (SELECT query_id, list({'r': rank, 'id': query_id * 1000 + rank, 'label': heading, 'body': """ + trim("text") + """} ORDER BY rank) AS hits FROM (""" + _HIT_ROWS + """) GROUP BY query_id),
+p AS (SELECT query_id, list_reduce(hits, lambda s, h: CASE WHEN len(s.used) > 0 AND s.spent + length('[' || (len(s.used) + 1) || '] ' || h.label) + length(h.body) + 4 > 900 THEN s
+  ELSE {'r': 0::BIGINT, 'spent': (s.spent + length('[' || (len(s.used) + 1) || '] ' || h.label) + length(BODY) + 4)::BIGINT, 'blocks': list_append(s.blocks, '[' || (len(s.used) + 1) || '] ' || h.label || chr(10) || BODY), 'used': list_append(s.used, h.id)} END,
+  {'r': 0::BIGINT, 'spent': 0::BIGINT, 'blocks': []::VARCHAR[], 'used': []::BIGINT[]}) AS s FROM h)
+SELECT query_id, array_to_string(s.blocks, chr(10) || chr(10) || '---' || chr(10) || chr(10)) AS context, s.used AS used FROM p""".replace(
+    "BODY", "CASE WHEN s.spent + length('[' || (len(s.used) + 1) || '] ' || h.label) + length(h.body) + 4 > 900 THEN substr(h.body, 1, greatest(500, 896 - length('[' || (len(s.used) + 1) || '] ' || h.label))) ELSE h.body END"
+)
+
+
+@query("source_budget", _SOURCES)
 def source_budget(spark, sf):
     hits = _hit_rows(spark, sf).select("query_id", "rank", (F.col("query_id") * 1000 + F.col("rank")).alias("chunk_id"), F.col("heading").alias("label"), "text")
     return context.pack_sources(hits, 900).select("query_id", "context", "used")
@@ -801,7 +941,31 @@ def clamp(spark, sf):
 # -- rows only -------------------------------------------------------------------------------------------------------
 
 
-@query("chunks")
+def _pieces_sql(x: str) -> str:
+    """A paragraph in pieces of whole sentences, by a fold: what is done, and the run that is open."""
+    split = f"string_split(regexp_replace({x}, '([.!?])\\s+([A-Z\"''(\\[])', '\\1' || chr(1) || '\\2', 'g'), chr(1))"
+    both = "CASE WHEN s.run = '' THEN x ELSE s.run || ' ' || x END"
+    step = f"""CASE WHEN length({both}) <= 1800 THEN {{'done': s.done, 'run': {both}}} WHEN s.run <> '' THEN {{'done': list_append(s.done, s.run), 'run': x}}
+      ELSE {{'done': list_concat(s.done, list_transform(range(0, length(x), 1800), lambda i: substr(x, i + 1, 1800))), 'run': ''}} END"""
+    fold = f"list_reduce({split}, lambda s, x: {step}, {{'done': []::VARCHAR[], 'run': ''}})"
+    return f"CASE WHEN length({x}) <= 1800 THEN [{x}] ELSE list_filter(list_append(({fold}).done, ({fold}).run), lambda p: p <> '') END"
+
+
+_CUT = "regexp_replace(right(BODY, 300), '([.!?])\\s+([A-Z\"''(\\[])', '\\1' || chr(1) || '\\2')"
+_AGAIN = f"CASE WHEN length(BODY) <= 300 THEN '' WHEN instr({_CUT}, chr(1)) > 0 THEN {trim('substr(' + _CUT + ', instr(' + _CUT + ', chr(1)) + 1)')} ELSE {trim('right(BODY, 300)')} END".replace("BODY", trim("s.held"))
+_GAP = "chr(10) || chr(10)"
+
+
+@query("chunks", f"""
+WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n'), lambda p: {trim('p')}), lambda p: p <> '') AS ps FROM documents),
+e AS (SELECT doc_id, flatten(list_transform(ps, lambda p: {_pieces_sql('p')})) AS pieces FROM p),
+f AS (SELECT doc_id, list_reduce(pieces, lambda s, x: CASE WHEN s.size > 0 AND s.size + length(x) > 1800
+    THEN {{'done': list_append(s.done, {trim('s.held')}), 'held': CASE WHEN {_AGAIN} = '' THEN x ELSE {_AGAIN} || {_GAP} || x END, 'size': (length({_AGAIN}) + length(x) + 2)::BIGINT}}
+    ELSE {{'done': s.done, 'held': CASE WHEN s.size = 0 THEN x ELSE s.held || {_GAP} || x END, 'size': (s.size + length(x) + 2)::BIGINT}} END,
+  {{'done': []::VARCHAR[], 'held': '', 'size': 0::BIGINT}}) AS s FROM e WHERE len(pieces) > 0),
+m AS (SELECT doc_id, list_reduce(list_append(s.done, {trim('s.held')}), lambda a, x: CASE WHEN len(a) > 0 AND length(x) < 120 AND length(a[-1]) + length(x) <= 2700
+    THEN list_append(a[1:len(a) - 1], a[-1] || {_GAP} || x) ELSE list_append(a, x) END, []::VARCHAR[]) AS texts FROM f)
+SELECT doc_id, (generate_subscripts(texts, 1) - 1)::INT AS ord, '' AS heading, CAST(NULL AS INT) AS page, unnest(texts) AS text FROM m""")
 def chunks(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.array(F.struct(F.col("text").alias("text"), F.lit(None).cast("int").alias("page"))).alias("blocks"))
     return chunking.chunk_documents(d)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import dates as D
 from tessera.functions import text as T
-from tessera.operators import evaluate, index, retrieval, turns
+from tessera.operators import context, evaluate, index, retrieval, turns
 from tessera.plans.catalogue import _chunks, _questions, query, table
 
 # -- key-value state -------------------------------------------------------------------------------------------------
@@ -20,33 +20,33 @@ from tessera.plans.catalogue import _chunks, _questions, query, table
 @query("latest_values", "SELECT user_id, event_type, arg_max(props, event_id) AS value, max(event_id) AS turn FROM events GROUP BY ALL")
 def latest_values(spark, sf):
     """Key-value upserts: the last write of each key."""
-    return table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.max_by("props", "event_id").alias("value"), F.max("event_id").alias("turn"))
+    log = table(spark, sf, "events").select("user_id", "event_type", F.col("props").alias("value"), F.col("event_id").alias("turn"), "event_id")
+    return turns.last_write(log, ["user_id", "event_type"], "event_id", "value", "turn")
 
 
 @query("settings", """
-WITH l AS (SELECT user_id, event_type, arg_max(value, event_id) AS v FROM events GROUP BY ALL)
-SELECT user_id, coalesce(max(v) FILTER (event_type = 'click'), -1.0) AS click, coalesce(max(v) FILTER (event_type = 'view'), -1.0) AS view, coalesce(max(v) FILTER (event_type = 'purchase'), -1.0) AS purchase,
-  count(*) FILTER (event_type = 'click') > 0 AS started FROM l GROUP BY user_id""")
+WITH l AS (SELECT user_id, event_type, arg_max(props, event_id) AS v FROM events GROUP BY ALL)
+SELECT user_id, coalesce(max(v) FILTER (event_type = 'click'), 'none') AS date, coalesce(max(v) FILTER (event_type = 'view'), '') AS location, coalesce(max(v) FILTER (event_type = 'purchase'), '') AS title,
+  count(*) FILTER (event_type = 'purchase') > 0 AS started FROM l GROUP BY user_id""")
 def settings(spark, sf):
     """Accessors with defaults: the latest value of each key, as columns."""
-    latest = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.max_by("value", "event_id").alias("v"))
-    wide = latest.groupBy("user_id").pivot("event_type", ["click", "view", "purchase"]).agg(F.max("v"))
-    return wide.select("user_id", *[F.coalesce(k, F.lit(-1.0)).alias(k) for k in ("click", "view", "purchase")], F.col("click").isNotNull().alias("started"))
+    key = F.when(F.col("event_type") == "click", "date").when(F.col("event_type") == "view", "location").when(F.col("event_type") == "purchase", "title").otherwise("other")
+    log = table(spark, sf, "events").select("user_id", key.alias("key"), F.col("props").alias("value"), F.col("event_id").alias("turn"))
+    return turns.settings(log, ["user_id"], {"date": "none", "location": "", "title": ""})
 
 
 @query("flag_items", """
 SELECT event_id, substr(k, 1, 60) AS key, json_extract_string(props, k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)""")
 def flag_items(spark, sf):
-    props = F.from_json("props", "map<string,string>")
-    return table(spark, sf, "events").select("event_id", F.explode(props).alias("k", "value")).select("event_id", F.substring("k", 1, 60).alias("key"), "value")
+    return turns.flags(table(spark, sf, "events").select("event_id", F.from_json("props", "map<string,string>").alias("flags")), "event_id")
 
 
 @query("remember_roots", """
-SELECT o_custkey, list_sort(list_distinct(list_concat(list(o_orderpriority), list(o_orderstatus)))) AS roots FROM orders GROUP BY o_custkey""")
+SELECT conv_id, list_sort(list_distinct(list_concat(list(role), list('/' || turn % 3)))) AS roots FROM conversations GROUP BY conv_id""")
 def remember_roots(spark, sf):
     """The union of remembered and given roots, sorted."""
-    sets = table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("a"), F.collect_set("o_orderstatus").alias("b"))
-    return sets.select("o_custkey", F.array_sort(F.array_union("a", "b")).alias("roots"))
+    sets = table(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_list("role").alias("a"), F.collect_list(F.concat(F.lit("/"), (F.col("turn") % 3).cast("string"))).alias("b"))
+    return sets.select("conv_id", index.remembered(F.col("a"), F.col("b")).alias("roots"))
 
 
 @query("set_present", """
@@ -59,9 +59,8 @@ def set_present(spark, sf):
 @query("roster", """
 SELECT c_nationkey, string_agg('- ' || c_custkey || ': ' || c_name || ' (' || c_mktsegment || ')', chr(10) ORDER BY c_custkey) AS roster FROM customer GROUP BY c_nationkey""")
 def roster(spark, sf):
-    line = F.concat(F.lit("- "), F.col("c_custkey").cast("string"), F.lit(": "), "c_name", F.lit(" ("), "c_mktsegment", F.lit(")"))
-    lines = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", line.alias("line")))).alias("l"))
-    return lines.select("c_nationkey", F.array_join("l.line", "\n").alias("roster"))
+    cast = table(spark, sf, "customer").select("c_nationkey", F.col("c_custkey").alias("slug"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("role"))
+    return turns.roster(cast, "c_nationkey")
 
 
 @query("character_block", """
@@ -75,40 +74,40 @@ def character_block(spark, sf):
 
 
 @query("document_upsert", """
-SELECT coalesce(o.page_id, 1000000 + n.doc_id) AS doc_id, coalesce(n.path, o.path) AS path, coalesce(n.size, o.size) AS size FROM (SELECT page_id, url AS path, length(html) AS size FROM pages) o
-FULL JOIN (SELECT doc_id, path, size FROM (SELECT doc_id, 'http://' || source || '/' || doc_id AS path, n_chars AS size FROM documents) UNION ALL SELECT page_id, url, 1 FROM pages WHERE ends_with(url, '.html')) n ON n.path = o.path""")
+WITH o AS (SELECT min(page_id) AS doc_id, url AS path, min(length(html)) AS bytes FROM pages GROUP BY url),
+n AS (SELECT 'http://' || source || '/' || doc_id AS path, n_chars AS bytes FROM documents UNION ALL SELECT path, 1 FROM o WHERE ends_with(path, '.html')),
+fresh AS (SELECT path, bytes, (SELECT max(doc_id) FROM o) + row_number() OVER (ORDER BY encode(path)) AS doc_id FROM n WHERE path NOT IN (SELECT path FROM o))
+SELECT doc_id::BIGINT AS doc_id, path, bytes::BIGINT AS bytes FROM fresh UNION ALL SELECT o.doc_id, o.path, coalesce(n.bytes, o.bytes) FROM o LEFT JOIN n USING (path)""")
 def document_upsert(spark, sf):
-    """New documents get new ids, known paths keep theirs."""
-    p = table(spark, sf, "pages")
-    old = p.select("page_id", F.col("url").alias("path"), F.length("html").alias("size")).alias("o")
-    fresh = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("http://"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").cast("int").alias("size"))
-    new = fresh.unionByName(p.where(F.col("url").endswith(".html")).select(F.col("page_id").alias("doc_id"), F.col("url").alias("path"), F.lit(1).alias("size"))).alias("n")
-    both = old.join(new, F.col("o.path") == F.col("n.path"), "full_outer")
-    return both.select(
-        F.coalesce("o.page_id", 1_000_000 + F.col("n.doc_id")).alias("doc_id"), F.coalesce("n.path", "o.path").alias("path"), F.coalesce("n.size", "o.size").cast("bigint").alias("size")
-    )
+    """New documents get new ids in order of path, known paths keep theirs."""
+    old = table(spark, sf, "pages").groupBy(F.col("url").alias("path")).agg(F.min("page_id").alias("doc_id"), F.min(F.length("html")).cast("bigint").alias("bytes"))
+    fresh = table(spark, sf, "documents").select(F.concat(F.lit("http://"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").cast("bigint").alias("bytes"))
+    new = fresh.unionByName(old.where(F.col("path").endswith(".html")).select("path", F.lit(1).cast("bigint").alias("bytes")))
+    return index.upsert(old, new, ["bytes"])
 
 
-@query("document_delete", "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+@query("document_delete", "SELECT conv_id AS doc_id, turn AS chunk_id FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system')")
 def document_delete(spark, sf):
     """Chunks of deleted documents go with them."""
-    gone = table(spark, sf, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
-    return table(spark, sf, "orders").join(gone, "o_custkey", "left_anti").select("o_orderkey")
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_id"), "role")
+    documents, chunks = index.delete(c.select("doc_id").distinct(), c.select("doc_id", "chunk_id"), c.where("role = 'system'"))
+    return chunks.join(documents, "doc_id", "left_semi").select("doc_id", "chunk_id")
 
 
 @query("append_turn", """
-SELECT conv_id, turn + 1 AS n, text FROM conversations UNION ALL SELECT conv_id, max(turn) + 2, 'new: ' || arg_max(text, turn) FROM conversations GROUP BY conv_id""")
+SELECT conv_id, turn AS n, text FROM conversations UNION ALL SELECT page_id, coalesce((SELECT max(turn) FROM conversations c WHERE c.conv_id = p.page_id), 0) + 1, 'new ' || page_id FROM pages p""")
 def append_turn(spark, sf):
-    log = table(spark, sf, "conversations").select("conv_id", (F.col("turn") + 1).alias("n"), "text")
-    new = log.groupBy("conv_id").agg((F.max("n") + 1).alias("n"), F.concat(F.lit("new: "), F.max_by("text", "n")).alias("text"))
-    return log.unionByName(new)
+    """A turn for each of many campaigns, some of them new."""
+    log = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("n"), "text")
+    new = table(spark, sf, "pages").select(F.col("page_id").alias("conv_id"), F.concat(F.lit("new "), F.col("page_id").cast("string")).alias("text"))
+    return turns.append(log, new, ["conv_id"]).select("conv_id", "n", "text")
 
 
-@query("set_summary", "SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'done: ' || text ELSE text END AS summary, role = 'user' AS archived FROM conversations")
+@query("set_summary", "SELECT conv_id, turn AS n, CASE WHEN role = 'user' THEN 'done: ' || text ELSE text END AS summary, role = 'user' AS archived FROM conversations")
 def set_summary(spark, sf):
-    c = table(spark, sf, "conversations")
-    new = c.where("role = 'user'").select("conv_id", "turn", F.concat(F.lit("done: "), "text").alias("_s"))
-    return c.join(new, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("_s", "text").alias("summary"), F.col("_s").isNotNull().alias("archived"))
+    c = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("n"), "role", F.col("text").alias("summary"), F.lit(False).alias("archived"))
+    new = c.where("role = 'user'").select("conv_id", "n", F.concat(F.lit("done: "), "summary").alias("summary"))
+    return turns.with_summaries(c, new, ["conv_id"]).select("conv_id", "n", "summary", "archived")
 
 
 @query("verbatim_and_earlier", """
@@ -123,14 +122,13 @@ def verbatim_and_earlier(spark, sf):
 
 
 @query("chat_session", """
-SELECT conv_id, turn, string_agg(role || ': ' || text, chr(10) ORDER BY t) AS memory FROM (
-  SELECT a.conv_id, a.turn, b.turn AS t, b.role, b.text FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn BETWEEN a.turn - 4 AND a.turn - 1 AND b.role IN ('user', 'assistant')) GROUP BY ALL""")
+SELECT conv_id, turn AS n, string_agg(role || ': ' || text, chr(10) ORDER BY t) AS memory FROM (
+  SELECT a.conv_id, a.turn, b.turn AS t, b.role, b.text FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn BETWEEN a.turn - 4 AND a.turn - 1 AND b.role IN ('user', 'assistant') AND b.text <> '') GROUP BY ALL""")
 def chat_session(spark, sf):
-    """What a chat remembers before each turn: of the four entries before it, those of user and assistant."""
-    before = Window.partitionBy("conv_id").orderBy("turn").rangeBetween(-4, -1)
-    said = F.when(F.col("role").isin("user", "assistant"), F.struct("turn", F.concat("role", F.lit(": "), "text").alias("s")))
-    c = table(spark, sf, "conversations").withColumn("m", F.array_sort(F.collect_list(said).over(before)))
-    return c.where(F.size("m") > 0).select("conv_id", "turn", F.array_join("m.s", "\n").alias("memory"))
+    """What a chat remembers before each entry."""
+    log = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("n"), "role", F.col("text").alias("content"))
+    said = F.transform("memory", lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
+    return context.session_memory(log, ["conv_id"]).select("conv_id", "n", F.array_join(said, "\n").alias("memory"))
 
 
 @query("clock_jump", """
@@ -166,20 +164,12 @@ def query_source(spark, sf):
     return evaluate.query_source(lines).select(F.col("query").cast("bigint").alias("item_id"), "expect")
 
 
-@query("dimension_guard", "SELECT len(embedding)::INT AS dims, count(*) AS n FROM embeddings GROUP BY ALL")
+@query("dimension_guard", "SELECT vec_id AS chunk_id, len(embedding)::INT - 1 AS dims FROM embeddings WHERE label = 3")
 def dimension_guard(spark, sf):
-    return table(spark, sf, "embeddings").groupBy(F.size("embedding").alias("dims")).agg(F.count("*").alias("n"))
-
-
-@query("expanded_search")
-def expanded_search(spark, sf):
-    """Hybrid search of compound questions with their clauses as further lists."""
-    from tessera.backends import embed
-
-    d = table(spark, sf, "documents")
-    chunks = _chunks(spark, sf).withColumn("vec", embed(F.col("text")))
-    with_vec = lambda q: q.withColumn("vec", embed(F.col("query")))
-    return retrieval.search(chunks, d.select("doc_id", F.col("source").alias("title")), with_vec(_questions(spark, sf)), expand=True, embed=with_vec).select("query_id", "chunk_id", "rank", "score")
+    """Vectors that are a number short."""
+    e = table(spark, sf, "embeddings")
+    vec = F.when(F.col("label") == 3, F.slice("embedding", 2, 10_000)).otherwise(F.col("embedding"))
+    return retrieval.misfits(e.select(F.col("vec_id").alias("chunk_id"), vec.alias("vec")), 64)
 
 
 @query("composite_stats", """
@@ -205,7 +195,10 @@ def _parsed(df, parse, schema: str):
     return df.mapInArrow(run, "conv_id bigint, turn bigint, j string").select("conv_id", "turn", F.from_json("j", schema).alias("p")).select("conv_id", "turn", "p.*")
 
 
-@query("parse_entry")
+@query("parse_entry", """
+WITH t AS (SELECT conv_id, turn, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS narration, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))::INT AS words FROM conversations)
+SELECT conv_id, turn, 'Dawn' AS title, narration, ['a', 'b', 'c', 'd', 'e'] AS choices, words,
+  list_concat(CASE WHEN words < 20 THEN [words || ' words, at least 20 needed'] ELSE [] END, CASE WHEN words > 60 THEN [words || ' words, at most 60 allowed'] ELSE [] END) AS problems FROM t""")
 def parse_entry(spark, sf):
     """Entries built from the log's texts with a header and five options, taken apart again."""
     c = table(spark, sf, "conversations")
@@ -223,16 +216,19 @@ def distillate(spark, sf):
     return _parsed(c.select("conv_id", "turn", said.alias("t")), turns.distillate, "error string, facts array<string>, minutes int")
 
 
-@query("turn_stream")
+@query("turn_stream", """
+WITH t AS (SELECT conv_id::VARCHAR AS campaign, turn + 1 AS n, text, list_filter(list_transform(string_split(text, '. '), lambda s: array_to_string(list_filter(regexp_split_to_array(s, '\\s+'), lambda w: w <> ''), ' ')), lambda s: length(s) >= 8)[1:12] AS facts FROM conversations),
+e AS (SELECT campaign, n, 'summary' AS kind, 0 AS i, CASE WHEN text = '' THEN '(turn ' || n || ') no summary' ELSE text END AS raw FROM t
+  UNION ALL SELECT campaign, n, 'fact', generate_subscripts(facts, 1) - 1, unnest(facts) FROM t),
+m AS (SELECT *, array_to_string(list_filter(regexp_split_to_array(raw, '\\s+'), lambda w: w <> ''), ' ') AS text FROM e)
+SELECT campaign, format('memory://{}/{:05d}/{:02d}', kind, n, i) AS path, 'Turn ' || n AS title, 'Day 1 > ' || kind AS heading, kind, n AS turn, text FROM m WHERE length(text) >= 12""")
 def turn_stream(spark, sf):
     """The log as a stream into an archive, its memories after the run; the archive lies in the session's shared folder."""
-    import tempfile
     import uuid
 
-    from tessera.streaming.turn_log import TURNS, Archive
+    from tessera.streaming.turn_log import TURNS, Archive, shared_folder
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-    root = f"{shared.rstrip('/')}/turns-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/turns-{uuid.uuid4().hex}"
     c = table(spark, sf, "conversations")
     log = c.select(
         F.col("conv_id").cast("string").alias("campaign"), (F.col("turn") + 1).alias("n"), F.length("text").alias("minutes"), F.col("role").alias("location"), F.col("text").alias("summary"),

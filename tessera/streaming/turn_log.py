@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from tessera.operators.turns import memories
 
 TURNS = "campaign string, n bigint, minutes int, location string, summary string, facts array<string>, events array<string>, when string"
 MEMORIES = "campaign string, path string, title string, heading string, kind string, turn bigint, text string"
-STATE = "campaign string, turn bigint, minutes bigint, location string"
+#: Parts of the archive, by a hash of the campaign.
+PARTS = 64
 
 
 def entries_of(turns: DataFrame) -> DataFrame:
@@ -23,24 +26,37 @@ def entries_of(turns: DataFrame) -> DataFrame:
     return turns.select("campaign", F.col("n").alias("turn"), "when", F.inline(kinds))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it; a temporary one in a local session only."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared.rstrip("/")
+
+
 class Archive:
-    """Folders of memories and state; each micro-batch appends memories it has not seen, under its own batch id."""
+    """Folders of memories and turns, in parts by a hash of the campaign; each micro-batch appends what it has not seen, under its own
+    batch id, and reads only the parts that its campaigns lie in."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _read(self, name: str, schema: str, without: int | None = None) -> DataFrame:
+    def _read(self, name: str, schema: str, without: int | None = None, parts: list[int] | None = None) -> DataFrame:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(f"{schema}, batch bigint").parquet(f"{self.root}/{name}")
-        return (rows if without is None else rows.where(F.col("batch") != without)).drop("batch")
+        rows = self.spark.read.schema(f"{schema}, batch bigint, part int").parquet(f"{self.root}/{name}")
+        rows = rows if without is None else rows.where(F.col("batch") != without)
+        return (rows if parts is None else rows.where(F.col("part").isin(parts))).drop("batch", "part")
 
-    def memories(self, without: int | None = None) -> DataFrame:
-        return self._read("memories", MEMORIES, without)
+    def memories(self, without: int | None = None, parts: list[int] | None = None) -> DataFrame:
+        return self._read("memories", MEMORIES, without, parts)
 
-    def turns(self, without: int | None = None) -> DataFrame:
-        return self._read("turns", TURNS, without)
+    def turns(self, without: int | None = None, parts: list[int] | None = None) -> DataFrame:
+        return self._read("turns", TURNS, without, parts)
 
     def state(self) -> DataFrame:
         """By campaign: the latest turn, all minutes, and the last location that was given. Late turns do not move it."""
@@ -50,10 +66,13 @@ class Archive:
 
     def write(self, turns: DataFrame, batch: int) -> None:
         """A batch that is run again sees the archive without itself, and overwrites its own folder only."""
-        fresh = turns.dropDuplicates(["campaign", "n"]).join(self.turns(batch).select("campaign", "n"), ["campaign", "n"], "left_anti")
-        rows = memories(entries_of(fresh), "campaign").join(self.memories(batch).select("campaign", "path"), ["campaign", "path"], "left_anti")
-        rows.select(*[c.split()[0] for c in MEMORIES.split(", ")]).write.mode("overwrite").parquet(f"{self.root}/memories/batch={batch}")
-        fresh.select(*[c.split()[0] for c in TURNS.split(", ")]).write.mode("overwrite").parquet(f"{self.root}/turns/batch={batch}")
+        part = F.pmod(F.xxhash64("campaign"), F.lit(PARTS)).cast("int")
+        parts = [r[0] for r in turns.select(part.alias("p")).distinct().collect()]  # at most PARTS numbers
+        fresh = turns.dropDuplicates(["campaign", "n"]).join(self.turns(batch, parts).select("campaign", "n"), ["campaign", "n"], "left_anti")
+        rows = memories(entries_of(fresh), "campaign").join(self.memories(batch, parts).select("campaign", "path"), ["campaign", "path"], "left_anti")
+        for name, found, schema in (("memories", rows, MEMORIES), ("turns", fresh, TURNS)):
+            kept = found.select(*[c.split()[0] for c in schema.split(", ")], part.alias("part"))
+            kept.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.root}/{name}/batch={batch}")
 
     def run(self, source: DataFrame, checkpoint: str) -> None:
         """Take in all that a stream of turns has now, exactly once."""
