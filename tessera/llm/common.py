@@ -31,9 +31,14 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write ``df`` into the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    The folder is the application's own and is deleted when that ends; :func:`discard` deletes a table before."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark).rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
+    folder = f"{scratch_root(spark).rstrip('/')}/tessera-{spark.sparkContext.applicationId}"
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)  # when the application ends
     schema = df.schema
     df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
@@ -50,6 +55,22 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, *, by: str, how: str = "inner", parts: int = 16) -> DataFrame:
+    """``left`` with the row of ``right`` that has its key, where a third of ``left`` may have the same key.
+
+    The rows of each key are dealt to ``parts`` tasks by a hash of the column ``by``, and ``right``, which has one row for each
+    key, is repeated as often."""
+    own = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
+    each = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return own.join(each, [key, "_salt"], how).drop("_salt")
+
+
+def hot_keys(counts: DataFrame, key: str, n: str, share: int = 256) -> list:
+    """Keys that hold more than 1 / ``share`` of all rows, so fewer than ``share`` of them, from the counts of each."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return [r[0] for r in counts.where(F.col(n) * share > total).select(key).collect()]
+
+
 def remainder5(col: str) -> Column:
     """crc32(id as text) mod 5; a null id counts as the empty text (remainder 0)."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % 5

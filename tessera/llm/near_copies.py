@@ -1,7 +1,7 @@
-"""Near copies by the Jaccard similarity of their word shingles: candidates by MinHash bands, every link checked exactly.
+"""Near copies by the Jaccard similarity of their word shingles: candidates by SimHash and MinHash, every link checked exactly.
 
-At a similarity of 0.8 two SimHashes differ in about ten bits of 64, too many for a covering of bit blocks. Instead, the
-least hashes of a text's shingles under ``BANDS`` x ``ROWS`` functions make ``BANDS`` keys; texts of similarity s share
+Texts whose SimHashes link through the anchors of :mod:`simhash` are candidates. At a similarity of 0.8, though, two SimHashes
+differ in about ten bits of 64, too many for a covering of bit blocks. So further candidates come from bands: the least hashes of a text's shingles under ``BANDS`` x ``ROWS`` functions make ``BANDS`` keys; texts of similarity s share
 one with probability 1 - (1 - s^5)^24: all but 7 in 100,000 pairs at 0.8 and fewer above. Texts that share keys, also
 through others, are a loose group; within it all pairs are compared by their whole shingle sets.
 
@@ -19,8 +19,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, materialise, only
-from tessera.llm.simhash import components
+from tessera.llm.common import discard, hot_keys, join_hot, materialise, only
+from tessera.llm.simhash import _fingerprints, components, of_members, smallest_ids
+from tessera.llm.simhash import links as simhash_links
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -129,13 +130,19 @@ def _edges(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(rows: DataFrame) -> DataFrame:
     """(a, b): links between the texts ``fp`` of (fp, text) that join all whose similarity is SIMILARITY or more."""
-    keys = materialise(rows.select("fp", "text").mapInArrow(_keys, "fp long, key long"), "keys")
+    prints = materialise(rows.select("fp", "text").mapInArrow(_fingerprints, "id long, fp long").distinct(), "prints")
+    near = components(simhash_links(prints.select("fp").distinct()))
+    anchored = join_hot(prints, near.withColumnRenamed("node", "fp"), "fp", by="id", how="left")
+    alike = anchored.select(F.col("id").alias("fp"), F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("key"))
+    keys = materialise(rows.select("fp", "text").mapInArrow(_keys, "fp long, key long").unionByName(alike), "keys")
+    discard(prints)
     centres = keys.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("_max")).where("a <> _max").select("key", "a")
     stars = materialise(keys.join(centres, "key").select("a", F.col("fp").alias("b")).where("a <> b").distinct(), "stars")
     loose = components(stars)
     discard(keys)
+    discard(stars)
     sizes = loose.groupBy("root").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("g"))
-    members = loose.join(sizes, "root").select(F.col("node").alias("fp"), "root", "g")
+    members = join_hot(loose, sizes, "root", by="node").select(F.col("node").alias("fp"), "root", "g")
     dealt = (
         rows.select("fp", "text").dropDuplicates(["fp"]).join(members, "fp")
         .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("g")).cast("int"))
@@ -156,12 +163,11 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     and counts in no minimum unless the component has no other id.
     """
     rows = only(docs, id=id_col, text=text_col).withColumn("fp", F.xxhash64(F.coalesce("text", F.lit(""))))
-    nodes = materialise(rows.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
-    labels = components(materialise(links(rows), "edges"))
-    rooted = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    members = rooted.select("fp", "root").join(firsts, "root").select("fp", "component_id")
-    return rows.select("id", "fp").join(members, "fp").select(F.col("id").alias(id_col), "component_id")
+    nodes = materialise(rows.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "nodes")
+    edges = materialise(links(rows), "edges")
+    members = smallest_ids(nodes, components(edges))
+    discard(edges)
+    return of_members(rows.select("id", "fp"), members, hot_keys(nodes, "fp", "n")).select(F.col("id").alias(id_col), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -163,7 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """Learn ``labels.quality`` from at most ``bound`` texts; ids whose crc32 mod 5 is ``held_out`` are never used."""
     sample = labelled_sample(labels, "quality", bound, held_out=held_out)
     marked = only(docs, id=id_col, text=text_col).join(F.broadcast(sample), "id").select("id", "label", "text")
-    found = with_statistics(marked).orderBy("id", *STATISTICS).toPandas()  # bounded by the sample
+    # one row for each id, however often it is in the table: the one with the least statistics
+    found = with_statistics(marked).groupBy("id", "label").agg(F.min(F.struct(*STATISTICS)).alias("s")).select("id", "label", "s.*").orderBy("id").toPandas()
     return fit(found[list(STATISTICS)].to_numpy(dtype=float).reshape(-1, len(STATISTICS)), (found["label"] > 0).to_numpy(dtype=float))
 
 
@@ -180,7 +181,10 @@ def score(docs: DataFrame, model: Ensemble, *, id_col: str = "doc_id", text_col:
 
 
 def kept(docs: DataFrame, model: Ensemble, names: Sequence[str]) -> DataFrame:
-    """The rows of ``docs`` that the model does not reject, with the columns ``names``."""
+    """The rows of ``docs`` that the model does not reject, with the columns ``names``.
+
+    Null and empty texts have all statistics 0 and are judged like others; repeated rows are judged alike; a null id is no
+    matter. An empty table gives an empty result."""
     small_batches(docs.sparkSession)
     rows = with_statistics(docs.select(*names, F.col("text").alias("_text")))
     return rows.where(model.column() >= THRESHOLD).select(*names)

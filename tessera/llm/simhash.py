@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, materialise, only, table
+from tessera.llm.common import discard, hot_keys, join_hot, materialise, only, table
 
 SHINGLE = 4
 THRESHOLD = 4
@@ -250,14 +250,15 @@ def links(prints: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): connected components by minimum labels with pointer jumping; root is the smallest node.
 
-    Every round is an aggregation with partial sums and two joins that Spark may split when a root is hot; rounds are
-    written to the shared folder. The number of rounds grows with the logarithm of the longest chain.
+    Every round is an aggregation with partial sums and joins that deal the many neighbours of one node, or members of one
+    root, to several tasks; rounds are written to the shared folder and deleted when read. The number of rounds grows with
+    the logarithm of the longest chain.
     """
     pairs = materialise(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b"), "pairs")
     state = materialise(pairs.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")), "labels")
     while True:
         # the smallest label next to each node, pushed to the node and to its root
-        near = pairs.join(state.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").select("a", "r")
+        near = join_hot(pairs, state.select(F.col("node").alias("b"), F.col("root").alias("r")), "b", by="a").select("a", "r")
         offered = (
             near.groupBy("a").agg(F.min("r").alias("r")).join(state.withColumnRenamed("node", "a"), "a")
         )
@@ -267,7 +268,7 @@ def components(edges: DataFrame) -> DataFrame:
         lower = offers.groupBy("node").agg(F.min("root").alias("root"))
         # pointer jumping: follow the label of the label
         jump = lower.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        after = lower.join(jump, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+        after = join_hot(lower, jump, "root", by="node", how="left").select("node", F.coalesce("up", "root").alias("root"))
         new = materialise(after, "labels")
         moved = new.join(state.withColumnRenamed("root", "was"), "node").where("root <> was").limit(1).count()
         discard(state)
@@ -277,6 +278,24 @@ def components(edges: DataFrame) -> DataFrame:
             return state
 
 
+def smallest_ids(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(fp, component_id): the smallest id of each fingerprint's component, from nodes (fp, first, n) and labels (node, root).
+
+    Only linked fingerprints are joined; the members of one root are dealt to several tasks."""
+    linked = labels.withColumnRenamed("node", "fp").join(nodes.select("fp", "first"), "fp")
+    firsts = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    found = join_hot(linked.select("fp", "root"), firsts, "root", by="fp").select("fp", "component_id")
+    return nodes.select("fp", "first").join(found, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+
+
+def of_members(rows: DataFrame, members: DataFrame, hot: list) -> DataFrame:
+    """``rows`` with their fingerprint's component; a fingerprint that many rows have (``hot``) is dealt by id to several tasks."""
+    salts = 64
+    own = F.when(F.col("fp").isin(hot), F.pmod(F.xxhash64("id"), F.lit(salts))).otherwise(0).cast("int") if hot else F.lit(0)
+    each = F.explode(F.when(F.col("fp").isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))) if hot else F.lit(0)
+    return rows.withColumn("_salt", own).join(members.withColumn("_salt", each), ["fp", "_salt"]).drop("_salt")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row.
 
@@ -288,25 +307,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = only(docs, id=id_col, text=text_col)
     kind = rows.schema["id"].dataType.simpleString()
     prints = materialise(rows.mapInArrow(_fingerprints, f"id {kind}, fp long"), "prints")
-    nodes = materialise(prints.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
+    nodes = materialise(prints.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "nodes")
     edges = materialise(links(nodes), "edges")
-    labels = components(edges)
-    rooted = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    members = rooted.select("fp", "root").join(firsts, "root").select("fp", "component_id")
-    out = prints.join(members, "fp")
+    members = smallest_ids(nodes, components(edges))
+    discard(edges)
+    out = of_members(prints, members, hot_keys(nodes, "fp", "n"))
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents whose id is their component's: one of each group of near copies stays.
-
-    Of rows with the same id and text one stays. Documents without an id count as one group's only if all of it has none;
-    they stay then, once for each text.
-    """
-    kept = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "text"])
-
-
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
