@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import importlib.util
 import json
 import os
 import re
@@ -39,6 +40,109 @@ def embed(text: Column, dim: int = DIMENSIONS) -> Column:
     return run(text)
 
 
+class Embedder(Protocol):
+    """Vectors of batches of texts. ``available`` says whether the model can be loaded here; questions may be embedded in another
+    way than documents."""
+
+    name: str
+    available: bool
+
+    def documents(self, texts: list[str]) -> np.ndarray: ...
+
+    def queries(self, texts: list[str]) -> np.ndarray: ...
+
+
+class Reranker(Protocol):
+    """Scores of batches of texts for one question, read together."""
+
+    name: str
+    available: bool
+
+    def score(self, query: str, texts: list[str]) -> list[float]: ...
+
+
+class HashEmbedder:
+    """The deterministic stand-in."""
+
+    name, available = HASH_MODEL, True
+
+    def __init__(self, dim: int = DIMENSIONS):
+        self.dim = dim
+
+    def documents(self, texts: list[str]) -> np.ndarray:
+        return np.array([hash_embed(t, self.dim) for t in texts], dtype=np.float32).reshape(len(texts), self.dim)
+
+    queries = documents
+
+
+class NeuralEmbedder:
+    """A model of the ``fastembed`` package, where that is installed; loaded once in each worker process."""
+
+    def __init__(self, name: str, batch: int = 64):
+        self.name, self.batch = name, batch
+        self._model = None
+
+    def __getstate__(self) -> dict:
+        return {"name": self.name, "batch": self.batch, "_model": None}  # a loaded model does not travel
+
+    @property
+    def available(self) -> bool:
+        return importlib.util.find_spec("fastembed") is not None
+
+    def _loaded(self):
+        if self._model is None:
+            from fastembed import TextEmbedding
+
+            self._model = TextEmbedding(model_name=self.name)
+        return self._model
+
+    def documents(self, texts: list[str]) -> np.ndarray:
+        return np.array(list(self._loaded().embed(texts, batch_size=self.batch)), dtype=np.float32)
+
+    def queries(self, texts: list[str]) -> np.ndarray:
+        return np.array(list(self._loaded().query_embed(texts)), dtype=np.float32)
+
+
+class CrossEncoder:
+    """A reranker of the ``fastembed`` package, where that is installed; loaded once in each worker process."""
+
+    def __init__(self, name: str):
+        self.name = name
+        self._model = None
+
+    def __getstate__(self) -> dict:
+        return {"name": self.name, "_model": None}
+
+    @property
+    def available(self) -> bool:
+        return importlib.util.find_spec("fastembed") is not None
+
+    def score(self, query: str, texts: list[str]) -> list[float]:
+        if self._model is None:
+            from fastembed.rerank.cross_encoder import TextCrossEncoder
+
+            self._model = TextCrossEncoder(model_name=self.name)
+        return [float(s) for s in self._model.rerank(query, texts)]
+
+
+def chosen(*models):
+    """The first model that is available here, or None: what is asked for, then what to fall back to."""
+    return next((m for m in models if m is not None and m.available), None)
+
+
+def vectors(text: Column, embedder: Embedder, *, queries: bool = False) -> Column:
+    """Unit vectors of a text column by Arrow batches; a null text is empty."""
+
+    @F.pandas_udf("array<float>")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in texts:
+            found = (embedder.queries if queries else embedder.documents)([t or "" for t in part])
+            size = np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-12) if len(found) else 1.0
+            yield pd.Series(list((found / size).astype(np.float32)), index=part.index)
+
+    return run(text)
+
+
 class LanguageModel(Protocol):
     def chat(self, messages: list[dict], *, temperature: float | None = None, max_tokens: int | None = None) -> Iterator[str]: ...
 
@@ -89,19 +193,34 @@ class Http:
             raise ModelError(str(e)) from e
 
     def tags(self) -> list[str]:
-        return self._names("/api/tags")
+        return [m["name"] for m in self._models("/api/tags")]
 
-    def running(self) -> list[str]:
-        return self._names("/api/ps")
+    def running(self) -> list[dict]:
+        """Loaded models: name, bytes, and how much of them lies on the GPU."""
+        return [placement(m) for m in self._models("/api/ps")]
 
-    def _names(self, path: str) -> list[str]:
-        with urllib.request.urlopen(self.url + path, timeout=10) as answer:
-            return [m["name"] for m in json.load(answer).get("models", [])]
+    def _models(self, path: str) -> list[dict]:
+        try:
+            with urllib.request.urlopen(self.url + path, timeout=10) as answer:
+                return json.load(answer).get("models", [])
+        except OSError as e:
+            raise ModelError(f"no answer from {self.url}: {e}") from e
 
     def has_model(self, name: str) -> bool:
         return has_model(self.tags(), name)
 
 
+def placement(model: dict) -> dict:
+    """name, bytes and percent on the GPU of a loaded model, as the server reports it; one without a size has none there."""
+    size, there = model.get("size") or 0, model.get("size_vram") or 0
+    return {"name": model.get("name"), "bytes": size, "gpu_percent": round(100 * there / size, 1) if size else 0.0}
+
+
+def megabytes(size: int) -> float:
+    """Millions of bytes to one place."""
+    return round(size / 1e6, 1)
+
+
 def has_model(names: list[str], name: str) -> bool:
     return any(n in (name, f"{name}:latest") or n.startswith(f"{name}:") for n in names)
 

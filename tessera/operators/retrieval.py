@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -198,13 +199,17 @@ def fuse(lists: Sequence[tuple[DataFrame, float]]) -> DataFrame:
     for i, (found, weight) in enumerate(lists):
         part = _votes(found, F.lit(i), weight)
         rows = part if rows is None else rows.unionByName(part)
-    return _fused(rows)
+    return _fused(rows).drop("dense_rank", "bm25_rank")
 
 
 def _fused(rows: DataFrame) -> DataFrame:
     # few lists: their parts are added in the order of the lists
     parts = rows.groupBy("query_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("list", "rank", "part"))).alias("parts"))
-    fused = parts.select("query_id", "chunk_id", F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["part"]).alias("score"), F.element_at("parts", 1).alias("first"))
+    among = lambda i: F.try_element_at(F.transform(F.filter("parts", lambda p: p["list"] == i), lambda p: p["rank"]), F.lit(1))
+    fused = parts.select(
+        "query_id", "chunk_id", F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["part"]).alias("score"), F.element_at("parts", 1).alias("first"),
+        among(0).alias("dense_rank"), among(1).alias("bm25_rank"),
+    )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("first.list"), F.col("first.rank"))
     return fused.withColumn("rank", F.row_number().over(order)).drop("first")
 
@@ -252,49 +257,92 @@ def lexical_score(query: Column, text: Column) -> Column:
     return F.round(20.0 * shared / F.greatest(F.size(F.array_distinct(terms)), F.lit(1)) - 10.0, 6)
 
 
+def _model_scores(rows: DataFrame, model) -> DataFrame:
+    """(query_id, chunk_id, rank, _score) of rows with _asked and _text: the model sees each question with all its candidates, of
+    which there are at most the candidate cut."""
+    lists = rows.groupBy("query_id", "_asked").agg(F.collect_list(F.struct("chunk_id", "rank", "_text")).alias("c"))
+
+    @F.pandas_udf("array<double>")
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for asked, texts in parts:
+            yield pd.Series([[float(s) for s in model.score(q, list(t))] for q, t in zip(asked, texts, strict=True)])
+
+    scored = lists.withColumn("s", run("_asked", F.col("c._text"))).select("query_id", F.explode(F.arrays_zip("c", "s")).alias("v"))
+    return scored.select("query_id", "v.c.chunk_id", "v.c.rank", F.col("v.s").alias("_score"))
+
+
 def rerank(hits: DataFrame, queries: DataFrame, scorer=lexical_score) -> DataFrame:
-    """Scores by ``scorer`` (a function of query and text columns), the best over the query and its clauses; stable order."""
+    """Scores by ``scorer``, the best over the query and its clauses, in a stable order; adds rerank_score.
+
+    ``scorer`` is a function of query and text columns, or a model (see :class:`tessera.backends.Reranker`); hits are left as
+    they are by a model that is not available."""
+    if not callable(scorer) and not scorer.available:
+        return hits.withColumn("rerank_score", F.lit(None).cast("double"))
     asked = queries.select("query_id", F.col("query"), T.clauses(F.col("query")).alias("_clauses"))
     text = T.rerank_text(F.col("title"), F.col("heading"), F.col("text"))
     rows = hits.join(asked, "query_id").withColumn("_text", text).withColumn("_asked", F.explode(F.concat(F.array("query"), "_clauses")))
-    best = rows.groupBy("query_id", "chunk_id", "rank").agg(F.max(scorer(F.col("_asked"), F.col("_text"))).alias("_score"))
+    each = rows.withColumn("_score", scorer(F.col("_asked"), F.col("_text"))) if callable(scorer) else _model_scores(rows, scorer)
+    best = each.groupBy("query_id", "chunk_id", "rank").agg(F.max("_score").alias("rerank_score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "_old")
-    scored = hits.join(best, ["query_id", "chunk_id", "rank"]).withColumn("score", F.col("_score")).withColumnRenamed("rank", "_old")
-    return scored.withColumn("rank", F.row_number().over(order)).drop("_score", "_old")
+    scored = hits.join(best, ["query_id", "chunk_id", "rank"]).withColumn("score", F.col("rerank_score")).withColumnRenamed("rank", "_old")
+    return scored.withColumn("rank", F.row_number().over(order)).drop("_old")
+
 
+def project(hits: DataFrame) -> DataFrame:
+    """Hits as they are shown: with a label to cite them by, scores rounded."""
+    label = T.citation(F.col("path"), F.col("title"), F.coalesce("page", F.lit(0)), F.col("heading"))
+    return hits.select(
+        "query_id", "rank", "chunk_id", "path", "title", "heading", "page", "text", label.alias("label"), F.round("score", 4).alias("score"), "dense_rank", "bm25_rank",
+        F.round("rerank_score", 3).alias("rerank_score"),
+    )
 
-def search(
-    chunks: DataFrame, documents: DataFrame, queries: DataFrame, *, top_k: int = TOP_K, dense_k: int = DENSE_K, bm25_k: int = BM25_K, candidates: int = CANDIDATES,
-    margin: float = MARGIN, minimum: float = MINIMUM, most: int = PER_DOCUMENT, reranker=None, expand: bool = False, embed=None, tokens=T.index_tokens,
-) -> DataFrame:
-    """Hybrid search of a batch: dense and BM25 lists, fused, cut, hydrated, reranked and floored if there is a reranker, capped.
 
-    ``queries`` has query_id, query and vec. With ``expand``, clauses add lists of half the depth and half the weight; ``embed`` then gives
-    the vectors of clauses (a function of a DataFrame with query that adds vec).
+class Search:
+    """A hybrid search of a batch, step by step: every step is a DataFrame that is computed when it is read.
+
+    ``chunks`` has chunk_id, doc_id, text, heading and vec, ``queries`` query_id, query and vec. With ``expand``, clauses add
+    lists of half the depth and half the weight; ``embed`` then gives the vectors of clauses (a function of a DataFrame with
+    query that adds vec). ``posted`` and ``stats`` are stored postings and figures of the corpus.
     """
-    top_k = top_k or TOP_K
-    posted = postings(chunks, tokens=tokens)
-    lists = [(dense_search(chunks, queries, dense_k), 1.0), (bm25_search(chunks, queries, bm25_k, tokens=tokens, posted=posted), 1.0)]
-    fused = fuse(lists)
-    if expand:
-        parts = queries.select("query_id", F.posexplode(T.clauses(F.col("query"))).alias("n", "query"))
-        parts = parts.select((F.col("query_id") * 64 + F.col("n")).alias("part_id"), "query_id", "n", "query")
-        asked = parts.select(F.col("part_id").alias("query_id"), "query")
-        more = [(bm25_search(chunks, asked, max(1, bm25_k // 2), tokens=tokens, posted=posted), 1)]
-        if embed is not None:
-            more.insert(0, (dense_search(chunks, embed(asked), max(1, dense_k // 2)), 0))
-        rows = None
-        for i, (found, _) in enumerate(lists):
-            part = _votes(found, F.lit(i), 1.0)
-            rows = part if rows is None else rows.unionByName(part)
-        for found, kind in more:
-            part = found.withColumnRenamed("query_id", "part_id").join(parts.select("part_id", "query_id", "n"), "part_id")
-            rows = rows.unionByName(_votes(part, 2 + 2 * F.col("n") + kind, CLAUSE_WEIGHT))
-        fused = _fused(rows)
-    ranks = fused.where(F.col("rank") <= candidates)
-    for name, (found, _) in zip(("dense_rank", "bm25_rank"), lists, strict=True):
-        ranks = ranks.join(found.select("query_id", "chunk_id", F.col("rank").alias(name)), ["query_id", "chunk_id"], "left")
-    hits = hydrate(ranks, chunks.drop("vec"), documents)
-    if reranker is not None:
-        hits = floor(rerank(hits, queries, reranker), margin, minimum)
-    return cap(hits, most).where(F.col("rank") <= top_k)
+
+    def __init__(
+        self, chunks: DataFrame, documents: DataFrame, queries: DataFrame, *, top_k: int = TOP_K, dense_k: int = DENSE_K, bm25_k: int = BM25_K, candidates: int = CANDIDATES,
+        margin: float = MARGIN, minimum: float = MINIMUM, most: int = PER_DOCUMENT, reranker=None, expand: bool = False, embed=None, tokens=T.index_tokens,
+        posted: DataFrame | None = None, stats: DataFrame | None = None,
+    ):
+        self.queries = queries
+        posted = postings(chunks, tokens=tokens) if posted is None else posted
+        lexical = lambda q, k: bm25_search(chunks, q, k, tokens=tokens, posted=posted, stats=stats)
+        self.dense, self.bm25 = dense_search(chunks, queries, dense_k), lexical(queries, bm25_k)
+        votes = _votes(self.dense, F.lit(0), 1.0).unionByName(_votes(self.bm25, F.lit(1), 1.0))
+        self.clauses = queries.select("query_id", F.posexplode(T.clauses(F.col("query"))).alias("n", "query")) if expand else None
+        if expand:
+            parts = self.clauses.select((F.col("query_id") * 64 + F.col("n")).alias("part_id"), "query_id", "n", "query")
+            asked = parts.select(F.col("part_id").alias("query_id"), "query")
+            more = [(lexical(asked, max(1, bm25_k // 2)), 1)]
+            if embed is not None:
+                more.insert(0, (dense_search(chunks, embed(asked), max(1, dense_k // 2)), 0))
+            for found, kind in more:
+                part = found.withColumnRenamed("query_id", "part_id").join(parts.select("part_id", "query_id", "n"), "part_id")
+                votes = votes.unionByName(_votes(part, 2 + 2 * F.col("n") + kind, CLAUSE_WEIGHT))
+        # the ranks in the first two lists are among the votes: they come along, and no list is searched for again
+        self.fused = _fused(votes)
+        ranked = self.fused.where(F.col("rank") <= candidates)
+        self.hits = hydrate(ranked, chunks.drop("vec"), documents)
+        self.kept = floor(rerank(self.hits, queries, reranker), margin, minimum) if reranker is not None else self.hits.withColumn("rerank_score", F.lit(None).cast("double"))
+        self.found = cap(self.kept, most).where(F.col("rank") <= (top_k or TOP_K))
+
+    def counts(self) -> DataFrame:
+        """For each query, how many each step left: dense, bm25, clauses, fused, reranked, returned."""
+        out = self.queries.select("query_id")
+        steps = {"dense": self.dense, "bm25": self.bm25, "clauses": self.clauses, "fused": self.fused, "reranked": self.kept, "returned": self.found}
+        for name, rows in steps.items():
+            n = None if rows is None else rows.groupBy("query_id").agg(F.count("*").alias(name))
+            out = out.withColumn(name, F.lit(0).cast("bigint")) if n is None else out.join(n, "query_id", "left").withColumn(name, F.coalesce(name, F.lit(0).cast("bigint")))
+        return out
+
+
+def search(chunks: DataFrame, documents: DataFrame, queries: DataFrame, **options) -> DataFrame:
+    """Hybrid search of a batch: dense and BM25 lists, fused, cut, hydrated, reranked and floored if there is a reranker, capped;
+    see :class:`Search`."""
+    return Search(chunks, documents, queries, **options).found

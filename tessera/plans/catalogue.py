@@ -686,6 +686,28 @@ def full_search(spark, sf):
     return _searched(retrieval.search(chunks, _sources(spark, sf), questions, reranker=retrieval.lexical_score))
 
 
+@query("search_counts", f"""WITH {_BM25}, {_NEAR}, {_HYBRID}, {reranked_sql(_HEADED_TEXT)},
+n AS (SELECT query_id, source, count(*) AS n FROM reranked r JOIN documents d ON d.doc_id = r.chunk_id GROUP BY ALL)
+SELECT q.query_id, (SELECT count(*) FROM near x WHERE x.query_id = q.query_id) AS dense, (SELECT count(*) FROM bm25 x WHERE x.query_id = q.query_id AND rank <= 40) AS bm25, 0::BIGINT AS clauses,
+  (SELECT count(*) FROM fused x WHERE x.query_id = q.query_id) AS fused, (SELECT count(*) FROM reranked x WHERE x.query_id = q.query_id) AS reranked,
+  least((SELECT count(*) FROM reranked x WHERE x.query_id = q.query_id), 6) AS returned FROM ({_ASKED}) q""")
+def search_counts(spark, sf):
+    """How many candidates each step of the search leaves."""
+    chunks, questions = _with_vectors(spark, sf)
+    return retrieval.Search(chunks, _sources(spark, sf), questions, reranker=retrieval.lexical_score).counts()
+
+
+@query("hit_projection", f"""WITH {_BM25}, {_NEAR}, {_HYBRID}, {reranked_sql(_HEADED_TEXT)}, {_LAST.format(found='reranked').replace('SELECT f.query_id', ', shown AS (SELECT f.query_id')})
+SELECT query_id, rank, chunk_id, '/docs/' || source || '.md' AS path, source AS title, source AS heading, 0 AS page, text, source || '.md' AS label, round(score, 4) AS score, dense_rank, bm25_rank,
+  round(score, 3) AS rerank_score FROM shown JOIN documents d ON d.doc_id = chunk_id""")
+def hit_projection(spark, sf):
+    """Hits as they are shown; 0 stands for a list that does not have the chunk."""
+    chunks, questions = _with_vectors(spark, sf)
+    documents = _sources(spark, sf).withColumn("path", F.concat(F.lit("/docs/"), "title", F.lit(".md")))
+    shown = retrieval.project(retrieval.search(chunks.withColumn("page", F.lit(0)), documents, questions, reranker=retrieval.lexical_score))
+    return shown.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("dense_rank", "bm25_rank")})
+
+
 _CLAUSES = f"SELECT query_id * 64 + n AS query_id, query, query_id AS own, n FROM (SELECT query_id, unnest(c) AS query, generate_subscripts(c, 1) - 1 AS n FROM (SELECT query_id, {_clauses_sql('query')} AS c FROM ({_ASKED})))"
 
 
