@@ -1,4 +1,4 @@
-"""Command line over an index folder: ingest, reindex, search, ask, stats, forget, doctor.
+"""Command line over an index folder: ingest, reindex, search, ask, chat, serve, stats, forget, doctor, evaluate.
 
 Exit codes: 0, 1 when nothing matched or a check failed or an error was reported, 130 on interrupt."""
 
@@ -6,13 +6,13 @@ from __future__ import annotations
 
 import argparse
 import sys
+import time
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from tessera.backends import Echo, Http, embed, setting
-from tessera.functions.porter import stemmed_tokens
-from tessera.operators import context, index, retrieval
+from tessera.backends import HASH_MODEL, Echo, Http, ModelError, embed, megabytes, setting
+from tessera.operators import context, evaluate, index, retrieval, search_index
 
 
 def session() -> SparkSession:
@@ -21,64 +21,158 @@ def session() -> SparkSession:
     return spark
 
 
-def search(ix: index.Index, question: str, top_k: int):
-    """Hits of one question, with their citation label, in order of rank."""
-    from tessera.functions import text as T
+def parser() -> argparse.ArgumentParser:
+    common = argparse.ArgumentParser(add_help=False)
+    common.add_argument("--index", default=argparse.SUPPRESS)
+    common.add_argument("--top-k", type=int, default=argparse.SUPPRESS)
+    common.add_argument("--llm", choices=("echo", "http"), default=argparse.SUPPRESS)
+    common.add_argument("--show-sources", action="store_true", default=argparse.SUPPRESS)
+    out = argparse.ArgumentParser(prog="tessera", parents=[common])
+    commands = out.add_subparsers(dest="command", required=True)
+    add = lambda name: commands.add_parser(name, parents=[common])
+    ingest = add("ingest")
+    ingest.add_argument("paths", nargs="*")
+    ingest.add_argument("--force", action="store_true")
+    ingest.add_argument("--no-prune", action="store_true")
+    for name in ("search", "ask"):
+        add(name).add_argument("question", nargs="+")
+    for name in ("reindex", "chat", "stats", "doctor"):
+        add(name)
+    add("forget").add_argument("paths", nargs="+")
+    serve = add("serve")
+    serve.add_argument("--host", default="127.0.0.1")
+    serve.add_argument("--port", type=int, default=8080)
+    evaluation = add("evaluate")
+    evaluation.add_argument("queries")
+    evaluation.add_argument("--depth", type=int, default=5)
+    return out
+
+
+def options(argv: list[str] | None, of: argparse.ArgumentParser) -> argparse.Namespace:
+    """Arguments, with the defaults of options that may stand before or after the command."""
+    args = of.parse_args(argv)
+    for name, default in {"index": setting("TESSERA_INDEX", "index"), "top_k": setting("TESSERA_TOP_K", retrieval.TOP_K), "llm": setting("TESSERA_LLM", "echo"), "show_sources": False}.items():
+        if not hasattr(args, name):
+            setattr(args, name, default)
+    return args
+
+
+def say(events) -> tuple[int, str]:
+    """Print an answer's tokens as they come; exit code and text."""
+    text = ""
+    for event in events:
+        if event["type"] == "token":
+            print(event["text"], end="", flush=True)
+        elif event["type"] == "error":
+            print(event["error"], file=sys.stderr)
+            return 1, ""
+        elif event["type"] == "done":
+            text = event["text"]
+    print()
+    return 0, text
+
+
+def chat(ix: index.Index, model, top_k: int, lines) -> int:
+    """Questions line by line, with what was said before; 'reset' forgets it, 'exit' ends."""
+    past: list[dict] = []
+    for line in lines:
+        question = line.strip()
+        if question.lower() in ("exit", "quit", ":q"):
+            break
+        if question.lower() in ("reset", "clear"):
+            past.clear()
+        elif question:
+            code, text = say(search_index.answer(ix, question, model, top_k, past))
+            past += [{"role": "user", "content": question}, {"role": "assistant", "content": text}] if not code else []
+            past[:] = context.remembered(past, 8)
+    return 0
 
+
+def stats(ix: index.Index) -> int:
+    meta, found = ix.meta(), index.stats(ix.documents(), ix.chunks()).first()
+    dims = ix.chunks().agg(F.max(F.size("vec"))).first()[0] or 0
+    print(f"index       {found['documents']} documents, {found['chunks']} chunks, vectors of {dims}")
+    print(f"sources     {megabytes(found['bytes'])} MB")
+    print(f"embeddings  {meta['embed_model'] or '-'}")
+    print("file types  " + ", ".join(f"{r['ext'] or '?'} {r['n']}" for r in index.by_extension(ix.documents()).collect()))
+    for root in meta["roots"]:
+        print(f"root        {root}")
+    return 0
+
+
+def doctor(ix: index.Index, model) -> int:
+    """Whether the index, its model and the language model are in order; a model that spills over from the GPU is not."""
+    meta = ix.meta()
+    checks = [("index", bool(meta["generation"])), ("chunks", not ix.chunks().isEmpty()), (f"embeddings: {meta['embed_model']}", meta["embed_model"] is not None)]
+    if isinstance(model, Http):
+        try:
+            checks.append((f"model {model.model} installed", model.has_model(model.model)))
+            checks += [(f"{m['name']}: {m['gpu_percent']:.0f} % of {megabytes(m['bytes'])} MB on the GPU", m["gpu_percent"] > 98) for m in model.running()]
+        except ModelError as e:
+            checks.append((str(e), False))
+    for name, good in checks:
+        print(f"{'ok  ' if good else 'FAIL'} {name}")
+    return 0 if all(good for _, good in checks) else 1
+
+
+def evaluation(ix: index.Index, path: str, depth: int) -> int:
+    """Scores of four ways to search for the labelled questions of a JSON-lines file."""
     spark = ix.spark
-    asked = spark.createDataFrame([(0, question)], "query_id bigint, query string").withColumn("vec", embed(F.col("query")))
-    found = retrieval.search(ix.chunks(), ix.documents().select("doc_id", "path", "title"), asked, top_k=top_k, reranker=retrieval.lexical_score, tokens=stemmed_tokens)
-    label = T.citation(F.col("path"), F.col("title"), F.col("page"), F.col("heading"))
-    return found.withColumn("label", label).orderBy("rank")
+    labelled = evaluate.query_source(spark.read.text(path)).withColumn("query_id", F.row_number().over(evaluate.Window.orderBy("query")).cast("bigint")).persist()
+    questions, expected = labelled.select("query_id", "query"), labelled.select("query_id", F.explode("expect").alias("expect"))
+    search = search_index.plan(ix, questions, depth)
+    modes = {"dense": search.dense, "bm25": search.bm25, "hybrid": search.fused, "hybrid+rerank": search.found}
+    for mode, ranked in modes.items():
+        start = time.perf_counter()
+        results = ranked.select("query_id", "chunk_id", "rank").where(F.col("rank") <= depth).join(ix.chunks().select("chunk_id", "text"), "chunk_id")
+        row = evaluate.scores(evaluate.ranks(results, expected), results).first()
+        spent = 1000 * (time.perf_counter() - start) / max(labelled.count(), 1)
+        print(f"{mode:<14} " + "  ".join(f"{k} {row[k]:.3f}" for k in ("hit_1", "hit_3", "hit_5", "mrr", "coverage")) + f"  misses {row['misses']}  returned {row['returned']:.1f}  {spent:.0f} ms a question")
+    return 0
 
 
 def main(argv: list[str] | None = None) -> int:
-    parser = argparse.ArgumentParser(prog="tessera")
-    parser.add_argument("--index", default=setting("TESSERA_INDEX", "index"))
-    parser.add_argument("--top-k", type=int, default=setting("TESSERA_TOP_K", retrieval.TOP_K))
-    parser.add_argument("--llm", default=setting("TESSERA_LLM", "echo"), choices=("echo", "http"))
-    commands = parser.add_subparsers(dest="command", required=True)
-    commands.add_parser("ingest").add_argument("paths", nargs="*")
-    commands.add_parser("reindex")
-    for name in ("search", "ask"):
-        commands.add_parser(name).add_argument("question")
-    commands.add_parser("stats")
-    commands.add_parser("doctor")
-    commands.add_parser("forget").add_argument("path")
-    args = parser.parse_args(argv)
+    args = options(argv, parser())
+    model = Http() if args.llm == "http" else Echo()
     try:
         ix = index.Index(session(), args.index)
         if args.command == "ingest":
-            print(ix.ingest(args.paths) if args.paths else ix.rescan())
+            done = {"force": args.force, "prune_missing": not args.no_prune}
+            report = ix.ingest(args.paths, **done) if args.paths else ix.rescan(**done)
+            for root in report["missing"]:
+                print(f"{root} does not exist", file=sys.stderr)
+            print(report)
         elif args.command == "reindex":
-            print(ix.reindex())
+            print(ix.reindex(model=HASH_MODEL, embedder=embed))
         elif args.command == "forget":
-            removed = ix.forget(args.path)
+            removed = sum(ix.forget(p) for p in args.paths)
             print(f"{removed} documents forgotten")
             return 0 if removed else 1
         elif args.command == "stats":
-            index.stats(ix.documents(), ix.chunks()).show()
-            index.by_extension(ix.documents()).show()
+            return stats(ix)
         elif args.command == "doctor":
-            checks = {"index": bool(ix.meta()["generation"]), "chunks": not ix.chunks().isEmpty(), "model": ix.meta()["embed_model"] is not None}
-            for name, good in checks.items():
-                print(f"{'ok  ' if good else 'FAIL'} {name}")
-            return 0 if all(checks.values()) else 1
+            return doctor(ix, model)
+        elif args.command == "evaluate":
+            return evaluation(ix, args.queries, args.depth)
+        elif args.command == "chat":
+            return chat(ix, model, args.top_k, sys.stdin)
+        elif args.command == "serve":
+            from tessera.server import serve
+
+            serve(ix, args.port, model, args.host).serve_forever()
+        elif args.command == "search":
+            found = search_index.ask(ix, " ".join(args.question), args.top_k, counted=True)
+            for h in found.hits:
+                print(f"{h['rank']}. {h['label']}  {h['score']:.3f}\n    {h['text'][:200]}")
+            print(" ".join(f"{k.removesuffix('_ms')}={v:.0f}ms" for k, v in found.timings.items()) + "  |  " + " ".join(f"{k}={v}" for k, v in found.counts.items()))
+            return 0 if found.hits else 1
         else:
-            hits = search(ix, args.question, args.top_k).collect()  # at most top_k rows
-            if args.command == "search":
-                for h in hits:
-                    print(f"{h['rank']}. {h['label']}  {h['score']:.3f}\n    {h['text'][:200]}")
-                return 0 if hits else 1
-            rows = ix.spark.createDataFrame([(0, h["rank"], h["chunk_id"], h["label"], h["text"]) for h in hits], "query_id bigint, rank int, chunk_id bigint, label string, text string")
-            packed = context.pack_sources(rows).first()
-            model = Http() if args.llm == "http" else Echo()
-            for event in context.answer_events(args.question, packed["context"] if packed else "", [h["label"] for h in hits], model):
-                if event["type"] == "error":
-                    print(event["error"], file=sys.stderr)
-                    return 1
-                if event["type"] == "done":
-                    print(event["text"])
+            question = " ".join(args.question)
+            code, _ = say(search_index.answer(ix, question, model, args.top_k))
+            if args.show_sources:
+                for h in search_index.ask(ix, question, args.top_k).hits:
+                    print(f"[{h['rank']}] {h['path']}")
+            return code
         return 0
     except KeyboardInterrupt:
         return 130

@@ -201,14 +201,15 @@ class Campaign:
 
     # -- memory ------------------------------------------------------------------------------------------------------
 
-    def recall(self, query: str) -> list:
+    def recall(self, query: str, top_k: int = 0) -> list:
+        """Memories for a query, as :func:`retrieval.project` shows them."""
         memories = self.tables.read("memories")
         if memories.isEmpty():
             return []
         chunks = memories.select(F.xxhash64("path").alias("chunk_id"), F.xxhash64("path").alias("doc_id"), "heading", "text", F.lit(0).alias("page"), embed(F.concat_ws("\n", "heading", "text")).alias("vec"))
         documents = memories.select(F.xxhash64("path").alias("doc_id"), "path", "title", "kind", "turn")
         asked = self.spark.createDataFrame([(0, query)], "query_id bigint, query string").withColumn("vec", embed(F.col("query")))
-        return retrieval.search(chunks, documents, asked, top_k=self.recall_k, tokens=stemmed_tokens).orderBy("rank").collect()
+        return retrieval.project(retrieval.search(chunks, documents, asked, top_k=top_k or self.recall_k, tokens=stemmed_tokens)).orderBy("rank").collect()
 
     def _archive(self, n: int, latest: bool = True) -> dict:
         """Distil a turn into memories; the state follows only the latest turn."""

@@ -1,5 +1,6 @@
 import json
 import threading
+import urllib.error
 import urllib.request
 
 import pytest
@@ -71,6 +72,82 @@ def test_server(spark, tmp_path):
     post = lambda p, v: urllib.request.urlopen(urllib.request.Request(f"http://127.0.0.1:{server.server_port}{p}", json.dumps(v).encode())).read().decode()
     assert json.loads(post("/api/ingest", {"paths": [str(tmp_path / "corpus")]}))["added"] == 1
     assert json.loads(post("/api/search", {"question": "E-4471"}))["hits"][0]["label"] == "a.md — Error E-4471"
+    found = json.loads(post("/api/search", {"question": "E-4471"}))
+    assert found["counts"]["returned"] == 1 and found["counts"]["bm25"] == 1 and {"search_ms", "dense_ms", "bm25_ms"} <= found["timings"].keys()
+    get = lambda p: urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}{p}").read().decode()
+    assert json.loads(get("/api/stats"))["by_ext"] == {".md": 1} and "<form" in get("/")
     kinds = [json.loads(x[6:])["type"] for x in post("/api/ask", {"question": "E-4471"}).split("\n\n") if x]
     assert kinds == ["sources", "token", "done"]
     server.shutdown()
+
+
+def test_game_server_and_commands(spark, made, tmp_path, capsys, monkeypatch):
+    from tessera import play
+    from tessera.server import serve_game
+
+    server = serve_game(made, 0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    get = lambda p: urllib.request.urlopen(at + p).read().decode()
+    post = lambda p, v: urllib.request.urlopen(urllib.request.Request(at + p, json.dumps(v).encode())).read().decode()
+    assert "<form" in get("/") and json.loads(get("/api/state"))["unarchived"] == 0
+    events = [json.loads(x[6:]) for x in post("/api/turn", {"action": "look"}).split("\n\n") if x]
+    assert [e["type"] for e in events] == ["recall", "token", "entry", "archiving", "done"]
+    state = json.loads(get("/api/state"))
+    assert state["turns"] == 1 and len(state["choices"]) == 5 and "Dawn" in state["last_entry"] and state["relationships"][0]["name"] == "Bo"
+    assert [t["n"] for t in json.loads(get("/api/history?limit=3"))["turns"]] == [1]
+    assert "quay" in json.loads(post("/api/recall", {"query": "walked along the quay"}))["memories"][0]["text"]
+    with pytest.raises(urllib.error.HTTPError):
+        post("/api/recall", {})
+    server.shutdown()
+
+    root = ["--root", f"file://{tmp_path}/campaigns", "--llm", "echo"]
+    monkeypatch.setattr(play, "session", lambda: spark)
+    assert play.main([*root, "list"]) == 0 and capsys.readouterr().out.strip() == "gate"
+    assert play.main([*root, "status", "nowhere"]) == 1 and play.main([*root, "new", "gate", "--seed", "x"]) == 1
+    (tmp_path / "opening.txt").write_text("It began with a long walk along the river to the old mill.")
+    assert play.main([*root, "new", "mill", "--seed", f"file://{tmp_path}/seed.json", "--opening", f"file://{tmp_path}/opening.txt", "--title", "The Mill"]) == 0
+    assert play.main([*root, "turn", "mill", "go", "on"]) == 0 and play.main([*root, "play", "mill"], lines=["2\n", "exit\n", "never\n"]) == 0
+    capsys.readouterr()
+    assert play.main([*root, "history", "mill"]) == 0
+    assert capsys.readouterr().out.startswith("1. The Mill (13 words)")
+    (tmp_path / "notes.md").write_text("# World\n\nThe mill stands on the north bank and belongs to nobody.\n")
+    assert play.main([*root, "lore", "mill", f"{tmp_path}/notes.md"]) == 0 and play.main([*root, "lore", "mill", "/nowhere"]) == 1
+    assert play.main([*root, "recall", "mill", "who", "owns", "the", "mill"]) == 0
+    assert "belongs to nobody" in capsys.readouterr().out
+
+
+def test_lore_from_files_is_taken_in_once(spark, made, tmp_path):
+    (tmp_path / "lore").mkdir()
+    (tmp_path / "lore" / "a.md").write_text("# World\n## North\nIt always snows in the north.\n")
+    (tmp_path / "lore" / "b.bin").write_bytes(b"x")
+    (tmp_path / "lore" / "c.pdf").write_bytes(b"no pdf")
+    assert made.ingest_lore([f"{tmp_path}/lore"]) == {"added": 1, "failed": 1, "skipped": 1, "missing": []}
+    assert made.ingest_lore([f"{tmp_path}/lore", "/nowhere"]) == {"added": 0, "failed": 1, "skipped": 1, "missing": ["/nowhere"]}
+    row = made.tables.read("memories").where("text LIKE '%snows%'").first()
+    assert (row.kind, row.heading) == ("lore", "World > North > lore") and made.status()["memories"]["lore"] == 2
+
+
+def test_a_title_that_is_missing_comes_from_the_archive(spark, made):
+    made.model = Scripted(json.dumps(json.loads(NOTE) | {"title": "The Wet Quay"}))
+    n = made._append({"title": "", "narration": "n", "choices": [], "words": 1}, "x")
+    made._archive(n)
+    assert made.history(1)[0]["title"] == "The Wet Quay"
+
+
+def test_pointer_never_goes_missing(spark, tmp_path):
+    from tessera.operators.pointer import Pointer
+
+    p = Pointer(spark, f"file://{tmp_path}/p", "meta")
+    assert p.read() is None
+    for i in range(6):
+        p.write({"i": i})
+        assert p.read() == {"i": i}
+    assert len([f for f in (tmp_path / "p").iterdir() if f.name.startswith("meta-")]) == 3
+    p.fs.create(p._file(".meta-crashed"), True).close()  # a crash before the rename leaves the last version
+    assert p.read() == {"i": 5}
+    first, second = Pointer(spark, p.root, "meta"), Pointer(spark, p.root, "meta")
+    second._versions = lambda found=first._versions(): found  # both have seen the same version
+    first.write({"i": 6})
+    with pytest.raises(OSError):
+        second.write({"i": 7})
