@@ -5,11 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import format_automata, html_text, mixing, multiset_hash, ngram_ratio, packing, rule_ensemble, simhash, suffix_tree, urls
 from tessera.llm.oracles import ORACLES
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rules alone say of each url; empty where they say nothing."""
+    said = urls.op1(spark, sf_dir)
+    return said.select("page_id", "host", "path", F.coalesce("rule", F.lit("")).alias("rule"), F.when(F.col("rule").isNotNull(), F.col("verdict")).otherwise("").alias("verdict"))
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_hash.op4(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_automata.op8(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_ratio.op10(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": urls.op1,
@@ -22,6 +41,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": format_automata.op8,
         "op9_packing": packing.op9,
         "op10_quality_rules": ngram_ratio.op10,
+        # parts of these that SQL can express
+        "url_rules": url_rules,
+        "edited_texts": edited_texts,
+        "secret_counts": secret_counts,
+        "rule_counts": rule_counts,
     }
 
 
