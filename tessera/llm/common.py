@@ -59,10 +59,10 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, *, by: str, how: str =
     """``left`` with the row of ``right`` that has its key, where a third of ``left`` may have the same key.
 
     The rows of each key are dealt to ``parts`` tasks by a hash of the column ``by``, and ``right``, which has one row for each
-    key, is repeated as often."""
+    key, is repeated as often; it is never broadcast, as Spark does not count what it is repeated to."""
     own = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
     each = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return own.join(each, [key, "_salt"], how).drop("_salt")
+    return own.join(each.hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
 def hot_keys(counts: DataFrame, key: str, n: str, share: int = 256) -> list:
