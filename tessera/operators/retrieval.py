@@ -156,8 +156,10 @@ def term_hits(posted: DataFrame, queries: DataFrame, *, tokens=T.index_tokens) -
     terms = _terms(queries).select("term").distinct().select("term", tokens(F.col("term")).alias("parts")).where(F.size("parts") > 0)
     parts = _small(terms.select("term", F.size("parts").alias("m"), F.posexplode("parts").alias("k", "token")))
     found = posted.select("chunk_id", "d", "field", "pos", "token").join(parts, "token").repartition("chunk_id")
-    starts = found.groupBy("chunk_id", "term", "m", "d", "field", (F.col("pos") - F.col("k")).alias("start")).agg(F.count("*").alias("n"))
-    return starts.where("n = m").groupBy("chunk_id", "term", "d", "field").agg(F.count("*").alias("tf"))
+    start = F.when(F.col("m") > 1, F.col("pos") - F.col("k"))  # where a phrase would start; of single tokens no matter
+    starts = found.groupBy("chunk_id", "term", "m", "d", "field", start.alias("start")).agg(F.count("*").alias("n"))
+    whole = starts.where("m = 1 OR n = m").groupBy("chunk_id", "term", "d", "field")
+    return whole.agg(F.sum(F.when(F.col("m") == 1, F.col("n")).otherwise(1)).alias("tf"))
 
 
 def phrase_hits(posted: DataFrame, queries: DataFrame, *, tokens=T.index_tokens) -> DataFrame:
