@@ -24,8 +24,10 @@ BUCKETS = 65_536
 TRUSTED = 20_000
 #: Counts by which the target is smoothed towards the corpus.
 PRIOR = 8 * BUCKETS
-#: A text whose n-grams are on average this much less likely in the target than in the corpus (log ratio) goes.
-THRESHOLD = -0.1
+#: A text whose n-grams are on average this much less likely in the target than in the corpus (log ratio) goes. Smoothing by
+#: PRIOR draws all ratios to 0, the more the smaller the target; they are divided by the target's weight against it, so that
+#: the threshold means the same at every size.
+THRESHOLD = -0.12
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS, REPEAT_PERCENT = 20, 30
@@ -116,7 +118,7 @@ def grams(words: Column) -> Column:
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
-    """log(target / raw) for each bucket; ``docs`` has id and _hashes, ``trusted`` the ids of the target (bounded)."""
+    """log(target / raw) for each bucket, by the target's weight; ``docs`` has id and _hashes, ``trusted`` the ids of the target (bounded)."""
     marked = docs.join(F.broadcast(trusted.select("id").withColumn("_trusted", F.lit(1))), "id", "left")
     counts = (
         marked.select("_trusted", F.explode(grams(F.col("_hashes"))).alias("bucket"))
@@ -130,10 +132,10 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
     if not sum(target):
         return [0.0] * BUCKETS
     all_raw, all_target = sum(raw), sum(target)
-    out = []
+    out, weight = [], all_target / (all_target + PRIOR)
     for r, t in zip(raw, target, strict=True):
         share = (r + 1) / (all_raw + BUCKETS)  # the target is smoothed towards the corpus
-        out.append(math.log((t + PRIOR * share) / (all_target + PRIOR)) - math.log(share))
+        out.append((math.log((t + PRIOR * share) / (all_target + PRIOR)) - math.log(share)) / weight)
     return out
 
 

@@ -689,6 +689,42 @@ def test_ratio_keeps_the_trusted_kind(spark):
     assert all(r.kept == (r.doc_id % 5 > 0) for r in out)
 
 
+def plain_ratios(rows, trusted):
+    """id and mean log ratio of each row, from counts of hashed words and pairs of neighbours."""
+    size, prior = ngram_ratio.BUCKETS, ngram_ratio.PRIOR
+    chain = lambda value, seed: xxhash.xxh64_intdigest(value.to_bytes(8, "little"), seed & (2**64 - 1))
+
+    def grams(t):
+        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in WORD.findall(t or "")]
+        pairs = [chain(b, chain(a, 42)) for a, b in zip(h, h[1:], strict=False)] + ([chain(h[-1], 42)] if h else [])
+        signed = lambda x: x - 2**64 if x >= 2**63 else x
+        return [signed(x) % size for x in h + pairs]
+
+    raw, target = Counter(), Counter()
+    for i, t in rows:
+        raw.update(grams(t))
+        if i in trusted:
+            target.update(grams(t))
+    n, m = sum(raw.values()), sum(target.values())
+
+    def ratio(b):
+        share = (raw[b] + 1) / (n + size)
+        return (math.log((target[b] + prior * share) / (m + prior)) - math.log(share)) * (m + prior) / m
+
+    return [(i, round(sum(map(ratio, grams(t))) / max(len(grams(t)), 1), 9)) for i, t in rows]
+
+
+def test_log_ratios_against_plain_counts(spark, labels):
+    trusted = {i for i in range(60) if i % 4 > 0} | {4}  # of two labels, one that says good is enough
+    got = ngram_ratio.quality(frame(spark, texts()), labels).collect()
+    want = {i: [] for i, _ in texts()}
+    for i, r in plain_ratios(texts(), trusted):
+        want[i].append(r)
+    for r in got:
+        assert any(math.isclose(r.log_ratio, x, abs_tol=1e-6) for x in want[r.doc_id]), (r.doc_id, r.log_ratio, want[r.doc_id])
+        assert r.kept == (not r.base_failed and r.log_ratio >= ngram_ratio.THRESHOLD)
+
+
 def test_main_path_of_rules_is_native(docs, labels):
     plan = ngram_ratio.quality(docs, labels)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
