@@ -25,6 +25,11 @@ def parse(date: Column, time: Column) -> Column:
     return F.to_timestamp_ntz(F.concat_ws(" ", date, time), F.lit("yyyy-MM-dd HH:mm"))
 
 
+def fields(ts: Column) -> Column:
+    """A struct of the clock's parts: date, time, weekday."""
+    return F.struct(F.date_format(ts, "yyyy-MM-dd").alias("date"), F.date_format(ts, "HH:mm").alias("time"), F.date_format(ts, "EEEE").alias("weekday"))
+
+
 def pretty_date(ts: Column) -> Column:
     return F.concat(F.date_format(ts, "EEEE, MMMM "), ordinal(F.dayofmonth(ts)), F.lit(", "), F.year(ts).cast("string"))
 

@@ -232,8 +232,8 @@ class Campaign:
             log = log.withColumn("title", F.when((F.col("n") == n) & (F.coalesce("title", F.lit("")) == ""), F.lit(found["title"])).otherwise(F.col("title")))
         changed: dict[str, DataFrame] = {"memories": known.unionByName(new), "turns": log}
         if latest:
-            later = self.spark.range(1).select(D.advance(F.lit(turn.at), F.lit(found["minutes"])).alias("t")).select(F.date_format("t", "yyyy-MM-dd"), F.date_format("t", "HH:mm")).first()
-            values = {"date": later[0], "time": later[1]} | ({"location": found["location"]} if found["location"] else {})
+            later = self.spark.range(1).select(D.fields(D.advance(F.lit(turn.at), F.lit(found["minutes"]))).alias("f")).first()["f"]
+            values = {"date": later["date"], "time": later["time"]} | ({"location": found["location"]} if found["location"] else {})
             changed["campaign"] = self._settings(n, **values)
             if found["present"]:
                 changed["characters"] = turns.set_present(characters, self.spark.createDataFrame([(s,) for s in found["present"]], "slug string"))
@@ -279,7 +279,7 @@ class Campaign:
         hero = people.where("protagonist").orderBy("slug").first()
         ties = turns.standing(self.tables.read("relationships"), self.tables.read("characters")).collect()
         log = turns.recent(self._log(), turns.VERBATIM + turns.SUMMARIES, ["c"]).orderBy("n").collect()
-        arcs = self.tables.read("arcs").orderBy(F.desc("from_turn")).limit(turns.ARC_CONTEXT).collect()[::-1]
+        arcs = turns.last_arcs(self.tables.read("arcs").withColumn("c", F.lit(0)), ["c"]).first()
         memory, spent = [], 0
         for i, h in enumerate(recalled, 1):
             line = f"[m{i}] {h['heading']} — {h['text'].strip()}"
@@ -293,7 +293,7 @@ class Campaign:
             "present": "\n\n".join(c["block"] for c in cast if not c["protagonist"]),
             "standing": "\n".join(f"{r['name'] or r['other']} — {r['label'] or 'known'} ({r['closeness']}/10)" + (f". {r['note']}" if r["note"] else "") for r in ties),
             "flags": "\n".join(f"{r.key}: {json.loads(r.value)}" for r in self.tables.read("flags").orderBy("key").collect()),
-            "arcs": "\n\n".join(f"(turns {a.from_turn}-{a.to_turn}) {a.text}" for a in arcs), "recalled": "\n".join(memory),
+            "arcs": arcs["arcs"] if arcs else "", "recalled": "\n".join(memory),
             "earlier": "\n".join(f"Turn {t.n}: {t.summary or t.title or '(not yet distilled)'}" for t in older), "previous": "\n\n".join(t.narration.strip() for t in last), "action": action,
         }
         kinds = ", ".join(f"{k} {'timestamp_ntz' if k == 'clock' else 'bigint' if k == 'turns' else 'string'}" for k in state)

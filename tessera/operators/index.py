@@ -113,6 +113,14 @@ def stats(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     return each.agg(total("d").alias("documents"), total("b").alias("bytes"), total("c").alias("chunks"))
 
 
+def composite(documents: DataFrame, chunks: DataFrame, meta: dict, rerank_model: str | None = None) -> DataFrame:
+    """One row: the figures of :func:`stats`, the size of the vectors, the models, and the remembered roots."""
+    size = chunks.agg(F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("dims")).scalar()
+    roots = F.array(*[F.lit(r) for r in meta["roots"]]) if meta["roots"] else F.array().cast("array<string>")
+    told = {"embed_model": meta["embed_model"], "rerank_model": rerank_model}
+    return stats(documents, chunks).withColumns({"dims": size, "roots": roots, **{k: F.lit(v).cast("string") for k, v in told.items()}})
+
+
 def by_extension(documents: DataFrame) -> DataFrame:
     return documents.groupBy("ext").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "ext")
 

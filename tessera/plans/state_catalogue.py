@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.backends import HASH_MODEL
 from tessera.functions import dates as D
 from tessera.functions import text as T
 from tessera.operators import context, evaluate, index, retrieval, turns
@@ -140,14 +141,24 @@ def clock_jump(spark, sf):
     return table(spark, sf, "events").select("event_id", F.date_format(at, "yyyy-MM-dd HH:mm").alias("at"))
 
 
+_PROMPT = ("Protagonist", "Present", "Standing", "Ongoing", "Story so far", "Recalled", "Earlier")
+
+
 @query("turn_prompt", """
-WITH t AS (SELECT conv_id, max(turn) + 1 AS n, arg_max(text, turn) AS action FROM conversations GROUP BY conv_id)
-SELECT conv_id AS campaign, '## World state' || chr(10) || 'Now: Monday, April 14th, 2025 — 8:30 AM' || chr(10) || 'Entry number: ' || (n + 1) || chr(10) || chr(10) || '## Protagonist' || chr(10) || 'Reina' || chr(10) || chr(10) ||
-  '## Action' || chr(10) || trim(action, ' ' || chr(9) || chr(10) || chr(13)) || chr(10) || chr(10) || 'Write the next entry.' AS prompt FROM t""")
+WITH t AS (SELECT conv_id, max(turn) + 1 AS n, arg_max(text, turn) AS action, string_agg(text, ' ' ORDER BY turn) AS said FROM conversations GROUP BY conv_id),
+p AS (SELECT *, CASE WHEN length(said) > 5200 THEN '…' || right(said, 5200) ELSE said END AS previous FROM t)
+SELECT conv_id AS campaign, '## World state' || chr(10) || 'Now: Monday, April 14th, 2025 — 8:30 AM' || chr(10) || CASE WHEN conv_id % 2 = 0 THEN 'Place: quay' || chr(10) ELSE '' END || 'Entry number: ' || (n + 1) || chr(10) || chr(10) || """
++ " || ".join(f"CASE WHEN conv_id % {k + 2} > 0 THEN '## {title}' || chr(10) || '{title} ' || conv_id || chr(10) || chr(10) ELSE '' END" for k, title in enumerate(_PROMPT))
++ """ || CASE WHEN previous <> '' THEN '## Previous entry' || chr(10) || previous || chr(10) || chr(10) ELSE '' END ||
+  CASE WHEN trim(action, ' ' || chr(9) || chr(10) || chr(13)) <> '' THEN '## Action' || chr(10) || trim(action, ' ' || chr(9) || chr(10) || chr(13)) || chr(10) || chr(10) ELSE '' END || 'Write the next entry.' AS prompt FROM p""")
 def turn_prompt(spark, sf):
-    t = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("campaign")).agg((F.max("turn") + 1).alias("turns"), F.max_by("text", "turn").alias("action"))
-    empty = {k: F.lit("") for k in ("location", "present", "standing", "flags", "arcs", "recalled", "earlier", "previous")}
-    return turns.turn_prompt(t.withColumns(empty | {"clock": F.lit("2025-04-14 08:30:00").cast("timestamp_ntz"), "protagonist": F.lit("Reina")}))
+    """All parts of a prompt, each left out where it is empty; a long previous entry is cut at its start."""
+    said = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    t = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("campaign")).agg((F.max("turn") + 1).alias("turns"), F.max_by("text", "turn").alias("action"), F.array_join(said["text"], " ").alias("previous"))
+    columns = ("protagonist", "present", "standing", "flags", "arcs", "recalled", "earlier")
+    parts = {c: F.when(F.col("campaign") % (k + 2) > 0, F.concat(F.lit(f"{_PROMPT[k]} "), F.col("campaign").cast("string"))).otherwise("") for k, c in enumerate(columns)}
+    place = F.when(F.col("campaign") % 2 == 0, "quay").otherwise("")
+    return turns.turn_prompt(t.withColumns(parts | {"location": place, "clock": F.lit("2025-04-14 08:30:00").cast("timestamp_ntz")}))
 
 
 # -- retrieval extras ------------------------------------------------------------------------------------------------
@@ -173,12 +184,26 @@ def dimension_guard(spark, sf):
 
 
 @query("composite_stats", """
-SELECT (SELECT count(*) FROM documents) AS documents, (SELECT coalesce(sum(n_chars), 0)::BIGINT FROM documents) AS bytes, (SELECT count(*) FROM embeddings) AS chunks, 64 AS dims, 'hash-test' AS embed_model, CAST(NULL AS VARCHAR) AS rerank_model""")
+SELECT (SELECT count(*) FROM documents) AS documents, (SELECT coalesce(sum(n_chars), 0)::BIGINT FROM documents) AS bytes, (SELECT count(*) FROM embeddings) AS chunks, 64 AS dims, ['/a', '/b'] AS roots, 'hash-test' AS embed_model, 'none' AS rerank_model""")
 def composite_stats(spark, sf):
-    e = table(spark, sf, "embeddings")
-    both = index.stats(table(spark, sf, "documents").withColumnRenamed("n_chars", "bytes"), e)
-    dims = e.agg(F.max(F.size("embedding"))).first()[0]  # one number
-    return both.select("documents", "bytes", "chunks", F.lit(dims).alias("dims"), F.lit("hash-test").alias("embed_model"), F.lit(None).cast("string").alias("rerank_model"))
+    meta = {"roots": ["/a", "/b"], "embed_model": HASH_MODEL}
+    return index.composite(table(spark, sf, "documents").withColumnRenamed("n_chars", "bytes"), table(spark, sf, "embeddings").withColumnRenamed("embedding", "vec"), meta, "none")
+
+
+@query("clock_fields", """
+SELECT event_id, strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H:%M') AS time, strftime(ts, '%A') AS weekday, strftime(ts, '%Y-%m-%d %H:%M:00') AS parsed FROM events""")
+def clock_fields(spark, sf):
+    """The parts of a clock, and the clock that is read from them again."""
+    e = table(spark, sf, "events").select("event_id", D.fields(F.col("ts")).alias("f"))
+    return e.select("event_id", "f.*", F.date_format(D.parse(F.col("f.date"), F.col("f.time")), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
+
+
+@query("last_arcs", """
+WITH a AS (SELECT conv_id, turn AS from_turn, turn + 4 AS to_turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS late FROM conversations)
+SELECT conv_id, string_agg('(turns ' || from_turn || '-' || to_turn || ') ' || text, chr(10) || chr(10) ORDER BY from_turn) AS arcs FROM a WHERE late <= 3 GROUP BY conv_id""")
+def last_arcs(spark, sf):
+    told = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("from_turn"), (F.col("turn") + 4).alias("to_turn"), "text")
+    return turns.last_arcs(told, ["conv_id"], 3)
 
 
 # -- model output ----------------------------------------------------------------------------------------------------
@@ -206,14 +231,27 @@ def parse_entry(spark, sf):
     return _parsed(c.select("conv_id", "turn", body.alias("t")), lambda t: turns.parse_entry(t, least=20, most=60), "title string, narration string, choices array<string>, words int, problems array<string>")
 
 
-@query("distillate", """
-SELECT conv_id, turn, '' AS error, list_filter([array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), ' ')], lambda t: length(t) >= 8) AS facts, least(greatest(length(text) * 100, 0), 43200)::INT AS minutes FROM conversations""")
+_PLAIN_TEXT = "array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), ' ')"
+
+
+@query("distillate", f"""
+SELECT conv_id, turn, '' AS error, {_PLAIN_TEXT} AS summary, list_filter([{_PLAIN_TEXT}], lambda t: length(t) >= 8) AS facts, list_filter([{_PLAIN_TEXT}, 'a bell rang'], lambda t: length(t) >= 8) AS events,
+  [role] AS present, 'old_' || role AS other, least(greatest(turn - 2, 0), 10)::INT AS closeness, substr({_PLAIN_TEXT}, 1, 40) AS label, substr({_PLAIN_TEXT}, 1, 200) AS note, role AS flag,
+  least(greatest(length(text) * 100, 0), 43200)::INT AS minutes, role AS location, 'The ' || role AS title FROM conversations WHERE text <> ''""")
 def distillate(spark, sf):
     """Archivist answers built from the log's texts, fenced and with trailing commas, coerced again."""
-    c = table(spark, sf, "conversations")
-    quoted = F.regexp_extract(F.to_json(F.struct(F.col("text").alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
-    said = F.concat(F.lit('Here it is: ```json\n{"facts": ['), quoted, F.lit(',], "minutes_elapsed": '), (F.length("text") * 100).cast("string"), F.lit(",}\n``` done"))
-    return _parsed(c.select("conv_id", "turn", said.alias("t")), turns.distillate, "error string, facts array<string>, minutes int")
+    c = table(spark, sf, "conversations").where("text <> ''")
+    tie = F.struct(F.concat(F.lit("Old "), "role").alias("other"), (F.col("turn") - 2).alias("closeness"), F.col("text").alias("label"), F.col("text").alias("note"))
+    told = F.to_json(F.struct(
+        F.col("text").alias("summary"), F.col("text").alias("facts"), F.array(F.struct("text"), F.struct(F.lit("a bell rang").alias("text"))).alias("events"), F.array(F.upper("role"), F.lit("!")).alias("present"),
+        F.array(tie).alias("relationships"), F.struct(F.col("role").alias("door")).alias("flags"), (F.length("text") * 100).alias("minutes_elapsed"), F.col("role").alias("location"), F.concat(F.lit("The "), "role").alias("title"),
+    ))
+    said = F.concat(F.lit("Here it is: ```json\n"), F.regexp_replace(told, r"\}$", ",}"), F.lit("\n``` done"))
+    kinds = "error string, summary string, facts array<string>, events array<string>, present array<string>, relationships array<struct<other string, closeness int, label string, note string>>, flags map<string,string>, minutes int, location string, title string"
+    out = _parsed(c.select("conv_id", "turn", said.alias("t")), turns.distillate, kinds)
+    first = F.col("relationships")[0]
+    tied = [first[k].alias(k) for k in ("other", "closeness", "label", "note")]
+    return out.select("conv_id", "turn", "error", "summary", "facts", "events", "present", *tied, F.col("flags")["door"].alias("flag"), "minutes", "location", "title")
 
 
 @query("turn_stream", """

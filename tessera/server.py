@@ -81,8 +81,7 @@ def handler(ix: index.Index, model=None) -> type[Adapter]:
     model = model or Echo()
 
     def stats(_: dict) -> dict:
-        meta = ix.meta()
-        out = index.stats(ix.documents(), ix.chunks()).first().asDict() | {"roots": meta["roots"], "embed_model": meta["embed_model"]}
+        out = index.composite(ix.documents(), ix.chunks(), ix.meta()).first().asDict()
         out["by_ext"] = {r["ext"]: r["n"] for r in index.by_extension(ix.documents()).collect()}
         if isinstance(model, Http):
             try:
