@@ -11,7 +11,7 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from tessera.backends import HASH_MODEL, Echo, Http, ModelError, embed, megabytes, setting
+from tessera.backends import Echo, Http, ModelError, megabytes, setting
 from tessera.operators import context, evaluate, index, retrieval, search_index
 
 
@@ -72,7 +72,7 @@ def say(events) -> tuple[int, str]:
     return 0, text
 
 
-def chat(ix: index.Index, model, top_k: int, lines) -> int:
+def chat(ix: index.Index, model, top_k: int, lines, **options) -> int:
     """Questions line by line, with what was said before; 'reset' forgets it, 'exit' ends."""
     past: list[dict] = []
     for line in lines:
@@ -82,7 +82,7 @@ def chat(ix: index.Index, model, top_k: int, lines) -> int:
         if question.lower() in ("reset", "clear"):
             past.clear()
         elif question:
-            code, text = say(search_index.answer(ix, question, model, top_k, past))
+            code, text = say(search_index.answer(ix, question, model, top_k, past, **options))
             past += [{"role": "user", "content": question}, {"role": "assistant", "content": text}] if not code else []
             past[:] = context.remembered(past, 8)
     return 0
@@ -115,12 +115,12 @@ def doctor(ix: index.Index, model) -> int:
     return 0 if all(good for _, good in checks) else 1
 
 
-def evaluation(ix: index.Index, path: str, depth: int) -> int:
+def evaluation(ix: index.Index, path: str, depth: int, **options) -> int:
     """Scores of four ways to search for the labelled questions of a JSON-lines file."""
     spark = ix.spark
     labelled = evaluate.query_source(spark.read.text(path)).withColumn("query_id", F.row_number().over(evaluate.Window.orderBy("query")).cast("bigint")).persist()
     questions, expected = labelled.select("query_id", "query"), labelled.select("query_id", F.explode("expect").alias("expect"))
-    search = search_index.plan(ix, questions, depth)
+    search = search_index.plan(ix, questions, depth, **options)
     modes = {"dense": search.dense, "bm25": search.bm25, "hybrid": search.fused, "hybrid+rerank": search.found}
     for mode, ranked in modes.items():
         start = time.perf_counter()
@@ -134,16 +134,18 @@ def evaluation(ix: index.Index, path: str, depth: int) -> int:
 def main(argv: list[str] | None = None) -> int:
     args = options(argv, parser())
     model = Http() if args.llm == "http" else Echo()
+    models = search_index.Models.named(setting("TESSERA_EMBED_MODEL", ""), setting("TESSERA_RERANK_MODEL", ""))
+    built = {"model": models.name, "embedder": models.documents}
     try:
         ix = index.Index(session(), args.index)
         if args.command == "ingest":
-            done = {"force": args.force, "prune_missing": not args.no_prune}
+            done = {"force": args.force, "prune_missing": not args.no_prune} | built
             report = ix.ingest(args.paths, **done) if args.paths else ix.rescan(**done)
             for root in report["missing"]:
                 print(f"{root} does not exist", file=sys.stderr)
             print(report)
         elif args.command == "reindex":
-            print(ix.reindex(model=HASH_MODEL, embedder=embed))
+            print(ix.reindex(**built))
         elif args.command == "forget":
             removed = sum(ix.forget(p) for p in args.paths)
             print(f"{removed} documents forgotten")
@@ -153,24 +155,24 @@ def main(argv: list[str] | None = None) -> int:
         elif args.command == "doctor":
             return doctor(ix, model)
         elif args.command == "evaluate":
-            return evaluation(ix, args.queries, args.depth)
+            return evaluation(ix, args.queries, args.depth, models=models)
         elif args.command == "chat":
-            return chat(ix, model, args.top_k, sys.stdin)
+            return chat(ix, model, args.top_k, sys.stdin, models=models)
         elif args.command == "serve":
             from tessera.server import serve
 
             serve(ix, args.port, model, args.host).serve_forever()
         elif args.command == "search":
-            found = search_index.ask(ix, " ".join(args.question), args.top_k, counted=True)
+            found = search_index.ask(ix, " ".join(args.question), args.top_k, counted=True, models=models)
             for h in found.hits:
                 print(f"{h['rank']}. {h['label']}  {h['score']:.3f}\n    {h['text'][:200]}")
             print(" ".join(f"{k.removesuffix('_ms')}={v:.0f}ms" for k, v in found.timings.items()) + "  |  " + " ".join(f"{k}={v}" for k, v in found.counts.items()))
             return 0 if found.hits else 1
         else:
             question = " ".join(args.question)
-            code, _ = say(search_index.answer(ix, question, model, args.top_k))
+            code, _ = say(search_index.answer(ix, question, model, args.top_k, models=models))
             if args.show_sources:
-                for h in search_index.ask(ix, question, args.top_k).hits:
+                for h in search_index.ask(ix, question, args.top_k, models=models).hits:
                     print(f"[{h['rank']}] {h['path']}")
             return code
         return 0

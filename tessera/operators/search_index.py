@@ -3,17 +3,37 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from tessera.backends import embed
+from tessera.backends import HASH_MODEL, CrossEncoder, NeuralEmbedder, chosen, embed, vectors
 from tessera.functions.porter import stemmed_tokens
 from tessera.operators import context, retrieval
 from tessera.operators.index import Index
 
 
+@dataclass(frozen=True)
+class Models:
+    """What embeds texts and what reranks hits, as functions of columns or a model; with the embedder's name."""
+
+    name: str = HASH_MODEL
+    documents: Callable[[Column], Column] = embed
+    queries: Callable[[Column], Column] = embed
+    reranker: object = retrieval.lexical_score
+
+    @classmethod
+    def named(cls, embedder: str = "", reranker: str = "") -> Models:
+        """The models of these names where they can be loaded; else the stand-ins."""
+        scorer = chosen(CrossEncoder(reranker) if reranker else None) or retrieval.lexical_score
+        neural = chosen(NeuralEmbedder(embedder) if embedder else None)
+        if neural is None:
+            return cls(reranker=scorer)
+        return cls(neural.name, lambda c: vectors(c, neural), lambda c: vectors(c, neural, queries=True), scorer)
+
+
 @dataclass
 class Result:
     hits: list[Row]
@@ -21,12 +41,12 @@ class Result:
     counts: dict[str, int] = field(default_factory=dict)
 
 
-def plan(ix: Index, questions: DataFrame, top_k: int = 0, *, embedder=embed, reranker=retrieval.lexical_score, expand: bool = False) -> retrieval.Search:
+def plan(ix: Index, questions: DataFrame, top_k: int = 0, *, models: Models = Models(), expand: bool = False) -> retrieval.Search:
     """The search of a batch (query_id, query) over stored chunks and postings."""
-    asked = questions.withColumn("vec", embedder(F.col("query")))
+    with_vec = lambda q: q.withColumn("vec", models.queries(F.col("query")))
     return retrieval.Search(
-        ix.chunks(), ix.documents().select("doc_id", "path", "title"), asked, top_k=top_k, reranker=reranker, expand=expand, tokens=stemmed_tokens,
-        embed=lambda q: q.withColumn("vec", embedder(F.col("query"))), posted=retrieval.stored(ix.postings(), questions, tokens=stemmed_tokens), stats=ix.corpus_stats(),
+        ix.chunks(), ix.documents().select("doc_id", "path", "title"), with_vec(questions), top_k=top_k, reranker=models.reranker, expand=expand, tokens=stemmed_tokens,
+        embed=with_vec, posted=retrieval.stored(ix.postings(), questions, tokens=stemmed_tokens), stats=ix.corpus_stats(),
     )
 
 
@@ -53,7 +73,7 @@ def sources(ix: Index, hits: list[Row]) -> str:
     return packed["context"] if packed else ""
 
 
-def answer(ix: Index, question: str, model, top_k: int = 0, past: list[dict] = ()):
+def answer(ix: Index, question: str, model, top_k: int = 0, past: list[dict] = (), **options):
     """Events of an answer; see :func:`context.answer_events`."""
-    hits = ask(ix, question, top_k).hits
+    hits = ask(ix, question, top_k, **options).hits
     yield from context.answer_events(question, sources(ix, hits) if hits else "", [h["label"] for h in hits], model, list(past))
