@@ -133,13 +133,15 @@ def links(rows: DataFrame) -> DataFrame:
     prints = materialise(rows.select("fp", "text").mapInArrow(_fingerprints, "id long, fp long").distinct(), "prints")
     near = components(simhash_links(prints.select("fp").distinct()))
     anchored = join_hot(prints, near.withColumnRenamed("node", "fp"), "fp", by="id", how="left")
-    alike = anchored.select(F.col("id").alias("fp"), F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("key"))
-    keys = materialise(rows.select("fp", "text").mapInArrow(_keys, "fp long, key long").unionByName(alike), "keys")
+    alike = materialise(anchored.select(F.col("id").alias("fp"), F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("key")), "alike")
     discard(prints)
+    banded = materialise(rows.select("fp", "text").mapInArrow(_keys, "fp long, key long"), "keys")
+    keys = banded.unionByName(alike)  # each written by itself: a task that sorts for a join does not run Python as well
     centres = keys.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("_max")).where("a <> _max").select("key", "a")
     stars = materialise(keys.join(centres, "key").select("a", F.col("fp").alias("b")).where("a <> b").distinct(), "stars")
     loose = components(stars)
-    discard(keys)
+    discard(banded)
+    discard(alike)
     discard(stars)
     sizes = loose.groupBy("root").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("g"))
     members = join_hot(loose, sizes, "root", by="node").select(F.col("node").alias("fp"), "root", "g")
