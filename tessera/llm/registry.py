@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import format_automata, html_text, mixing, multiset_hash, ngram_ratio, packing, rule_ensemble, simhash, suffix_tree, urls
+from tessera.llm import format_automata, heap_lloyd, html_text, mixing, multiset_hash, ngram_ratio, packing, rule_ensemble, simhash, sort_means, suffix_tree, urls, vector_sql
 from tessera.llm.oracles import ORACLES
 
 
@@ -41,6 +41,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": format_automata.op8,
         "op9_packing": packing.op9,
         "op10_quality_rules": ngram_ratio.op10,
+        "op12_vector_codes": heap_lloyd.op12,
+        "op13_centroids": sort_means.op13,
         # parts of these that SQL can express
         "url_rules": url_rules,
         "edited_texts": edited_texts,
@@ -50,4 +52,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | {"op12_vector_codes": vector_sql.heap_lloyd(), "op13_centroids": vector_sql.sort_means()}
