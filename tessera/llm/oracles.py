@@ -38,4 +38,11 @@ c AS (SELECT doc_id, count(*) AS n_repeat_words FROM s GROUP BY doc_id)
 SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
   (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
   len(ws) < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * len(ws) AS base_failed FROM w LEFT JOIN c USING (doc_id)""",
+    "license_words": f"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS ws FROM documents),
+p AS (SELECT r, ws, unnest(range(0, len(ws))) AS i FROM w),
+f AS (SELECT r, i, CASE WHEN ws[i + 1:i + 4] = ['gnu', 'general', 'public', 'license'] THEN 'gpl' WHEN ws[i + 1:i + 2] = ['apache', 'license'] THEN 'apache' WHEN ws[i + 1:i + 2] = ['cc', 'by'] THEN 'cc-by'
+  WHEN ws[i + 1:i + 2] = ['mit', 'license'] THEN 'mit' END AS label FROM p),
+g AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM f WHERE label IS NOT NULL GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, coalesce(first_word, -1)::BIGINT AS first_word, coalesce(last_word, -1)::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels FROM w LEFT JOIN g USING (r)""",
 }

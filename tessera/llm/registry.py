@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import format_automata, heap_lloyd, html_text, mixing, multiset_hash, ngram_ratio, packing, rule_ensemble, simhash, sort_means, suffix_tree, urls, vector_sql
+from tessera.llm import format_automata, heap_lloyd, html_text, licence_index, mixing, multiset_hash, ngram_ratio, packing, rule_ensemble, simhash, sort_means, suffix_tree, urls, vector_sql
 from tessera.llm.oracles import ORACLES
 
 
@@ -29,6 +29,12 @@ def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_ratio.op10(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
+def license_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases that name a licence wherever they stand; places are -1 where there are none."""
+    place = lambda c: F.coalesce(c, F.lit(-1)).cast("long").alias(c)
+    return licence_index.op11(spark, sf_dir).select("doc_id", "n_words", "n_base", place("first_word"), place("last_word"), "base_labels")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": urls.op1,
@@ -41,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": format_automata.op8,
         "op9_packing": packing.op9,
         "op10_quality_rules": ngram_ratio.op10,
+        "op11_license_scan": licence_index.op11,
         "op12_vector_codes": heap_lloyd.op12,
         "op13_centroids": sort_means.op13,
         # parts of these that SQL can express
@@ -48,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "edited_texts": edited_texts,
         "secret_counts": secret_counts,
         "rule_counts": rule_counts,
+        "license_words": license_words,
     }
 
 
