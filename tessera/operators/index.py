@@ -1,29 +1,25 @@
-"""The index: documents and chunks as immutable snapshots, one folder for each generation.
+"""The index over files: what changed is found by joins, and only that is read, parsed, embedded and written.
 
-A change writes a new generation and then moves the pointer; a failure before that leaves the last good one in place. Incremental
-ingest classifies files by joins, reads only what size and time do not settle, and parses only what changed.
+Documents, chunks, postings and vectors are kept in segments (:mod:`tessera.operators.segments`). Incremental ingest reads only what size
+and time of a file do not settle, and parses only what its content does not; texts that were embedded before keep their vectors.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.backends import HASH_MODEL, embed
 from tessera.functions import text as T
-from tessera.functions.porter import stemmed_tokens
-from tessera.operators import retrieval
 from tessera.operators.chunking import chunk_documents
-from tessera.operators.pointer import Pointer
+from tessera.operators.scratch import written
+from tessera.operators.segments import CHUNKS, DOCUMENTS, STORED, Segments, names, numbered
 from tessera.sources.loaders import contents, extension, list_files, load_files, title_of
 
-DOCUMENTS = "doc_id bigint, path string, title string, ext string, bytes bigint, mtime double, sha256 string, n_chunks int"
-POSTINGS = "chunk_id bigint, d int, field string, pos int, token string, bucket int"
 #: Files up to which contents are read by name.
 BY_NAME = 5_000
-CHUNKS = "chunk_id bigint, doc_id bigint, ord int, heading string, page int, text string, vec array<float>"
 
 
 def change_status(listed_bytes: Column, listed_mtime: Column, sha: Column, stored: str = "stored") -> Column:
@@ -63,16 +59,6 @@ def upsert(old: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
     return stay.unionByName(known).unionByName(added)
 
 
-def numbered(rows: DataFrame, key: str, name: str, after: int = 0) -> DataFrame:
-    """Numbers from ``after`` + 1 in order of a key that is distinct."""
-    cuts = rows.select(key).repartitionByRange(key).select(key, F.spark_partition_id().alias("_part")).persist()
-    sizes = cuts.groupBy("_part").agg(F.min(key).alias("_from"), F.count("*").alias("_size"))
-    parts = sizes.withColumn("_before", F.sum("_size").over(Window.orderBy("_from").rowsBetween(Window.unboundedPreceding, -1)))  # one row for each part
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(key))
-    placed = cuts.withColumn("_n", within).join(F.broadcast(parts.select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))), "_part")
-    return rows.join(placed.select(key, (F.lit(after) + F.col("_before") + F.col("_n")).cast("bigint").alias(name)), key)
-
-
 def delete(documents: DataFrame, chunks: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents and chunks without those of the documents ``gone`` (doc_id)."""
     ids = gone.select("doc_id").distinct()
@@ -126,50 +112,11 @@ def by_extension(documents: DataFrame) -> DataFrame:
 
 
 @dataclass
-class Index:
-    """An index in a folder: ``generation-N`` folders with documents, chunks and postings, and a pointer to the current one."""
-
-    spark: SparkSession
-    root: str
-
-    def _pointer(self) -> Pointer:
-        return Pointer(self.spark, self.root, "meta")
+class Index(Segments):
+    """An index of files in a folder."""
 
     def meta(self) -> dict:
-        return {"generation": 0, "roots": [], "embed_model": None, "schema_version": 1, "n_chunks": 0, "n_tokens": 0} | (self._pointer().read() or {})
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        meta = self.meta()
-        if not meta["generation"]:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/generation-{meta['generation']}/{name}")
-
-    def documents(self) -> DataFrame:
-        return self._read("documents", DOCUMENTS)
-
-    def chunks(self) -> DataFrame:
-        return self._read("chunks", CHUNKS)
-
-    def postings(self) -> DataFrame:
-        """Stemmed tokens of the chunks with their places, in parts by token; :func:`retrieval.stored` picks the parts of a query."""
-        return self._read("postings", POSTINGS)
-
-    def corpus_stats(self) -> DataFrame:
-        """What BM25 needs to know of the corpus, kept with the generation."""
-        meta = self.meta()
-        return self.spark.range(1).select(F.lit(float(meta["n_chunks"])).alias("n_chunks"), F.lit(meta["n_tokens"] / max(meta["n_chunks"], 1)).alias("avg_tokens"))
-
-    def _commit(self, documents: DataFrame, chunks: DataFrame, meta: dict) -> None:
-        meta = meta | {"generation": meta["generation"] + 1}
-        folder = f"{self.root}/generation-{meta['generation']}"
-        names = lambda schema: [c.split()[0] for c in schema.split(", ")]
-        documents.select(*names(DOCUMENTS)).write.mode("overwrite").parquet(f"{folder}/documents")
-        chunks.select(*names(CHUNKS)).write.mode("overwrite").parquet(f"{folder}/chunks")
-        written = self.spark.read.schema(CHUNKS).parquet(f"{folder}/chunks")
-        posted = retrieval.postings(written, tokens=stemmed_tokens).withColumn("bucket", retrieval.bucket(F.col("token")))
-        posted.select(*names(POSTINGS)).repartition("bucket").sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
-        kept = self.spark.read.schema(POSTINGS).parquet(f"{folder}/postings")
-        self._pointer().write(meta | {"n_chunks": written.count(), "n_tokens": kept.count()})
+        return self.manifest()[1]
 
     def check_model(self, name: str) -> None:
         stored = self.meta()["embed_model"]
@@ -194,6 +141,16 @@ class Index:
             return files.withColumn("content", F.lit(None).cast("binary"))
         return files.join(contents(self.spark, names if len(names) <= BY_NAME else roots).dropDuplicates(["path"]), "path")
 
+    def _embedded(self, titled: DataFrame, model: str, embedder) -> tuple[DataFrame, int]:
+        """Chunks with their vectors, and how many were embedded: texts that this model has seen keep theirs."""
+        text = T.embed_text(F.col("title"), F.col("heading"), F.col("text"))
+        hashed = titled.withColumn("_text", text).withColumn("embedded", F.sha2("_text", 256))
+        known = written(hashed.join(self.vectors(model), "embedded", "left"), "vectors")
+        new = known.where("vec IS NULL").drop("vec")
+        once = written(new.select("embedded", "_text").dropDuplicates(["embedded"]).select("embedded", embedder(F.col("_text")).alias("vec")), "embedded")
+        out = known.where("vec IS NOT NULL").unionByName(new.join(once, "embedded").select(*known.columns))
+        return out.select("doc_id", "ord", "heading", "page", "text", "vec", "embedded"), once.count()
+
     def ingest(self, roots: list[str], *, force: bool = False, prune_missing: bool = True, model: str = HASH_MODEL, embedder=embed) -> dict:
         """Bring the index up to date with the files under the roots; counters of what was done.
 
@@ -201,75 +158,78 @@ class Index:
         that changes nothing writes nothing but the roots."""
         if not roots:
             raise RuntimeError("no folders are remembered: name some to ingest")
-        meta = self.meta()
         self.check_model(model)
+        version, meta = self.manifest()
         given = lambda names: F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
-        meta = meta | {"roots": list(self.spark.range(1).select(remembered(given(meta["roots"]), given(roots))).first()[0]), "embed_model": model}
-        self._pointer().write(meta)  # roots are remembered before any work
+        known = list(self.spark.range(1).select(remembered(given(meta["roots"]), given(roots))).first()[0])
+        if known != meta["roots"] or meta["embed_model"] != model:  # remembered before any work
+            meta = meta | {"roots": known, "embed_model": model}
+            version = self.pointer().write(meta, after=version)
+        return self._bring(roots, meta, version, force=force, prune_missing=prune_missing, model=model, embedder=embedder)
+
+    def _bring(self, roots: list[str], meta: dict, version: int, *, force: bool, prune_missing: bool, model: str, embedder, fresh: bool = False) -> dict:
         listing, missing = self._listing(roots)
         there = [r for r in roots if r not in missing]
-        listing = listing.persist()
-        old = self.documents()
+        held: list[DataFrame] = []
+
+        def hold(df: DataFrame) -> DataFrame:
+            held.append(df.persist())
+            return held[-1]
+
         try:
+            listing = hold(listing)
+            old = hold(self.spark.createDataFrame([], STORED["documents"]) if fresh else self.rows(meta))
             ok = listing.where("status = 'ok'").dropDuplicates(["path"]).drop("status")
             joined = ok.alias("file").join(old.alias("stored"), F.col("file.path") == F.col("stored.path"), "left")
             first_look = F.lit("parse") if force else change_status(F.col("file.bytes"), F.col("file.mtime"), F.lit(None).cast("string"))
-            settled = joined.select("file.*", F.col("stored.sha256").alias("had"), F.col("stored.n_chunks").alias("n_chunks"), first_look.alias("change")).persist()
+            settled = hold(joined.select("file.*", F.col("stored.sha256").alias("had"), F.col("stored.n_chunks").alias("n_chunks"), first_look.alias("change")))
             doubtful = self._contents(settled.where("change = 'parse'").drop("change"), there).withColumn("sha256", content_hash(F.col("content")))
             same = F.lit(False) if force else F.coalesce((F.col("n_chunks") > 0) & (F.col("had") == F.col("sha256")), F.lit(False))
-            doubtful = doubtful.withColumn("change", F.when(same, "touched").otherwise("parse")).drop("had", "n_chunks").persist()
-            loaded = load_files(doubtful.where("change = 'parse'")).persist()
+            doubtful = hold(doubtful.withColumn("change", F.when(same, "touched").otherwise("parse")).drop("had", "n_chunks"))
+            loaded = hold(load_files(doubtful.where("change = 'parse'")))
             ready = doubtful.where("change = 'parse'").drop("content", "change").join(loaded.where("error IS NULL"), "path")
-            cut = chunk_documents(ready.select(F.col("path").alias("doc_id"), "blocks")).withColumnRenamed("doc_id", "path").persist()
+            cut = hold(chunk_documents(ready.select(F.col("path").alias("doc_id"), "blocks")).withColumnRenamed("doc_id", "path"))
             first = F.coalesce(F.try_element_at(F.col("blocks"), F.lit(1))["text"], F.lit(""))
             counts = cut.groupBy("path").agg(F.count("*").cast("int").alias("n_chunks"))
-            columns = [c.split()[0] for c in DOCUMENTS.split(", ")][2:]
-            parsed = ready.select("path", title_of(first, F.col("path")).alias("title"), extension(F.col("path")).alias("ext"), "bytes", "mtime", "sha256").join(counts, "path").persist()
+            columns = names(DOCUMENTS)[2:]
+            parsed = hold(ready.select("path", title_of(first, F.col("path")).alias("title"), extension(F.col("path")).alias("ext"), "bytes", "mtime", "sha256").join(counts, "path"))
             touched = doubtful.where("change = 'touched'").select("path", F.col("bytes").alias("_b"), F.col("mtime").alias("_m"))
-            seen = old.join(touched, "path", "left").withColumn("bytes", F.coalesce("_b", "bytes")).withColumn("mtime", F.coalesce("_m", "mtime")).drop("_b", "_m")
-            whole = upsert(seen, parsed, columns).persist()
-            gone = (prune(old, ok, listing, there) if prune_missing else old.limit(0)).persist()
-            ids = whole.join(parsed.select("path"), "path", "left_semi").select("path", "doc_id", "title")
+            again = old.join(touched, "path").withColumn("bytes", F.col("_b")).withColumn("mtime", F.col("_m")).select("doc_id", "path", *columns)
+            gone = hold(prune(old, ok, listing, there) if prune_missing and not fresh else old.limit(0))
+            known = parsed.join(old.select("path", "doc_id"), "path")
+            added = numbered(parsed.join(old.select("path"), "path", "left_anti"), "path", "doc_id", meta["next_doc"] - 1)
+            new = hold(known.select("doc_id", "path", *columns).unionByName(added.select("doc_id", "path", *columns)))
             n = lambda df: df.count()
-            out = {
-                "added": n(parsed.join(old.select("path"), "path", "left_anti")),
-                "updated": n(parsed.join(old.select("path"), "path", "left_semi")),
-                "unchanged": n(settled.where("change = 'unchanged'")) + n(touched),
-                "failed": n(loaded.where("error IS NOT NULL")),
-                "removed": n(gone),
-                "chunks": n(cut),
-                "missing": missing,
-            }
+            out = {"added": n(added), "updated": n(known), "unchanged": n(settled.where("change = 'unchanged'")) + n(again), "failed": n(loaded.where("error IS NOT NULL")), "removed": n(gone), "chunks": n(cut), "embedded": 0, "missing": missing}
             out["skipped"] = n(listing.where("status IN ('unsupported', 'oversize')")) + n(ready) - out["added"] - out["updated"]
             out["failures"] = [(r[0], r[1]) for r in loaded.where("error IS NOT NULL").select("path", "error").orderBy("path").limit(100).collect()]
-            if out["added"] or out["updated"] or out["removed"] or not touched.isEmpty():
-                titled = cut.join(ids, "path")
-                new_chunks = titled.select(
-                    (F.col("doc_id") * 1_000_000 + F.col("ord")).alias("chunk_id"), "doc_id", "ord", "heading", "page", "text",
-                    embedder(T.embed_text(F.col("title"), F.col("heading"), F.col("text"))).alias("vec"),
-                )
-                _, old_chunks = delete(old, self.chunks(), ids.select("doc_id").unionByName(gone.select("doc_id")))
-                documents, _ = delete(whole, old_chunks, gone)
-                self._commit(documents, old_chunks.unionByName(new_chunks), meta)
+            if fresh or out["added"] or out["updated"] or out["removed"] or not again.isEmpty():
+                chunks, out["embedded"] = self._embedded(cut.join(new.select("path", "doc_id", "title"), "path"), model, embedder)
+                changed = known.select("doc_id").unionByName(gone.select("doc_id"))
+                self.commit(new.unionByName(again), chunks, changed.unionByName(again.select("doc_id")), cut=changed, meta=meta, version=version, fresh=fresh)
             return out
         finally:
-            self.spark.catalog.clearCache()
+            for df in held:
+                df.unpersist()
 
     def rescan(self, **options) -> dict:
         return self.ingest(self.meta()["roots"], **options)
 
     def reindex(self, *, model: str = HASH_MODEL, embedder=embed) -> dict:
-        """Build anew from the remembered roots, with a new model if need be."""
-        meta = self.meta() | {"embed_model": model}
-        self._commit(self.spark.createDataFrame([], DOCUMENTS), self.spark.createDataFrame([], CHUNKS), meta)
-        return self.ingest(meta["roots"], force=True, model=model, embedder=embedder)
+        """Build anew from the remembered roots, with a new model if need be. Readers see the old index until the new one is whole;
+        texts that the same model has embedded are not embedded again."""
+        version, meta = self.manifest()
+        if not meta["roots"]:
+            raise RuntimeError("no folders are remembered: name some to ingest")
+        return self._bring(meta["roots"], meta | {"embed_model": model}, version, force=True, prune_missing=True, model=model, embedder=embedder, fresh=True)
 
     def forget(self, target: str, **options) -> int:
-        meta, old = self.meta(), self.documents()
-        kept = forget(old, target, **options)
-        gone = old.join(kept.select("doc_id"), "doc_id", "left_anti")
+        version, meta = self.manifest()
+        old = self.rows(meta)
+        gone = written(old.join(forget(old, target, **options).select("doc_id"), "doc_id", "left_anti").select("doc_id"), "forgotten")
         removed = gone.count()
         if removed:
             roots = [r for r in meta["roots"] if not r.lower().startswith(target.lower())]
-            self._commit(*delete(old, self.chunks(), gone), meta | {"roots": roots})
+            none = self.spark.createDataFrame([], f"{CHUNKS}, embedded string")
+            self.commit(self.spark.createDataFrame([], DOCUMENTS), none, gone, meta=meta | {"roots": roots}, version=version)
         return removed

@@ -1,8 +1,8 @@
 """A small JSON value that is replaced at once: numbered files beside each other, of which the highest counts.
 
 A version is written under a name that no reader looks at and then renamed to its number; the number before stays until
-then, so that a crash at any moment leaves the old or the new version and never none. Two writers of the same number
-cannot both succeed.
+then, so that a crash at any moment leaves the old or the new version and never none. Of two writers that start from the same
+version only one succeeds.
 """
 
 from __future__ import annotations
@@ -25,21 +25,31 @@ class Pointer:
     def _file(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
-    def _versions(self) -> list[int]:
+    def versions(self) -> list[int]:
+        """The numbers of the versions that are kept, the current one last."""
         if not self.fs.exists(self.path):
             return []
         found = (re.fullmatch(rf"{self.name}-(\d+)\.json", s.getPath().getName()) for s in self.fs.listStatus(self.path))
         return sorted(int(m[1]) for m in found if m)
 
+    def at(self, version: int) -> dict:
+        return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.root}/{self.name}-{version:09d}.json").collect()))
+
+    def latest(self) -> tuple[int, dict | None]:
+        """The current version's number (0 if there is none) and value."""
+        versions = self.versions()
+        return (versions[-1], self.at(versions[-1])) if versions else (0, None)
+
     def read(self) -> dict | None:
-        versions = self._versions()
-        if not versions:
-            return None
-        return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.root}/{self.name}-{versions[-1]:09d}.json").collect()))
-
-    def write(self, value: dict) -> None:
-        versions = self._versions()
-        fresh, final = self._file(f".{self.name}-{uuid.uuid4().hex}"), self._file(f"{self.name}-{(versions or [0])[-1] + 1:09d}.json")
+        return self.latest()[1]
+
+    def write(self, value: dict, *, after: int | None = None) -> int:
+        """Make ``value`` the current version; with ``after``, only if that is the current number still. Gives the new number."""
+        versions = self.versions()
+        last = (versions or [0])[-1]
+        if after is not None and after != last:
+            raise OSError(f"{self.root}/{self.name} was changed by another: version {last}, not {after}")
+        fresh, final = self._file(f".{self.name}-{uuid.uuid4().hex}"), self._file(f"{self.name}-{last + 1:09d}.json")
         out = self.fs.create(fresh, False)
         out.write(bytearray(json.dumps(value).encode()))
         out.close()
@@ -48,3 +58,4 @@ class Pointer:
             raise OSError(f"{final.toString()} was written by another")
         for old in versions[: -KEPT + 1]:
             self.fs.delete(self._file(f"{self.name}-{old:09d}.json"), False)
+        return last + 1

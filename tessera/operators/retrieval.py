@@ -1,21 +1,25 @@
 """Hybrid retrieval over batches of queries: exact dense top-k, BM25, rank fusion, floor, cap.
 
-Every operator takes and returns DataFrames. Query sets are the small side. BM25 is one lazy plan: what a term weighs in a chunk
-is found once for each distinct term, whatever number of queries ask for it. Dense search collects the query vectors when it is
-called, ``QUERIES`` at a time, and broadcasts them; a larger set takes a pass over the index for each block.
+Every operator takes and returns DataFrames. Query sets are the small side. BM25 finds what a term weighs in a chunk once for each
+distinct term, whatever number of queries ask for it. Where no postings are given, the texts are read once when the search is called:
+the tokens that the queries ask for are written with the lengths of the chunks (:func:`prepared`), and all figures come from there. Dense search collects the query
+vectors when it is called, ``QUERIES`` at a time, and broadcasts them; a larger set takes a pass over the index for each block.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.functions import text as T
+from tessera.operators.scratch import written
 
 RRF_K, DENSE_K, BM25_K, CANDIDATES, TOP_K, PER_DOCUMENT = 60, 40, 40, 40, 6, 3
 CLAUSE_WEIGHT, MARGIN, MINIMUM = 0.5, 12.0, 0.0
@@ -24,8 +28,8 @@ K1, B = 1.2, 0.75
 QUERIES, TILE = 32_768, 1_024
 #: Distinct query terms up to which they are broadcast; beyond, Spark chooses the join.
 TERMS = 200_000
-#: Parts that stored postings are kept in, by the hash of the token.
-BUCKETS = 256
+#: Distinct query tokens up to which they are looked for within the rows of the chunks, before anything is exploded.
+WITHIN = 20_000
 
 
 def top(df: DataFrame, k: int, by: Sequence[str], *order: Column, name: str = "rank") -> DataFrame:
@@ -42,7 +46,7 @@ def normalise(vector: Column) -> Column:
 
 
 def _dense(queries, k: int):
-    """The best k of a task for each query: score descending, then id. ``queries`` is a broadcast (ids, matrix)."""
+    """The best k of a task for each query: score descending, then id. ``queries`` is a broadcast (ids as an Arrow array, matrix)."""
 
     def run(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = queries.value
@@ -73,7 +77,7 @@ def _dense(queries, k: int):
             best, best_ids = kept, kept_ids
         n = best.shape[1]
         if n:
-            yield pa.record_batch([pa.array(np.repeat(ids, n)), pa.array(best_ids.ravel()), pa.array(best.ravel())], names=["query_id", "chunk_id", "score"])
+            yield pa.record_batch([ids.take(pa.array(np.repeat(np.arange(len(ids)), n))), pa.array(best_ids.ravel()), pa.array(best.ravel())], names=["query_id", "chunk_id", "score"])
 
     return run
 
@@ -81,23 +85,25 @@ def _dense(queries, k: int):
 def dense_search(chunks: DataFrame, queries: DataFrame, k: int = DENSE_K) -> DataFrame:
     """(query_id, chunk_id, score, rank): exact dot products, best first, ties by id.
 
-    ``chunks`` has chunk_id and vec, ``queries`` query_id and vec. Each task keeps its best k for each query, so k rows for each
-    query and task are exchanged, whatever the size of the index.
+    ``chunks`` has chunk_id and vec, ``queries`` query_id (of any type that has an order) and vec. Each task keeps its best k for each
+    query, so k rows for each query and task are exchanged, whatever the size of the index.
     """
     spark = chunks.sparkSession
-    rows = queries.select(F.col("query_id").cast("long"), "vec").where("vec IS NOT NULL").orderBy("query_id")
+    rows = queries.select("query_id", "vec").where("vec IS NOT NULL").orderBy("query_id")
+    kind = rows.schema["query_id"].dataType
     index = chunks.select(F.col("chunk_id").cast("long"), "vec").where("vec IS NOT NULL")
     found, block = None, []
     for row in [*rows.toLocalIterator(), None]:
         if row is not None:
             block.append((row[0], row[1]))
         if block and (row is None or len(block) == QUERIES):
-            sent = spark.sparkContext.broadcast((np.array([q for q, _ in block], dtype=np.int64), np.array([v for _, v in block], dtype=np.float64)))
-            part = index.mapInArrow(_dense(sent, k), "query_id long, chunk_id long, score double")
+            ids = pa.array([q.asDict() if isinstance(q, Row) else q for q, _ in block], to_arrow_type(kind))
+            sent = spark.sparkContext.broadcast((ids, np.array([v for _, v in block], dtype=np.float64)))
+            part = index.mapInArrow(_dense(sent, k), f"query_id {kind.simpleString()}, chunk_id long, score double")
             found = part if found is None else found.unionByName(part)
             block = []
     if found is None:
-        found = index.select(F.lit(0).cast("long").alias("query_id"), "chunk_id", F.lit(0.0).alias("score")).limit(0)
+        found = index.select(F.lit(None).cast(kind).alias("query_id"), "chunk_id", F.lit(0.0).alias("score")).limit(0)
     return top(found, k, ["query_id"], F.desc("score"), F.asc("chunk_id"))
 
 
@@ -115,16 +121,28 @@ def postings(chunks: DataFrame, *, tokens=T.index_tokens) -> DataFrame:
     return rows.select("chunk_id", "d", "field", F.posexplode("tokens").alias("pos", "token"))
 
 
-def bucket(token: Column) -> Column:
-    """The part of stored postings that holds a token."""
-    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+def _tokens_of(queries: DataFrame, tokens) -> DataFrame:
+    """The distinct tokens of the queries' terms."""
+    return _terms(queries).select(F.explode(tokens(F.col("term"))).alias("token")).distinct()
 
 
-def stored(posted: DataFrame, queries: DataFrame, *, tokens=T.index_tokens) -> DataFrame:
-    """Stored postings (with a column ``bucket`` that they are partitioned by) cut to the parts that the queries' terms lie in."""
-    terms = queries.select(F.explode(T.query_terms(F.col("query"))).alias("term"))
-    needed = terms.select(F.explode(tokens(F.col("term"))).alias("token")).select(bucket(F.col("token")).alias("b")).distinct()
-    return posted.where(F.col("bucket").isin([r[0] for r in needed.collect()]))  # at most BUCKETS numbers
+def prepared(chunks: DataFrame, *queries: DataFrame, tokens=T.index_tokens) -> tuple[DataFrame, DataFrame]:
+    """Postings and figures of the corpus for these queries, from one pass over the texts.
+
+    The places of the queries' tokens are picked within each chunk's row, and written with the number of its tokens; nothing else
+    of the corpus is exploded. With more than ``WITHIN`` distinct tokens all postings are taken, and a join picks."""
+    asked = [q.select("query") for q in queries]
+    asked = functools.reduce(DataFrame.unionByName, asked).withColumn("query_id", F.lit(0))
+    wanted = [r[0] for r in _tokens_of(asked, tokens).limit(WITHIN + 1).collect()]
+    if len(wanted) > WITHIN:
+        return postings(chunks, tokens=tokens), corpus_stats(chunks, tokens=tokens)
+    both = chunks.select("chunk_id", tokens(F.col("text")).alias("_t"), tokens(F.col("heading")).alias("_h"))
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    none = F.array().cast("array<struct<field:string,pos:int,token:string>>")
+    pick = lambda c, field: F.coalesce(F.array_compact(F.transform(c, lambda t, i: F.when(t.isin(wanted), F.struct(F.lit(field).alias("field"), i.alias("pos"), t.alias("token"))))), none)
+    kept = written(both.select("chunk_id", (size("_t") + size("_h")).alias("d"), F.concat(pick("_t", "text"), pick("_h", "heading")).alias("hits")), "postings")
+    figures = kept.agg(F.count("*").cast("double").alias("n_chunks"), F.avg("d").alias("avg_tokens"))
+    return kept.select("chunk_id", "d", F.inline("hits")), figures
 
 
 def lengths(chunks: DataFrame, *, tokens=T.index_tokens) -> DataFrame:
@@ -143,7 +161,8 @@ def _terms(queries: DataFrame) -> DataFrame:
 
 
 def _small(rows: DataFrame) -> DataFrame:
-    """Broadcast rows that are few; the rows are terms of queries, so counting them costs a pass over the queries."""
+    """Broadcast rows that are few; the rows are terms of queries, and they are counted when the plan is built, which costs a pass
+    over the queries."""
     return F.broadcast(rows) if rows.limit(TERMS + 1).count() <= TERMS else rows
 
 
@@ -173,7 +192,8 @@ def bm25_search(chunks: DataFrame, queries: DataFrame, k: int = BM25_K, *, token
 
     A term in half the chunks or more counts a millionth. ``queries`` has query_id and query; ``posted`` and ``stats`` are stored
     postings and figures of the corpus, made from the chunks where they are not given."""
-    posted = postings(chunks, tokens=tokens) if posted is None else posted
+    if posted is None:
+        posted, stats = prepared(chunks, queries, tokens=tokens)
     hits = term_hits(posted, queries, tokens=tokens)
     weighted = hits.groupBy("chunk_id", "term", "d").agg(F.sum(F.col("tf") * F.when(F.col("field") == "heading", 2).otherwise(1)).alias("f"))
     figures = (corpus_stats(chunks, tokens=tokens) if stats is None else stats).select(F.struct("n_chunks", "avg_tokens").alias("s")).scalar()
@@ -273,14 +293,15 @@ def _model_scores(rows: DataFrame, model) -> DataFrame:
     return scored.select("query_id", "v.c.chunk_id", "v.c.rank", F.col("v.s").alias("_score"))
 
 
-def rerank(hits: DataFrame, queries: DataFrame, scorer=lexical_score) -> DataFrame:
-    """Scores by ``scorer``, the best over the query and its clauses, in a stable order; adds rerank_score.
+def rerank(hits: DataFrame, queries: DataFrame, scorer=lexical_score, *, expand: bool = False) -> DataFrame:
+    """Scores by ``scorer`` in a stable order; adds rerank_score. With ``expand``, the best over the query and its clauses.
 
     ``scorer`` is a function of query and text columns, or a model (see :class:`tessera.backends.Reranker`); hits are left as
     they are by a model that is not available."""
     if not callable(scorer) and not scorer.available:
         return hits.withColumn("rerank_score", F.lit(None).cast("double"))
-    asked = queries.select("query_id", F.col("query"), T.clauses(F.col("query")).alias("_clauses"))
+    parts = T.clauses(F.col("query")) if expand else F.array().cast("array<string>")
+    asked = queries.select("query_id", F.col("query"), parts.alias("_clauses"))
     text = T.rerank_text(F.col("title"), F.col("heading"), F.col("text"))
     rows = hits.join(asked, "query_id").withColumn("_text", text).withColumn("_asked", F.explode(F.concat(F.array("query"), "_clauses")))
     each = rows.withColumn("_score", scorer(F.col("_asked"), F.col("_text"))) if callable(scorer) else _model_scores(rows, scorer)
@@ -304,34 +325,37 @@ class Search:
 
     ``chunks`` has chunk_id, doc_id, text, heading and vec, ``queries`` query_id, query and vec. With ``expand``, clauses add
     lists of half the depth and half the weight; ``embed`` then gives the vectors of clauses (a function of a DataFrame with
-    query that adds vec). ``posted`` and ``stats`` are stored postings and figures of the corpus.
+    query that adds vec). ``posted`` and ``stats`` are stored postings and figures of the corpus; ``lexical``, a function of queries and a number, stands in for BM25 over these. ``hold``
+    takes a step's name and rows and gives the rows that later steps read, for callers that write or time them.
     """
 
     def __init__(
         self, chunks: DataFrame, documents: DataFrame, queries: DataFrame, *, top_k: int = TOP_K, dense_k: int = DENSE_K, bm25_k: int = BM25_K, candidates: int = CANDIDATES,
         margin: float = MARGIN, minimum: float = MINIMUM, most: int = PER_DOCUMENT, reranker=None, expand: bool = False, embed=None, tokens=T.index_tokens,
-        posted: DataFrame | None = None, stats: DataFrame | None = None,
+        posted: DataFrame | None = None, stats: DataFrame | None = None, lexical=None, hold=None,
     ):
         self.queries = queries
-        posted = postings(chunks, tokens=tokens) if posted is None else posted
-        lexical = lambda q, k: bm25_search(chunks, q, k, tokens=tokens, posted=posted, stats=stats)
-        self.dense, self.bm25 = dense_search(chunks, queries, dense_k), lexical(queries, bm25_k)
-        votes = _votes(self.dense, F.lit(0), 1.0).unionByName(_votes(self.bm25, F.lit(1), 1.0))
         self.clauses = queries.select("query_id", F.posexplode(T.clauses(F.col("query"))).alias("n", "query")) if expand else None
+        if lexical is None:
+            if posted is None:
+                posted, stats = prepared(chunks, queries, *([self.clauses] if expand else []), tokens=tokens)
+            lexical = lambda q, k: bm25_search(chunks, q, k, tokens=tokens, posted=posted, stats=stats)
+        hold = hold or (lambda name, step: step)
+        self.dense, self.bm25 = hold("dense", dense_search(chunks, queries, dense_k)), hold("bm25", lexical(queries, bm25_k))
+        votes = _votes(self.dense, F.lit(0), 1.0).unionByName(_votes(self.bm25, F.lit(1), 1.0))
         if expand:
-            parts = self.clauses.select((F.col("query_id") * 64 + F.col("n")).alias("part_id"), "query_id", "n", "query")
-            asked = parts.select(F.col("part_id").alias("query_id"), "query")
+            asked = self.clauses.select(F.struct("query_id", "n").alias("query_id"), "query")  # a clause is known by its question and number
             more = [(lexical(asked, max(1, bm25_k // 2)), 1)]
             if embed is not None:
                 more.insert(0, (dense_search(chunks, embed(asked), max(1, dense_k // 2)), 0))
-            for found, kind in more:
-                part = found.withColumnRenamed("query_id", "part_id").join(parts.select("part_id", "query_id", "n"), "part_id")
+            for found, kind in [(hold(f"clause_{('dense', 'bm25')[kind]}", found), kind) for found, kind in more]:
+                part = found.select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.n").alias("n"), "chunk_id", "rank")
                 votes = votes.unionByName(_votes(part, 2 + 2 * F.col("n") + kind, CLAUSE_WEIGHT))
         # the ranks in the first two lists are among the votes: they come along, and no list is searched for again
-        self.fused = _fused(votes)
+        self.fused = hold("fused", _fused(votes))
         ranked = self.fused.where(F.col("rank") <= candidates)
         self.hits = hydrate(ranked, chunks.drop("vec"), documents)
-        self.kept = floor(rerank(self.hits, queries, reranker), margin, minimum) if reranker is not None else self.hits.withColumn("rerank_score", F.lit(None).cast("double"))
+        self.kept = hold("rerank", floor(rerank(self.hits, queries, reranker, expand=expand), margin, minimum)) if reranker is not None else self.hits.withColumn("rerank_score", F.lit(None).cast("double"))
         self.found = cap(self.kept, most).where(F.col("rank") <= (top_k or TOP_K))
 
     def counts(self) -> DataFrame:

@@ -6,6 +6,7 @@ questions, ``embeddings`` chunk vectors (document: label), ``conversations`` tur
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from tessera.backends import embed
 from tessera.functions import dates as D
 from tessera.functions import text as T
-from tessera.operators import chunking, context, evaluate, index, retrieval, turns
+from tessera.operators import blocks, cells, chunking, context, evaluate, index, recall, retrieval, segments, turns
+from tessera.operators.scratch import shared_folder, written
 from tessera.sources import loaders
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -462,6 +464,13 @@ def dense_topk(spark, sf):
     return retrieval.dense_search(chunks, queries, 10).withColumn("score", F.round("score", 6))
 
 
+@query("dense_cells", f"SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM ({_DENSE.format(k=10)})")
+def dense_cells(spark, sf):
+    """The same rows from vectors in cells, of which those beyond each query's threshold are passed over."""
+    chunks, queries = _vectors(spark, sf)
+    return cells.CellSearch(cells.build(chunks), queries, 10).found.withColumn("score", F.round("score", 6))
+
+
 def _chunks(spark, sf) -> DataFrame:
     return table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "doc_id", F.col("source").alias("heading"), "text")
 
@@ -501,13 +510,14 @@ _BM25 = f"{_HITS},{bm25_sql()}"
 
 @query("document_frequency", f"WITH {_POSTED} SELECT token, count(DISTINCT chunk_id) AS df, count(*) AS n FROM posted GROUP BY token")
 def document_frequency(spark, sf):
-    each = retrieval.postings(_chunks(spark, sf)).groupBy("token", "chunk_id").agg(F.count("*").alias("n"))
+    each = blocks.entries(_chunks(spark, sf)).select("token", F.size("places").alias("n"))  # one row for each token of a chunk
     return each.groupBy("token").agg(F.count("*").alias("df"), F.sum("n").alias("n"))
 
 
 @query("phrase_match", f"WITH {_HITS} SELECT query_id, term, chunk_id, field, tf FROM hits")
 def phrase_match(spark, sf):
-    return retrieval.phrase_hits(retrieval.postings(_chunks(spark, sf)), _questions(spark, sf))
+    posted, _ = retrieval.prepared(_chunks(spark, sf), _questions(spark, sf))
+    return retrieval.phrase_hits(posted, _questions(spark, sf))
 
 
 @query("bm25", f"WITH {_BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM bm25 WHERE rank <= 40")
@@ -515,6 +525,53 @@ def bm25(spark, sf):
     return retrieval.bm25_search(_chunks(spark, sf), _questions(spark, sf)).withColumn("score", F.round("score", 6))
 
 
+@query("bm25_blocks", f"WITH {_BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM bm25 WHERE rank <= 40")
+def bm25_blocks(spark, sf):
+    """The same rows from blocks of postings, of which those below each question's threshold are passed over."""
+    kept = blocks.Store.build(_chunks(spark, sf))
+    return blocks.BlockSearch(kept, _questions(spark, sf)).found.withColumn("score", F.round("score", 6))
+
+
+# documents as three commits leave them: all are written, then those in German with new wording, then those in French are deleted
+_LIVE = """
+live AS (SELECT doc_id + CASE WHEN lang = 'de' THEN 1000000000000 ELSE 0 END AS doc_id, source, text || CASE WHEN lang = 'de' THEN ' revised wording' ELSE '' END AS text FROM documents WHERE coalesce(lang, '') <> 'fr')"""
+_LIVE_BM25 = f"{_LIVE},{_BM25.replace('FROM documents', 'FROM live')}"
+
+
+def _segments(spark, sf) -> segments.Segments:
+    """An index of the documents, made by three commits."""
+    ix = segments.Segments(spark, f"{shared_folder(spark)}/segments-{uuid.uuid4().hex}", T.index_tokens)
+    d = table(spark, sf, "documents")
+    for rows, gone in ((d, None), (d.where("lang = 'de'").withColumn("text", F.concat("text", F.lit(" revised wording"))), None), (d.limit(0), d.where("lang = 'fr'"))):
+        version, meta = ix.manifest()
+        stored = rows.select(
+            "doc_id", F.concat(F.lit("/docs/"), F.col("doc_id").cast("string")).alias("path"), F.col("source").alias("title"), F.lit(".md").alias("ext"), F.col("n_chars").cast("bigint").alias("bytes"),
+            F.lit(0.0).alias("mtime"), F.lit("").alias("sha256"), F.lit(1).alias("n_chunks"),
+        )
+        cut = rows.select("doc_id", F.lit(0).alias("ord"), F.col("source").alias("heading"), F.lit(None).cast("int").alias("page"), "text", F.lit(None).cast("array<float>").alias("vec"), F.lit("").alias("embedded"))
+        ix.commit(stored, cut, (rows if gone is None else gone).select("doc_id"), meta=meta, version=version)
+    return ix
+
+
+@query("segment_search", f"WITH {_LIVE_BM25} SELECT query_id, chunk_id % 1000000000000 AS doc_id, round(score, 6) AS score, rank FROM bm25 WHERE rank <= 40")
+def segment_search(spark, sf):
+    """BM25 over the segments that the commits leave: the same as over the live documents in one table."""
+    ix = _segments(spark, sf)
+    hits = blocks.BlockSearch(ix.store(), _questions(spark, sf)).found
+    return hits.join(ix.chunks().select("chunk_id", "doc_id"), "chunk_id").select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("segment_documents", f"""
+WITH {_LIVE}, n AS (SELECT count(*) AS n, sum(len({_TOKENS.format(x='text')}) + len({_TOKENS.format(x='source')}))::BIGINT AS t FROM live)
+SELECT doc_id % 1000000000000 AS doc_id, md5(text) AS digest, n AS n_chunks, t AS n_tokens FROM live, n""")
+def segment_documents(spark, sf):
+    """The live documents after the commits, with the figures that the manifest keeps of the corpus."""
+    ix = _segments(spark, sf)
+    meta = ix.manifest()[1]
+    both = ix.documents().select("doc_id").join(ix.chunks().select("doc_id", "text"), "doc_id")
+    return both.select("doc_id", F.md5("text").alias("digest"), F.lit(meta["n_chunks"]).cast("bigint").alias("n_chunks"), F.lit(meta["n_tokens"]).cast("bigint").alias("n_tokens"))
+
+
 _OVERLAP = f"""
 o AS (SELECT query_id, chunk_id, count(DISTINCT term)::INT AS score FROM hits GROUP BY ALL),
 ov AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM o)"""
@@ -563,8 +620,8 @@ def _overlap(spark, sf, posted: DataFrame) -> DataFrame:
 
 def _fused(spark, sf) -> DataFrame:
     chunks = _chunks(spark, sf)
-    posted = retrieval.postings(chunks)
-    return retrieval.fuse([(_overlap(spark, sf, posted), 1.0), (retrieval.bm25_search(chunks, _questions(spark, sf), posted=posted), 1.0)])
+    posted, stats = retrieval.prepared(chunks, _questions(spark, sf))
+    return retrieval.fuse([(_overlap(spark, sf, posted), 1.0), (retrieval.bm25_search(chunks, _questions(spark, sf), posted=posted, stats=stats), 1.0)])
 
 
 @query("rank_fusion", f"WITH {_BM25}, {_OVERLAP}, {_FUSED} SELECT query_id, chunk_id, round(score, 9) AS score, rank FROM fused")
@@ -630,20 +687,49 @@ def recall_query(spark, sf):
     return h.select("conv_id", context.recall_query(F.col("action"), F.col("l.text")).alias("q"))
 
 
+_RECALL_SQL = """
+WITH h AS (SELECT conv_id, arg_max(text, turn) AS action, list(text ORDER BY turn) FILTER (role = 'assistant') AS l FROM conversations GROUP BY conv_id),
+a AS (SELECT conv_id AS query_id, substr(array_to_string(list_concat([""" + trim("action") + """], list_filter(coalesce(l, [])[greatest(len(coalesce(l, [])) - 1, 1):], lambda s: s <> '')), ' '), 1, 1200) AS query FROM h),
+m AS (SELECT conv_id, turn, role, text FROM conversations),
+t AS (SELECT conv_id, turn, 'text' AS field, {tokens} AS l FROM m UNION ALL SELECT conv_id, turn, 'heading', {heads} FROM m),
+posted AS (SELECT conv_id, turn, field, unnest(l) AS token, generate_subscripts(l, 1) - 1 AS pos FROM t),
+q AS (SELECT query_id, unnest({terms}) AS term FROM a),
+parts AS (SELECT query_id, term, len({term_tokens}) AS m, unnest({term_tokens}) AS token, generate_subscripts({term_tokens}, 1) - 1 AS k FROM q),
+starts AS (SELECT conv_id, term, m, turn, field, pos - k AS start, count(*) AS n FROM posted JOIN parts ON parts.query_id = posted.conv_id AND parts.token = posted.token GROUP BY ALL),
+w AS (SELECT conv_id, term, turn, count(*) FILTER (field = 'text') + 2 * count(*) FILTER (field = 'heading') AS f FROM starts WHERE n = m GROUP BY ALL),
+df AS (SELECT conv_id, term, count(*) AS df FROM w GROUP BY ALL), len AS (SELECT conv_id, turn, count(*) AS d FROM posted GROUP BY ALL),
+c AS (SELECT m.conv_id, count(*)::DOUBLE AS n, sum(coalesce(d, 0))::DOUBLE / count(*) AS a FROM m LEFT JOIN len USING (conv_id, turn) GROUP BY m.conv_id),
+s AS (SELECT conv_id, turn, round(sum(CASE WHEN ln((n - df + .5) / (df + .5)) > 0 THEN ln((n - df + .5) / (df + .5)) ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (.25 + .75 * d / a))), 9) AS score
+  FROM w JOIN df USING (conv_id, term) JOIN len USING (conv_id, turn) JOIN c USING (conv_id) GROUP BY ALL)
+SELECT conv_id, turn, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn)::INT AS rank FROM s) WHERE rank <= 6"""
+
+
+@query("campaign_recall", _RECALL_SQL.format(tokens=_TOKENS.format(x="text"), heads=_TOKENS.format(x="role"), terms=terms_sql("query"), term_tokens=_TOKENS.format(x="term")))
+def campaign_recall(spark, sf):
+    """What each of many campaigns recalls for its next turn, in one plan: every conversation is a campaign, its turns are memories."""
+    c = table(spark, sf, "conversations")
+    memories = c.select(F.col("conv_id").alias("campaign"), F.col("turn").alias("chunk_id"), F.col("role").alias("heading"), "text")
+    asked = recall_query(spark, sf).select(F.col("conv_id").alias("campaign"), F.col("q").alias("query"))
+    found = recall.bm25_by_group(memories, asked, 6, group="campaign")
+    return found.select(F.col("campaign").alias("conv_id"), F.col("chunk_id").alias("turn"), F.round("score", 6).alias("score"), "rank")
+
+
 def _clauses_sql(x: str) -> str:
     parts = f"list_transform(regexp_split_to_array({x}, '(?i)\\s*(?:[,;?]|\\band\\b|\\bor\\b|\\balso\\b|\\bplus\\b)\\s*'), lambda p: {trim('p')})"
     long = f"list_filter({parts}, lambda p: len({words('p')}) >= 3)"
     return f"CASE WHEN len({words(x)}) >= 7 AND len({long}) >= 2 THEN {long} ELSE [] END"
 
 
-def reranked_sql(texts: str) -> str:
-    """reranked: the fused candidates by the lexical stand-in for a cross-encoder, over the question and its clauses, and the floor.
+def reranked_sql(texts: str, *, expand: bool = False) -> str:
+    """reranked: the fused candidates by the lexical stand-in for a cross-encoder, over the question (with ``expand``, and its
+    clauses), and the floor.
 
     ``texts`` gives (chunk_id, t)."""
     tokens = lambda c: _TOKENS.format(x=c)
+    questions = f"list_concat([query], {_clauses_sql('query')})" if expand else "[query]"
     return f"""
 texts AS (SELECT chunk_id, list_distinct({tokens('t')}) AS have FROM ({texts})),
-asked AS (SELECT query_id, unnest(list_concat([query], {_clauses_sql('query')})) AS a FROM ({_ASKED})),
+asked AS (SELECT query_id, unnest({questions}) AS a FROM ({_ASKED})),
 want AS (SELECT query_id, a, list_distinct(flatten(list_transform({terms_sql('a')}, lambda t: {tokens('t')}))) AS want FROM asked),
 pairs AS (SELECT query_id, chunk_id, rank AS old, max(round(20.0::DOUBLE * len(list_intersect(want, have)) / greatest(len(want), 1) - 10.0, 6)) AS score FROM fused JOIN texts USING (chunk_id) JOIN want USING (query_id) WHERE rank <= 40 GROUP BY ALL),
 best AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old)::INT AS rank FROM pairs),
@@ -708,17 +794,27 @@ def hit_projection(spark, sf):
     return shown.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("dense_rank", "bm25_rank")})
 
 
-_CLAUSES = f"SELECT query_id * 64 + n AS query_id, query, query_id AS own, n FROM (SELECT query_id, unnest(c) AS query, generate_subscripts(c, 1) - 1 AS n FROM (SELECT query_id, {_clauses_sql('query')} AS c FROM ({_ASKED})))"
+_CLAUSES = f"SELECT struct_pack(q := query_id, n := n) AS query_id, query, query_id AS own, n FROM (SELECT query_id, unnest(c) AS query, generate_subscripts(c, 1) - 1 AS n FROM (SELECT query_id, {_clauses_sql('query')} AS c FROM ({_ASKED})))"
+
 
+_EXPANDED = f"""{_BM25}, {_NEAR}, clauses AS ({_CLAUSES}), {hits_sql('SELECT query_id, query FROM clauses', '2')}, {bm25_sql('2')},
+{fused_sql(list_sql("near", 0), list_sql("bm25", 1), "SELECT own AS query_id, chunk_id, (3 + 2 * n)::INT AS l, rank, 0.5 AS weight FROM bm252 JOIN clauses USING (query_id) WHERE rank <= 20")}"""
 
-@query("expanded_search", f"""WITH {_BM25}, {_NEAR}, clauses AS ({_CLAUSES}), {hits_sql('SELECT query_id, query FROM clauses', '2')}, {bm25_sql('2')},
-{fused_sql(list_sql("near", 0), list_sql("bm25", 1), "SELECT own AS query_id, chunk_id, (3 + 2 * n)::INT AS l, rank, 0.5 AS weight FROM bm252 JOIN clauses USING (query_id) WHERE rank <= 20")}, {_LAST.format(found='fused')}""")
+
+@query("expanded_search", f"WITH {_EXPANDED}, {_LAST.format(found='fused')}")
 def expanded_search(spark, sf):
     """Hybrid search of compound questions with their clauses as further lists."""
     chunks, questions = _with_vectors(spark, sf)
     return _searched(retrieval.search(chunks, _sources(spark, sf), questions, expand=True))
 
 
+@query("expanded_rerank", f"WITH {_EXPANDED}, {reranked_sql(_HEADED_TEXT, expand=True)}, {_LAST.format(found='reranked')}")
+def expanded_rerank(spark, sf):
+    """The same, reranked by the best of the question and its clauses."""
+    chunks, questions = _with_vectors(spark, sf)
+    return _searched(retrieval.search(chunks, _sources(spark, sf), questions, expand=True, reranker=retrieval.lexical_score))
+
+
 # -- aggregations ----------------------------------------------------------------------------------------------------
 
 
@@ -799,8 +895,8 @@ SELECT mode, {_SCORES} FROM found GROUP BY mode""")
 def retrieval_modes(spark, sf):
     """The scores of four ways to search, side by side."""
     chunks, questions = _with_vectors(spark, sf)
-    posted = retrieval.postings(chunks)
-    dense, lexical = retrieval.dense_search(chunks, questions), retrieval.bm25_search(chunks, questions, posted=posted)
+    # each list is searched for once; all modes read what is written
+    dense, lexical = written(retrieval.dense_search(chunks, questions), "dense"), written(retrieval.bm25_search(chunks, questions), "bm25")
     hybrid = retrieval.fuse([(dense, 1.0), (lexical, 1.0)])
     ranked = retrieval.hydrate(hybrid.where("rank <= 40"), chunks.drop("vec"), _sources(spark, sf))
     modes, out = {"dense": dense, "bm25": lexical, "hybrid": hybrid, "hybrid+rerank": retrieval.floor(retrieval.rerank(ranked, questions))}, None

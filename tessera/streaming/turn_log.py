@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.scratch import shared_folder  # noqa: F401  checkpoints of streams go there too
 from tessera.operators.turns import memories
 
 TURNS = "campaign string, n bigint, minutes int, location string, summary string, facts array<string>, events array<string>, when string"
@@ -26,17 +25,6 @@ def entries_of(turns: DataFrame) -> DataFrame:
     return turns.select("campaign", F.col("n").alias("turn"), "when", F.inline(kinds))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it; a temporary one in a local session only."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return shared.rstrip("/")
-
-
 class Archive:
     """Folders of memories and turns, in parts by a hash of the campaign; each micro-batch appends what it has not seen, under its own
     batch id, and reads only the parts that its campaigns lie in."""

@@ -90,3 +90,33 @@ def test_answer_events(spark):
     assert [e["type"] for e in context.answer_events("q", "ctx", [1], Echo())] == ["sources", "token", "done"]
     assert list(context.answer_events("q", "", [], Echo()))[-1]["text"] == context.NOTHING
     assert list(context.answer_events("q", "c", [1], Scripted(ModelError("down"))))[-1] == {"type": "error", "error": "down"}
+
+
+def compound(n):
+    return ", ".join(f"word{i} thing{i} matter{i}" for i in range(n))
+
+
+def search_rows(spark, queries, **options):
+    chunks = spark.createDataFrame([(i, i, f"word{i} thing{i} matter{i}", "", [1.0, float(i)]) for i in range(80)], "chunk_id bigint, doc_id bigint, text string, heading string, vec array<float>")
+    documents = spark.createDataFrame([(i, f"d{i}") for i in range(80)], "doc_id bigint, title string")
+    asked = spark.createDataFrame(queries, "query_id bigint, query string").withColumn("vec", F.array(F.lit(1.0), F.lit(0.5)))
+    return retrieval.search(chunks, documents, asked, candidates=100, top_k=100, **options)
+
+
+def test_clauses_of_one_question_are_never_those_of_another(spark):
+    """A question with 70 clauses beside the next one, and ids as large as hashes."""
+    embed = lambda df: df.withColumn("vec", F.array(F.lit(1.0), F.lit(0.5)))
+    big = 2**62
+    both = search_rows(spark, [(1, compound(70)), (2, "word79 thing79 matter79 word78 thing78 matter78 word77"), (big, compound(3)), (big + 1, compound(2))], expand=True, embed=embed)
+    got = {(r.query_id, r.chunk_id, r.rank) for r in both.collect()}
+    alone = set()
+    for q, text in ((1, compound(70)), (2, "word79 thing79 matter79 word78 thing78 matter78 word77"), (big, compound(3)), (big + 1, compound(2))):
+        alone |= {(r.query_id, r.chunk_id, r.rank) for r in search_rows(spark, [(q, text)], expand=True, embed=embed).collect()}
+    assert got == alone and {c for q, c, _ in got if q == 1} >= set(range(70))
+
+
+def test_clauses_are_reranked_only_when_asked_for(spark):
+    question = "word1 thing1 matter1 and word2 thing2 matter2 nothing more"
+    scores = lambda **o: {r.chunk_id: r.score for r in search_rows(spark, [(1, question)], reranker=retrieval.lexical_score, margin=0, **o).collect()}
+    alone, expanded = scores(), scores(expand=True)
+    assert alone[1] == round(20 * 3 / 8 - 10, 6) and expanded[1] == 10.0
