@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import retrieval
+from tessera.operators.postings import entries, phrase_entries, terms_of, weight
 from tessera.operators.scratch import written
 
 #: Chunk ids that may share a block; within them, chunks of like length do.
@@ -23,6 +24,8 @@ SPAN = 1_024
 CLASSES = 2
 #: Blocks of a question that are scored for its threshold.
 SEEDS = 12
+#: Tokens up to which they are a filter of the reader.
+PUSHED = 200
 #: More than the rounding of sums can make of a bound.
 SLACK = 1e-6
 
@@ -30,21 +33,6 @@ BLOCKS = "token string, block bigint, n int, most int, least int, chunk_ids arra
 COLUMNS = [c.split()[0] for c in BLOCKS.split(", ")]
 
 
-def entries(chunks: DataFrame, *, tokens=T.index_tokens) -> DataFrame:
-    """(chunk_id, d, token, places) with a row for each distinct token of a chunk; no exchange.
-
-    A place is twice the position, and one more in the heading; ``d`` is the number of tokens in text and heading."""
-    both = chunks.select("chunk_id", tokens(F.col("text")).alias("_t"), tokens(F.col("heading")).alias("_h"))
-    placed = lambda c, field: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda t, i: F.struct(t.alias("token"), (2 * i + field).alias("at")))
-    rows = both.select("chunk_id", F.array_sort(F.concat(placed(F.col("_t"), 0), placed(F.col("_h"), 1))).alias("_all")).withColumn("d", F.size("_all"))
-    at = lambda i: F.get(F.col("_all"), i)
-    first = lambda i: (i == 0) | (at(i)["token"] != at(i - 1)["token"])
-    starts = F.when(F.col("d") > 0, F.filter(F.sequence(F.lit(0), F.col("d") - 1), first)).otherwise(F.array().cast("array<int>"))
-    own = lambda s, k: F.slice(F.col("_all"), s + 1, F.coalesce(F.get(F.col("_starts"), k + 1), F.col("d")) - s)
-    each = F.transform("_starts", lambda s, k: F.struct(at(s)["token"].alias("token"), F.transform(own(s, k), lambda x: x["at"]).alias("places")))
-    return rows.withColumn("_starts", starts).select("chunk_id", "d", F.inline(each))
-
-
 def block_of(chunk_id: Column, d: Column) -> Column:
     """The number of a chunk's blocks: ids that follow each other share it where their lengths are alike."""
     kind = F.least(F.lit(63), F.floor(CLASSES * F.log2(d.cast("double") + 1)))
@@ -53,8 +41,7 @@ def block_of(chunk_id: Column, d: Column) -> Column:
 
 def blocked(rows: DataFrame) -> DataFrame:
     """Blocks from (token, chunk_id, d, places): one exchange by token and block, so that no group is larger than SPAN."""
-    odd = F.size(F.filter("places", lambda p: p % 2 == 1))
-    listed = F.sort_array(F.collect_list(F.struct("chunk_id", "d", (F.size("places") + odd).alias("f"), "places")))
+    listed = F.sort_array(F.collect_list(F.struct("chunk_id", "d", weight(F.col("places")).alias("f"), "places")))
     groups = rows.groupBy("token", block_of(F.col("chunk_id"), F.col("d")).alias("block")).agg(listed.alias("r"))
     return groups.select(
         "token", "block", F.size("r").alias("n"), F.array_max("r.f").alias("most"), F.array_min("r.d").alias("least"),
@@ -86,7 +73,10 @@ class Store:
 
     def of(self, words: list[str]) -> DataFrame:
         """The live blocks of these tokens; where chunks are dead, the tokens' blocks are made anew without them."""
-        found = self.blocks.where(F.col("token").isin(words))
+        wanted = self.blocks.sparkSession.createDataFrame([(w,) for w in words], "token string")
+        least, most = F.lit(min(words, default="")), F.lit(max(words, default=""))  # files and row groups are in order of tokens
+        # few words reach the reader as a filter; many, as a join of a size that the caller has checked
+        found = self.blocks.where(F.col("token").isin(words)) if len(words) <= PUSHED else self.blocks.where(F.col("token").between(least, most)).join(F.broadcast(wanted), "token", "left_semi")
         return found if self.dead is None else blocked(unblocked(found).join(self.dead, "chunk_id", "left_anti"))
 
 
@@ -98,7 +88,7 @@ class BlockSearch:
 
     def __init__(self, store: Store, queries: DataFrame, k: int = retrieval.BM25_K):
         self.store, self.k = store, k
-        terms = written(retrieval._terms(queries).select("query_id", "term", store.tokens(F.col("term")).alias("parts")).where(F.size("parts") > 0), "terms")  # of the queries
+        terms = terms_of(queries, store.tokens)
         words = [r[0] for r in terms.select(F.explode("parts").alias("w")).distinct().limit(retrieval.TERMS + 1).collect()]
         if len(words) > retrieval.TERMS:
             raise ValueError(f"more than {retrieval.TERMS} distinct tokens: search in several batches")
@@ -106,9 +96,10 @@ class BlockSearch:
         self.blocks = live if store.dead is None else written(live, "live")
         long = terms.where(F.size("parts") > 1)
         if not long.isEmpty():
-            self.blocks = self.blocks.unionByName(written(blocked(self._phrases(long.select("term", "parts").distinct())), "phrases").select(*COLUMNS))
-        key = F.when(F.size("parts") > 1, F.col("term")).otherwise(F.col("parts")[0])  # a phrase is no token: it holds what tokens do not
-        weights = terms.groupBy("query_id", key.alias("token")).agg(F.count("*").alias("times"))
+            split = [r[0] for r in long.select(F.explode("parts")).distinct().collect()]  # some of the words above
+            whole = phrase_entries(unblocked(self.blocks.where(F.col("token").isin(split))), long.select("term", "parts").distinct())
+            self.blocks = self.blocks.unionByName(written(blocked(whole), "phrases").select(*COLUMNS))
+        weights = terms.groupBy("query_id", "token").agg(F.count("*").alias("times"))
         n, meta = store.n_chunks, self.blocks.select("token", "block", "n", "most", "least")
         idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
         known = meta.groupBy("token").agg(F.sum("n").alias("df")).select("token", F.when(idf > 0, idf).otherwise(F.lit(1e-6)).alias("idf"))
@@ -128,14 +119,6 @@ class BlockSearch:
         k1, b = retrieval.K1, retrieval.B
         return f * (k1 + 1) / (f + k1 * (1 - b + b * d / F.lit(self.store.avg_tokens)))
 
-    def _phrases(self, phrases: DataFrame) -> DataFrame:
-        """The places of phrases as entries of tokens of their own: neighbouring tokens of one field."""
-        parts = F.broadcast(phrases.select("term", F.size("parts").alias("m"), F.posexplode("parts").alias("k", "token")))
-        rows = unblocked(self.blocks.where(F.col("token").isin([r[0] for r in phrases.select(F.explode("parts")).distinct().collect()])))  # the queries' tokens, as above
-        starts = rows.join(parts, "token").select("term", "m", "chunk_id", "d", F.explode("places").alias("p"), "k").select("term", "m", "chunk_id", "d", (F.col("p") - 2 * F.col("k")).alias("at"))
-        whole = starts.groupBy("term", "m", "chunk_id", "d", "at").agg(F.count("*").alias("n")).where("n = m")
-        return whole.groupBy(F.col("term").alias("token"), "chunk_id", "d").agg(F.collect_list("at").alias("places"))
-
     def _scored(self, pairs: DataFrame) -> DataFrame:
         """(query_id, chunk_id, score) of all chunks in blocks (query_id, block): all of a chunk's postings lie in blocks of one number."""
         rows = self.blocks.select("token", "block", "chunk_ids", "ds", "fs").join(self.asked, "token").join(pairs.select("query_id", "block"), ["query_id", "block"])

@@ -2,7 +2,7 @@
 
 Every operator takes and returns DataFrames. Query sets are the small side. BM25 finds what a term weighs in a chunk once for each
 distinct term, whatever number of queries ask for it. Where no postings are given, the texts are read once when the search is called:
-the tokens that the queries ask for are written with the lengths of the chunks (:func:`prepared`), and all figures come from there. Dense search collects the query
+the tokens that the queries ask for are written with the lengths of the chunks (:func:`postings.prepared`), and all figures come from there. Dense search collects the query
 vectors when it is called, ``QUERIES`` at a time, and broadcasts them; a larger set takes a pass over the index for each block.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.functions import text as T
-from tessera.operators.scratch import written
+from tessera.operators.postings import Prepared, prepared, terms_of, weight
 
 RRF_K, DENSE_K, BM25_K, CANDIDATES, TOP_K, PER_DOCUMENT = 60, 40, 40, 40, 6, 3
 CLAUSE_WEIGHT, MARGIN, MINIMUM = 0.5, 12.0, 0.0
@@ -28,8 +28,6 @@ K1, B = 1.2, 0.75
 QUERIES, TILE = 32_768, 1_024
 #: Distinct query terms up to which they are broadcast; beyond, Spark chooses the join.
 TERMS = 200_000
-#: Distinct query tokens up to which they are looked for within the rows of the chunks, before anything is exploded.
-WITHIN = 20_000
 
 
 def top(df: DataFrame, k: int, by: Sequence[str], *order: Column, name: str = "rank") -> DataFrame:
@@ -112,98 +110,38 @@ def misfits(chunks: DataFrame, dimensions: int) -> DataFrame:
     return chunks.where("vec IS NOT NULL").select("chunk_id", F.size("vec").alias("dims")).where(F.col("dims") != dimensions)
 
 
-def postings(chunks: DataFrame, *, tokens=T.index_tokens) -> DataFrame:
-    """(chunk_id, d, field, pos, token) of the columns text and heading; d is the number of the chunk's tokens."""
-    both = chunks.select("chunk_id", tokens(F.col("text")).alias("_t"), tokens(F.col("heading")).alias("_h"))
-    size = lambda c: F.coalesce(F.size(c), F.lit(0))
-    fields = F.array(F.struct(F.lit("text").alias("field"), F.col("_t").alias("tokens")), F.struct(F.lit("heading").alias("field"), F.col("_h").alias("tokens")))
-    rows = both.select("chunk_id", (size("_t") + size("_h")).alias("d"), F.inline(fields))
-    return rows.select("chunk_id", "d", "field", F.posexplode("tokens").alias("pos", "token"))
-
-
-def _tokens_of(queries: DataFrame, tokens) -> DataFrame:
-    """The distinct tokens of the queries' terms."""
-    return _terms(queries).select(F.explode(tokens(F.col("term"))).alias("token")).distinct()
-
-
-def prepared(chunks: DataFrame, *queries: DataFrame, tokens=T.index_tokens) -> tuple[DataFrame, DataFrame]:
-    """Postings and figures of the corpus for these queries, from one pass over the texts.
-
-    The places of the queries' tokens are picked within each chunk's row, and written with the number of its tokens; nothing else
-    of the corpus is exploded. With more than ``WITHIN`` distinct tokens all postings are taken, and a join picks."""
-    asked = [q.select("query") for q in queries]
-    asked = functools.reduce(DataFrame.unionByName, asked).withColumn("query_id", F.lit(0))
-    wanted = [r[0] for r in _tokens_of(asked, tokens).limit(WITHIN + 1).collect()]
-    if len(wanted) > WITHIN:
-        return postings(chunks, tokens=tokens), corpus_stats(chunks, tokens=tokens)
-    both = chunks.select("chunk_id", tokens(F.col("text")).alias("_t"), tokens(F.col("heading")).alias("_h"))
-    size = lambda c: F.coalesce(F.size(c), F.lit(0))
-    none = F.array().cast("array<struct<field:string,pos:int,token:string>>")
-    pick = lambda c, field: F.coalesce(F.array_compact(F.transform(c, lambda t, i: F.when(t.isin(wanted), F.struct(F.lit(field).alias("field"), i.alias("pos"), t.alias("token"))))), none)
-    kept = written(both.select("chunk_id", (size("_t") + size("_h")).alias("d"), F.concat(pick("_t", "text"), pick("_h", "heading")).alias("hits")), "postings")
-    figures = kept.agg(F.count("*").cast("double").alias("n_chunks"), F.avg("d").alias("avg_tokens"))
-    return kept.select("chunk_id", "d", F.inline("hits")), figures
-
-
-def lengths(chunks: DataFrame, *, tokens=T.index_tokens) -> DataFrame:
-    """(chunk_id, d): tokens of both columns; no exchange."""
-    size = lambda c: F.coalesce(F.size(tokens(F.col(c))), F.lit(0))
-    return chunks.select("chunk_id", (size("text") + size("heading")).alias("d"))
-
-
-def corpus_stats(chunks: DataFrame, *, tokens=T.index_tokens) -> DataFrame:
-    """One row: number of chunks, mean tokens for each."""
-    return lengths(chunks, tokens=tokens).agg(F.count("*").cast("double").alias("n_chunks"), F.avg("d").alias("avg_tokens"))
-
-
-def _terms(queries: DataFrame) -> DataFrame:
-    return queries.select("query_id", F.explode(T.query_terms(F.col("query"))).alias("term"))
+def phrase_hits(kept: Prepared, queries: DataFrame, *, tokens=T.index_tokens) -> DataFrame:
+    """(query_id, term, chunk_id, field, tf) of the queries' terms; a term that the index splits is a phrase within one field."""
+    terms = terms_of(queries, tokens)
+    hits = kept.of(terms).join(_small(terms.select("query_id", "term", "token")), "token")
+    heading = F.size(F.filter("places", lambda p: p % 2 == 1))
+    fields = F.array(F.struct(F.lit("text").alias("field"), (F.size("places") - heading).cast("bigint").alias("tf")), F.struct(F.lit("heading").alias("field"), heading.cast("bigint").alias("tf")))
+    return hits.select("query_id", "term", "chunk_id", F.inline(fields)).where("tf > 0")
 
 
 def _small(rows: DataFrame) -> DataFrame:
-    """Broadcast rows that are few; the rows are terms of queries, and they are counted when the plan is built, which costs a pass
-    over the queries."""
+    """Broadcast rows that are few: terms of queries, which are counted when the plan is built."""
     return F.broadcast(rows) if rows.limit(TERMS + 1).count() <= TERMS else rows
 
 
-def term_hits(posted: DataFrame, queries: DataFrame, *, tokens=T.index_tokens) -> DataFrame:
-    """(term, chunk_id, d, field, tf) of each distinct term of the queries, dealt by chunk.
-
-    A term that the index splits is a phrase of neighbouring tokens of one field. Only tokens of the queries pass the first
-    join; their rows are dealt by chunk once, and nothing that is later grouped by chunk is dealt again.
-    """
-    terms = _terms(queries).select("term").distinct().select("term", tokens(F.col("term")).alias("parts")).where(F.size("parts") > 0)
-    parts = _small(terms.select("term", F.size("parts").alias("m"), F.posexplode("parts").alias("k", "token")))
-    found = posted.select("chunk_id", "d", "field", "pos", "token").join(parts, "token").repartition("chunk_id")
-    start = F.when(F.col("m") > 1, F.col("pos") - F.col("k"))  # where a phrase would start; of single tokens no matter
-    starts = found.groupBy("chunk_id", "term", "m", "d", "field", start.alias("start")).agg(F.count("*").alias("n"))
-    whole = starts.where("m = 1 OR n = m").groupBy("chunk_id", "term", "d", "field")
-    return whole.agg(F.sum(F.when(F.col("m") == 1, F.col("n")).otherwise(1)).alias("tf"))
-
-
-def phrase_hits(posted: DataFrame, queries: DataFrame, *, tokens=T.index_tokens) -> DataFrame:
-    """(query_id, term, chunk_id, field, tf) of the queries' terms."""
-    hits = term_hits(posted, queries, tokens=tokens)
-    return hits.join(_small(_terms(queries)), "term").select("query_id", "term", "chunk_id", "field", "tf")
-
-
-def bm25_search(chunks: DataFrame, queries: DataFrame, k: int = BM25_K, *, tokens=T.index_tokens, posted: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+def bm25_search(chunks: DataFrame, queries: DataFrame, k: int = BM25_K, *, tokens=T.index_tokens, kept: Prepared | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank) by BM25 with weights 1 for text and 2 for headings, best first, ties by id.
 
-    A term in half the chunks or more counts a millionth. ``queries`` has query_id and query; ``posted`` and ``stats`` are stored
-    postings and figures of the corpus, made from the chunks where they are not given."""
-    if posted is None:
-        posted, stats = prepared(chunks, queries, tokens=tokens)
-    hits = term_hits(posted, queries, tokens=tokens)
-    weighted = hits.groupBy("chunk_id", "term", "d").agg(F.sum(F.col("tf") * F.when(F.col("field") == "heading", 2).otherwise(1)).alias("f"))
-    figures = (corpus_stats(chunks, tokens=tokens) if stats is None else stats).select(F.struct("n_chunks", "avg_tokens").alias("s")).scalar()
+    A term in half the chunks or more counts a millionth. ``queries`` has query_id and query; ``kept`` is what :func:`prepared` made of
+    the chunks for these or more queries. The queries' terms are written when this is called, and the texts read if there is no ``kept``."""
+    kept = prepared(chunks, queries, tokens=tokens) if kept is None else kept
+    terms = terms_of(queries, tokens)
+    found, figures = kept.of(terms), kept.figures()
     n_chunks, avg = figures["n_chunks"], figures["avg_tokens"]
     idf = F.log((n_chunks - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    df = weighted.groupBy("term").agg(F.count("*").alias("df")).select("term", F.when(idf > 0, idf).otherwise(F.lit(1e-6)).alias("idf"))
-    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("d") / avg))
-    weights = _terms(queries).join(df, "term")  # of each query's terms: as few rows as the queries have terms
-    weights = F.broadcast(weights) if _terms(queries).limit(TERMS + 1).count() <= TERMS else weights
-    scored = weighted.join(weights, "term").groupBy("chunk_id", "query_id").agg(F.sum(part).alias("score"))
+    df = found.groupBy("token").agg(F.count("*").alias("df")).select("token", F.when(idf > 0, idf).otherwise(F.lit(1e-6)).alias("idf"))
+    times = terms.groupBy("query_id", "token").agg(F.count("*").alias("times"))
+    weights = times.join(df, "token").select("query_id", "token", (F.col("times") * F.col("idf")).alias("idf"))  # as few rows as the queries have terms
+    weights = F.broadcast(weights) if terms.limit(TERMS + 1).count() <= TERMS else weights
+    f = weight(F.col("places"))
+    part = F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("d") / avg))
+    weighed = found.select("token", "chunk_id", "d", f.alias("f")).select("token", "chunk_id", part.alias("part"))
+    scored = weighed.join(weights, "token").groupBy("chunk_id", "query_id").agg(F.sum(F.col("idf") * F.col("part")).alias("score"))
     return top(scored.withColumn("score", F.round("score", 9)), k, ["query_id"], F.desc("score"), F.asc("chunk_id")).select("query_id", "chunk_id", "score", "rank")
 
 
@@ -325,21 +263,19 @@ class Search:
 
     ``chunks`` has chunk_id, doc_id, text, heading and vec, ``queries`` query_id, query and vec. With ``expand``, clauses add
     lists of half the depth and half the weight; ``embed`` then gives the vectors of clauses (a function of a DataFrame with
-    query that adds vec). ``posted`` and ``stats`` are stored postings and figures of the corpus; ``lexical``, a function of queries and a number, stands in for BM25 over these. ``hold``
-    takes a step's name and rows and gives the rows that later steps read, for callers that write or time them.
+    query that adds vec). ``lexical``, a function of queries and a number, stands in for BM25 over the chunks. ``hold`` takes a step's name and rows and gives the rows that later steps read, for callers that write or time them.
     """
 
     def __init__(
         self, chunks: DataFrame, documents: DataFrame, queries: DataFrame, *, top_k: int = TOP_K, dense_k: int = DENSE_K, bm25_k: int = BM25_K, candidates: int = CANDIDATES,
         margin: float = MARGIN, minimum: float = MINIMUM, most: int = PER_DOCUMENT, reranker=None, expand: bool = False, embed=None, tokens=T.index_tokens,
-        posted: DataFrame | None = None, stats: DataFrame | None = None, lexical=None, hold=None,
+        lexical=None, hold=None,
     ):
         self.queries = queries
         self.clauses = queries.select("query_id", F.posexplode(T.clauses(F.col("query"))).alias("n", "query")) if expand else None
         if lexical is None:
-            if posted is None:
-                posted, stats = prepared(chunks, queries, *([self.clauses] if expand else []), tokens=tokens)
-            lexical = lambda q, k: bm25_search(chunks, q, k, tokens=tokens, posted=posted, stats=stats)
+            kept = prepared(chunks, queries, *([self.clauses] if expand else []), tokens=tokens)
+            lexical = lambda q, k: bm25_search(chunks, q, k, tokens=tokens, kept=kept)
         hold = hold or (lambda name, step: step)
         self.dense, self.bm25 = hold("dense", dense_search(chunks, queries, dense_k)), hold("bm25", lexical(queries, bm25_k))
         votes = _votes(self.dense, F.lit(0), 1.0).unionByName(_votes(self.bm25, F.lit(1), 1.0))

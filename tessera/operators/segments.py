@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tessera.functions.porter import stemmed_tokens
 from tessera.operators import blocks
 from tessera.operators.pointer import Pointer
+from tessera.operators.postings import entries
 from tessera.operators.scratch import written
 
 DOCUMENTS = "doc_id bigint, path string, title string, ext string, bytes bigint, mtime double, sha256 string, n_chunks int"
@@ -135,7 +136,7 @@ class Segments:
         mine = {"folder": folder}
         new = self._read("chunks", [mine])
         n, tokens, last = new.agg(F.count("*"), F.coalesce(F.sum("d"), F.lit(0)), F.max("chunk_id")).first()
-        self._write(folder, blocks=self._spread(blocks.blocked(blocks.entries(new, tokens=self.tokens)), n))
+        self._write(folder, blocks=self._spread(blocks.blocked(entries(new, tokens=self.tokens)), n))
         was = {**meta, "segments": older}
         self._write(folder, dropped=self.rows(was).join(replaced.select("doc_id"), "doc_id", "left_semi"))
         dead = self._chunks(was).select("chunk_id", "doc_id", "d").join((replaced if cut is None else cut).select("doc_id").distinct(), "doc_id", "left_semi")
@@ -178,11 +179,11 @@ class Segments:
             self._write(folder, documents=self.rows(inner), chunks=self._chunks(inner))
             mine = {"folder": folder, "first_seq": first_seq, "first_chunk": first_chunk}
             mine["n_rows"] = self._read("chunks", [mine]).count()
-            entries = blocks.unblocked(self._read("blocks", group))
+            found = blocks.unblocked(self._read("blocks", group))
             if self._any(group, "killed"):
-                entries = entries.join(self._read("killed", group), "chunk_id", "left_anti")
+                found = found.join(self._read("killed", group), "chunk_id", "left_anti")
             self._write(
-                folder, blocks=self._spread(blocks.blocked(entries), mine["n_rows"]),
+                folder, blocks=self._spread(blocks.blocked(found), mine["n_rows"]),
                 dropped=self._read("dropped", group).where(F.col("seq") < first_seq), killed=self._read("killed", group).where(F.col("chunk_id") < first_chunk),
             )
             mine |= {f"n_{t}": self._read(t, [mine]).count() for t in ("dropped", "killed")}

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tessera.backends import embed
 from tessera.functions import dates as D
 from tessera.functions import text as T
-from tessera.operators import blocks, cells, chunking, context, evaluate, index, recall, retrieval, segments, turns
+from tessera.operators import blocks, cells, chunking, context, evaluate, index, postings, recall, retrieval, segments, turns
 from tessera.operators.scratch import shared_folder, written
 from tessera.sources import loaders
 
@@ -510,14 +510,13 @@ _BM25 = f"{_HITS},{bm25_sql()}"
 
 @query("document_frequency", f"WITH {_POSTED} SELECT token, count(DISTINCT chunk_id) AS df, count(*) AS n FROM posted GROUP BY token")
 def document_frequency(spark, sf):
-    each = blocks.entries(_chunks(spark, sf)).select("token", F.size("places").alias("n"))  # one row for each token of a chunk
+    each = postings.entries(_chunks(spark, sf)).select("token", F.size("places").alias("n"))  # one row for each token of a chunk
     return each.groupBy("token").agg(F.count("*").alias("df"), F.sum("n").alias("n"))
 
 
 @query("phrase_match", f"WITH {_HITS} SELECT query_id, term, chunk_id, field, tf FROM hits")
 def phrase_match(spark, sf):
-    posted, _ = retrieval.prepared(_chunks(spark, sf), _questions(spark, sf))
-    return retrieval.phrase_hits(posted, _questions(spark, sf))
+    return retrieval.phrase_hits(postings.prepared(_chunks(spark, sf), _questions(spark, sf)), _questions(spark, sf))
 
 
 @query("bm25", f"WITH {_BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM bm25 WHERE rank <= 40")
@@ -611,17 +610,17 @@ def _sources(spark, sf) -> DataFrame:
     return d.select(F.regexp_extract("title", "([0-9]+)", 1).cast("bigint").alias("doc_id"), "title")
 
 
-def _overlap(spark, sf, posted: DataFrame) -> DataFrame:
+def _overlap(spark, sf, kept: postings.Prepared) -> DataFrame:
     """A second list for fusion: chunks by how many of the query's terms they have."""
-    hits = retrieval.phrase_hits(posted, _questions(spark, sf))
+    hits = retrieval.phrase_hits(kept, _questions(spark, sf))
     found = hits.groupBy("query_id", "chunk_id").agg(F.count_distinct("term").cast("int").alias("score"))
     return retrieval.top(found, 40, ["query_id"], F.desc("score"), F.asc("chunk_id"))
 
 
 def _fused(spark, sf) -> DataFrame:
     chunks = _chunks(spark, sf)
-    posted, stats = retrieval.prepared(chunks, _questions(spark, sf))
-    return retrieval.fuse([(_overlap(spark, sf, posted), 1.0), (retrieval.bm25_search(chunks, _questions(spark, sf), posted=posted, stats=stats), 1.0)])
+    kept = postings.prepared(chunks, _questions(spark, sf))
+    return retrieval.fuse([(_overlap(spark, sf, kept), 1.0), (retrieval.bm25_search(chunks, _questions(spark, sf), kept=kept), 1.0)])
 
 
 @query("rank_fusion", f"WITH {_BM25}, {_OVERLAP}, {_FUSED} SELECT query_id, chunk_id, round(score, 9) AS score, rank FROM fused")
