@@ -83,3 +83,10 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([row(3)], TURNS).write.mode("append").json(str(source))
     archive.run(stream(), f"{tmp_path}/checkpoint")
     assert archive.memories().count() == 6 and archive.state().first().turn == 3
+
+
+def test_an_empty_cast_clears_the_stage(spark):
+    cast = spark.createDataFrame([("a", True), ("b", False)], "slug string, present boolean")
+    none = spark.createDataFrame([], "slug string")
+    assert [r.present for r in turns.set_present(cast, none).collect()] == [False, False]
+    assert {r.slug: r.present for r in turns.set_present(cast, spark.createDataFrame([("b",), ("zz",)], "slug string")).collect()} == {"a": False, "b": True}
