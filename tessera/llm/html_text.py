@@ -2,12 +2,14 @@
 
 Markup is stripped into lines, one for each block element. Parts that are never article text (menus, forms, scripts, what
 is marked as advert, notice, comment and so on) leave no line; where such a part, or the edge of an article, lies between
-blocks that are not siblings, it leaves ``WIDTH`` empty ones. A line counts its characters outside links and white space. Over every
-``WIDTH`` neighbouring lines the counts are summed: text surges where the sum leaves zero and dives where it comes back, and
-the lines of all windows between two such points are a stretch, lines that are all link at its edges included.
+blocks that are not siblings, it leaves ``WIDTH`` empty ones. A line counts its characters outside links and white space; within an
+article, where menus leave no line, those of links too. Over every ``WIDTH`` neighbouring lines the counts are summed: text surges
+where the sum leaves zero and dives where it comes back, and the lines of all windows between two such points are a stretch, lines
+that are all link at its edges included.
 
-A page that marks its articles keeps them whole. In any other page a stretch is kept if the sum surges to ``SURGE``
-somewhere within it, and the one that counts most is kept in any case. Nothing within a kept stretch is dropped.
+A stretch is kept unless more than half of its characters are links, and the one that counts most is kept in any case. Where articles
+hold most of the counted characters, text outside of them must surge to ``SURGE`` somewhere as well. Nothing within a kept stretch is dropped.
+A heading that says no more than that comments follow ends the text until the next heading of its level, or the end of the part it is in.
 
 Scale: one pass over the pages, no exchange; a task holds one batch of pages. The time is linear in the length of a page,
 however broken its markup.
@@ -27,7 +29,7 @@ from tessera.llm.common import only, table
 
 #: Lines in a block of the distribution.
 WIDTH = 3
-#: Counted characters within a block at which text surges.
+#: Counted characters within a block to which text beside a marked article surges.
 SURGE = 86
 
 _NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
@@ -61,14 +63,19 @@ _NEUTRAL = set(
     "box boxes wrap wrapper container block blocks section sections list area bar panel inner outer top bottom left right slot unit item items holder zone row col column columns content "
     "body text main site page global primary secondary post posts article articles entry story user users reader readers form link links button buttons the js".split()
 )
+#: Within an article, where ids name headings, those of comments only mark a part.
+_NOISE_IDS = {"comment", "comments", "commentlist", "disqus", "respond"}
 _OWN = {"post", "article", "entry", "story", "content"}
 _PARTS = re.compile(r"[a-z]+")
+_HEADING = re.compile(r"h[1-6]")
+#: Headings of reader comments; the whole of a heading.
+_REMARKS = re.compile(r"(?:(?:reader|user) )?comments(?: ?\(\d+\))?:?|\d+ (?:comments?|replies|responses)|(?:leave|post|write) a (?:comment|reply)", re.I)
 
 
 def _marks(attributes: str, name: str, within: bool) -> bool:
     """Whether the attributes mark an element as no article text."""
-    words = _NOISE_WITHIN if within else _NOISE
     for key, value in _ATTRIBUTE.findall(attributes):
+        words = _NOISE if not within else _NOISE_IDS if key.lower() == "id" else _NOISE_WITHIN
         tokens = value.strip("\"'").lower().split()
         if key.lower() == "aria-label" and len(tokens) != 1:
             continue
@@ -109,11 +116,14 @@ class _Tags:
                 return first
 
 
+_EMPTY = ("", 0, 0, False)
+
+
 class _Lines:
     """What the stripping of one page has found so far."""
 
     def __init__(self) -> None:
-        self.lines: list[tuple[str, int, bool]] = []  # text, counted characters, within an article
+        self.lines: list[tuple[str, int, int, bool]] = []  # text, counted characters, those that are no white space, within an article
         self.text: list[str] = []
         self.linked = 0
         self.stack: list[tuple[str, str]] = []  # open elements, and what they are: "", "noise", "form", "article"
@@ -121,7 +131,8 @@ class _Lines:
         self.blocks: list[int] = []  # places of open elements other than paragraphs and inline ones
         self.containers: list[int] = []  # and of those that are neither text nor lists
         self.walls: list[int] = []
-        self.noise = self.links = self.articles = 0
+        self.noise = self.links = self.articles = self.mains = 0
+        self.remarks: tuple[str, int] | None = None  # the heading of open comments, and the place of the part they are in
         self.forms: list[int] = []  # places of open forms outside articles
         self.uid, self.uids = 0, [0]  # identities of the open elements
         self.parent = -1  # that of the element around the last line's block
@@ -129,7 +140,7 @@ class _Lines:
 
     @property
     def silent(self) -> bool:
-        return bool(self.noise or self.forms)
+        return bool(self.noise or self.forms or self.remarks)
 
     def put(self, raw: str) -> None:
         if raw and not self.silent:
@@ -142,21 +153,25 @@ class _Lines:
         """End the line."""
         if self.text:
             whole = " ".join("".join(self.text).split())
-            if whole:
+            block = self.blocks[-1] if self.blocks else -1
+            if block >= 0 and _HEADING.fullmatch(self.stack[block][0]) and _REMARKS.fullmatch(whole):
+                self.remarks = (self.stack[block][0], self.containers[-1] if self.containers else -1)
+            elif whole:
                 inmost = max(self.blocks[-1] if self.blocks else -1, self.places["p"][-1] if self.places["p"] else -1)
                 own = len(self.containers) > 1 and self.containers[-1] == inmost and self.stack[inmost][0] not in ("body", "html")
                 around = self.uids[self.containers[-2 if own else -1] + 1] if self.containers else 0
                 if self.pending and around != self.parent:
-                    self.lines += [("", 0, False)] * WIDTH
+                    self.lines += [_EMPTY] * WIDTH
                 self.pending, self.parent = False, around
-                self.lines.append((whole, max(0, len(whole) - whole.count(" ") - self.linked), bool(self.articles)))
+                said = len(whole) - whole.count(" ")
+                self.lines.append((whole, said if self.articles else max(0, said - self.linked), said, bool(self.articles)))
             self.text.clear()
         self.linked = 0
 
     def edge(self) -> None:
         """The edge of an article or main part."""
         self.close()
-        self.lines += [("", 0, False)] * WIDTH
+        self.lines += [_EMPTY] * WIDTH
 
     def push(self, name: str, kind: str) -> None:
         k = len(self.stack)
@@ -177,6 +192,7 @@ class _Lines:
         elif kind == "article":
             self.articles += 1
         self.links += name == "a"
+        self.mains += name == "main"
 
     def pop(self, k: int) -> None:
         """Close all elements from place k on."""
@@ -189,6 +205,9 @@ class _Lines:
                 if places and places[-1] == place:
                     places.pop()
             self.links -= name == "a"
+            self.mains -= name == "main"
+            if self.remarks and self.remarks[1] == place:
+                self.remarks, self.pending = None, True
             if kind == "noise":
                 self.noise -= 1
             elif kind == "article":
@@ -205,10 +224,12 @@ class _Lines:
         if name in _ENDS_PARAGRAPH and self.places["p"] and self.places["p"][-1] > (self.blocks[-1] if self.blocks else -1):
             self.pop(self.places["p"][-1])  # a block ends the paragraph before it, and what is open in it
         within = bool(self.articles)
+        if self.remarks and (name in ("article", "main") or _HEADING.fullmatch(name) and name <= self.remarks[0]):
+            self.remarks, self.pending = None, True
         kind = ""
         if name == "form" and not within:
             kind = "form"
-        elif name in _SKIP or _HIDDEN.search(attributes) or name == "header" and not within:
+        elif name in _SKIP or _HIDDEN.search(attributes) or name == "header" and not within and not self.mains:
             kind = "noise"
         elif name not in ("body", "html", "main") and attributes and _marks(attributes, name, within):
             kind = "noise"
@@ -233,8 +254,8 @@ class _Lines:
         self.pop(places[-1])
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, counted characters, within an article) of each line in page order; runs of empty lines part what is not together."""
+def lines_of(page: str) -> list[tuple[str, int, int, bool]]:
+    """(text, counted characters, characters, within an article) of each line in page order; runs of empty lines part what is not together."""
     found, tags = _Lines(), _Tags(page)
     raw_ends: dict[str, re.Pattern[str]] = {}
     absent: set[str] = set()  # end tags that the rest of the page has not
@@ -283,25 +304,28 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
 
 
 def main_text(page: str | None) -> str:
-    """The text of the articles, or else between surge and dive points, one block to a line."""
+    """The text between surge and dive points, one block to a line."""
     lines = lines_of(page or "")
-    marked = sum(n for _, n, within in lines if within)
-    if marked >= SURGE or marked and marked == sum(n for _, n, _ in lines):
-        return "\n".join(t for t, _, within in lines if within and t)
-    counted = [n for _, n, _ in lines]
+    counted = [n for _, n, _, _ in lines]
     ends = range(-WIDTH + 1, len(lines))
     sums = [sum(counted[max(i, 0) : i + WIDTH]) for i in ends]  # of the windows that hold any line
-    stretches: list[tuple[int, int, int, int]] = []  # first and last line, largest sum, counted characters
+    stretches: list[tuple[int, int, int]] = []  # first and last line, largest sum
     first = None
     for i, n in zip([*ends, len(lines)], [*sums, 0], strict=True):
         if n and first is None:
             first = i
         elif not n and first is not None:
-            low, high = max(first, 0), min(i + WIDTH - 1, len(lines))
-            stretches.append((low, high, max(sums[first + WIDTH - 1 : i + WIDTH - 1]), sum(counted[low:high])))
+            stretches.append((max(first, 0), min(i + WIDTH - 1, len(lines)), max(sums[first + WIDTH - 1 : i + WIDTH - 1])))
             first = None
-    most = max((s[3] for s in stretches), default=0)
-    return "\n".join(t for a, b, peak, n in stretches if peak >= SURGE or n == most for t, _, _ in lines[a:b] if t)
+    marked = 2 * sum(n for _, n, _, within in lines if within) > sum(counted)
+    most = max((sum(counted[a:b]) for a, b, _ in stretches), default=0)
+    kept = []
+    for a, b, peak in stretches:
+        n, of = sum(counted[a:b]), sum(said for _, _, said, _ in lines[a:b])
+        own = peak >= SURGE or not marked or any(within for *_, within in lines[a:b])
+        if n == most or 2 * n >= of and own:
+            kept += [t for t, *_ in lines[a:b] if t]
+    return "\n".join(kept)
 
 
 def _extract(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

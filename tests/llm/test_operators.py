@@ -439,6 +439,16 @@ LOSSES = {
     "<body><p>" + "A long paragraph of the text. " * 20 + '</p><div class="ad">x</div><p>short end</p></body>': ("A long paragraph of the text. " * 20).strip() + "\nshort end",
     "<article><p>" + "The first article. " * 20 + "</p></article><nav><a>x</a></nav><article><p>The second.</p></article>": ("The first article. " * 20).strip() + "\nThe second.",
     "<form><div><article><p>Within the form of the page.</p></article></div><input name=q><p>Send</p></form>": "Within the form of the page.",
+    "<div><article><p>A teaser of another text.</p></article></div><div><p>" + "The body of the page. " * 30 + "</p></div>": "A teaser of another text.\n" + ("The body of the page. " * 30).strip(),
+    "<body><p>" + "A long paragraph of the text. " * 20 + "</p><div><nav><a>x</a></nav></div><div><p>Short ending.</p></div></body>": ("A long paragraph of the text. " * 20).strip() + "\nShort ending.",
+    "<main><header><h1>Title</h1></header><p>The text below it.</p></main>": "Title\nThe text below it.",
+    "<article><h2>Talk</h2><p>" + "Of one thing. " * 20 + '</p><section id="social"><p>Of another.</p></section></article>': "Talk\n" + ("Of one thing. " * 20).strip() + "\nOf another.",
+    "<article><p>The text.</p><ul>" + "".join(f"<li><a href='/{i}'>Source {i}</a></li>" for i in range(9)) + "</ul><nav><a>x</a></nav><p>And on.</p></article>":
+        "The text.\n" + "\n".join(f"Source {i}" for i in range(9)) + "\nAnd on.",
+    "<div><p>" + "The text of the page. " * 9 + "</p><h3>12 Comments</h3><p>I disagree with all of it, and at some length, as is usual here.</p><h4>Reply</h4><p>So do I.</p><h3>Notes</h3><p>A note.</p></div>":
+        ("The text of the page. " * 9).strip() + "\nNotes\nA note.",
+    "<div><p>" + "The text of the page. " * 9 + "</p><div><h3>Comments</h3><p>I disagree.</p></div><p>The end.</p></div>": ("The text of the page. " * 9).strip() + "\nThe end.",
+    "<article><p>" + "The text. " * 20 + "</p></article><p>Copyright of the site</p>": ("The text. " * 20).strip(),
     "<div class='post'><header class='post-header'><h1>Head</h1></header></div><article><p>a &lt;b&gt; c&#33; &am<b>p;</b></p></article>": "a <b> c! &amp;",
 }
 
@@ -455,21 +465,39 @@ def test_html_loses_nothing_of_the_article():
 
 
 def test_stretches_against_plain_windows():
+    """Lines of text, links and both, in and out of articles, against windows that are summed one by one."""
     rnd = random.Random(12)
-    for _ in range(300):
-        lengths = [rnd.choice([0, 0, 0, rnd.randrange(1, 120)]) for _ in range(rnd.randrange(0, 40))]
-        page = "".join(f"<p>{'x' * n}</p>" if n else "<p><a>link</a></p>" for n in lengths)
-        windows = [range(i, i + 3) for i in range(-2, len(lengths))]
-        sums = [sum(lengths[k] for k in w if 0 <= k < len(lengths)) for w in windows]
+    for _ in range(400):
+        page, rows = "", []  # of each line: its text, counted and all characters, within an article
+        for _ in range(rnd.randrange(0, 12)):
+            article = rnd.random() < 0.4
+            part = ""
+            for _ in range(rnd.randrange(1, 6)):
+                n, linked = rnd.choice([0, 0, rnd.randrange(1, 120)]), rnd.choice([0, 0, 9])
+                if n + linked:
+                    part += f"<p>{'x' * n}{'<a>' + 'y' * linked + '</a>' if linked else ''}</p>"
+                    rows.append(("x" * n + "y" * linked, n + linked * article, n + linked, article))
+            page += f"<article>{part}</article>" if article else part
+            if article:  # its edges are empty lines
+                inner = [r for r in rows if r[3] is True]
+                rows = [r for r in rows if r[3] is not True] + [("", 0, 0, None)] * 3 + [(*r[:3], 1) for r in inner] + [("", 0, 0, None)] * 3
+        windows = [[k for k in range(i, i + 3) if 0 <= k < len(rows)] for i in range(-2, len(rows))]
+        sums = [sum(rows[k][1] for k in w) for w in windows]
         groups: list[list[int]] = []
         for i, n in enumerate(sums):
             if n and i and sums[i - 1]:
                 groups[-1].append(i)
             elif n:
                 groups.append([i])
-        parts = [(sorted({k for i in g for k in windows[i] if 0 <= k < len(lengths)}), max(sums[i] for i in g)) for g in groups]
-        most = max((sum(lengths[k] for k in ks) for ks, _ in parts), default=0)
-        want = ["x" * lengths[k] or "link" for ks, peak in parts if peak >= html_text.SURGE or sum(lengths[k] for k in ks) == most for k in ks]
+        parts = [(sorted({k for i in g for k in windows[i]}), max(sums[i] for i in g)) for g in groups]
+        most = max((sum(rows[k][1] for k in ks) for ks, _ in parts), default=0)
+        marked = sum(r[1] for r in rows if r[3]) > sum(r[1] for r in rows if not r[3])
+        want = []
+        for ks, peak in parts:
+            n, said = sum(rows[k][1] for k in ks), sum(rows[k][2] for k in ks)
+            proven = not marked or peak >= html_text.SURGE or any(rows[k][3] for k in ks)
+            if n == most or (n * 2 >= said and proven):
+                want += [rows[k][0] for k in ks if rows[k][0]]
         assert html_text.main_text(page) == "\n".join(want)
 
 
