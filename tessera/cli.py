@@ -79,7 +79,7 @@ def chat(ix: index.Index, model, top_k: int, lines, **options) -> int:
         question = line.strip()
         if question.lower() in ("exit", "quit", ":q"):
             break
-        if question.lower() in ("reset", "clear"):
+        if question.lower() in context.RESETS:
             past.clear()
         elif question:
             code, text = say(search_index.answer(ix, question, model, top_k, past, **options))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 
 BUDGET, RECALL_BUDGET = 9_000, 2_200
+#: What a user says to end a session.
+RESETS = ("reset", "clear")
 NOTHING = "I could not find anything about that in the indexed documents."
 INSTRUCTIONS = "Answer from the numbered sources only, and cite them by number. Say so if they do not hold the answer."
 
@@ -53,10 +55,20 @@ def history(entries: Column, last: int = 4) -> Column:
     return F.filter(recent, lambda m: m["role"].isin("user", "assistant") & (m["content"] != ""))
 
 
-def session_memory(log: DataFrame, by: list[str], last: int = 4) -> DataFrame:
+def resets(role: Column, content: Column) -> Column:
+    """Whether a user's entry ends the session instead of asking something."""
+    return F.coalesce((role == "user") & F.lower(T.trim(content)).isin(*RESETS), F.lit(False))
+
+
+def session_memory(log: DataFrame, by: list[str], last: int = 4, *, until_reset: bool = False) -> DataFrame:
     """(by, n, memory) of chat logs (by, n, role, content): what is remembered before each entry, as messages; see :func:`history`.
 
-    Entries before which nothing is remembered are left out."""
+    Entries before which nothing is remembered are left out. With ``until_reset`` an entry of :func:`resets` ends the session: nothing up to
+    it is remembered after it, and it has no row of its own."""
+    if until_reset:
+        ended = F.sum(resets(F.col("role"), F.col("content")).cast("int")).over(Window.partitionBy(*by).orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+        log = log.withColumn("_session", ended).where(~resets(F.col("role"), F.col("content")))
+        return session_memory(log, [*by, "_session"], last).drop("_session")
     before = Window.partitionBy(*by).orderBy("n").rowsBetween(-last, -1)
     said = F.collect_list(F.struct("role", "content")).over(before)
     found = log.select(*by, "n", said.alias("_said")).withColumn("memory", history(F.col("_said"), last))

@@ -132,6 +132,33 @@ def chat_session(spark, sf):
     return context.session_memory(log, ["conv_id"]).select("conv_id", "n", F.array_join(said, "\n").alias("memory"))
 
 
+@query("chat_resets", """
+WITH c AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' AND (conv_id + turn) % 5 = 0 THEN ' Reset' WHEN role = 'assistant' AND (conv_id + turn) % 7 = 0 THEN 'clear' ELSE text END AS text FROM conversations),
+s AS (SELECT *, role = 'user' AND text = ' Reset' AS ends, count(*) FILTER (role = 'user' AND text = ' Reset') OVER (PARTITION BY conv_id ORDER BY turn) AS session FROM c)
+SELECT conv_id, turn AS n, string_agg(role || ': ' || text, chr(10) ORDER BY t) AS memory FROM (
+  SELECT a.conv_id, a.turn, b.turn AS t, b.role, b.text FROM s a JOIN s b ON b.conv_id = a.conv_id AND b.session = a.session AND b.turn BETWEEN a.turn - 4 AND a.turn - 1
+    AND NOT b.ends AND b.role IN ('user', 'assistant') AND b.text <> '' WHERE NOT a.ends) GROUP BY ALL""")
+def chat_resets(spark, sf):
+    """What a chat remembers where some entries end the session; an assistant that says so ends nothing."""
+    planted = F.when((F.col("role") == "user") & ((F.col("conv_id") + F.col("turn")) % 5 == 0), " Reset")
+    planted = planted.when((F.col("role") == "assistant") & ((F.col("conv_id") + F.col("turn")) % 7 == 0), "clear").otherwise(F.col("text"))
+    log = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("n"), "role", planted.alias("content"))
+    said = F.transform("memory", lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
+    return context.session_memory(log, ["conv_id"], until_reset=True).select("conv_id", "n", F.array_join(said, "\n").alias("memory"))
+
+
+@query("arc_folds", """
+WITH RECURSIVE t AS (SELECT conv_id, turn + 1 AS n, text, length(text) % 3 <> 0 AS folded FROM conversations),
+a AS (SELECT DISTINCT conv_id, 0::BIGINT AS from_turn, 0::BIGINT AS to_turn FROM t
+  UNION ALL SELECT a.conv_id, a.to_turn + 1, min(t.n)::BIGINT FROM a JOIN t ON t.conv_id = a.conv_id AND t.folded AND t.n >= a.to_turn + 2 GROUP BY a.conv_id, a.to_turn),
+m AS (SELECT a.*, n, text, row_number() OVER (PARTITION BY a.conv_id, from_turn ORDER BY n) AS i FROM a JOIN t ON t.conv_id = a.conv_id AND t.n BETWEEN a.from_turn AND a.to_turn WHERE a.to_turn > 0)
+SELECT conv_id, from_turn, to_turn, string_agg(i || '. ' || text, chr(10) ORDER BY i) AS text FROM m GROUP BY ALL""")
+def arc_folds(spark, sf):
+    """Ranges of two turns or more: a third of the folds fail, and their ranges go on into the next."""
+    t = table(spark, sf, "conversations").select("conv_id", (F.col("turn") + 1).alias("n"), F.col("text").alias("summary"), (F.length("text") % 3 != 0).alias("folded"))
+    return turns.folds(t, ["conv_id"], every=2)
+
+
 @query("clock_jump", """
 SELECT event_id, CASE WHEN user_id % 2 = 0 THEN strftime(ts, '2025-06-01 %H:%M') ELSE strftime(ts, '%Y-%m-%d 07:45') END AS at FROM events""")
 def clock_jump(spark, sf):
@@ -261,10 +288,13 @@ e AS (SELECT campaign, n, 'summary' AS kind, 0 AS i, CASE WHEN text = '' THEN '(
 m AS (SELECT *, array_to_string(list_filter(regexp_split_to_array(raw, '\\s+'), lambda w: w <> ''), ' ') AS text FROM e)
 SELECT campaign, format('memory://{}/{:05d}/{:02d}', kind, n, i) AS path, 'Turn ' || n AS title, 'Day 1 > ' || kind AS heading, kind, n AS turn, text FROM m WHERE length(text) >= 12""")
 def turn_stream(spark, sf):
-    """The log as a stream into an archive, its memories after the run; the archive lies in the session's shared folder."""
+    """The log as a stream into an archive, its memories after the run; the archive lies in the session's shared folder.
+
+    Turns come in four micro-batches without order, so many are late, and every other one comes again in a later batch."""
     import uuid
 
-    from tessera.streaming.turn_log import TURNS, Archive, shared_folder
+    from tessera.streaming.keyed_log import KeyedArchive
+    from tessera.streaming.turn_log import TURNS, shared_folder
 
     root = f"{shared_folder(spark)}/turns-{uuid.uuid4().hex}"
     c = table(spark, sf, "conversations")
@@ -272,7 +302,10 @@ def turn_stream(spark, sf):
         F.col("conv_id").cast("string").alias("campaign"), (F.col("turn") + 1).alias("n"), F.length("text").alias("minutes"), F.col("role").alias("location"), F.col("text").alias("summary"),
         T.facts(F.split("text", r"\. ")).alias("facts"), F.array().cast("array<string>").alias("events"), F.lit("Day 1").alias("when"),
     )
-    log.write.parquet(f"{root}/log")
-    archive = Archive(spark, f"{root}/archive")
-    archive.run(spark.readStream.schema(TURNS).parquet(f"{root}/log"), f"{root}/checkpoint")
+    for part in range(4):
+        again = log.where((F.pmod(F.xxhash64("campaign", "n"), F.lit(4)) == part - 1) & (F.col("n") % 2 == 0))
+        log.where(F.pmod(F.xxhash64("campaign", "n"), F.lit(4)) == part).unionByName(again).write.parquet(f"{root}/log/part={part}")
+    files = spark.read.parquet(f"{root}/log").inputFiles()
+    archive = KeyedArchive(spark, f"{root}/archive")
+    archive.run(spark.readStream.schema(TURNS).option("maxFilesPerTrigger", -(-len(files) // 4)).parquet(f"{root}/log/part=*"), f"{root}/checkpoint")
     return archive.memories()

@@ -1,7 +1,9 @@
 import json
 
+from pyspark.sql import functions as F
+
 from tessera.backends import ModelError, Scripted, has_model, parse_stream, setting, strip_thinking
-from tessera.operators import turns
+from tessera.operators import context, turns
 from tessera.streaming.turn_log import TURNS, Archive
 
 ENTRY = "📅 Monday — 🌅 7:00 AM — *The Gate*\n\n" + "word " * 20 + "\n\n**What will you do?**\n\n" + "\n".join(f"{i}. Option {i}" for i in range(1, 6))
@@ -90,3 +92,21 @@ def test_an_empty_cast_clears_the_stage(spark):
     none = spark.createDataFrame([], "slug string")
     assert [r.present for r in turns.set_present(cast, none).collect()] == [False, False]
     assert {r.slug: r.present for r in turns.set_present(cast, spark.createDataFrame([("b",), ("zz",)], "slug string")).collect()} == {"a": False, "b": True}
+
+
+def test_folds_that_fail_leave_their_range_open(spark):
+    log = [("a", n, f"s{n}", n not in (2, 3, 7)) for n in range(1, 9)] + [("b", 1, "x", True), (None, 5, None, True), (None, 5, "y", True), (None, 6, "z", None), ("c", None, "w", True)]
+    rows = spark.createDataFrame(log, "who string, n int, summary string, folded boolean")
+    got = sorted(map(tuple, turns.folds(rows, ["who"], every=2).collect()), key=str)
+    assert got == [("a", 1, 4, "1. s1\n2. s2\n3. s3\n4. s4"), ("a", 5, 6, "1. s5\n2. s6"), ("a", 7, 8, "1. s7\n2. s8"), (None, 1, 5, "1. \n2. y")]
+    assert turns.folds(rows.limit(0), ["who"]).count() == 0
+    long = spark.range(1, 30_001).select(F.lit("a").alias("who"), F.col("id").alias("n"), F.lit("s").alias("summary"), (F.col("id") % 7 == 0).alias("folded"))
+    assert turns.folds(long.unionByName(long.withColumn("who", F.lit("b"))), ["who"], every=3).where("to_turn - from_turn = 6").count() == 2 * (30_000 // 7)
+
+
+def test_a_reset_ends_what_a_chat_remembers(spark):
+    log = [(1, "user", "one"), (2, "assistant", "two"), (3, "user", " CLEAR\n"), (4, "user", "three"), (5, "assistant", "reset"), (6, "user", "four"), (7, None, None), (8, "user", "five")]
+    rows = spark.createDataFrame([("c", *r) for r in log], "chat string, n int, role string, content string")
+    got = {r.n: [m.content for m in r.memory] for r in context.session_memory(rows, ["chat"], until_reset=True).collect()}
+    assert got == {2: ["one"], 5: ["three"], 6: ["three", "reset"], 7: ["three", "reset", "four"], 8: ["three", "reset", "four"]}
+    assert {r.n for r in context.session_memory(rows, ["chat"]).collect()} == set(range(2, 9))
