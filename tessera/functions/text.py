@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -16,9 +17,20 @@ STOP_WORDS = (
     "why", "when", "where", "it", "this", "that", "with", "as", "at", "by", "from", "about", "can", "i", "me", "my", "you", "your",
 )
 
-# Accented Latin letters and what they are without accents.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+def _folding() -> tuple[str, str]:
+    """Letters with marks in the Latin, Greek and Cyrillic blocks and what they are without, then the marks themselves, which are nothing."""
+    found = {}
+    for code in (*range(0xC0, 0x530), *range(0x1E00, 0x2000)):
+        base = [c for c in unicodedata.normalize("NFD", chr(code)) if not unicodedata.combining(c)]
+        if chr(code).lower() == chr(code) and len(base) == 1 and base[0] != chr(code):
+            found[chr(code)] = base[0]
+    marks = "".join(chr(c) for c in range(0x300, 0x370) if unicodedata.combining(chr(c)))
+    return "".join(found) + marks, "".join(found.values())
+
+
+#: For ``translate``, after ``lower``; the same in SQL.
+ACCENTED, PLAIN = _folding()
 
 # Where a sentence starts, what a heading is (its marks, its text), what parts the clauses of a question, what
 # a search term is, and how hard wraps and hyphens of extracted pages are undone (pattern, replacement).

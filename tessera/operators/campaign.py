@@ -35,7 +35,10 @@ DEFAULTS = {"date": "2025-04-14", "time": "08:30", "location": "", "title": ""}
 
 
 class Tables:
-    """Named tables in a folder; a pointer says which generation of each is current."""
+    """Named tables in a folder; a pointer says which generation of each is current.
+
+    The generation before stays for those who read it; older ones, and what a crash left, go with the next commit of their table.
+    A folder has one writer at a time: of two that commit at once the later fails."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -49,11 +52,22 @@ class Tables:
 
     def commit(self, **changed: DataFrame) -> None:
         """All of the tables or none: the pointer moves once, when every table is written."""
-        folders = self._pointer().read() or {}
+        version, before = self._pointer().latest()
+        folders = dict(before or {})
         for name, df in changed.items():
             folders[name] = f"{name}/{uuid.uuid4().hex}"
-            df.select(*[c.split()[0] for c in SCHEMAS[name].split(", ")]).coalesce(1).write.parquet(f"{self.root}/{folders[name]}")
-        self._pointer().write(folders)
+            df.select(*[c.split()[0] for c in SCHEMAS[name].split(", ")]).hint("rebalance").write.parquet(f"{self.root}/{folders[name]}")
+        self._pointer().write(folders, after=version)
+        kept = {*folders.values(), *(before or {}).values()}
+        for name in changed:
+            self._drop(name, kept)
+
+    def _drop(self, name: str, kept: set[str]) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        fs = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for s in fs.listStatus(where):
+            if f"{name}/{s.getPath().getName()}" not in kept:
+                fs.delete(s.getPath(), True)
 
 
 def campaigns(spark: SparkSession, root: str) -> list[str]:
@@ -137,11 +151,12 @@ class Campaign:
         """Files and folders as lore: each chunk a memory that is found beside those of the story. Counters of what was done.
 
         A memory is known by its file and place, so reading a file again adds only what it did not have."""
-        memories = self.tables.read("memories")
+        memories, held = self.tables.read("memories"), []
         out = {"added": 0, "failed": 0, "skipped": 0, "missing": []}
         for path in paths:
             try:
                 files = list_files(self.spark, path).persist()
+                held.append(files)
             except FileNotFoundError:
                 out["missing"].append(path)
                 continue
@@ -157,10 +172,12 @@ class Campaign:
             out["added"] += new.count()
             out["failed"] += loaded.where("error IS NOT NULL").count()
             out["skipped"] += files.where("status IN ('unsupported', 'oversize')").count()
+            held += [loaded, new]
             memories = memories.unionByName(new)
         if out["added"]:
             self.tables.commit(memories=memories)
-        self.spark.catalog.clearCache()
+        for df in held:
+            df.unpersist()
         return out
 
     # -- the log -----------------------------------------------------------------------------------------------------

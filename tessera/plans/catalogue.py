@@ -144,6 +144,19 @@ def text_files(spark, sf):
     return _parsed(d.select("doc_id", _file("t", "doc_id", ".txt"), bytes_.alias("content")), "doc_id")
 
 
+@query("document_stream", "SELECT conv_id, turn, role, text FROM conversations")
+def document_stream(spark, sf):
+    """Turns as lines of text files, which arrive as a stream of documents a few files at a time."""
+    root = f"{shared_folder(spark)}/documents-{uuid.uuid4().hex}"
+    kinds = "conv_id bigint, turn bigint, role string, text string"
+    lines = table(spark, sf, "conversations").select(F.to_json(F.struct("conv_id", "turn", "role", "text")))
+    lines.write.option("maxRecordsPerFile", 10_000).text(f"{root}/in")
+    found = loaders.documents(spark, f"{root}/in", stream=True).writeStream.format("parquet").option("path", f"{root}/out")
+    found.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    each = spark.read.parquet(f"{root}/out").select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+    return each.select(F.from_json("line", kinds).alias("t")).select("t.conv_id", "t.turn", "t.role", "t.text")
+
+
 @query("csv_files", """
 WITH l AS (SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n, c_custkey || ' | ' || c_name || ', ' || c_mktsegment AS line FROM customer),
 b AS (SELECT c_nationkey, (n - 1) // 40 AS block, 'key | name' || chr(10) || string_agg(line, chr(10) ORDER BY n) AS t FROM l GROUP BY ALL)

@@ -147,7 +147,20 @@ def test_pointer_never_goes_missing(spark, tmp_path):
     p.fs.create(p._file(".meta-crashed"), True).close()  # a crash before the rename leaves the last version
     assert p.read() == {"i": 5}
     first, second = Pointer(spark, p.root, "meta"), Pointer(spark, p.root, "meta")
-    second._versions = lambda found=first._versions(): found  # both have seen the same version
+    second.versions = lambda found=first.versions(): found  # both have seen the same version
     first.write({"i": 6})
     with pytest.raises(OSError):
         second.write({"i": 7})
+
+
+def test_tables_keep_one_generation_before(spark, tmp_path):
+    from tessera.operators.campaign import Tables
+
+    tables, rows = Tables(spark, f"file://{tmp_path}/c"), lambda n: spark.createDataFrame([("k", str(n), n)], "key string, value string, turn bigint")
+    tables.commit(campaign=rows(0), flags=rows(0))
+    (tmp_path / "c" / "campaign" / "crashed").mkdir()
+    for n in range(1, 5):
+        before = tables.read("campaign")
+        tables.commit(campaign=rows(n))
+        assert before.first().turn == n - 1 and tables.read("campaign").first().turn == n  # who read before still can
+    assert len(list((tmp_path / "c" / "campaign").iterdir())) == 2 and tables.read("flags").first().turn == 0

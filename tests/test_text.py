@@ -76,3 +76,17 @@ def test_porter_against_sqlite():
     stems = dict(db.execute("select doc, term from v").fetchall())
     wrong = [(w, stem(w), stems[i]) for i, w in enumerate(words, 1) if stem(w) != stems[i]]
     assert len(wrong) == 0, wrong[:10]
+
+
+def test_one_folding_for_index_and_stemmer(spark):
+    """The native rule and the stemmer's give the same tokens for every letter that both may see, composed or not."""
+    import re
+    import unicodedata
+
+    from tessera.functions.porter import unaccented
+
+    letters = [chr(c) for c in (*range(0xC0, 0x530), *range(0x1E00, 0x2000)) if unicodedata.category(chr(c)) in ("Lu", "Ll") and len(chr(c).lower()) == 1]
+    texts = [f"a{x}b" for x in letters] + [unicodedata.normalize("NFD", f"{x}z") for x in letters] + ["Đường ŁÓDŹ şehir čeština naïve", None, ""]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.index_tokens(F.col("t")).alias("x")).collect()
+    wrong = [(texts[r.i], r.x) for r in got if (r.x or []) != re.findall(r"[^\W_]+", unaccented(texts[r.i]))]
+    assert not wrong, wrong[:20]
