@@ -90,3 +90,12 @@ def test_one_folding_for_index_and_stemmer(spark):
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.index_tokens(F.col("t")).alias("x")).collect()
     wrong = [(texts[r.i], r.x) for r in got if (r.x or []) != re.findall(r"[^\W_]+", unaccented(texts[r.i]))]
     assert not wrong, wrong[:20]
+
+
+def test_rounded_is_what_the_sql_gives(spark):
+    import duckdb
+
+    values = [-1e-9, 4.99999e-7, 5e-7, -5e-7, 0.0, -0.0, 1.0000005, -2.5000015, 0.1234565, float("nan"), 1e300, None]
+    got = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(T.rounded(F.col("v"), 6)).collect()]
+    want = [duckdb.execute("select round(?::DOUBLE, 6)", [v]).fetchall()[0][0] for v in values]
+    assert list(map(repr, got)) == list(map(repr, want))  # -0.0 is not 0.0
