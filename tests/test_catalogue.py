@@ -43,3 +43,12 @@ def test_query_matches_duckdb(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
 def test_query_without_oracle_runs(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
+
+
+def test_relationships_round_halves_as_the_sql_does(spark, tmp_path):
+    c = duckdb.connect()
+    path = f"{tmp_path}/customer.parquet"
+    c.execute(f"copy (select i::BIGINT c_custkey, 'C' || i c_name, 10 c_nationkey, 250.0::DOUBLE * i c_acctbal, 'M' c_mktsegment from range(30) r(i)) to '{path}'")
+    c.execute(f"create view customer as select * from '{path}'")
+    got = catalogue.QUERIES["upsert_relationships"](spark, str(tmp_path)).toPandas()
+    assert rows(got) == rows(c.execute(catalogue.ORACLES["upsert_relationships"]).df())
