@@ -87,6 +87,7 @@ def _compare(sent, k: int):
         ids, queries, sizes, least, seeds, first = sent.value
         best, names = np.full((len(queries), k), -np.inf), np.zeros((len(queries), k), dtype=np.int64)
         n_all = n_read = 0
+        most = 0.0
         for b in batches:
             for i in range(b.num_rows):
                 cell, n = b.column("cell")[i].as_py(), len(b.column("chunk_ids")[i].values)
@@ -100,14 +101,21 @@ def _compare(sent, k: int):
                     own = np.setdiff1d(wanted, own, assume_unique=True)
                     n_all += len(queries)
                 n_read += len(own)
-                if len(own):
-                    keys = b.column("chunk_ids")[i].values.to_numpy()
-                    vectors = b.column("vectors")[i].values.to_numpy().astype(np.float64).reshape(n, -1)
-                    scores = np.concatenate([best[own], queries[own] @ vectors.T], axis=1)
-                    both = np.concatenate([names[own], np.broadcast_to(keys, (len(own), n))], axis=1)
-                    order = np.lexsort((both, -scores), axis=1)[:, :k]
-                    best[own], names[own] = np.take_along_axis(scores, order, axis=1), np.take_along_axis(both, order, axis=1)
-        q, place = np.nonzero(best > -np.inf)
+                if not len(own):
+                    continue
+                keys = b.column("chunk_ids")[i].values.to_numpy()
+                vectors = b.column("vectors")[i].values.to_numpy().astype(np.float64).reshape(n, -1)
+                longest = float(np.sqrt((vectors * vectors).sum(axis=1)).max(initial=0))
+                most = max(most, longest)
+                for at in range(0, len(own), retrieval.TILE):
+                    here = own[at : at + retrieval.TILE]
+                    scores = queries[here] @ vectors.T
+                    # queries with no score that reaches their task's k-th, or the threshold, keep what they have
+                    reach = scores.max(axis=1)
+                    some = (reach >= best[here, -1]) & (reach >= least[here] - SLACK * sizes[here] * (1 + longest))
+                    if some.any():
+                        best[here[some]], names[here[some]] = retrieval._first(best[here[some]], names[here[some]], scores[some], keys, k)
+        q, place = np.nonzero((best > -np.inf) & (best >= (least - SLACK * sizes * (1 + most))[:, None]))
         if len(q):
             yield pa.record_batch([ids.take(pa.array(q)), pa.array(names[q, place]), pa.array(best[q, place]), pa.nulls(len(q), pa.int64()), pa.nulls(len(q), pa.int64())], names=["query_id", "chunk_id", "score", "n_blocks", "n_read"])
         if len(ids) and (n_all or n_read):
@@ -119,38 +127,42 @@ def _compare(sent, k: int):
 class CellSearch:
     """Dense search over blocks. ``found`` has (query_id, chunk_id, score, rank), the same as :func:`retrieval.dense_search`.
 
-    Queries (query_id of any type with an order, vec) are collected when the search is made, and compared with their best cells for their
-    thresholds; ``retrieval.QUERIES`` at most, larger sets go in several searches. ``share`` says how many comparisons of a query with a block there could be and how many were made."""
+    Queries (query_id of any type with an order, vec) are collected when the search is made, ``retrieval.QUERIES`` at a time, and compared with their best cells for their
+    thresholds; a larger set takes a pass over the blocks for each of these parts. ``share`` says how many comparisons of a query with a block there could be and how many were made."""
 
     def __init__(self, blocks: DataFrame, queries: DataFrame, k: int = retrieval.DENSE_K):
-        spark, kind = blocks.sparkSession, queries.schema["query_id"].dataType
-        rows = queries.select("query_id", "vec").where("vec IS NOT NULL").limit(retrieval.QUERIES + 1).collect()
-        if len(rows) > retrieval.QUERIES:
-            raise ValueError(f"more than {retrieval.QUERIES} queries: search in several batches")
+        kind = queries.schema["query_id"].dataType
         schema = f"query_id {kind.simpleString()}, chunk_id bigint, score double, n_blocks bigint, n_read bigint"
-        if not rows:
-            self.rows = spark.createDataFrame([], schema)
-        else:
-            ids = pa.array([q.asDict() if isinstance(q, retrieval.Row) else q for q, _ in rows], to_arrow_type(kind))
-            matrix = np.array([v for _, v in rows], dtype=np.float64)
-            sizes = np.linalg.norm(matrix, axis=1)
-            known = blocks.groupBy("cell").agg(F.max("radius").alias("radius"), F.first("centre").alias("centre")).collect()  # at most CELLS
-            seeds: dict[int, list[int]] = {}
-            if known and len(known[0]["centre"]) == matrix.shape[1]:
-                bound = matrix @ np.array([c["centre"] for c in known]).T + sizes[:, None] * np.array([c["radius"] for c in known])[None, :]
-                for q, near in enumerate(np.argsort(-bound, axis=1, kind="stable")[:, :SEEDS]):
+        known, rows = None, None
+        for ids, matrix in retrieval.query_blocks(queries):
+            if known is None:
+                known = blocks.groupBy("cell").agg(F.max("radius").alias("radius"), F.first("centre").alias("centre")).collect()  # at most CELLS
+            part = self._searched(blocks, known, ids, matrix, k, schema)
+            rows = part if rows is None else rows.unionByName(part)
+        self.rows = blocks.sparkSession.createDataFrame([], schema) if rows is None else rows
+        self.found = retrieval.top(self.rows.where("chunk_id IS NOT NULL").select("query_id", "chunk_id", "score"), k, ["query_id"], F.desc("score"), F.asc("chunk_id"))
+
+    @staticmethod
+    def _searched(blocks: DataFrame, known: list, ids: pa.Array, matrix: np.ndarray, k: int, schema: str) -> DataFrame:
+        sizes = np.linalg.norm(matrix, axis=1)
+        seeds: dict[int, list[int]] = {}
+        if known and len(known[0]["centre"]) == matrix.shape[1]:
+            centres, radii = np.array([c["centre"] for c in known]).T, np.array([c["radius"] for c in known])[None, :]
+            for at in range(0, len(matrix), retrieval.TILE):
+                here = slice(at, at + retrieval.TILE)
+                for q, near in enumerate(np.argsort(-(matrix[here] @ centres + sizes[here, None] * radii), axis=1, kind="stable")[:, :SEEDS], at):
                     for c in near:
                         seeds.setdefault(known[c]["cell"], []).append(q)
-            own = {c: np.array(q, dtype=np.int64) for c, q in seeds.items()}
-            send = lambda least, first: spark.sparkContext.broadcast((ids, matrix, sizes, least, own, first))
-            start = written(blocks.where(F.col("cell").isin(list(own))).mapInArrow(_compare(send(None, True), k), schema), "near")
-            kth = retrieval.top(start.where("chunk_id IS NOT NULL"), k, ["query_id"], F.desc("score"), F.asc("chunk_id")).where(F.col("rank") == k)
-            at = {_key(i): n for n, i in enumerate(ids.to_pylist())}
-            least = np.full(len(matrix), -np.inf)
-            for r in kth.select("query_id", "score").collect():  # one row for each query
-                least[at[_key(r[0].asDict() if isinstance(r[0], retrieval.Row) else r[0])]] = r[1]
-            self.rows = start.unionByName(blocks.mapInArrow(_compare(send(least, False), k), schema))
-        self.found = retrieval.top(self.rows.where("chunk_id IS NOT NULL").select("query_id", "chunk_id", "score"), k, ["query_id"], F.desc("score"), F.asc("chunk_id"))
+        own = {c: np.array(q, dtype=np.int64) for c, q in seeds.items()}
+        send = lambda least, first: blocks.sparkSession.sparkContext.broadcast((ids, matrix, sizes, least, own, first))
+        least = np.full(len(matrix), -np.inf)
+        start = written(blocks.where(F.col("cell").isin(list(own))).mapInArrow(_compare(send(least, True), k), schema), "near")
+        kth = retrieval.top(start.where("chunk_id IS NOT NULL"), k, ["query_id"], F.desc("score"), F.asc("chunk_id")).where(F.col("rank") == k)
+        at = {_key(i): n for n, i in enumerate(ids.to_pylist())}
+        least = least.copy()
+        for r in kth.select("query_id", "score").collect():  # one row for each query
+            least[at[_key(r[0].asDict() if isinstance(r[0], retrieval.Row) else r[0])]] = r[1]
+        return start.unionByName(blocks.mapInArrow(_compare(send(least, False), k), schema))
 
     def share(self) -> DataFrame:
         """One row: n_blocks, n_read."""

@@ -26,6 +26,15 @@ def test_cells_give_what_all_products_give(spark, monkeypatch, k, block):
     assert got == sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 6)) for r in retrieval.dense_search(index, queries, k).collect())
 
 
+def test_more_queries_than_travel_at_once_are_searched_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERIES", 40)
+    index, rows = clustered(spark)
+    queries = spark.createDataFrame([*rows[:90], (900, None)], "query_id bigint, vec array<float>")
+    plain = lambda df: sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 6)) for r in df.collect())
+    found = plain(cells.CellSearch(cells.build(index, 20), queries, 7).found)
+    assert len(found) == 90 * 7 and found == plain(retrieval.dense_search(index, queries, 7))
+
+
 def test_blocks_beyond_the_threshold_are_passed_over(spark, monkeypatch):
     monkeypatch.setattr(cells, "BLOCK", 16)
     index, rows = clustered(spark, spread=0.01)
