@@ -52,3 +52,28 @@ def test_relationships_round_halves_as_the_sql_does(spark, tmp_path):
     c.execute(f"create view customer as select * from '{path}'")
     got = catalogue.QUERIES["upsert_relationships"](spark, str(tmp_path)).toPandas()
     assert rows(got) == rows(c.execute(catalogue.ORACLES["upsert_relationships"]).df())
+
+
+@pytest.fixture(scope="module")
+def compound(tmp_path_factory):
+    """A compound question whose clauses each have a text of their own, and the vectors of these."""
+    folder, c = tmp_path_factory.mktemp("compound"), duckdb.connect()
+    question = "red stones under water, blue birds over mountains and green fish below bridges"
+    texts = ["red stones under water", "blue birds over mountains", "green fish below bridges", "water", "nothing at all"]
+    c.execute("create table documents as select * from (values " + ", ".join(f"({i}::BIGINT, '{t}', 'en', 's{i}')" for i, t in enumerate(texts)) + ") v(doc_id, text, lang, source)")
+    c.execute("create table benchmark as select 1::BIGINT item_id, ? as text", [question])
+    c.execute("create table embeddings as select i::BIGINT vec_id, [1.0::FLOAT, i::FLOAT] embedding, 1 as label from range(5) r(i)")
+    for t in ("documents", "benchmark", "embeddings"):
+        c.execute(f"copy {t} to '{folder}/{t}.parquet'")
+    return str(folder), c
+
+
+@pytest.mark.parametrize("name", ["rerank", "retrieval_modes"])
+def test_reranking_keeps_the_best_of_question_and_clauses(spark, compound, name):
+    folder, c = compound
+    got = catalogue.QUERIES[name](spark, folder).toPandas()
+    assert rows(got) == rows(c.execute(catalogue.ORACLES[name]).df())
+    if name == "rerank":  # a text that answers one clause in full scores as if it answered the question
+        assert {r.chunk_id: r.score for r in got.itertuples()}.items() >= {0: 10.0, 1: 10.0, 2: 10.0}.items()
+    else:  # and others lie beyond the margin
+        assert got.set_index("mode").returned["hybrid+rerank"] == 3
