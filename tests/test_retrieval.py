@@ -62,6 +62,26 @@ def test_stemmed_bm25_matches_sqlite(spark):
     assert all(math.isclose(got[k], want[k], abs_tol=1e-6) for k in want)
 
 
+@pytest.mark.parametrize("cells", [1 << 20, 7])
+def test_scores_within_rows_are_those_of_joins_and_exchange_little(spark, monkeypatch, cells):
+    from tessera.operators import postings
+
+    monkeypatch.setattr(retrieval, "CELLS", cells)
+    monkeypatch.setattr(retrieval, "QUERIES", 3)
+    rnd = random.Random(5)
+    words = "leave policy error e-4471 snake_case claims Été limit the".split()
+    chunks = spark.createDataFrame([(i, " ".join(rnd.choices(words, k=rnd.randrange(0, 30))), rnd.choice([None, "", "leave e 4471"])) for i in range(200)], "chunk_id bigint, text string, heading string")
+    queries = spark.createDataFrame([(1, "leave policy"), (2, "error E-4471"), (3, "snake_case snake limit"), (4, "of the"), (5, ""), (6, "claims leave"), (7, "absent")], "query_id bigint, query string")
+    plain = lambda df: sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 7)) for r in df.collect())
+    kept = postings.prepared(chunks, queries)
+    got = [plain(retrieval.bm25_search(chunks, queries, 9, kept=kept)), plain(retrieval.overlap(kept, queries, 9))]
+    found = retrieval.bm25_search(chunks, queries, 9, kept=kept)
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString() and found.columns == ["query_id", "chunk_id", "score", "rank"]
+    monkeypatch.setattr(postings, "PLAIN", {})
+    other = postings.prepared(chunks, queries)
+    assert not other.whole and got == [plain(retrieval.bm25_search(chunks, queries, 9, kept=other)), plain(retrieval.overlap(other, queries, 9))]
+
+
 def test_source_budget_passes_over_what_does_not_fit(spark):
     rows = [(1, 1, 11, "a", "A" * 200), (1, 2, 12, "b", "B" * 200), (1, 3, 13, "c", "C" * 20)]
     out = context.pack_sources(spark.createDataFrame(rows, "query_id bigint, rank int, chunk_id bigint, label string, text string"), 300).first()

@@ -99,3 +99,12 @@ def test_rounded_is_what_the_sql_gives(spark):
     got = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(T.rounded(F.col("v"), 6)).collect()]
     want = [duckdb.execute("select round(?::DOUBLE, 6)", [v]).fetchall()[0][0] for v in values]
     assert list(map(repr, got)) == list(map(repr, want))  # -0.0 is not 0.0
+
+
+def test_tokens_of_a_python_pass_are_the_index_tokens(spark):
+    texts = ["", None, "Plain ASCII, e-4471 snake_case\x00x\x1fy", "Été naïve ÜBER straße", "ά Ω ж Й ё", "e\u0301 a\u0300b", "一二 ٣٤ Ⅷ ½ x² 𝔸𝟙", "a\xa0b\u2003c„d“ ’s"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    assert [r[0] or [] for r in df.select(T.index_tokens(F.col("t"))).collect()] == [T.tokens_of(t) for t in texts]
+    from tessera.functions.porter import stemmed_tokens, stemmed_tokens_of
+
+    assert [list(r[0]) for r in df.select(stemmed_tokens(F.col("t"))).collect()] == [stemmed_tokens_of(t) for t in texts]
