@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from tessera.functions.porter import stemmed_tokens
 from tessera.operators import blocks
 from tessera.operators.pointer import Pointer
-from tessera.operators.postings import entries
 from tessera.operators.scratch import written
 
 DOCUMENTS = "doc_id bigint, path string, title string, ext string, bytes bigint, mtime double, sha256 string, n_chunks int"
@@ -136,7 +135,7 @@ class Segments:
         mine = {"folder": folder}
         new = self._read("chunks", [mine])
         n, tokens, last = new.agg(F.count("*"), F.coalesce(F.sum("d"), F.lit(0)), F.max("chunk_id")).first()
-        self._write(folder, blocks=self._spread(blocks.blocked(entries(new, tokens=self.tokens)), n))
+        self._write(folder, blocks=blocks.built(new, self.tokens).sortWithinPartitions("token", "block"))
         was = {**meta, "segments": older}
         self._write(folder, dropped=self.rows(was).join(replaced.select("doc_id"), "doc_id", "left_semi"))
         dead = self._chunks(was).select("chunk_id", "doc_id", "d").join((replaced if cut is None else cut).select("doc_id").distinct(), "doc_id", "left_semi")

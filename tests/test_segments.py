@@ -56,6 +56,18 @@ def test_entries_and_back(spark):
     assert (row.n, row.most, row.least, row.fs) == (1, 3, 4, [3])  # a heading counts twice
 
 
+def test_blocks_are_built_with_one_exchange_of_the_texts(spark, monkeypatch):
+    chunks = spark.createDataFrame(corpus(), CHUNKS)
+    made = blocks.built(chunks)
+    plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange") == 1 and "Exchange hashpartitioning(span" in plan.replace("#", " ").replace("Exchange hashpartitioning(span ", "Exchange hashpartitioning(span")
+    plain = lambda df: sorted(map(str, df.select(*blocks.COLUMNS).collect()))
+    want = plain(blocks.blocked(postings.entries(chunks)))
+    assert plain(made) == want
+    monkeypatch.setattr(blocks, "PLAIN", {})
+    assert plain(blocks.built(chunks)) == want
+
+
 def test_empty_corpus_and_no_queries(spark):
     none, one = spark.createDataFrame([], CHUNKS), spark.createDataFrame([(1, "a", "")], CHUNKS)
     asked = spark.createDataFrame([(1, "word a")], "query_id bigint, query string")
