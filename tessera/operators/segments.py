@@ -12,7 +12,7 @@ import re
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.porter import stemmed_tokens
@@ -89,13 +89,14 @@ class Segments:
     def documents(self) -> DataFrame:
         return self.rows().select(*names(DOCUMENTS))
 
-    def _chunks(self, meta: dict) -> DataFrame:
+    def _chunks(self, meta: dict, **also: Column) -> DataFrame:
         live = meta["segments"]
-        found = self._read("chunks", live)
+        found = self._read("chunks", live).withColumns(also)
         return found.join(self._read("killed", live), "chunk_id", "left_anti") if self._any(live, "killed") else found
 
-    def chunks(self) -> DataFrame:
-        return self._chunks(self.manifest()[1]).select(*names(CHUNKS))
+    def chunks(self, **also: Column) -> DataFrame:
+        """Live chunks; ``also`` are computed where they are read, so that a reader of these alone exchanges no texts."""
+        return self._chunks(self.manifest()[1], **also).select(*names(CHUNKS), *also)
 
     def store(self) -> blocks.Store:
         """Blocks and figures for :class:`blocks.BlockSearch`."""
