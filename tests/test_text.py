@@ -108,3 +108,16 @@ def test_tokens_of_a_python_pass_are_the_index_tokens(spark):
     from tessera.functions.porter import stemmed_tokens, stemmed_tokens_of
 
     assert [list(r[0]) for r in df.select(stemmed_tokens(F.col("t"))).collect()] == [stemmed_tokens_of(t) for t in texts]
+
+
+def test_stemming_a_text_does_not_walk_through_the_stems_of_others(monkeypatch):
+    from tessera.functions import porter
+
+    class Stems(type(porter._STEMS)):
+        def keys(self):
+            raise AssertionError("all remembered stems are walked through")
+
+        __iter__ = items = keys
+
+    monkeypatch.setattr(porter, "_STEMS", Stems(leaves="leav"))
+    assert porter.stemmed_tokens_of("Leaves running, leaves claims") == ["leav", "run", "leav", "claim"]
