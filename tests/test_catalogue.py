@@ -77,3 +77,26 @@ def test_reranking_keeps_the_best_of_question_and_clauses(spark, compound, name)
         assert {r.chunk_id: r.score for r in got.itertuples()}.items() >= {0: 10.0, 1: 10.0, 2: 10.0}.items()
     else:  # and others lie beyond the margin
         assert got.set_index("mode").returned["hybrid+rerank"] == 3
+
+
+@pytest.mark.parametrize("name", ["document_cap", "retrieval_scores", "expanded_rerank"])
+def test_ranked_chunks_go_to_the_texts(spark, name):
+    """Whatever the size of the tables: documents are joined with the ranked chunks where they are read, and texts with no vectors."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in plan]
+    column = "source:string" if name == "document_cap" else "text:string"
+    scans = [i for i, line in enumerate(plan) if "FileScan" in line and "documents.parquet" in line and column in line.split("ReadSchema")[1]]
+    assert scans
+    for i in scans:
+        above, at = [], depth[i]
+        for j in range(i - 1, -1, -1):
+            if depth[j] < at:
+                at = depth[j]
+                above.append(plan[j])
+        first = next(line for line in above if "Join" in line or "Exchange" in line)
+        assert "BroadcastHashJoin" in first, first
