@@ -1,6 +1,6 @@
 from test_turns import row
 
-from tessera.streaming.keyed_log import BLOCK, KeyedArchive
+from tessera.streaming.keyed_log import BLOCK, KeyedArchive, _Block
 from tessera.streaming.turn_log import TURNS
 
 
@@ -46,3 +46,30 @@ def test_one_run_of_several_batches_and_an_empty_log(spark, tmp_path):
     spark.createDataFrame([row(n) for n in range(60)], TURNS).repartition(3).write.mode("append").json(str(source))
     assert len([p for p in archive.run(stream(), f"{tmp_path}/checkpoint") if p["numInputRows"]]) == 3
     assert archive.turns().count() == 60 and archive.state().first().turn == 59
+
+
+def test_state_has_few_partitions_and_two_calls_for_a_key(spark, tmp_path):
+    """Each partition costs a store and a worker in every batch, each call to the store a round trip for every key."""
+    calls = []
+
+    class Value:
+        def __getattr__(self, name):
+            return lambda *a: calls.append(name)
+
+    block = _Block()
+    block.init(type("Handle", (), {"getValueState": lambda *a: Value()})())
+    assert len(list(block.handleInputRows(("c", 0), iter([row_of(spark, n) for n in (1, 2, 2)]), None))) == 3 and calls == ["get", "update"]
+
+    before, most = spark.conf.get("spark.sql.shuffle.partitions"), 2 * spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.sql.shuffle.partitions", str(most + 3))
+    try:
+        spark.createDataFrame([row(1)], TURNS).write.json(str(tmp_path / "log"))
+        found = KeyedArchive(spark, f"file://{tmp_path}/archive").run(spark.readStream.schema(TURNS).json(str(tmp_path / "log")), f"{tmp_path}/checkpoint")
+        assert spark.conf.get("spark.sql.shuffle.partitions") == str(most + 3)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {s["numShufflePartitions"] for p in found for s in p["stateOperators"]} == {most}
+
+
+def row_of(spark, n):
+    return spark.createDataFrame([row(n)], TURNS).first()
