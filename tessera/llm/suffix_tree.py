@@ -22,7 +22,8 @@ pairs of symbols with their counts, as sorted arrays by ranges of their hash, an
 same with the agreeing pairs of one-symbol contexts and with the runs that follow two-symbol contexts, of those that occur
 twice. A word, run or context that a third of the corpus holds is so one number from a chunk, and the runs of a context
 that occurs more than ``HOT`` times are dealt to several tasks. Texts are never exchanged; every word, run and context
-counts, however large the corpus. Only the byte tree is broadcast; pairs below a share of all bytes are not in it,
+counts, however large the corpus. The shuffle files of a round go when its sums are written, so that the disk holds those of one
+round at a time. Only the byte tree is broadcast; pairs below a share of all bytes are not in it,
 so it has at most (SPELLING + 1) / PAIR_SHARE entries.
 """
 
@@ -636,11 +637,11 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     def summed(asked: DataFrame, parts: int) -> DataFrame:
         by_range = asked.repartition(parts, "part", "range").sortWithinPartitions("part", "range", "chunk")
-        return materialise(by_range.mapInArrow(_sum(deal), _SCHEMA), "sums")
+        return materialise(by_range.mapInArrow(_sum(deal), _SCHEMA), "sums", clean=True)
 
     counts = summed(plain.mapInArrow(_ask(deal), _SCHEMA), deal.pairs + deal.words)
     vocabulary = counts.where("part = 4")
-    found = materialise(vocabulary.select("values", "words", "n").mapInArrow(_vocabulary, "code long, figure int, n double").groupBy("code", "figure").agg(F.sum("n").alias("n")), "bytes")
+    found = materialise(vocabulary.select("values", "words", "n").mapInArrow(_vocabulary, "code long, figure int, n double").groupBy("code", "figure").agg(F.sum("n").alias("n")), "bytes", clean=True)
     figures = {name: 0.0 for name in ("words", "types", "once", "pairs", "symbols")}
     for row in found.where("code IS NULL").collect():
         figures[list(figures)[row.figure]] = row.n

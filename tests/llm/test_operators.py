@@ -4,15 +4,17 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import format_automata, html_text, mixing, multiset_hash, ngram_ratio, packing, rule_ensemble, simhash, suffix_tree, urls
+from tessera.llm import common, format_automata, html_text, mixing, multiset_hash, ngram_ratio, packing, rule_ensemble, simhash, suffix_tree, urls
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, fp string, key string, label string, part string"
 LABELS = "doc_id bigint, quality int, toxic int, id string, label string"
@@ -203,6 +205,20 @@ def test_lm_scores(spark, empty, monkeypatch, range_, hot):
     assert suffix_tree.score_texts(empty).count() == 0
 
 
+def test_shuffle_files_of_a_round_go_with_it(spark):
+    folders = [str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    large = lambda: {f for d in folders for f in Path(d).glob("*/shuffle_*.data") if f.exists() and f.stat().st_size > 2_000}
+    before, setting = large(), spark.conf.get(common.CLEAN)
+    found = suffix_tree.score_texts(frame(spark, lm_rows()).repartition(2))
+    own = before
+    for _ in range(50):  # they are deleted in the background
+        if (own := large() - before) == set():
+            break
+        time.sleep(0.1)
+    assert not own and spark.conf.get(common.CLEAN) == setting
+    assert found.count() == len(lm_rows())
+
+
 def test_every_state_is_a_distribution():
     rows = [(i, t) for i, t in lm_rows() if i is not None]
     plain = plain_model(rows, lambda w: 0.0)
