@@ -82,6 +82,18 @@ def test_scores_within_rows_are_those_of_joins_and_exchange_little(spark, monkey
     assert not other.whole and got == [plain(retrieval.bm25_search(chunks, queries, 9, kept=other)), plain(retrieval.overlap(other, queries, 9))]
 
 
+def test_places_are_counted_before_questions_are_joined(spark):
+    from tessera.operators.postings import prepared
+
+    chunks = spark.createDataFrame([(1, "leaf e-4471 leaf", "leaf"), (2, "E 4471", None), (3, None, "4471 e")], "chunk_id bigint, text string, heading string")
+    queries = spark.createDataFrame([(q, "leaf e-4471") for q in range(3)], "query_id int, query string")
+    found = retrieval.phrase_hits(prepared(chunks, queries), queries)
+    want = [("e-4471", 1, "text", 1), ("e-4471", 2, "text", 1), ("leaf", 1, "heading", 1), ("leaf", 1, "text", 2)]
+    assert sorted(map(tuple, found.collect())) == [(q, *w) for q in range(3) for w in want]
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert next(i for i, x in enumerate(plan) if "Join" in x) < next(i for i, x in enumerate(plan) if "heading" in x)
+
+
 def test_source_budget_passes_over_what_does_not_fit(spark):
     rows = [(1, 1, 11, "a", "A" * 200), (1, 2, 12, "b", "B" * 200), (1, 3, 13, "c", "C" * 20)]
     out = context.pack_sources(spark.createDataFrame(rows, "query_id bigint, rank int, chunk_id bigint, label string, text string"), 300).first()

@@ -110,6 +110,18 @@ def test_tokens_of_a_python_pass_are_the_index_tokens(spark):
     assert [list(r[0]) for r in df.select(stemmed_tokens(F.col("t"))).collect()] == [stemmed_tokens_of(t) for t in texts]
 
 
+def test_folding_a_text_looks_up_each_distinct_letter_once(monkeypatch):
+    class Seen(dict):
+        def __getitem__(self, c):
+            asked.append(c)
+            return super().__getitem__(c)
+
+    asked: list[str] = []
+    monkeypatch.setattr(T, "_FOLD", Seen(T._FOLD))
+    assert T.tokens_of("éé È ΅pc €é_ж") == ["ee", "e", "pc", "e", "ж"]
+    assert sorted(asked) == sorted("éè΅")
+
+
 def test_stemming_a_text_does_not_walk_through_the_stems_of_others(monkeypatch):
     from tessera.functions import porter
 
